@@ -142,10 +142,10 @@ POSTING_CTES = ",\n".join([RAW_POSTINGS, CLEAN_POSTINGS, WITH_FULL_TEXT, FEATURE
 
 SCORES = """scores AS (
   SELECT 'length_score' AS model, d.doc_id AS job_id, CAST(l.toxic AS INTEGER) AS y_true,
-         round((d.n_chars % 1000) / 1000.0, 3) AS y_proba
+         round(CAST(d.n_chars % 1000 AS DOUBLE) / 1000.0, 3) AS y_proba
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
   UNION ALL
-  SELECT 'hash_score', d.doc_id, CAST(l.toxic AS INTEGER), (d.doc_id * 37 % 101) / 101.0
+  SELECT 'hash_score', d.doc_id, CAST(l.toxic AS INTEGER), CAST(d.doc_id * 37 % 101 AS DOUBLE) / 101.0
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
@@ -157,3 +157,61 @@ def with_postings(select_sql: str, extra_ctes: str = "") -> str:
 def with_scores(select_sql: str, extra_ctes: str = "") -> str:
     ctes = SCORES + (",\n" + extra_ctes if extra_ctes else "")
     return f"WITH {ctes}\n{select_sql}"
+
+
+JOBS = """jobs AS (SELECT d.doc_id AS job_id, CAST(l.toxic AS INTEGER) AS fraudulent
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def split_ctes(src: str = "featured", test_frac=0.15, val_frac=0.15, seed=42) -> str:
+    """Exact-quota stratified split with the arithmetic key; ends with ``assigned``
+    (job_id, fraudulent, split)."""
+    rel = val_frac / (1.0 - test_frac)
+    return f"""keyed AS (SELECT job_id, fraudulent, ((job_id * 7919 + {seed}) % 100003 + 100003) % 100003 AS k FROM {src}),
+cls AS (SELECT fraudulent, count(*) AS n FROM keyed GROUP BY fraudulent),
+tot AS (SELECT sum(n) AS total, CAST(ceil({test_frac} * sum(n)) AS BIGINT) AS n_test FROM cls),
+tr1 AS (SELECT c.fraudulent, c.n, CAST(c.n AS DOUBLE) / t.total * (t.total - t.n_test) AS cont,
+               t.total - t.n_test AS draws FROM cls c, tot t),
+tr1r AS (SELECT *, floor(cont) AS fl, row_number() OVER (ORDER BY cont - floor(cont) DESC, fraudulent) AS rr,
+               draws - sum(floor(cont)) OVER () AS need FROM tr1),
+test_q AS (SELECT fraudulent, n, n - (fl + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS test_c FROM tr1r),
+rest AS (SELECT fraudulent, n - test_c AS m, test_c FROM test_q),
+rtot AS (SELECT sum(m) AS total, CAST(ceil({rel!r} * sum(m)) AS BIGINT) AS n_val FROM rest),
+tr2 AS (SELECT r.fraudulent, r.m, r.test_c, CAST(r.m AS DOUBLE) / t.total * (t.total - t.n_val) AS cont,
+               t.total - t.n_val AS draws FROM rest r, rtot t),
+tr2r AS (SELECT *, floor(cont) AS fl, row_number() OVER (ORDER BY cont - floor(cont) DESC, fraudulent) AS rr,
+               draws - sum(floor(cont)) OVER () AS need FROM tr2),
+val_q AS (SELECT fraudulent, test_c, m - (fl + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS val_c,
+                 m + test_c AS n FROM tr2r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY fraudulent ORDER BY k, job_id) AS r FROM keyed),
+assigned AS (SELECT job_id, fraudulent,
+  CASE WHEN r <= test_c THEN 'test' WHEN r <= test_c + val_c THEN 'val' ELSE 'train' END AS split
+  FROM ranked JOIN val_q USING (fraudulent))"""
+
+
+def curve_ctes(src: str, groups=(), name: str = "curve") -> str:
+    """Distinct-score curve table (``threshold pos neg tp fp P N precision recall fpr tpr``)."""
+    g = ", ".join(groups)
+    gsel = g + ", " if g else ""
+    part = f"PARTITION BY {g} " if g else ""
+    return f"""{name}_counts AS (SELECT {gsel}CAST(y_proba AS DOUBLE) AS threshold,
+    count(*) FILTER (WHERE y_true = 1) AS pos, count(*) FILTER (WHERE y_true <> 1) AS neg
+  FROM {src} WHERE y_proba IS NOT NULL GROUP BY {gsel}CAST(y_proba AS DOUBLE)),
+{name}_cum AS (SELECT *, sum(pos) OVER (w ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp,
+    sum(neg) OVER (w ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp,
+    sum(pos) OVER w AS "P", sum(neg) OVER w AS "N"
+  FROM {name}_counts WINDOW w AS ({part})),
+{name} AS (SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS "precision",
+    CASE WHEN "P" = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / "P" END AS recall,
+    CASE WHEN "N" > 0 THEN CAST(fp AS DOUBLE) / "N" ELSE 0.0 END AS fpr,
+    CASE WHEN "P" > 0 THEN CAST(tp AS DOUBLE) / "P" ELSE 0.0 END AS tpr
+  FROM {name}_cum)"""
+
+
+def fbeta(beta: float, p: str = '"precision"', r: str = "recall") -> str:
+    b2 = beta * beta
+    return f"CASE WHEN {b2!r} * {p} + {r} > 0 THEN (1 + {b2!r}) * {p} * {r} / ({b2!r} * {p} + {r}) ELSE 0.0 END"
+
+
+AP = 'coalesce(sum(CAST(pos AS DOUBLE) / nullif("P", 0) * "precision"), 0.0)'
+AUC = 'sum(neg * (tp - pos / 2.0)) / nullif(CAST(max("P") AS DOUBLE) * max("N"), 0)'

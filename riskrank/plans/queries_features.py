@@ -113,33 +113,10 @@ def dedupe_report(spark, sf_dir):
 
 
 # -- C2: stratified split (arithmetic key so SQL can replay it) -------------------
-def _split_ctes(test_frac=0.15, val_frac=0.15, seed=42):
-    rel = val_frac / (1.0 - test_frac)
-    return f"""
-keyed AS (SELECT job_id, fraudulent, ((job_id * 7919 + {seed}) % 100003 + 100003) % 100003 AS k FROM featured),
-cls AS (SELECT fraudulent, count(*) AS n FROM keyed GROUP BY fraudulent),
-tot AS (SELECT sum(n) AS total, CAST(ceil({test_frac} * sum(n)) AS BIGINT) AS n_test FROM cls),
-tr1 AS (SELECT c.fraudulent, c.n, CAST(c.n AS DOUBLE) / t.total * (t.total - t.n_test) AS cont,
-               t.total - t.n_test AS draws FROM cls c, tot t),
-tr1r AS (SELECT *, floor(cont) AS fl, row_number() OVER (ORDER BY cont - floor(cont) DESC, fraudulent) AS rr,
-               draws - sum(floor(cont)) OVER () AS need FROM tr1),
-test_q AS (SELECT fraudulent, n, n - (fl + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS test_c FROM tr1r),
-rest AS (SELECT fraudulent, n - test_c AS m, test_c FROM test_q),
-rtot AS (SELECT sum(m) AS total, CAST(ceil({rel!r} * sum(m)) AS BIGINT) AS n_val FROM rest),
-tr2 AS (SELECT r.fraudulent, r.m, r.test_c, CAST(r.m AS DOUBLE) / t.total * (t.total - t.n_val) AS cont,
-               t.total - t.n_val AS draws FROM rest r, rtot t),
-tr2r AS (SELECT *, floor(cont) AS fl, row_number() OVER (ORDER BY cont - floor(cont) DESC, fraudulent) AS rr,
-               draws - sum(floor(cont)) OVER () AS need FROM tr2),
-val_q AS (SELECT fraudulent, test_c, m - (fl + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS val_c,
-                 m + test_c AS n FROM tr2r)"""
-
-
 def _split_sql():
     return O.with_postings("""
-SELECT job_id, CAST(fraudulent AS BIGINT) AS fraudulent,
-  CASE WHEN r <= test_c THEN 'test' WHEN r <= test_c + val_c THEN 'val' ELSE 'train' END AS split
-FROM ranked JOIN val_q USING (fraudulent)""", extra_ctes=_split_ctes() + """,
-ranked AS (SELECT *, row_number() OVER (PARTITION BY fraudulent ORDER BY k, job_id) AS r FROM keyed)""")
+SELECT job_id, CAST(fraudulent AS BIGINT) AS fraudulent, split FROM assigned""",
+                           extra_ctes=O.split_ctes("featured"))
 
 
 @register("stratified_split", _split_sql())
@@ -154,7 +131,7 @@ SELECT split, CAST(fraudulent AS BIGINT) AS fraudulent, CAST(n AS BIGINT) AS n F
   SELECT 'test' AS split, fraudulent, test_c AS n FROM val_q
   UNION ALL SELECT 'val', fraudulent, val_c FROM val_q
   UNION ALL SELECT 'train', fraudulent, n - test_c - val_c FROM val_q) WHERE n > 0""",
-    extra_ctes=_split_ctes()))
+    extra_ctes=O.split_ctes("featured")))
 def split_sizes(spark, sf_dir):
     """C2 with the production key (xxhash64): rows per (split, class) equal the quotas."""
     df = featured_postings(spark, sf_dir).select("job_id", "fraudulent")
