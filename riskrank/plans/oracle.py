@@ -215,3 +215,20 @@ def fbeta(beta: float, p: str = '"precision"', r: str = "recall") -> str:
 
 AP = 'coalesce(sum(CAST(pos AS DOUBLE) / nullif("P", 0) * "precision"), 0.0)'
 AUC = 'sum(neg * (tp - pos / 2.0)) / nullif(CAST(max("P") AS DOUBLE) * max("N"), 0)'
+
+REPLIES = """replies AS (SELECT d.doc_id AS job_id,
+    CASE WHEN d.doc_id % 11 = 0 THEN 'refusal' WHEN d.doc_id % 13 = 0 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
+    CASE WHEN d.doc_id % 17 = 0 THEN NULL WHEN d.doc_id % 19 = 0 THEN 'not json {'
+         WHEN d.doc_id % 23 = 0 THEN '{"reason": "' || d.source || '"}'
+         ELSE '{"fraud_probability": ' || CAST(CAST(d.n_chars % 150 AS DOUBLE) / 100.0 AS VARCHAR)
+              || ', "reason": "' || d.source || '"}' END AS body
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+parsed AS (SELECT job_id,
+    CASE WHEN stop_reason IN ('refusal', 'max_tokens') OR body IS NULL OR NOT json_valid(body) THEN NULL
+         WHEN TRY_CAST(json_extract_string(body, '$.fraud_probability') AS DOUBLE) IS NULL THEN NULL
+         ELSE least(greatest(TRY_CAST(json_extract_string(body, '$.fraud_probability') AS DOUBLE), 0.0), 1.0) END
+      AS fraud_probability,
+    CASE WHEN stop_reason = 'refusal' THEN 'refused' WHEN stop_reason = 'max_tokens' THEN 'truncated at max_tokens'
+         WHEN body IS NULL THEN 'no text block returned' WHEN NOT json_valid(body) THEN 'unparseable JSON'
+         ELSE json_extract_string(body, '$.reason') END AS reason
+  FROM replies)"""

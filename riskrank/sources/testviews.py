@@ -75,3 +75,22 @@ def long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("s1").alias("y_proba")),
         F.struct(F.lit("hash_score").alias("model"), F.col("job_id"), F.col("y_true"),
                  F.col("s2").alias("y_proba")))).alias("r")).select("r.*")
+
+
+def scorer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of an external scorer, one per labelled document, with every failure
+    shape: refusals, truncations, no text, bad JSON, a missing number, values
+    outside [0, 1]."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    d = docs.join(labels, "doc_id")
+    i = F.col("doc_id")
+    prob = ((F.col("n_chars") % 150) / 100.0).cast("string")
+    body = (F.when(i % 17 == 0, F.lit(None).cast("string"))
+             .when(i % 19 == 0, F.lit("not json {"))
+             .when(i % 23 == 0, F.concat(F.lit('{"reason": "'), F.col("source"), F.lit('"}')))
+             .otherwise(F.concat(F.lit('{"fraud_probability": '), prob, F.lit(', "reason": "'),
+                                 F.col("source"), F.lit('"}'))))
+    stop = F.when(i % 11 == 0, F.lit("refusal")).when(i % 13 == 0, F.lit("max_tokens")) \
+            .otherwise(F.lit("end_turn"))
+    return d.select(i.alias("job_id"), stop.alias("stop_reason"), body.alias("body"))
