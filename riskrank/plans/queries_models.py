@@ -1 +1,131 @@
-"""Registered queries."""
+"""Queries for the models (I1-I8), SVD (H3) and the parameter search.
+
+Training is iterative, so most of these are checked on rows only; the majority
+baseline and the search tables have SQL twins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..operators import curves, models, search, split, vectors
+from ..sources.tables import table
+from ..sources.testviews import featured_postings
+from . import oracle as O
+from . import train as T
+from .catalog import register
+
+
+def _with_split(spark, sf_dir):
+    f = featured_postings(spark, sf_dir)
+    a = split.stratified_split(f.select("job_id", "fraudulent"), key="arith").select("job_id", "split")
+    return f.join(a, "job_id")
+
+
+@register("majority_baseline", O.with_postings("""
+SELECT split, round(avg(CAST(fraudulent AS DOUBLE)), 6) AS average_precision, 0.5 AS roc_auc
+FROM featured JOIN assigned USING (job_id, fraudulent) WHERE split IN ('val', 'test') GROUP BY split""",
+    O.split_ctes("featured")))
+def majority_baseline(spark, sf_dir):
+    """Always the training majority; AP = prevalence, ROC-AUC = 0.5."""
+    df = _with_split(spark, sf_dir)
+    maj = models.majority_class(df.where(F.col("split") == "train"))
+    s = models.score_majority(df.where(F.col("split").isin("val", "test")), maj) \
+              .select("split", F.col("fraudulent").alias("y_true"), "y_proba")
+    return curves.ranking_summary(curves.curve_table(s, ["split"]), ["split"]) \
+                 .select("split", "average_precision", "roc_auc")
+
+
+@register("logreg_tfidf")
+def logreg_tfidf(spark, sf_dir):
+    """TF-IDF (fit on train) -> balanced logistic regression; val/test scores."""
+    df = _with_split(spark, sf_dir)
+    train = df.where(F.col("split") == "train")
+    return T.tfidf_logreg_scores(train, df.where(F.col("split") != "train"), max_iter=100)
+
+
+def _embedding_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("job_id"), "embedding", (F.col("label") == 0).cast("int").alias("fraudulent"))
+    a = split.stratified_split(e.select("job_id", "fraudulent"), key="arith").select("job_id", "split")
+    return vectors.embedding_vectors(e.join(a, "job_id"), "embedding", normalise=True)
+
+
+@register("logreg_embedding")
+def logreg_embedding(spark, sf_dir):
+    """Normalised embeddings -> balanced logistic regression."""
+    e = _embedding_rows(spark, sf_dir)
+    m = models.fit_logreg(e.where(F.col("split") == "train"), max_iter=200)
+    return models.score(m, e.where(F.col("split") != "train")).join(e.select("job_id", "split"), "job_id")
+
+
+@register("gbt_embedding")
+def gbt_embedding(spark, sf_dir):
+    """Boosted trees on the embeddings (positive-class weight)."""
+    e = _embedding_rows(spark, sf_dir)
+    m = models.fit_gbt(e.where(F.col("split") == "train"), params=models.GbtParams(n_estimators=20))
+    return models.score(m, e.where(F.col("split") != "train")).join(e.select("job_id", "split"), "job_id")
+
+
+def _gbt_meta(spark, sf_dir, n_trees=20, k=10):
+    df = _with_split(spark, sf_dir)
+    train = df.where(F.col("split") == "train")
+    art = T.preprocess_fit(train, svd_components=k, scale_numeric=False)
+    xt = T.preprocess_apply(train, art)
+    m = models.fit_gbt(xt, params=models.GbtParams(n_estimators=n_trees))
+    return df, art, m
+
+
+@register("gbt_meta")
+def gbt_meta(spark, sf_dir):
+    """SVD text block + one-hot + hand-made features -> boosted trees."""
+    df, art, m = _gbt_meta(spark, sf_dir)
+    xo = T.preprocess_apply(df.where(F.col("split") != "train"), art)
+    return models.score(m, xo).join(df.select("job_id", "split"), "job_id")
+
+
+@register("gain_importance")
+def gain_importance(spark, sf_dir):
+    """Gain importances by safe feature name, largest first."""
+    _, art, m = _gbt_meta(spark, sf_dir)
+    return models.importance_table(m, art.names)
+
+
+@register("svd_components")
+def svd_components(spark, sf_dir):
+    """H3: truncated SVD (k=10) of the training TF-IDF matrix, applied to every posting."""
+    df = _with_split(spark, sf_dir)
+    art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=10)
+    sv = art.svd.transform(T._text_vectors(df, art.tfidf, "job_id"), "id", "tfidf", "svd")
+    return sv.select(F.col("id").alias("job_id"), F.posexplode(vectors.vector_to_array("svd")).alias("i", "value"))
+
+
+@register("gbt_best_prefix")
+def gbt_best_prefix(spark, sf_dir):
+    """I4: validation AP of every tree prefix; the best prefix is the early stop."""
+    df, art, m = _gbt_meta(spark, sf_dir, n_trees=30)
+    xv = T.preprocess_apply(df.where(F.col("split") == "val"), art)
+    return search.prefix_ap(m, xv, every=5)
+
+
+_TRIALS = 8
+
+
+@register("random_search", search.trials_sql(_TRIALS))
+def random_search(spark, sf_dir):
+    """Seeded random search over a linear risk rule's weights, val AP per trial
+    (all trials scored in one grouped pass)."""
+    return search.linear_rule_search(_with_split(spark, sf_dir), _TRIALS)
+
+
+@register("trial_best_so_far", search.best_so_far_sql(_TRIALS))
+def trial_best_so_far(spark, sf_dir):
+    """Running best val AP over the trial order."""
+    return search.best_so_far(search.linear_rule_search(_with_split(spark, sf_dir), _TRIALS))
+
+
+@register("param_effect", search.param_effect_sql(_TRIALS))
+def param_effect(spark, sf_dir):
+    """Per parameter, share of AP variance explained by its quartile bin."""
+    return search.param_effect(search.linear_rule_search(_with_split(spark, sf_dir), _TRIALS))
