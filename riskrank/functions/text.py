@@ -31,6 +31,13 @@ SPACE = (r"\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 
+# The same whitespace set as literal characters (for btrim / translate).
+SPACE_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+# Unicode decimal digits (category Nd), built by rule: Python's \d.
+DIGIT_CHARS = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd")
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII_LETTERS = ASCII_UPPER + ASCII_UPPER.lower()
+
 SPACE_RUN = f"[{SPACE}]+"
 NON_SPACE_RUN = f"[^{SPACE}]+"
 TAG = r"<[^>]+>"
@@ -41,8 +48,9 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace (a set
+    trim, no regex)."""
+    return F.btrim(_col(c), F.lit(SPACE_CHARS))
 
 
 def collapse_space(c) -> Column:
@@ -59,7 +67,7 @@ def squish(c) -> Column:
 def is_blank(c) -> Column:
     """NULL or whitespace-only (the reference's missing-value predicate)."""
     c = _col(c)
-    return c.isNull() | ~c.rlike(f"[^{SPACE}]")
+    return c.isNull() | (strip(c) == "")
 
 
 def char_count(c) -> Column:
@@ -76,6 +84,12 @@ def regex_count(c, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(pattern))
 
 
+def count_chars(c, chars: str) -> Column:
+    """Occurrences of any character of ``chars`` (a translate, no regex)."""
+    t = F.coalesce(_col(c), F.lit(""))
+    return F.length(t) - F.length(F.translate(t, chars, ""))
+
+
 @F.pandas_udf(T.StringType())
 def _html_unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if isinstance(v, str) else None)

@@ -42,10 +42,10 @@ def _ratio(num, den):
 def add_text_pattern_features(df: DataFrame, column: str = S.FULL_TEXT) -> DataFrame:
     t = F.coalesce(F.col(column), F.lit(""))
     return df.withColumns({
-        "caps_ratio": _ratio(tx.regex_count(t, P.UPPER), tx.regex_count(t, P.LETTER)),
-        "digit_ratio": _ratio(tx.regex_count(t, tx.DIGIT), F.length(t)),
-        "exclamation_count": tx.regex_count(t, "!"),
-        "question_count": tx.regex_count(t, r"\?"),
+        "caps_ratio": _ratio(tx.count_chars(t, tx.ASCII_UPPER), tx.count_chars(t, tx.ASCII_LETTERS)),
+        "digit_ratio": _ratio(tx.count_chars(t, tx.DIGIT_CHARS), F.length(t)),
+        "exclamation_count": tx.count_chars(t, "!"),
+        "question_count": tx.count_chars(t, "?"),
         "has_email": t.rlike(P.EMAIL).cast("int"),
         "has_url": t.rlike(P.URL).cast("int"),
         "has_phone": t.rlike(P.PHONE).cast("int"),

@@ -145,8 +145,11 @@ class SvdModel:
 def fit_svd(vectors: DataFrame, k: int, id_col: str = "id", features: str = "features") -> SvdModel:
     from pyspark.mllib.linalg import Vectors as MV
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark import StorageLevel
     rows = vectors.select(id_col, features).rdd.map(lambda r: IndexedRow(int(r[0]), MV.fromML(r[1])))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every ARPACK step multiplies by X
     svd = IndexedRowMatrix(rows).computeSVD(k, computeU=False)
+    rows.unpersist()
     v = svd.V.toArray()
     s = svd.s.toArray()
     signs = np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(v.shape[1])])

@@ -6,6 +6,7 @@ baseline and the search tables have SQL twins.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -40,7 +41,7 @@ def majority_baseline(spark, sf_dir):
 @register("logreg_tfidf")
 def logreg_tfidf(spark, sf_dir):
     """TF-IDF (fit on train) -> balanced logistic regression; val/test scores."""
-    df = _with_split(spark, sf_dir)
+    df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     train = df.where(F.col("split") == "train")
     return T.tfidf_logreg_scores(train, df.where(F.col("split") != "train"), max_iter=100)
 
@@ -69,7 +70,8 @@ def gbt_embedding(spark, sf_dir):
 
 
 def _gbt_meta(spark, sf_dir, n_trees=20, k=10):
-    df = _with_split(spark, sf_dir)
+    # fit, apply and scoring all read the split postings: keep them (spilling if needed)
+    df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     train = df.where(F.col("split") == "train")
     art = T.preprocess_fit(train, svd_components=k, scale_numeric=False)
     xt = T.preprocess_apply(train, art)
@@ -95,7 +97,7 @@ def gain_importance(spark, sf_dir):
 @register("svd_components")
 def svd_components(spark, sf_dir):
     """H3: truncated SVD (k=10) of the training TF-IDF matrix, applied to every posting."""
-    df = _with_split(spark, sf_dir)
+    df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=10)
     sv = art.svd.transform(T._text_vectors(df, art.tfidf, "job_id"), "id", "tfidf", "svd")
     return sv.select(F.col("id").alias("job_id"), F.posexplode(vectors.vector_to_array("svd")).alias("i", "value"))
