@@ -137,3 +137,10 @@ def split_sizes(spark, sf_dir):
     df = featured_postings(spark, sf_dir).select("job_id", "fraudulent")
     s = split.stratified_split(df)
     return s.groupBy("split", "fraudulent").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("processed_dataset")
+def processed_dataset(spark, sf_dir):
+    """A5: dedupe -> clean -> features -> split over the raw posting view (51+ columns)."""
+    from .dataset import processed
+    return processed(raw_postings(spark, sf_dir))
