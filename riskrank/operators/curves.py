@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .running import running_totals
 
 
@@ -38,7 +39,9 @@ def curve_table(scores: DataFrame, group_cols=(), score: str = "y_proba", label:
                 buckets: int | None = None) -> DataFrame:
     """One row per (group, distinct score): pos, neg, tp, fp (score >= threshold),
     P, N, precision, recall, fpr, tpr."""
-    counts = score_counts(scores, group_cols, score, label)
+    # the counts feed three passes (range bounds, per-range sums, offsets): materialise
+    # them once in the checkpoint folder; they are far smaller than the scores
+    counts = cut_lineage(score_counts(scores, group_cols, score, label))
     rt = running_totals(counts, "threshold", ["pos", "neg"], group_cols, descending=True,
                         buckets=buckets)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")

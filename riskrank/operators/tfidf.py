@@ -49,14 +49,24 @@ class TfidfParams:
         return english_stop_words() if self.stop_words is None else list(self.stop_words)
 
 
-def term_lists(text_col, params: TfidfParams):
-    """Column with the n-gram list of one document."""
+def normalised_text(text_col, params: TfidfParams):
+    """Lower-case and accent-stripped text (the only Python step)."""
     t = F.coalesce(text_col, F.lit(""))
     if params.lowercase:
         t = F.lower(t)
     if params.strip_accents:
         t = tx.strip_accents(t)
-    toks = tx.remove_words(tx.word_tokens(t), params.words())
+    return t
+
+
+def token_list(text_col, params: TfidfParams):
+    """Column with the stop-word-free token list of an already normalised text."""
+    return tx.remove_words(tx.word_tokens(text_col), params.words())
+
+
+def ngram_list(toks, params: TfidfParams):
+    """n-grams of a token-list column (pass a column reference, not an expression,
+    so the tokens are computed once per row)."""
     lo, hi = params.ngram_range
     parts = []
     if lo <= 1 <= hi:
@@ -70,8 +80,12 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, params: TfidfParams,
               partitions: int | None = None) -> DataFrame:
     """(id, term, tf) with one row per distinct term of a document."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition(n, "id")
-    exploded = by_doc.select("id", F.explode(term_lists(F.col("_text"), params)).alias("term"))
+    # The Python step runs before the exchange: an Arrow UDF does not keep its
+    # input's partitioning, and everything after the exchange relies on hash(id).
+    norm = docs.select(F.col(id_col).alias("id"), normalised_text(F.col(text_col), params).alias("_text"))
+    by_doc = norm.repartition(n, "id")
+    toks = by_doc.select("id", token_list(F.col("_text"), params).alias("_toks"))
+    exploded = toks.select("id", F.explode(ngram_list(F.col("_toks"), params)).alias("term"))
     return exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -132,9 +146,11 @@ def top_ngrams(docs: DataFrame, text_col: str, class_col: str, n: int = 15, ngra
     frequency >= ``min_df`` within the class), ties by term. The per-class top-n
     uses ``row_number() <= n``, which Spark limits per task before the shuffle."""
     params = TfidfParams(ngram_range=ngram, strip_accents=False, stop_words=stop_words)
-    docs2 = docs.select(F.col(id_col).alias("id"), F.col(class_col).alias("_cls"), F.col(text_col))
+    docs2 = docs.select(F.col(id_col).alias("id"), F.col(class_col).alias("_cls"),
+                        normalised_text(F.col(text_col), params).alias("_text"))
     by_doc = docs2.repartition("id")
-    exploded = by_doc.select("id", "_cls", F.explode(term_lists(F.col(text_col), params)).alias("term"))
+    toks = by_doc.select("id", "_cls", token_list(F.col("_text"), params).alias("_toks"))
+    exploded = toks.select("id", "_cls", F.explode(ngram_list(F.col("_toks"), params)).alias("term"))
     per_doc = exploded.groupBy("id", "_cls", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = per_doc.groupBy("_cls", "term").agg(F.sum("tf").alias("count"),
                                                 F.count(F.lit(1)).alias("df"))
