@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as tx
+from ..session import cut_lineage
 from .running import exact_quantiles, quantile_columns
 
 
@@ -110,6 +111,8 @@ def box_stats(df: DataFrame, columns, target: str = S.TARGET, whis: float = 1.5)
     long = df.select(target, *[F.col(c).cast("double").alias(c) for c in columns]) \
              .unpivot([target], list(columns), "field", "value") \
              .where(F.col("value").isNotNull())
+    # the narrow (field, class, value) table feeds the quartile and whisker passes
+    long = cut_lineage(long)
     quart = quantile_columns(long, "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
                              ["field", target])
     iqr = F.col("q3") - F.col("q1")

@@ -174,3 +174,22 @@ def onehot_vector(df: DataFrame, slot_cols, width: int, out: str = "onehot") ->
     if width == 0:
         arr = F.array().cast("array<double>")
     return df.withColumn(out, array_to_vector(arr))
+
+
+# -- B27 ----------------------------------------------------------------------
+def logits_to_proba(df: DataFrame, l0: str = "l0", l1: str = "l1", out: str = "y_proba") -> DataFrame:
+    """Positive-class probability of a two-logit softmax: 1 / (1 + exp(l0 - l1))."""
+    return df.withColumn(out, 1.0 / (1.0 + F.exp(F.col(l0) - F.col(l1))))
+
+
+# -- G3 -----------------------------------------------------------------------
+def coefficient_table(model, vocabulary: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` most positive and ``n`` most negative coefficients by term (model-
+    sized: one row per vocabulary term)."""
+    spark = vocabulary.sparkSession
+    coefs = model.coefficients.toArray()
+    c = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(coefs)], "term_id long, coef double")
+    named = c.join(vocabulary.select(F.col("term_id").cast("long"), "term"), "term_id")
+    pos = named.orderBy(F.desc("coef"), F.asc("term")).limit(n).withColumn("side", F.lit("positive"))
+    neg = named.orderBy(F.asc("coef"), F.asc("term")).limit(n).withColumn("side", F.lit("negative"))
+    return pos.unionByName(neg)

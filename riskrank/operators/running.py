@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _UNB = Window.unboundedPreceding
 
 
@@ -86,6 +88,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(),
     v = F.col(value_col)
     counts = (df.where(v.isNotNull())
                 .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
+    # read three times (range bounds, per-range sums, offsets): materialise once
+    counts = cut_lineage(counts)
     rt = running_totals(counts, value_col, ["_n"], group_cols, buckets=buckets)
     # rank range of each distinct value: [cum - n, cum - 1]
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])

@@ -160,3 +160,25 @@ def prefix_ap(model, rows: DataFrame, every: int = 5, label: str = S.TARGET,
     long = cur.select("y_true", F.explode(F.array(*margins)).alias("m")).select("y_true", "m.*")
     return curves.ranking_summary(curves.curve_table(long, ["n_trees"]), ["n_trees"]) \
                  .select("n_trees", "average_precision")
+
+
+def best_trial(trials: DataFrame):
+    """Parameters of the highest val-AP trial (ties -> lowest trial number)."""
+    row = trials.orderBy(F.desc("val_ap"), F.asc("trial")).first()
+    return {s[0]: row[s[0]] for s in SPACE} | {"trial": row["trial"]}
+
+
+def rule_scores(df: DataFrame, params: dict, label: str = S.TARGET, id_col: str = S.ID) -> DataFrame:
+    """Score rows with one linear rule (model, split, job_id, y_true, y_proba)."""
+    return df.select(F.lit("best_rule").alias("model"), "split", id_col,
+                     F.col(label).cast("int").alias("y_true"), _score_expr(params).alias("y_proba"))
+
+
+def contribution_summary(df: DataFrame, params: dict) -> DataFrame:
+    """Mean absolute contribution per feature of a linear rule: w * (x - mean(x))."""
+    means = df.agg(*[F.avg(F.col(feat).cast("double")).alias(feat) for _, feat, *_ in SPACE]).first()
+    cols = [F.abs(F.lit(params[name]) * (F.col(feat).cast("double") - F.lit(means[feat]))).alias(feat)
+            for name, feat, *_ in SPACE]
+    wide = df.select(*cols).agg(*[F.avg(feat).alias(feat) for _, feat, *_ in SPACE])
+    feats = [feat for _, feat, *_ in SPACE]
+    return wide.unpivot([], feats, "feature", "mean_abs_contribution")

@@ -145,3 +145,13 @@ FROM (SELECT fraudulent, count(*) AS n FROM featured GROUP BY fraudulent)"""))
 def class_weights(spark, sf_dir):
     """Balanced class weights n / (2 n_c)."""
     return eda.class_weights(featured_postings(spark, sf_dir))
+
+
+@register("split_summary", O.with_postings("""
+SELECT split, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(fraudulent AS DOUBLE)), 6) AS positive_rate
+FROM assigned GROUP BY split""", O.split_ctes("featured")))
+def split_summary(spark, sf_dir):
+    """E2/A2 summary: rows and positive rate per split."""
+    from ..operators import split
+    f = featured_postings(spark, sf_dir).select("job_id", "fraudulent")
+    return eda.split_summary(split.stratified_split(f, key="arith"))

@@ -131,3 +131,42 @@ def trial_best_so_far(spark, sf_dir):
 def param_effect(spark, sf_dir):
     """Per parameter, share of AP variance explained by its quartile bin."""
     return search.param_effect(search.linear_rule_search(_with_split(spark, sf_dir), _TRIALS))
+
+
+@register("top_coefficients")
+def top_coefficients(spark, sf_dir):
+    """20 most positive and 20 most negative TF-IDF logistic coefficients."""
+    df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    train = df.where(F.col("split") == "train")
+    vec = T.tfidf.fit(train, "job_id", S.FULL_TEXT)
+    tv = T._text_vectors(train, vec, "job_id").withColumnRenamed("id", "job_id") \
+          .join(train.select("job_id", S.TARGET), "job_id")
+    m = models.fit_logreg(tv, "tfidf", max_iter=100)
+    return models.coefficient_table(m, vec.vocabulary, 20)
+
+
+@register("best_trial_report")
+def best_trial_report(spark, sf_dir):
+    """The best trial's rule, F2 threshold tuned on val and frozen, every split."""
+    from . import protocol
+    df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    best = search.best_trial(search.linear_rule_search(df, _TRIALS))
+    return protocol.protocol_metrics(search.rule_scores(df, best))
+
+
+def _contrib_sql():
+    feats = [(name, feat) for name, feat, *_ in search.SPACE]
+    parts = " UNION ALL ".join(
+        f"SELECT '{feat}' AS feature, round(avg(abs(best.{name} * (CAST(v.{feat} AS DOUBLE) - mu.{feat}))), 6) "
+        f"AS mean_abs_contribution FROM val v, best, mu" for name, feat in feats)
+    return O.with_postings(parts, search._trials_ctes(_TRIALS) + """,
+best AS (SELECT * FROM trials ORDER BY val_ap DESC, trial LIMIT 1),
+mu AS (SELECT """ + ", ".join(f"avg(CAST({feat} AS DOUBLE)) AS {feat}" for _, feat in feats) + " FROM val)")
+
+
+@register("contribution_summary", _contrib_sql())
+def contribution_summary(spark, sf_dir):
+    """Mean absolute contribution w * (x - mean) of the best rule on validation."""
+    df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    best = search.best_trial(search.linear_rule_search(df, _TRIALS))
+    return search.contribution_summary(df.where(F.col("split") == "val"), best)

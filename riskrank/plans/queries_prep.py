@@ -216,3 +216,19 @@ def sample_n(spark, sf_dir):
     """A fixed-size reproducible sample (100 rows, TakeOrdered)."""
     f = featured_postings(spark, sf_dir).select("job_id", "fraudulent")
     return prompts.head_by_hash(f, 100, _k1())
+
+
+_NAMES_CTES = _ONEHOT + f""",
+names AS (SELECT CAST(i AS BIGINT) AS idx, 'svd_' || CAST(i AS VARCHAR) AS name, 'svd' AS block FROM range({_SVD_K}) t(i)
+  UNION ALL SELECT CAST(slot + {_SVD_K} AS BIGINT), name, 'onehot' FROM slots
+  UNION ALL SELECT CAST(i + {_SVD_K} + (SELECT sum(width) FROM wo) AS BIGINT), n, 'numeric'
+            FROM (SELECT unnest(range({len(_NUM)})) AS i, unnest([{", ".join(O.q(c) for c in _NUM)}]) AS n))"""
+
+
+@register("feature_block_widths", O.with_postings(
+    "SELECT block, CAST(count(*) AS BIGINT) AS n FROM names GROUP BY block", _NAMES_CTES))
+def feature_block_widths(spark, sf_dir):
+    """Width of each block of the stacked matrix."""
+    from ..operators.eda import feature_block_widths as widths
+    m = _fit_onehot(spark, sf_dir)
+    return widths(encode.feature_names(spark, _SVD_K, m, _NUM))

@@ -266,3 +266,21 @@ def delta_table(spark, sf_dir):
     """baseline vs candidate metrics per split and their difference."""
     m = protocol.protocol_metrics(_split_scores(spark, sf_dir))
     return protocol.delta_table(m, "hash_score", "length_score", _DELTA)
+
+
+@register("softmax_scores", O.with_scores("""
+SELECT model, job_id, round(1.0 / (1.0 + exp((1.0 - y_proba) - y_proba)), 6) AS y_proba FROM scores"""))
+def softmax_scores(spark, sf_dir):
+    """Two-logit softmax, with (1 - score, score) as the logits."""
+    from ..operators.models import logits_to_proba
+    s = long_scores(spark, sf_dir).select("model", "job_id", (1.0 - F.col("y_proba")).alias("l0"),
+                                          F.col("y_proba").alias("l1"))
+    return logits_to_proba(s).select("model", "job_id", "y_proba")
+
+
+@register("review_queue", O.with_scores("""
+SELECT job_id, y_proba FROM scores WHERE model = 'length_score' ORDER BY y_proba DESC, job_id LIMIT 20"""))
+def review_queue(spark, sf_dir):
+    """The 20 highest-risk postings first (a top-k report, TakeOrdered)."""
+    s = _length_scores(spark, sf_dir)
+    return s.orderBy(F.desc("y_proba"), F.asc("job_id")).limit(20).select("job_id", "y_proba")

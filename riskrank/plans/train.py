@@ -6,6 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -54,7 +55,11 @@ def preprocess_apply(df: DataFrame, art: Artifacts, id_col: str = S.ID, label: s
     sizes = {"onehot": art.onehot.n_slots}
     if art.svd is not None:
         sv = art.svd.transform(_text_vectors(df, art.tfidf, id_col), "id", "tfidf", "svd")
-        rows = rows.join(sv.withColumnRenamed("id", id_col), id_col, "left")
+        # a posting with no vocabulary term has an all-zero TF-IDF row, so its
+        # projection is the zero vector
+        zero = array_to_vector(F.array_repeat(F.lit(0.0), art.svd_components))
+        rows = rows.join(sv.withColumnRenamed("id", id_col), id_col, "left") \
+                   .withColumn("svd", F.coalesce(F.col("svd"), zero))
         inputs = ["svd"] + inputs
         sizes["svd"] = art.svd_components
     return models.assemble(rows, inputs, sizes=sizes).select(id_col, *([label] if label in df.columns else []), "features")
