@@ -97,8 +97,12 @@ def length_histogram(df: DataFrame, column: str, target: str = S.TARGET, lo: flo
     v = F.col(column).cast("double")
     b = F.width_bucket(v, F.lit(lo), F.lit(hi), F.lit(bins))
     b = F.when(v == hi, F.lit(bins)).otherwise(b)
-    in_range = df.select(target, b.alias("bin")).where((F.col("bin") >= 1) & (F.col("bin") <= bins))
-    counts = in_range.groupBy(target, "bin").agg(F.count(F.lit(1)).alias("n"))
+    ok = (F.col("bin") >= 1) & (F.col("bin") <= bins)
+    # Out-of-range rows are not counted by the aggregate itself, and the empty groups
+    # go after it: a filter on a derived feature would be pushed below the scan's
+    # repartition and re-evaluate the whole feature expression there.
+    counts = df.select(target, b.alias("bin")).groupBy(target, "bin") \
+               .agg(F.count_if(ok).alias("n")).where(F.col("n") > 0)
     per_class = Window.partitionBy(target)  # at most `bins` rows per class
     width = (hi - lo) / bins
     return counts.select(target, "bin",

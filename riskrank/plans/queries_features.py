@@ -23,7 +23,7 @@ def _sel(cols):
 @register("clean_pages", f"SELECT page_id, {O.clean_html('html')} AS text FROM pages")
 def clean_pages(spark, sf_dir):
     """B1 on every page of ``pages``."""
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages", spread_key="page_id")
     return pages.select("page_id", tx.clean_html("html").alias("text"))
 
 

@@ -11,5 +11,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread_key: str | None = None) -> DataFrame:
+    """Read one table. With ``spread_key``, a scan that yields fewer splits than the
+    cluster's parallelism (a few large row groups) is hash-repartitioned on that key
+    so row-level text work uses every core; scans with enough splits are left alone
+    (no extra shuffle at scale)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spread_key is not None:
+        df = spread(df, spread_key)
+    return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df

@@ -14,7 +14,7 @@ from .tables import table
 
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = table(spark, sf_dir, "documents", spread_key="doc_id").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = docs.join(labels, "doc_id")
     i = F.col("doc_id")
