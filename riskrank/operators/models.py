@@ -62,7 +62,7 @@ def score_majority(df: DataFrame, majority: int, out: str = "y_proba") -> DataFr
 
 # -- I2 / I5 ------------------------------------------------------------------
 def fit_logreg(df: DataFrame, features: str = "features", label: str = S.TARGET, C: float = 1.0,
-               max_iter: int = 200, balanced: bool = True, tol: float = 1e-6):
+               max_iter: int = 200, balanced: bool = True, tol: float = 1e-4):
     data = df.withColumn("_label", F.col(label).cast("double"))
     if balanced:
         w = class_weights(df, label).select(label, F.col("weight").alias("_w"))
