@@ -129,17 +129,39 @@ class SvdModel:
 
     def transform(self, vectors: DataFrame, id_col: str = "id", features: str = "features",
                   out: str = "svd") -> DataFrame:
-        """X V as a dense ``out`` vector per row (broadcast V, distributed multiply)."""
-        from pyspark.mllib.linalg import DenseMatrix, Vectors as MV
-        from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-        spark = vectors.sparkSession
-        rows = vectors.select(id_col, features).rdd.map(lambda r: IndexedRow(int(r[0]), MV.fromML(r[1])))
-        n, k = self.components.shape
-        mat = DenseMatrix(n, k, self.components.flatten(order="F").tolist())
-        prod = IndexedRowMatrix(rows).multiply(mat)
-        out_rows = prod.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist()))
-        df = spark.createDataFrame(out_rows, f"{id_col} long, _arr array<double>")
-        return df.select(id_col, array_to_vector("_arr").alias(out))
+        """X V as a dense ``out`` vector per row, from SparseVector rows."""
+        long = vectors.select(id_col, F.posexplode(vector_to_array(features)).alias("term_id", "weight")) \
+                      .where(F.col("weight") != 0)
+        return self.transform_long(long, id_col, out)
+
+    def transform_long(self, weights: DataFrame, id_col: str = "id", out: str = "svd",
+                       index_col: str = "term_id", value_col: str = "weight") -> DataFrame:
+        """X V from the long TF-IDF table (id, term_id, weight): each document's
+        entries are gathered (already clustered by id), then Arrow batches are
+        projected with one vectorised numpy product against the broadcast
+        components (vocabulary x k, bounded by ``max_features``)."""
+        spark = weights.sparkSession
+        comp = spark.sparkContext.broadcast(self.components)
+        k = self.components.shape[1]
+        grouped = weights.groupBy(id_col).agg(F.collect_list(index_col).alias("_i"),
+                                              F.collect_list(value_col).alias("_v"))
+
+        def project(batches):
+            import numpy as np
+            import pandas as pd
+            v_mat = comp.value
+            for pdf in batches:
+                lengths = pdf["_i"].map(len).to_numpy()
+                out_arr = np.zeros((len(pdf), k))
+                if lengths.sum():
+                    idx = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["_i"]])
+                    val = np.concatenate([np.asarray(a, dtype=np.float64) for a in pdf["_v"]])
+                    rows = np.repeat(np.arange(len(pdf)), lengths)
+                    np.add.at(out_arr, rows, v_mat[idx] * val[:, None])
+                yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "_arr": list(out_arr)})
+
+        projected = grouped.mapInPandas(project, f"{id_col} long, _arr array<double>")
+        return projected.select(id_col, array_to_vector("_arr").alias(out))
 
 
 def fit_svd(vectors: DataFrame, k: int, id_col: str = "id", features: str = "features") -> SvdModel:

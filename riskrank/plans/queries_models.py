@@ -99,7 +99,7 @@ def svd_components(spark, sf_dir):
     """H3: truncated SVD (k=10) of the training TF-IDF matrix, applied to every posting."""
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=10)
-    sv = art.svd.transform(T._text_vectors(df, art.tfidf, "job_id"), "id", "tfidf", "svd")
+    sv = art.svd.transform_long(art.tfidf.transform(df, "job_id", S.FULL_TEXT), "id", "svd")
     return sv.select(F.col("id").alias("job_id"), F.posexplode(vectors.vector_to_array("svd")).alias("i", "value"))
 
 

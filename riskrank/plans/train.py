@@ -54,7 +54,7 @@ def preprocess_apply(df: DataFrame, art: Artifacts, id_col: str = S.ID, label: s
     inputs = ["onehot"] + S.NUMERIC_FEATURES
     sizes = {"onehot": art.onehot.n_slots}
     if art.svd is not None:
-        sv = art.svd.transform(_text_vectors(df, art.tfidf, id_col), "id", "tfidf", "svd")
+        sv = art.svd.transform_long(art.tfidf.transform(df, id_col, S.FULL_TEXT), "id", "svd")
         # a posting with no vocabulary term has an all-zero TF-IDF row, so its
         # projection is the zero vector
         zero = array_to_vector(F.array_repeat(F.lit(0.0), art.svd_components))

@@ -87,3 +87,20 @@ def test_quota_sample_and_render(spark):
     txt = p.select(prompts.render_posting(30, fields).alias("t")).first().t
     full = "Title: T\nLocation: (missing)\nDepartment: (missing)\nHas company logo: 1"
     assert txt == full[:30]
+
+
+def test_svd_projection_matches_numpy(spark):
+    import numpy as np
+    from riskrank.operators.models import SvdModel, sparse_rows
+    rng = np.random.default_rng(0)
+    comp = rng.normal(size=(6, 3))
+    m = SvdModel(comp, np.ones(3))
+    long = spark.createDataFrame([(1, 0, 0.5), (1, 4, 2.0), (2, 5, -1.0), (3, 1, 1.0), (3, 1, 0.0)],
+                                 "id long, term_id int, weight double")
+    got = {r.id: r.svd.toArray() for r in m.transform_long(long).collect()}
+    assert np.allclose(got[1], 0.5 * comp[0] + 2.0 * comp[4])
+    assert np.allclose(got[2], -comp[5])
+    assert np.allclose(got[3], comp[1])
+    vec = sparse_rows(long.where("weight != 0"), 6, "id", "term_id", "weight", "f")
+    got2 = {r.id: r.svd.toArray() for r in m.transform(vec, "id", "f").collect()}
+    assert all(np.allclose(got[i], got2[i]) for i in got)
