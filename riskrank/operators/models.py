@@ -6,9 +6,10 @@
   intercept), no standardisation;
 * boosted trees: ``GBTClassifier`` with the reference's learning rate, row and
   column sampling, leaf size and a positive-class weight (depth-wise trees);
-* truncated SVD: MLlib's distributed ``IndexedRowMatrix.computeSVD`` (no centring),
-  components sign-fixed so each one's largest entry is positive; projection
-  ``X V`` is a distributed multiply with the broadcast component matrix.
+* truncated SVD: randomised range finder, one pass over X per power iteration
+  (no centring), components sign-fixed so each one's largest entry is positive;
+  projection ``X V`` is a vectorised ``mapInPandas`` against the broadcast
+  component matrix.
 
 Every score table keeps the row id; nothing is aligned by position.
 """
@@ -164,19 +165,103 @@ class SvdModel:
         return projected.select(id_col, array_to_vector("_arr").alias(out))
 
 
-def fit_svd(vectors: DataFrame, k: int, id_col: str = "id", features: str = "features") -> SvdModel:
+def _gram_and_xty(grouped: DataFrame, m_bc, n_terms: int, width: int, id_col: str):
+    """One pass over X (rows: index list, value list): with Y = X M, return
+    G = Y^T Y (width x width) and Z = X^T Y (n_terms x width). Each batch adds its
+    Gram and the rows of Z for the terms it touches; Spark sums them per term (at
+    most one partial per task and term), and the driver receives model-sized
+    matrices only."""
+    def partials(batches):
+        import numpy as np
+        import pandas as pd
+        m_mat = m_bc.value
+        gram = np.zeros((width, width))
+        z = {}
+        for pdf in batches:
+            lengths = pdf["_i"].map(len).to_numpy()
+            if not lengths.sum():
+                continue
+            idx = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["_i"]])
+            val = np.concatenate([np.asarray(a, dtype=np.float64) for a in pdf["_v"]])
+            rows = np.repeat(np.arange(len(pdf)), lengths)
+            y = np.zeros((len(pdf), width))
+            np.add.at(y, rows, m_mat[idx] * val[:, None])
+            gram += y.T @ y
+            contrib = val[:, None] * y[rows]
+            terms, inv = np.unique(idx, return_inverse=True)
+            summed = np.zeros((len(terms), width))
+            np.add.at(summed, inv, contrib)
+            for t, vec in zip(terms.tolist(), summed):
+                z[t] = z[t] + vec if t in z else vec
+        out_ids = [-1] + list(z.keys())
+        out_vals = [gram.ravel()] + list(z.values())
+        yield pd.DataFrame({"term_id": out_ids, "arr": out_vals})
+
+    parts = grouped.mapInPandas(partials, "term_id long, arr array<double>")
+    zero = F.array_repeat(F.lit(0.0), F.size(F.first("arr")))
+    summed = parts.groupBy("term_id").agg(
+        F.aggregate(F.collect_list("arr"), zero,
+                    lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("arr"))
+    gram = np.zeros((width, width))
+    z_mat = np.zeros((n_terms, width))
+    for r in summed.toLocalIterator():
+        if r["term_id"] < 0:
+            gram = np.asarray(r["arr"]).reshape(width, width)
+        else:
+            z_mat[r["term_id"]] = r["arr"]
+    return gram, z_mat
+
+
+def fit_svd(weights: DataFrame, n_terms: int, k: int, n_oversamples: int = 10, n_iter: int = 5,
+            seed: int = 42, id_col: str = "id", index_col: str = "term_id",
+            value_col: str = "weight") -> SvdModel:
+    """Randomised truncated SVD (no centring) of the long matrix (id, index, value).
+
+    Range finder with ``n_iter`` power iterations and ``k + n_oversamples`` columns.
+    Every iteration is one pass over X (``_gram_and_xty``); the driver only
+    orthonormalises the n_terms x width matrix. The final pass gives G = Y^T Y and
+    Z = X^T Y, so Q = Y G^(-1/2) and B = Q^T X = G^(-1/2) Z^T without another pass;
+    the small B is decomposed on the driver. Signs: each component's largest entry
+    is positive."""
+    from pyspark import StorageLevel
+    sc = weights.sparkSession.sparkContext
+    width = min(k + n_oversamples, n_terms)
+    grouped = weights.groupBy(id_col).agg(F.collect_list(index_col).alias("_i"),
+                                          F.collect_list(value_col).alias("_v")) \
+                     .persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
+    rng = np.random.default_rng(seed)
+    m_mat = rng.standard_normal((n_terms, width))
+    for it in range(n_iter + 1):
+        m_bc = sc.broadcast(m_mat)
+        gram, z_mat = _gram_and_xty(grouped, m_bc, n_terms, width, id_col)
+        m_bc.unpersist()
+        if it < n_iter:
+            m_mat, _ = np.linalg.qr(z_mat)
+    grouped.unpersist()
+    evals, w = np.linalg.eigh(gram)
+    keep = evals > max(evals.max(), 0.0) * 1e-12
+    t = w[:, keep] / np.sqrt(evals[keep])
+    b = t.T @ z_mat.T
+    _, s, vt = np.linalg.svd(b, full_matrices=False)
+    v = vt[:k].T
+    signs = np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(v.shape[1])])
+    signs[signs == 0] = 1.0
+    return SvdModel(v * signs, s[:k])
+
+
+def fit_svd_arpack(vectors: DataFrame, k: int, id_col: str = "id", features: str = "features") -> SvdModel:
+    """MLlib's ARPACK SVD (one distributed pass per Lanczos step); kept for comparison."""
+    from pyspark import StorageLevel
     from pyspark.mllib.linalg import Vectors as MV
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-    from pyspark import StorageLevel
     rows = vectors.select(id_col, features).rdd.map(lambda r: IndexedRow(int(r[0]), MV.fromML(r[1])))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every ARPACK step multiplies by X
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     svd = IndexedRowMatrix(rows).computeSVD(k, computeU=False)
     rows.unpersist()
     v = svd.V.toArray()
-    s = svd.s.toArray()
     signs = np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(v.shape[1])])
     signs[signs == 0] = 1.0
-    return SvdModel(v * signs, s)
+    return SvdModel(v * signs, svd.s.toArray())
 
 
 def assemble(df: DataFrame, inputs, out: str = "features", sizes: dict | None = None) -> DataFrame:

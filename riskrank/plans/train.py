@@ -33,8 +33,8 @@ def preprocess_fit(train: DataFrame, svd_components: int = 200, scale_numeric: b
     vec = tfidf.fit(train, id_col, S.FULL_TEXT, tfidf_params)
     svd = None
     if svd_components:
-        tv = _text_vectors(train, vec, id_col)
-        svd = models.fit_svd(tv, min(svd_components, max(vec.vocab_size - 1, 1)), "id", "tfidf")
+        weights = vec.transform(train, id_col, S.FULL_TEXT)
+        svd = models.fit_svd(weights, vec.vocab_size, min(svd_components, max(vec.vocab_size - 1, 1)))
         svd_components = svd.components.shape[1]
     onehot = encode.fit_onehot(train, S.CATEGORICAL_FEATURES, min_frequency=10)
     scaler = encode.fit_scaler(train, S.NUMERIC_FEATURES) if scale_numeric else None

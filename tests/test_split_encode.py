@@ -104,3 +104,22 @@ def test_svd_projection_matches_numpy(spark):
     vec = sparse_rows(long.where("weight != 0"), 6, "id", "term_id", "weight", "f")
     got2 = {r.id: r.svd.toArray() for r in m.transform(vec, "id", "f").collect()}
     assert all(np.allclose(got[i], got2[i]) for i in got)
+
+
+def test_randomized_svd_matches_numpy(spark):
+    import numpy as np
+    from riskrank.operators.models import fit_svd
+    rng = np.random.default_rng(1)
+    x = rng.random((60, 25)) * (rng.random((60, 25)) < 0.3)
+    x[:, 3] += 2.0 * x[:, 7]  # a dominant direction
+    rows = [(i, j, float(x[i, j])) for i in range(60) for j in range(25) if x[i, j] != 0]
+    long = spark.createDataFrame(rows, "id long, term_id int, weight double")
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    v = vt[:5].T
+    v = v * np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(5)])
+    exact = fit_svd(long, 25, 5, n_oversamples=20, n_iter=2)  # sketch spans every term
+    assert np.allclose(exact.singular_values, s[:5], rtol=1e-9)
+    assert np.allclose(exact.components, v, atol=1e-8)
+    approx = fit_svd(long, 25, 5, n_oversamples=10, n_iter=5)  # default oversampling
+    assert np.allclose(approx.singular_values, s[:5], rtol=1e-3)
+    assert abs(approx.singular_values[0] - s[0]) < 1e-9
