@@ -165,6 +165,9 @@ class SvdModel:
         return projected.select(id_col, array_to_vector("_arr").alias(out))
 
 
+MAX_SKETCH_CELLS = 200_000_000  # 1.6 GB of doubles per broadcast matrix
+
+
 def _gram_and_xty(grouped: DataFrame, m_bc, n_terms: int, width: int, id_col: str):
     """One pass over X (rows: index list, value list): with Y = X M, return
     G = Y^T Y (width x width) and Z = X^T Y (n_terms x width). Each batch adds its
@@ -226,6 +229,9 @@ def fit_svd(weights: DataFrame, n_terms: int, k: int, n_oversamples: int = 10, n
     from pyspark import StorageLevel
     sc = weights.sparkSession.sparkContext
     width = min(k + n_oversamples, n_terms)
+    if n_terms * width > MAX_SKETCH_CELLS:  # the sketch and components are broadcast
+        raise ValueError(f"{n_terms} terms x {width} columns is too large to broadcast; "
+                         "bound the vocabulary (max_features) or lower k")
     grouped = weights.groupBy(id_col).agg(F.collect_list(index_col).alias("_i"),
                                           F.collect_list(value_col).alias("_v")) \
                      .persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
