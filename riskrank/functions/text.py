@@ -125,11 +125,6 @@ def strip_accents(c) -> Column:
     return F.coalesce(_strip_accents(F.when(c.rlike(r"[^\x{00}-\x{7F}]"), c)), c)
 
 
-def normalise_for_terms(c) -> Column:
-    """Lower-case then strip accents (the order of the reference's vectoriser)."""
-    return strip_accents(F.lower(F.coalesce(_col(c), F.lit(""))))
-
-
 def word_tokens(c) -> Column:
     """Runs of two or more word characters (the default token rule)."""
     return F.regexp_extract_all(_col(c), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))

@@ -82,7 +82,7 @@ def roc_curve(curve: DataFrame, group_cols=()) -> DataFrame:
     return pts.unionByName(origin)
 
 
-def _ap(curve_cols=None) -> Column:
+def _ap() -> Column:
     return F.coalesce(F.sum(F.try_divide(F.col("pos").cast("double"), F.col("P")) * F.col("precision")),
                       F.lit(0.0))
 

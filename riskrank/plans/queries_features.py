@@ -12,11 +12,6 @@ from ..sources.testviews import featured_postings, raw_postings
 from . import oracle as O
 from .catalog import register
 
-_TXT = S.TEXT_COLUMNS
-
-
-def _sel(cols):
-    return ", ".join(cols)
 
 
 # -- B1: HTML pages -> text ---------------------------------------------------
@@ -28,9 +23,6 @@ def clean_pages(spark, sf_dir):
 
 
 # -- B2/B3: cleaned postings ----------------------------------------------------
-_CLEAN_COLS = ["job_id"] + _TXT + ["location"] + S.CATEGORICAL_COLUMNS
-
-
 @register("category_normalise", O.with_postings(
     "SELECT job_id, " + ", ".join(O.qi(c) for c in S.CATEGORICAL_COLUMNS) + " FROM clean_postings"))
 def category_normalise(spark, sf_dir):
