@@ -77,3 +77,61 @@ def tfidf_logreg_scores(train: DataFrame, others: DataFrame, C: float = 1.0, max
         .join(others.select(id_col, "split", S.TARGET), id_col)
     return models.positive_proba(model.transform(ov)).select(
         id_col, "split", F.col(S.TARGET).cast("int").alias("y_true"), "y_proba")
+
+
+def save_artifacts(art: Artifacts, path: str) -> str:
+    """Write the fitted bundle as Parquet tables plus one small JSON of scalars."""
+    import dataclasses
+    import json
+    import os
+
+    import numpy as np
+    spark = art.names.sparkSession
+    art.tfidf.vocabulary.write.mode("overwrite").parquet(os.path.join(path, "vocabulary"))
+    art.onehot.mapping.write.mode("overwrite").parquet(os.path.join(path, "onehot_mapping"))
+    art.onehot.widths.write.mode("overwrite").parquet(os.path.join(path, "onehot_widths"))
+    art.onehot.slots.write.mode("overwrite").parquet(os.path.join(path, "onehot_slots"))
+    art.names.write.mode("overwrite").parquet(os.path.join(path, "feature_names"))
+    if art.scaler is not None:
+        art.scaler.stats.write.mode("overwrite").parquet(os.path.join(path, "scaler"))
+    if art.svd is not None:
+        comp = art.svd.components
+        spark.createDataFrame([(i, comp[i].tolist()) for i in range(comp.shape[0])],
+                              "term_id long, v array<double>") \
+             .write.mode("overwrite").parquet(os.path.join(path, "svd_components"))
+    meta = {"n_docs": art.tfidf.n_docs, "vocab_size": art.tfidf.vocab_size,
+            "tfidf_params": dataclasses.asdict(art.tfidf.params),
+            "onehot_columns": art.onehot.columns, "n_slots": art.onehot.n_slots,
+            "n_categories": art.onehot.n_categories, "svd_components": art.svd_components,
+            "singular_values": None if art.svd is None else np.asarray(art.svd.singular_values).tolist(),
+            "has_scaler": art.scaler is not None}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
+         .write.mode("overwrite").text(os.path.join(path, "meta"))
+    return path
+
+
+def load_artifacts(spark, path: str) -> Artifacts:
+    import json
+    import os
+
+    import numpy as np
+    meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
+    p = meta["tfidf_params"]
+    params = tfidf.TfidfParams(**{**p, "ngram_range": tuple(p["ngram_range"]),
+                                  "stop_words": None if p["stop_words"] is None else tuple(p["stop_words"])})
+    vec = tfidf.TfidfModel(spark.read.parquet(os.path.join(path, "vocabulary")), meta["n_docs"], params,
+                           meta["vocab_size"])
+    onehot = encode.OneHotModel(meta["onehot_columns"], spark.read.parquet(os.path.join(path, "onehot_slots")),
+                                spark.read.parquet(os.path.join(path, "onehot_mapping")),
+                                spark.read.parquet(os.path.join(path, "onehot_widths")),
+                                meta["n_slots"], meta["n_categories"])
+    scaler = None
+    if meta["has_scaler"]:
+        stats = spark.read.parquet(os.path.join(path, "scaler"))
+        scaler = encode.ScalerModel(stats, {r["feature"]: (r["mean"], r["scale"]) for r in stats.collect()})
+    svd = None
+    if meta["singular_values"] is not None:
+        rows = sorted(spark.read.parquet(os.path.join(path, "svd_components")).collect(), key=lambda r: r[0])
+        svd = models.SvdModel(np.array([r["v"] for r in rows]), np.array(meta["singular_values"]))
+    return Artifacts(vec, svd, onehot, scaler, spark.read.parquet(os.path.join(path, "feature_names")),
+                     meta["svd_components"])

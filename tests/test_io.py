@@ -59,3 +59,17 @@ def test_scores_scan_and_cache(spark):
     more = spark.createDataFrame([(1,), (2,), (3,)], "job_id long")
     got = io.encode_cached(spark, cache, more, enc)
     assert calls == [2, 1] and got.count() == 3
+
+
+def test_artifacts_round_trip(spark):
+    import numpy as np
+    from riskrank.plans import train as T
+    from riskrank.sources.testviews import featured_postings
+    d = tempfile.mkdtemp(prefix="riskrank-art-")
+    f = featured_postings(spark, "/root/testdata/sf0.001")
+    art = T.preprocess_fit(f, svd_components=3)
+    T.save_artifacts(art, d)
+    back = T.load_artifacts(spark, d)
+    a = {r.job_id: r.features.toArray() for r in T.preprocess_apply(f, art).collect()}
+    b = {r.job_id: r.features.toArray() for r in T.preprocess_apply(f, back).collect()}
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
