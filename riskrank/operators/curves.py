@@ -47,7 +47,7 @@ def curve_table(scores: DataFrame, group_cols=(), score: str = "y_proba", label:
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     big_p, big_n = F.col("tot_pos"), F.col("tot_neg")
     return rt.select(
-        *group_cols, "threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"),
+        *group_cols, "_bucket", "threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"),
         big_p.alias("P"), big_n.alias("N"),
         _div0(tp, tp + fp).alias("precision"),
         F.when(big_p == 0, F.lit(1.0)).otherwise(tp / big_p).alias("recall"),
@@ -70,8 +70,30 @@ def pr_curve(curve: DataFrame, group_cols=()) -> DataFrame:
     return pts.unionByName(ends)
 
 
-def roc_curve(curve: DataFrame, group_cols=()) -> DataFrame:
-    """All distinct thresholds plus the origin (threshold +inf)."""
+def _keep_corners(curve: DataFrame, group_cols) -> DataFrame:
+    """Rows of the curve that are not collinear with both neighbours: a point is
+    dropped when the next lower threshold adds the same (pos, neg) as it did. The
+    next row comes from ``lead`` inside each (group, range bucket) and, for a
+    bucket's last row, from the first row of the next bucket (a per-bucket table)."""
+    from pyspark.sql import Window
+    part = list(group_cols) + ["_bucket"]
+    inside = Window.partitionBy(*part).orderBy(F.desc("threshold"))
+    firsts = curve.groupBy(*part).agg(F.max_by(F.struct("pos", "neg"), F.col("threshold")).alias("_f"))
+    nxt = Window.partitionBy(*group_cols).orderBy("_bucket") if group_cols else Window.orderBy("_bucket")
+    firsts = firsts.select(*part, F.lead("_f").over(nxt).alias("_next_first"))  # buckets rows
+    c = curve.withColumn("_next", F.lead(F.struct("pos", "neg")).over(inside)) \
+             .join(firsts, part, "left")
+    nxt_row = F.coalesce(F.col("_next"), F.col("_next_first"))
+    first_row = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
+    keep = first_row | nxt_row.isNull() | (nxt_row["pos"] != F.col("pos")) | (nxt_row["neg"] != F.col("neg"))
+    return c.where(keep).drop("_next", "_next_first")
+
+
+def roc_curve(curve: DataFrame, group_cols=(), drop_intermediate: bool = False) -> DataFrame:
+    """Distinct thresholds plus the origin (threshold +inf); with
+    ``drop_intermediate`` only the corners are kept (the reference's plot default)."""
+    if drop_intermediate:
+        curve = _keep_corners(curve, group_cols)
     pts = curve.select(*group_cols, "threshold", "fpr", "tpr")
     if group_cols:
         origin = curve.select(*group_cols).distinct()

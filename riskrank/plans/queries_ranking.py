@@ -284,3 +284,15 @@ def review_queue(spark, sf_dir):
     """The 20 highest-risk postings first (a top-k report, TakeOrdered)."""
     s = _length_scores(spark, sf_dir)
     return s.orderBy(F.desc("y_proba"), F.asc("job_id")).limit(20).select("job_id", "y_proba")
+
+
+
+@register("roc_corners", _ws("""
+SELECT model, threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM (
+  SELECT *, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, lag(pos) OVER w AS pp FROM curve
+  WINDOW w AS (PARTITION BY model ORDER BY threshold DESC))
+WHERE pp IS NULL OR np IS NULL OR np <> pos OR nn <> neg
+UNION ALL SELECT DISTINCT model, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM curve"""))
+def roc_corners(spark, sf_dir):
+    """F4 with intermediate (collinear) points dropped, as the reference's ROC plot."""
+    return curves.roc_curve(_curve(spark, sf_dir), G, drop_intermediate=True)

@@ -92,3 +92,19 @@ def test_exact_quantiles_skewed_group(spark):
     for g, arr in (("hot", hot.astype(float)), ("cold", cold)):
         for p in (0.25, 0.5, 0.9):
             assert got[(g, p)] == pytest.approx(float(np.quantile(arr, p)), abs=1e-9)
+
+
+def test_roc_corners_across_buckets(spark):
+    import random
+    rnd = random.Random(11)
+    pairs = [(round(rnd.random(), 1), int(rnd.random() < 0.3)) for _ in range(400)]
+    pairs += [(0.05 * k, 0) for k in range(20)]  # runs of pure negatives -> collinear points
+    s = _scores(spark, pairs)
+    got = sorted(r.threshold for r in curves.roc_curve(curves.curve_table(s, buckets=6),
+                                                       drop_intermediate=True).collect())
+    thr = sorted({sc for sc, _ in pairs}, reverse=True)
+    pos = [sum(1 for sc, y in pairs if sc == t and y == 1) for t in thr]
+    neg = [sum(1 for sc, y in pairs if sc == t and y != 1) for t in thr]
+    keep = [t for i, t in enumerate(thr)
+            if i == 0 or i == len(thr) - 1 or pos[i + 1] != pos[i] or neg[i + 1] != neg[i]]
+    assert got == sorted(keep + [float("inf")])
