@@ -131,8 +131,33 @@ def split_sizes(spark, sf_dir):
     return s.groupBy("split", "fraudulent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("processed_dataset")
+def _processed_sql():
+    from .. import schema as S
+    raw_cols = [c for c in S.RAW_COLUMNS if c != "job_id"]
+    dedup = ("raw_dedup AS (SELECT min(job_id) AS job_id, " + ", ".join(O.qi(c) for c in raw_cols)
+             + " FROM raw_postings GROUP BY " + ", ".join(O.qi(c) for c in raw_cols) + ")")
+    ctes = O.POSTING_CTES.replace("FROM raw_postings)", "FROM raw_dedup)", 1)
+    ctes = ctes.replace("FROM documents d JOIN labels l ON d.doc_id = l.doc_id),",
+                        "FROM documents d JOIN labels l ON d.doc_id = l.doc_id),\n" + dedup + ",", 1)
+    doubles = {"caps_ratio", "digit_ratio", "salary_low", "salary_high", "salary_span"}
+    ints = set(S.MISSING_FEATURES) | set(S.BINARY_COLUMNS) | {"has_email", "has_url", "has_phone",
+                                                               "has_money", "fraudulent"}
+    feat_cols = (S.RAW_COLUMNS + [S.FULL_TEXT] + S.MISSING_FEATURES + S.LENGTH_FEATURES + S.PATTERN_FEATURES
+                 + ["country"] + S.LOCATION_FEATURES + S.SALARY_FEATURES)
+    sel = []
+    for c in dict.fromkeys(feat_cols):
+        if c in doubles:
+            sel.append(f"round(f.{c}, 6) AS {c}")
+        elif c in ints:
+            sel.append(f"CAST(f.{c} AS BIGINT) AS {c}")
+        else:
+            sel.append(f"f.{O.qi(c)} AS {O.qi(c)}")
+    return ("WITH " + ctes + ",\n" + O.split_ctes("featured") + "\nSELECT " + ", ".join(sel)
+            + ", a.split FROM featured f JOIN assigned a USING (job_id)")
+
+
+@register("processed_dataset", _processed_sql())
 def processed_dataset(spark, sf_dir):
-    """A5: dedupe -> clean -> features -> split over the raw posting view (51+ columns)."""
+    """A5: dedupe -> clean -> features -> split over the raw posting view (SQL-replayable key)."""
     from .dataset import processed
-    return processed(raw_postings(spark, sf_dir))
+    return processed(raw_postings(spark, sf_dir), key="arith")
