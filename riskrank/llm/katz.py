@@ -16,6 +16,8 @@ within a block of documents, not tokens:
    partition adds up counts over all blocks, and per context the total, the successors seen
    1 .. ``MAX_DISCOUNTED`` times and the lower-order mass of all seen ones. It answers with
    those numbers for the n-grams that the block asked for.
+   Successor numbers and mass are answered only for contexts that may back off in the block
+   (one of its n-grams is not in the block's training texts) or have no successor seen once.
 3. Blocks join the answers and evaluate each token recursively: discounted count, or backoff
    weight times the lower order.
 
@@ -44,12 +46,14 @@ BLOCK_TOKENS = 2_000_000
 PART_TOKENS = 1_500_000
 END = b"\n"  # no word
 START = np.uint64(0x5851F42D4C957F2D)
+NO_LONG, NO_INT, NO_SHORT = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int16)
 
 BLOCK = ("block long, n_tokens long, docs array<long>, sizes array<int>, train array<boolean>, vocab array<long>, "
          "ids array<int>")
 ASK = ("part long, block long, keys array<long>, counts array<int>, ctxs array<long>, runs array<int>, n_cold long, "
-       "pvals array<double>, pcodes array<int>")
-REPLY = "kind string, block long, part long, keys array<long>, counts array<long>, seen array<int>, mass array<double>"
+       "needs array<boolean>, pvals array<double>, pcodes array<short>, pwide array<int>")
+REPLY = ("kind string, block long, part long, keys array<long>, counts array<int>, totals array<long>, at array<int>, "
+         "seen array<int>, mass array<double>")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -119,7 +123,7 @@ class Block:
     def __init__(self, row: pa.Table, model: Model):
         one = lambda name: np.asarray(row[name].combine_chunks().flatten())
         self.model, self.number = model, row["block"][0].as_py()
-        self.vocab, self.ids = one("vocab").view("u8"), one("ids").astype(np.int64)
+        self.vocab, self.ids = one("vocab").view("u8"), one("ids")
         self.sizes, self.train = one("sizes"), np.asarray(row["train"].combine_chunks().flatten())
         self.docs = row["docs"].combine_chunks().flatten()
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
@@ -129,15 +133,20 @@ class Block:
 
     def _next_level(self):
         """Number the n-grams of the next order: context (an n-gram of this order) and word."""
-        before = np.empty_like(self.gram)
-        before[1:] = self.gram[:-1]
-        before[self.starts] = -1
-        code, first, self.gram = np.unique((before + 1) * len(self.vocab) + self.ids, return_index=True, return_inverse=True)
+        code = np.empty(len(self.ids), np.int64)
+        code[1:] = self.gram[:-1]
+        code[self.starts] = -1
+        code += 1
+        code *= len(self.vocab)
+        code += self.ids
+        code, first, gram = np.unique(code, return_index=True, return_inverse=True)
+        self.lower = self.p[self.gram[first]]
+        self.gram = gram.astype(np.int32)
+        del gram
         ctx = code // len(self.vocab) - 1
         word = self.vocab[code % len(self.vocab)]
         self.ctx = np.where(ctx >= 0, self.keys[ctx], START)
         often = np.where(ctx >= 0, self.counts[ctx], self.model.docs)
-        self.lower = self.p[first]
         self.keys = _mix(self.ctx * np.uint64(0x2545F4914F6CDD1D) ^ word)
         self.level += 1
         hot = often > self.model.spread_over()
@@ -149,6 +158,7 @@ class Block:
         new = np.ones(len(ctx), bool)  # where the context runs start
         new[1:] = (ctx[1:] != ctx[:-1]) | (self.part[1:] != self.part[:-1])
         self.run_starts = np.flatnonzero(new)
+        self.needs = np.maximum.reduceat(self.local[self.order] == 0, self.run_starts)
 
     def _level_one(self):
         part = (_mix(self.keys) % np.uint64(self.model.parts)).astype(np.int64)
@@ -161,19 +171,22 @@ class Block:
             self._level_one()
         else:
             self._next_level()
-        none_l, none_i, none_d = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
         for part in np.unique(self.part).tolist():
             a, b = np.searchsorted(self.part, [part, part + 1])
             at = self.order[a:b]
             row = {"part": part, "block": self.number, "keys": self.keys[at].view("i8"),
                    "counts": self.local[at].astype(np.int32)}
             if order == 1:
-                row |= {"ctxs": none_l, "runs": none_i, "n_cold": 0, "pvals": none_d, "pcodes": none_i}
+                row |= {"ctxs": NO_LONG, "runs": NO_INT, "n_cold": 0, "needs": np.zeros(0, bool), "pvals": np.zeros(0),
+                        "pcodes": NO_SHORT, "pwide": NO_INT}
             else:
-                r = self.run_starts[(self.run_starts >= a) & (self.run_starts < b)]
+                runs = slice(*np.searchsorted(self.run_starts, [a, b]))
+                r = self.run_starts[runs]
                 values, codes = np.unique(self.lower[at], return_inverse=True)
+                wide = len(values) > 1 << 15
                 row |= {"ctxs": self.ctx[self.order[r]].view("i8"), "runs": np.diff(np.append(r, b)).astype(np.int32),
-                        "n_cold": int((~self.hot[r]).sum()), "pvals": values, "pcodes": codes.astype(np.int32)}
+                        "n_cold": int((~self.hot[r]).sum()), "needs": self.needs[runs], "pvals": values,
+                        "pcodes": NO_SHORT if wide else codes.astype(np.int16), "pwide": codes.astype(np.int32) if wide else NO_INT}
             yield row
 
     def absorb(self, order: int, replies: pa.Table):
@@ -189,27 +202,29 @@ class Block:
         if order == 1:
             self.counts[self.order] = flat("counts")
             c, unseen = self.counts, 1 - self.model.seen_mass
-            self.p = np.where(c > 0, d.factor(c) * c / self.model.unigram_total, unseen)[self.ids]
+            self.p = np.where(c > 0, d.factor(c) * c / self.model.unigram_total, unseen)
             return
         sizes = np.diff(np.append(self.run_starts, len(self.order)))
-        self.counts[self.order] = flat("keys")
-        total, seen, mass = flat("counts"), flat("seen").reshape(-1, MAX_DISCOUNTED).astype(np.int64), flat("mass")
+        self.counts[self.order] = flat("counts")
+        total = flat("totals").copy()
+        seen, mass = np.zeros((len(total), MAX_DISCOUNTED), np.int64), np.zeros(len(total))
+        full = np.zeros(len(total), bool)
+        lengths = [np.asarray(pa.compute.list_value_length(replies[n].combine_chunks())) for n in ("totals", "at")]
+        at = flat("at") + np.repeat(np.cumsum(lengths[0]) - lengths[0], lengths[1])
+        full[at], seen[at], mass[at] = True, flat("seen").reshape(-1, MAX_DISCOUNTED), flat("mass")
         keys, hot_total, hot_seen, hot_mass = self.model.hot[order - 1]
         hot = np.flatnonzero(self.hot[self.run_starts])
         if len(hot):
             at = np.searchsorted(keys, self.ctx[self.order[self.run_starts[hot]]])
-            total, mass = total.copy(), mass.copy()
-            total[hot], seen[hot], mass[hot] = hot_total[at], hot_seen[at], hot_mass[at]
+            full[hot], total[hot], seen[hot], mass[hot] = True, hot_total[at], hot_seen[at], hot_mass[at]
         left = total - d.kept(total, seen)
-        bare = left <= 1e-9 * total  # no successor is discounted: one count more, for the unseen
+        bare = full & (left <= 1e-9 * total)  # no successor is discounted: one count more, for the unseen
         whole = np.where(bare, total + 1.0, total)
         back = np.where(bare, 1.0, left) / np.maximum(whole, 1) / np.maximum(1 - mass, 1e-300)
         whole, back, known = (np.repeat(v, sizes) for v in (whole, back, total > 0))
         c, lower = self.counts[self.order], self.lower[self.order]
-        p = np.where(c > 0, d.factor(c) * c / np.maximum(whole, 1), np.where(known, back * lower, lower))
-        per_gram = np.empty(len(p))
-        per_gram[self.order] = p
-        self.p = per_gram[self.gram]
+        self.p = np.empty(len(c))
+        self.p[self.order] = np.where(c > 0, d.factor(c) * c / np.maximum(whole, 1), np.where(known, back * lower, lower))
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -221,34 +236,38 @@ def _count(table: pa.Table) -> pa.Table:
     unique, first, of = np.unique(keys, return_index=True, return_inverse=True)
     c = np.bincount(of, weights=counts, minlength=len(unique)).astype(np.int64)
     tallies = np.array([*(int((c == r).sum()) for r in range(1, MAX_DISCOUNTED + 2)), int((c > 0).sum()), int(c.sum())])
-    none_l, none_i, none_d = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
-    out = [_row(kind="tally", block=-1, part=0, keys=tallies, counts=none_l, seen=none_i, mass=none_d)]
+    nothing = {"keys": NO_LONG, "counts": NO_INT, "totals": NO_LONG, "at": NO_INT, "seen": NO_INT, "mass": np.zeros(0)}
+    row = lambda kind, block, part, **v: _row(**({"kind": kind, "block": block, "part": part} | nothing | v))
+    out = [row("tally", -1, 0, keys=tallies)]
     blocks, parts = table["block"].to_pylist(), table["part"].to_pylist()
     key_ends, ctx_ends = np.cumsum(n_keys), np.cumsum(n_ctxs)
+    answers = [c[of[e - n:e]].astype(np.int32) for e, n in zip(key_ends, n_keys)]
     if not n_ctxs.sum():
-        for i, block in enumerate(blocks):
-            mine = c[of[key_ends[i] - n_keys[i]:key_ends[i]]]
-            out.append(_row(kind="reply", block=block, part=parts[i], keys=none_l, counts=mine, seen=none_i, mass=none_d))
-        return pa.Table.from_batches(out)
-    ctxs = flat("ctxs")
+        return pa.Table.from_batches(out + [row("reply", *to, counts=mine) for *to, mine in zip(blocks, parts, answers)])
+    ctxs, needs = flat("ctxs"), flat("needs")
     ctx = np.repeat(ctxs, flat("runs"))[first]
-    offsets = np.repeat(np.cumsum(n_vals) - n_vals, n_keys)
-    lower = flat("pvals")[flat("pcodes") + offsets][first]
+    narrow, codes = size("pcodes"), np.empty(len(keys), np.int64)
+    is_narrow = np.repeat(narrow > 0, n_keys)
+    codes[is_narrow], codes[~is_narrow] = flat("pcodes"), flat("pwide")
+    codes += np.repeat(np.cumsum(n_vals) - n_vals, n_keys)
+    lower = flat("pvals")[codes[first]]
     known, of_ctx = np.unique(ctx, return_inverse=True)
     total = np.bincount(of_ctx, weights=c, minlength=len(known)).astype(np.int64)
     seen = np.stack([np.bincount(of_ctx[c == r], minlength=len(known)) for r in range(1, MAX_DISCOUNTED + 1)], axis=1).astype(np.int32)
     mass = np.bincount(of_ctx, weights=np.where(c > 0, lower, 0.0), minlength=len(known))
+    bare = seen[:, 0] == 0  # without a successor seen once, none may be discounted
     hot = []
     for i, block in enumerate(blocks):
-        mine = ctxs[ctx_ends[i] - n_ctxs[i]:ctx_ends[i]]
-        hot.append(mine[table["n_cold"][i].as_py():])
-        at = np.searchsorted(known, mine)
-        out.append(_row(kind="reply", block=block, part=parts[i], keys=c[of[key_ends[i] - n_keys[i]:key_ends[i]]],
-                        counts=total[at], seen=seen[at].ravel(), mass=mass[at]))
+        mine = slice(ctx_ends[i] - n_ctxs[i], ctx_ends[i])
+        hot.append(ctxs[mine][table["n_cold"][i].as_py():])
+        which = np.searchsorted(known, ctxs[mine])
+        at = np.flatnonzero(needs[mine] | bare[which])
+        out.append(row("reply", block, parts[i], counts=answers[i], totals=total[which], at=at.astype(np.int32),
+                       seen=seen[which[at]].ravel(), mass=mass[which[at]]))
     hot = np.unique(np.concatenate(hot))
     if len(hot):
         at = np.searchsorted(known, hot)
-        out.append(_row(kind="hot", block=-1, part=parts[0], keys=hot, counts=total[at], seen=seen[at].ravel(), mass=mass[at]))
+        out.append(row("hot", -1, parts[0], keys=hot, totals=total[at], seen=seen[at].ravel(), mass=mass[at]))
     return pa.Table.from_batches(out)
 
 
@@ -294,7 +313,7 @@ def token_blocks(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
 def _replies(tables: list[DataFrame]) -> DataFrame:
     out = None
     for order, t in enumerate(tables, 1):
-        rows = t.where("kind = 'reply'").select("block", F.lit(order).alias("level"), "part", "keys", "counts", "seen", "mass")
+        rows = t.where("kind = 'reply'").select("block", F.lit(order).alias("level"), "part", "counts", "totals", "at", "seen", "mass")
         out = rows if out is None else out.unionAll(rows)
     return out
 
@@ -344,9 +363,9 @@ def count_tables(blocks: DataFrame, model: Model, order: int) -> list[DataFrame]
 
 def _hot_contexts(answered: DataFrame) -> tuple:
     """Sums of the spread contexts; a row each, no more than there are partitions."""
-    parts = answered.where("kind = 'hot'").select(F.posexplode("keys").alias("pos", "key"), "counts", "seen", "mass")
+    parts = answered.where("kind = 'hot'").select(F.posexplode("keys").alias("pos", "key"), "totals", "seen", "mass")
     k = MAX_DISCOUNTED
-    one = parts.select("key", F.get("counts", F.col("pos")).alias("total"), F.get("mass", F.col("pos")).alias("mass"),
+    one = parts.select("key", F.get("totals", F.col("pos")).alias("total"), F.get("mass", F.col("pos")).alias("mass"),
                        *[F.get("seen", F.col("pos") * k + r).alias(f"s{r}") for r in range(k)])
     rows = one.groupBy("key").agg(F.sum("total").alias("total"), F.sum("mass").alias("mass"),
                                   *[F.sum(f"s{r}").alias(f"s{r}") for r in range(k)]).toArrow()
@@ -386,7 +405,7 @@ def lm_scores(docs: DataFrame, train: Column, order: int = ORDER, id_col: str =
             n = len(block.sizes)
             out.append(pa.RecordBatch.from_arrays(
                 [block.docs, pa.array(block.sizes.astype(np.int64)), pa.array(per_doc((c > 0).astype(np.int64))),
-                 pa.array(np.full(n, model.tokens, np.int64)), pa.array(per_doc(base)), pa.array(per_doc(np.log10(block.p)))],
+                 pa.array(np.full(n, model.tokens, np.int64)), pa.array(per_doc(base)), pa.array(per_doc(np.log10(block.p)[block.gram]))],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.Table.from_batches(out)
     return blocks.groupBy("block").cogroup(_replies(tables).groupBy("block")) \
