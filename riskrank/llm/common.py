@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame:
     and survives lost executors; empty tables keep their schema."""
     path = shared_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

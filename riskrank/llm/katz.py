@@ -13,9 +13,10 @@ within a block of documents, not tokens:
    within the block), a table bucketed by block.
 2. For each order, a block sends each distinct n-gram once, with its training count and its
    probability at the next lower order, to the partition of the n-gram's context. The
-   partition adds up counts over all blocks, and per context the total, the successors seen
+   partition adds up counts over all blocks, and per context the number of successors seen
    1 .. ``MAX_DISCOUNTED`` times and the lower-order mass of all seen ones. It answers with
-   those numbers for the n-grams that the block asked for.
+   those numbers for the n-grams that the block asked for. (A context's total is its count
+   as an n-gram of the order below, which the block has by then.)
    Successor numbers and mass are answered only for contexts that may back off in the block
    (one of its n-grams is not in the block's training texts) or have no successor seen once.
 3. Blocks join the answers and evaluate each token recursively: discounted count, or backoff
@@ -52,7 +53,7 @@ BLOCK = ("block long, n_tokens long, docs array<long>, sizes array<int>, train a
          "ids array<int>")
 ASK = ("part long, block long, keys array<long>, counts array<int>, ctxs array<long>, runs array<int>, n_cold long, "
        "needs array<boolean>, pvals array<double>, pcodes array<short>, pwide array<int>")
-REPLY = ("kind string, block long, part long, keys array<long>, counts array<int>, totals array<long>, at array<int>, "
+REPLY = ("kind string, block long, part long, keys array<long>, counts array<int>, has array<boolean>, "
          "seen array<int>, mass array<double>")
 
 
@@ -146,14 +147,14 @@ class Block:
         ctx = code // len(self.vocab) - 1
         word = self.vocab[code % len(self.vocab)]
         self.ctx = np.where(ctx >= 0, self.keys[ctx], START)
-        often = np.where(ctx >= 0, self.counts[ctx], self.model.docs)
+        often = np.where(ctx >= 0, self.counts[ctx], self.model.docs)  # a token follows every context
         self.keys = _mix(self.ctx * np.uint64(0x2545F4914F6CDD1D) ^ word)
         self.level += 1
         hot = often > self.model.spread_over()
         part = (_mix(np.where(hot, self.keys, self.ctx)) % np.uint64(self.model.parts)).astype(np.int64)
         self.order = np.lexsort((self.ctx, hot, part))
         self.local = np.bincount(self.gram[self.learns], minlength=len(self.keys))
-        self.part, self.hot = part[self.order], hot[self.order]
+        self.part, self.hot, self.often = part[self.order], hot[self.order], often[self.order]
         ctx = self.ctx[self.order]
         new = np.ones(len(ctx), bool)  # where the context runs start
         new[1:] = (ctx[1:] != ctx[:-1]) | (self.part[1:] != self.part[:-1])
@@ -206,17 +207,14 @@ class Block:
             return
         sizes = np.diff(np.append(self.run_starts, len(self.order)))
         self.counts[self.order] = flat("counts")
-        total = flat("totals").copy()
+        total, full = self.often[self.run_starts], flat("has").copy()
         seen, mass = np.zeros((len(total), MAX_DISCOUNTED), np.int64), np.zeros(len(total))
-        full = np.zeros(len(total), bool)
-        lengths = [np.asarray(pa.compute.list_value_length(replies[n].combine_chunks())) for n in ("totals", "at")]
-        at = flat("at") + np.repeat(np.cumsum(lengths[0]) - lengths[0], lengths[1])
-        full[at], seen[at], mass[at] = True, flat("seen").reshape(-1, MAX_DISCOUNTED), flat("mass")
-        keys, hot_total, hot_seen, hot_mass = self.model.hot[order - 1]
+        seen[full], mass[full] = flat("seen").reshape(-1, MAX_DISCOUNTED), flat("mass")
+        keys, hot_seen, hot_mass = self.model.hot[order - 1]
         hot = np.flatnonzero(self.hot[self.run_starts])
         if len(hot):
             at = np.searchsorted(keys, self.ctx[self.order[self.run_starts[hot]]])
-            full[hot], total[hot], seen[hot], mass[hot] = True, hot_total[at], hot_seen[at], hot_mass[at]
+            full[hot], seen[hot], mass[hot] = True, hot_seen[at], hot_mass[at]
         left = total - d.kept(total, seen)
         bare = full & (left <= 1e-9 * total)  # no successor is discounted: one count more, for the unseen
         whole = np.where(bare, total + 1.0, total)
@@ -236,7 +234,7 @@ def _count(table: pa.Table) -> pa.Table:
     unique, first, of = np.unique(keys, return_index=True, return_inverse=True)
     c = np.bincount(of, weights=counts, minlength=len(unique)).astype(np.int64)
     tallies = np.array([*(int((c == r).sum()) for r in range(1, MAX_DISCOUNTED + 2)), int((c > 0).sum()), int(c.sum())])
-    nothing = {"keys": NO_LONG, "counts": NO_INT, "totals": NO_LONG, "at": NO_INT, "seen": NO_INT, "mass": np.zeros(0)}
+    nothing = {"keys": NO_LONG, "counts": NO_INT, "has": np.zeros(0, bool), "seen": NO_INT, "mass": np.zeros(0)}
     row = lambda kind, block, part, **v: _row(**({"kind": kind, "block": block, "part": part} | nothing | v))
     out = [row("tally", -1, 0, keys=tallies)]
     blocks, parts = table["block"].to_pylist(), table["part"].to_pylist()
@@ -252,7 +250,6 @@ def _count(table: pa.Table) -> pa.Table:
     codes += np.repeat(np.cumsum(n_vals) - n_vals, n_keys)
     lower = flat("pvals")[codes[first]]
     known, of_ctx = np.unique(ctx, return_inverse=True)
-    total = np.bincount(of_ctx, weights=c, minlength=len(known)).astype(np.int64)
     seen = np.stack([np.bincount(of_ctx[c == r], minlength=len(known)) for r in range(1, MAX_DISCOUNTED + 1)], axis=1).astype(np.int32)
     mass = np.bincount(of_ctx, weights=np.where(c > 0, lower, 0.0), minlength=len(known))
     bare = seen[:, 0] == 0  # without a successor seen once, none may be discounted
@@ -261,13 +258,12 @@ def _count(table: pa.Table) -> pa.Table:
         mine = slice(ctx_ends[i] - n_ctxs[i], ctx_ends[i])
         hot.append(ctxs[mine][table["n_cold"][i].as_py():])
         which = np.searchsorted(known, ctxs[mine])
-        at = np.flatnonzero(needs[mine] | bare[which])
-        out.append(row("reply", block, parts[i], counts=answers[i], totals=total[which], at=at.astype(np.int32),
-                       seen=seen[which[at]].ravel(), mass=mass[which[at]]))
+        has = needs[mine] | bare[which]
+        out.append(row("reply", block, parts[i], counts=answers[i], has=has, seen=seen[which[has]].ravel(), mass=mass[which[has]]))
     hot = np.unique(np.concatenate(hot))
     if len(hot):
         at = np.searchsorted(known, hot)
-        out.append(row("hot", -1, parts[0], keys=hot, totals=total[at], seen=seen[at].ravel(), mass=mass[at]))
+        out.append(row("hot", -1, parts[0], keys=hot, seen=seen[at].ravel(), mass=mass[at]))
     return pa.Table.from_batches(out)
 
 
@@ -313,7 +309,7 @@ def token_blocks(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
 def _replies(tables: list[DataFrame]) -> DataFrame:
     out = None
     for order, t in enumerate(tables, 1):
-        rows = t.where("kind = 'reply'").select("block", F.lit(order).alias("level"), "part", "counts", "totals", "at", "seen", "mass")
+        rows = t.where("kind = 'reply'").select("block", F.lit(order).alias("level"), "part", "counts", "has", "seen", "mass")
         out = rows if out is None else out.unionAll(rows)
     return out
 
@@ -363,16 +359,16 @@ def count_tables(blocks: DataFrame, model: Model, order: int) -> list[DataFrame]
 
 def _hot_contexts(answered: DataFrame) -> tuple:
     """Sums of the spread contexts; a row each, no more than there are partitions."""
-    parts = answered.where("kind = 'hot'").select(F.posexplode("keys").alias("pos", "key"), "totals", "seen", "mass")
+    parts = answered.where("kind = 'hot'").select(F.posexplode("keys").alias("pos", "key"), "seen", "mass")
     k = MAX_DISCOUNTED
-    one = parts.select("key", F.get("totals", F.col("pos")).alias("total"), F.get("mass", F.col("pos")).alias("mass"),
+    one = parts.select("key", F.get("mass", F.col("pos")).alias("mass"),
                        *[F.get("seen", F.col("pos") * k + r).alias(f"s{r}") for r in range(k)])
-    rows = one.groupBy("key").agg(F.sum("total").alias("total"), F.sum("mass").alias("mass"),
+    rows = one.groupBy("key").agg(F.sum("mass").alias("mass"),
                                   *[F.sum(f"s{r}").alias(f"s{r}") for r in range(k)]).toArrow()
     keys = np.asarray(rows["key"]).view("u8")
     at = np.argsort(keys)
     seen = np.stack([np.asarray(rows[f"s{r}"]) for r in range(k)], axis=1).reshape(-1, k)
-    return keys[at], np.asarray(rows["total"])[at], seen[at], np.asarray(rows["mass"])[at]
+    return keys[at], seen[at], np.asarray(rows["mass"])[at]
 
 
 def lm_scores(docs: DataFrame, train: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
