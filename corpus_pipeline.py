@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskrank.llm import chunks, mixing, pieces, simhash, subword
-from riskrank.llm.common import written
+from riskrank.llm.common import row_key, written
 from riskrank.llm.queries import MIX_WEIGHTS, crc_of, domain_of, table
 
 #: Share of the input's tokens that the mix keeps, and how often a document may be in it.
@@ -34,23 +34,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (3): that with the smallest id.
 
-    A null id is the largest; of rows that share the kept id, one stays."""
-    classes = simhash.near_duplicates(docs)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-                  .groupBy("component_id", F.col("doc_id").alias("keep_id")).agg(F.min("fingerprint").alias("fp"))
-    keep = written(keep.select("keep_id", "fp"), "near-dedup-keep")
-    rows = docs.select(_packed(docs), F.col("doc_id").cast("long").alias("id"))
-    some = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return some.dropDuplicates(["id"]).select("row.*")
+    A null id is the largest; of rows equal in id and text, one stays."""
+    keep = simhash.near_duplicates(docs).groupBy("class_fp") \
+                  .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    keep = written(keep.select(F.col("first.row_key").alias("kept")), "near-dedup-keep")
+    rows = docs.select(_packed(docs), row_key("doc_id", "text").alias("key"))
+    return rows.join(keep, rows["key"] == keep["kept"], "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that an earlier document (or place) holds (7); rows all stay."""
     out = chunks.without_repeats(docs)
-    own = [f"`{c}`" for c in docs.columns]
-    new = {"text": F.col("clean"), "n_chars": F.when(F.col("n_removed_chunks") > 0, F.length("clean").cast("long"))
-           .otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[(new[c] if new.get(c) is not None else F.col("row").getField(c)).alias(c) for c in docs.columns] if own else [])
+    length = F.when(F.col("n_removed_chunks") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("clean"), "n_chars": length}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, components, map_texts, written
+from .common import byte_texts, components, map_texts, row_key, written
 
 BITS = 64
 PIVOTS_PER_PART = 24
@@ -59,13 +59,14 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` for every row of ``docs``; fp is the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    """``(id, row_key, fp)`` for every row of ``docs``; fp is the fingerprint as a signed long."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row_key"),
+                       F.col(text_col).cast("string").alias("t"))
 
     def run(batch):
-        fps = np.array([simhash(t, shingle) for t in byte_texts(batch.column(1))], "u8").view("i8")
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
-    return map_texts(rows, run, "id long, fp long")
+        fps = np.array([simhash(t, shingle) for t in byte_texts(batch.column(2))], "u8").view("i8")
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["id", "row_key", "fp"])
+    return map_texts(rows, run, "id long, row_key long, fp long")
 
 
 def part_bounds(width: int, parts: int, base: int = 0) -> list[tuple[int, int]]:
@@ -217,7 +218,8 @@ def near_links(fps: DataFrame, max_bits: int = 2, bucket_rows: int = BUCKET_ROWS
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row a document: ``doc_id, fingerprint`` (16 hex digits), ``component_id`` (the
-    smallest id reachable over links of at most ``max_bits`` differing bits).
+    smallest id reachable over links of at most ``max_bits`` differing bits), ``class_fp`` (the
+    class's smallest fingerprint) and ``row_key`` (equal for rows equal in id and text).
 
     Null and empty texts have fingerprint zero and link like any other. Null ids are
     ignored as component ids (null when a component has no other). Repeated rows stay
@@ -229,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = written(named, "simhash-roots")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = written(named.join(lows, "root").select(F.col("fp").alias("f"), "component_id"), "simhash-classes")
+    classes = written(named.join(lows, "root").select(F.col("fp").alias("f"), "root", "component_id"), "simhash-classes")
     return rows.join(classes, rows["fp"] == classes["f"]) \
                .select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                       "component_id")
+                       "component_id", F.col("root").alias("class_fp"), "row_key")
