@@ -51,9 +51,9 @@ NO_LONG, NO_INT, NO_SHORT = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zer
 
 BLOCK = ("block long, n_tokens long, docs array<long>, sizes array<int>, train array<boolean>, vocab array<long>, "
          "ids array<int>")
-ASK = ("part long, block long, keys array<long>, counts array<int>, ctxs array<long>, runs array<int>, n_cold long, "
+ASK = ("part long, block long, keys array<long>, counts array<short>, cwide array<int>, ctxs array<long>, runs array<int>, n_cold long, "
        "needs array<boolean>, pvals array<double>, pcodes array<short>, pwide array<int>")
-REPLY = ("kind string, block long, part long, keys array<long>, counts array<int>, has array<boolean>, "
+REPLY = ("kind string, block long, part long, keys array<long>, counts array<short>, cwide array<int>, has array<boolean>, "
          "seen array<int>, mass array<double>")
 
 
@@ -114,6 +114,21 @@ def _arrays(columns: dict) -> list[pa.Array]:
             pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in columns.values()]
 
 
+def _fitted(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative numbers as shorts when all fit, else as ints; the other array is empty."""
+    wide = len(v) and v.max() >= 1 << 15
+    return (NO_SHORT, v.astype(np.int32)) if wide else (v.astype(np.int16), NO_INT)
+
+
+def _either(table: pa.Table, narrow: str, wide: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that ``_fitted`` split, and how many each row has."""
+    a, b = (table[c].combine_chunks() for c in (narrow, wide))
+    n, m = (np.asarray(pa.compute.list_value_length(x)).astype(np.int64) for x in (a, b))
+    out, short = np.empty(int((n + m).sum()), np.int64), np.repeat(n > 0, n + m)
+    out[short], out[~short] = np.asarray(a.flatten()), np.asarray(b.flatten())
+    return out, n + m
+
+
 def _row(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(_arrays(columns), names=list(columns))
 
@@ -175,19 +190,20 @@ class Block:
         for part in np.unique(self.part).tolist():
             a, b = np.searchsorted(self.part, [part, part + 1])
             at = self.order[a:b]
-            row = {"part": part, "block": self.number, "keys": self.keys[at].view("i8"),
-                   "counts": self.local[at].astype(np.int32)}
+            counts = _fitted(self.local[at])
+            row = {"part": part, "block": self.number, "keys": self.keys[at].view("i8"), "counts": counts[0], "cwide": counts[1]}
             if order == 1:
                 row |= {"ctxs": NO_LONG, "runs": NO_INT, "n_cold": 0, "needs": np.zeros(0, bool), "pvals": np.zeros(0),
                         "pcodes": NO_SHORT, "pwide": NO_INT}
             else:
                 runs = slice(*np.searchsorted(self.run_starts, [a, b]))
                 r = self.run_starts[runs]
-                values, codes = np.unique(self.lower[at], return_inverse=True)
-                wide = len(values) > 1 << 15
+                learnt = self.local[at] > 0  # another block has an n-gram's mass if this one does not
+                values, codes = np.unique(self.lower[at][learnt], return_inverse=True)
+                codes = _fitted(codes)
                 row |= {"ctxs": self.ctx[self.order[r]].view("i8"), "runs": np.diff(np.append(r, b)).astype(np.int32),
                         "n_cold": int((~self.hot[r]).sum()), "needs": self.needs[runs], "pvals": values,
-                        "pcodes": NO_SHORT if wide else codes.astype(np.int16), "pwide": codes.astype(np.int32) if wide else NO_INT}
+                        "pcodes": codes[0], "pwide": codes[1]}
             yield row
 
     def absorb(self, order: int, replies: pa.Table):
@@ -201,12 +217,12 @@ class Block:
         d = self.model.discounts[order - 1]
         self.counts = np.empty(len(self.keys), np.int64)
         if order == 1:
-            self.counts[self.order] = flat("counts")
+            self.counts[self.order] = _either(replies, "counts", "cwide")[0]
             c, unseen = self.counts, 1 - self.model.seen_mass
             self.p = np.where(c > 0, d.factor(c) * c / self.model.unigram_total, unseen)
             return
         sizes = np.diff(np.append(self.run_starts, len(self.order)))
-        self.counts[self.order] = flat("counts")
+        self.counts[self.order] = _either(replies, "counts", "cwide")[0]
         total, full = self.often[self.run_starts], flat("has").copy()
         seen, mass = np.zeros((len(total), MAX_DISCOUNTED), np.int64), np.zeros(len(total))
         seen[full], mass[full] = flat("seen").reshape(-1, MAX_DISCOUNTED), flat("mass")
@@ -229,29 +245,27 @@ def _count(table: pa.Table) -> pa.Table:
     """One partition of an order's tables: add up what all blocks sent, answer each."""
     flat = lambda name: np.asarray(table[name].combine_chunks().flatten())
     size = lambda name: np.asarray(pa.compute.list_value_length(table[name].combine_chunks()))
-    keys, counts = flat("keys"), flat("counts")
+    keys, counts = flat("keys"), _either(table, "counts", "cwide")[0]
     n_keys, n_ctxs, n_vals = size("keys"), size("ctxs"), size("pvals")
     unique, first, of = np.unique(keys, return_index=True, return_inverse=True)
     c = np.bincount(of, weights=counts, minlength=len(unique)).astype(np.int64)
     tallies = np.array([*(int((c == r).sum()) for r in range(1, MAX_DISCOUNTED + 2)), int((c > 0).sum()), int(c.sum())])
-    nothing = {"keys": NO_LONG, "counts": NO_INT, "has": np.zeros(0, bool), "seen": NO_INT, "mass": np.zeros(0)}
+    nothing = {"keys": NO_LONG, "counts": NO_SHORT, "cwide": NO_INT, "has": np.zeros(0, bool), "seen": NO_INT, "mass": np.zeros(0)}
     row = lambda kind, block, part, **v: _row(**({"kind": kind, "block": block, "part": part} | nothing | v))
     out = [row("tally", -1, 0, keys=tallies)]
     blocks, parts = table["block"].to_pylist(), table["part"].to_pylist()
     key_ends, ctx_ends = np.cumsum(n_keys), np.cumsum(n_ctxs)
-    answers = [c[of[e - n:e]].astype(np.int32) for e, n in zip(key_ends, n_keys)]
+    answers = [dict(zip(("counts", "cwide"), _fitted(c[of[e - n:e]]))) for e, n in zip(key_ends, n_keys)]
     if not n_ctxs.sum():
-        return pa.Table.from_batches(out + [row("reply", *to, counts=mine) for *to, mine in zip(blocks, parts, answers)])
+        return pa.Table.from_batches(out + [row("reply", *to, **mine) for *to, mine in zip(blocks, parts, answers)])
     ctxs, needs = flat("ctxs"), flat("needs")
     ctx = np.repeat(ctxs, flat("runs"))[first]
-    narrow, codes = size("pcodes"), np.empty(len(keys), np.int64)
-    is_narrow = np.repeat(narrow > 0, n_keys)
-    codes[is_narrow], codes[~is_narrow] = flat("pcodes"), flat("pwide")
-    codes += np.repeat(np.cumsum(n_vals) - n_vals, n_keys)
-    lower = flat("pvals")[codes[first]]
+    codes, n_codes = _either(table, "pcodes", "pwide")
+    lower = np.zeros(len(unique))
+    lower[of[counts > 0]] = flat("pvals")[codes + np.repeat(np.cumsum(n_vals) - n_vals, n_codes)]
     known, of_ctx = np.unique(ctx, return_inverse=True)
     seen = np.stack([np.bincount(of_ctx[c == r], minlength=len(known)) for r in range(1, MAX_DISCOUNTED + 1)], axis=1).astype(np.int32)
-    mass = np.bincount(of_ctx, weights=np.where(c > 0, lower, 0.0), minlength=len(known))
+    mass = np.bincount(of_ctx, weights=lower, minlength=len(known))
     bare = seen[:, 0] == 0  # without a successor seen once, none may be discounted
     hot = []
     for i, block in enumerate(blocks):
@@ -259,7 +273,7 @@ def _count(table: pa.Table) -> pa.Table:
         hot.append(ctxs[mine][table["n_cold"][i].as_py():])
         which = np.searchsorted(known, ctxs[mine])
         has = needs[mine] | bare[which]
-        out.append(row("reply", block, parts[i], counts=answers[i], has=has, seen=seen[which[has]].ravel(), mass=mass[which[has]]))
+        out.append(row("reply", block, parts[i], **answers[i], has=has, seen=seen[which[has]].ravel(), mass=mass[which[has]]))
     hot = np.unique(np.concatenate(hot))
     if len(hot):
         at = np.searchsorted(known, hot)
@@ -309,7 +323,7 @@ def token_blocks(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
 def _replies(tables: list[DataFrame]) -> DataFrame:
     out = None
     for order, t in enumerate(tables, 1):
-        rows = t.where("kind = 'reply'").select("block", F.lit(order).alias("level"), "part", "counts", "has", "seen", "mass")
+        rows = t.where("kind = 'reply'").select("block", F.lit(order).alias("level"), "part", "counts", "cwide", "has", "seen", "mass")
         out = rows if out is None else out.unionAll(rows)
     return out
 
