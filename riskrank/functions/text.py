@@ -80,10 +80,6 @@ def word_count(c) -> Column:
     return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(NON_SPACE_RUN))
 
 
-def regex_count(c, pattern: str) -> Column:
-    return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(pattern))
-
-
 def count_chars(c, chars: str) -> Column:
     """Occurrences of any character of ``chars`` (a translate, no regex)."""
     t = F.coalesce(_col(c), F.lit(""))

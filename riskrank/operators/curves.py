@@ -216,8 +216,3 @@ def prevalence(scores: DataFrame, label: str = "y_true", group_cols=()) -> DataF
     """The random-ranker AP line."""
     g = scores.groupBy(*group_cols) if group_cols else scores.groupBy()
     return g.agg(F.avg(F.col(label).cast("double")).alias("prevalence"))
-
-
-def decisions(scores: DataFrame, threshold, score: str = "y_proba", out: str = "y_pred") -> DataFrame:
-    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return scores.withColumn(out, (F.col(score) >= t).cast("int"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 from .running import exact_quantiles, quantile_columns
 
 
@@ -51,7 +51,7 @@ INVERTED_PRESENCE = {"no_company_logo": "has_company_logo",
 def missingness_lift(df: DataFrame, target: str = S.TARGET, flags=None,
                      inverted=None) -> DataFrame:
     """Per flag: missing rate among negatives (``real``) and positives (``fake``)
-    and ``lift`` = fake / real (NULL when real is 0), highest lift first."""
+    and ``lift`` = fake / real (NULL when real is 0), highest lift first; ``lift_rank`` is the place."""
     flags = list(flags or MISSINGNESS_FLAGS)
     inverted = dict(inverted or INVERTED_PRESENCE)
     rates = [F.avg(f).alias(f) for f in flags] + \
@@ -62,7 +62,9 @@ def missingness_lift(df: DataFrame, target: str = S.TARGET, flags=None,
     out = long.groupBy("flag").agg(
         F.max(F.when(F.col(target) == 0, F.col("rate"))).alias("real"),
         F.max(F.when(F.col(target) == 1, F.col("rate"))).alias("fake"))
-    return out.withColumn("lift", F.try_divide(F.col("fake"), F.nullif(F.col("real"), F.lit(0.0))))
+    out = out.withColumn("lift", F.try_divide(F.col("fake"), F.nullif(F.col("real"), F.lit(0.0))))
+    by_lift = Window.orderBy(F.desc_nulls_last("lift"), "flag")  # one row per flag
+    return out.withColumn("lift_rank", F.row_number().over(by_lift)).orderBy("lift_rank")
 
 
 def median_by_class(df: DataFrame, columns, target: str = S.TARGET) -> DataFrame:
@@ -123,7 +125,8 @@ def box_stats(df: DataFrame, columns, target: str = S.TARGET, whis: float = 1.5)
     fences = quart.select("field", target, "q1", "median", "q3",
                           (F.col("q1") - whis * iqr).alias("_lo"), (F.col("q3") + whis * iqr).alias("_hi"))
     v = F.col("value").cast("double")
-    whiskers = long.join(fences, ["field", target]).groupBy("field", target).agg(
+    fences = cut_lineage(fences)
+    whiskers = long.join(small_side(fences), ["field", target]).groupBy("field", target).agg(
         F.min(F.when(v >= F.col("_lo"), v)).alias("whislo"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("whishi"))
     return fences.drop("_lo", "_hi").join(whiskers, ["field", target])
@@ -152,12 +155,6 @@ def class_weights(df: DataFrame, target: str = S.TARGET) -> DataFrame:
                           / (F.count(F.lit(1)).over(everything) * F.col("n"))).alias("weight"))
 
 
-def with_class_weight(df: DataFrame, target: str = S.TARGET, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight; the weight table has one row per class."""
-    w = class_weights(df, target).select(target, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), target)
-
-
 def feature_block_widths(names: DataFrame) -> DataFrame:
     return names.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
 

@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +33,20 @@ from .eda import class_weights
 
 def _sparse(size):
     def build(idx, val):
-        order = np.argsort(np.asarray(idx))
-        return SparseVector(size, np.asarray(idx)[order].tolist(), np.asarray(val)[order].tolist())
+        pairs = sorted(zip(idx, val))
+        return SparseVector(size, [i for i, _ in pairs], [float(v) for _, v in pairs])
     return F.udf(build, VectorUDT())
 
 
 def sparse_rows(long: DataFrame, size: int, id_col: str = "id", index_col: str = "term_id",
-                value_col: str = "weight", out: str = "features") -> DataFrame:
-    """Long (id, index, value) -> one SparseVector per id. A document's own entries
+                value_col: str = "weight", out: str = "features", ids: DataFrame | None = None) -> DataFrame:
+    """Long (id, index, value) -> one SparseVector per id (and per row of ``ids``, when given). A document's own entries
     are gathered (bounded by its length); the small Python step only builds the
     vector object once per document."""
     g = long.groupBy(id_col).agg(F.collect_list(index_col).alias("_i"), F.collect_list(value_col).alias("_v"))
-    return g.select(id_col, _sparse(size)(F.col("_i"), F.col("_v")).alias(out))
+    if ids is not None:
+        g = ids.join(g, id_col, "left")
+    return g.select(id_col, _sparse(size)(F.coalesce("_i", F.array()), F.coalesce("_v", F.array())).alias(out))
 
 
 def positive_proba(pred: DataFrame, out: str = "y_proba") -> DataFrame:
@@ -201,10 +204,8 @@ def _gram_and_xty(grouped: DataFrame, m_bc, n_terms: int, width: int, id_col: st
         yield pd.DataFrame({"term_id": out_ids, "arr": out_vals})
 
     parts = grouped.mapInPandas(partials, "term_id long, arr array<double>")
-    zero = F.array_repeat(F.lit(0.0), F.size(F.first("arr")))
-    summed = parts.groupBy("term_id").agg(
-        F.aggregate(F.collect_list("arr"), zero,
-                    lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("arr"))
+    # vector sums with partial aggregation: a row holds one vector, however many tasks there are
+    summed = parts.groupBy("term_id").agg(vector_to_array(Summarizer.sum(array_to_vector("arr"))).alias("arr"))
     gram = np.zeros((width, width))
     z_mat = np.zeros((n_terms, width))
     for r in summed.toLocalIterator():
@@ -255,21 +256,6 @@ def fit_svd(weights: DataFrame, n_terms: int, k: int, n_oversamples: int = 10, n
     return SvdModel(v * signs, s[:k])
 
 
-def fit_svd_arpack(vectors: DataFrame, k: int, id_col: str = "id", features: str = "features") -> SvdModel:
-    """MLlib's ARPACK SVD (one distributed pass per Lanczos step); kept for comparison."""
-    from pyspark import StorageLevel
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-    rows = vectors.select(id_col, features).rdd.map(lambda r: IndexedRow(int(r[0]), MV.fromML(r[1])))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    svd = IndexedRowMatrix(rows).computeSVD(k, computeU=False)
-    rows.unpersist()
-    v = svd.V.toArray()
-    signs = np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(v.shape[1])])
-    signs[signs == 0] = 1.0
-    return SvdModel(v * signs, svd.s.toArray())
-
-
 def assemble(df: DataFrame, inputs, out: str = "features", sizes: dict | None = None) -> DataFrame:
     """VectorAssembler; vector inputs declare their length (``sizes``) so missing
     blocks can be kept as NaN."""

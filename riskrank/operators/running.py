@@ -11,8 +11,9 @@ they go through ``running_totals`` instead:
 3. per-bucket totals (at most ``buckets`` rows per group) give each range's offset
    and the group total; that small table is joined back.
 
-Every task holds about 1/``buckets`` of a group, however large the group is, and
-the result is exact: only sums of integers are carried.
+The bounds are broadcast (their size is checked), so the first exchange of the rows is on
+(group, bucket): every task holds about 1/``buckets`` of a group, however large, and the
+result is exact: only sums of integers are carried.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
 _UNB = Window.unboundedPreceding
 
@@ -41,7 +42,9 @@ def bucket_by_range(df: DataFrame, order_col: str, group_cols=(), buckets: int |
     if group_cols:
         bounds = df.groupBy(*group_cols).agg(
             F.percentile_approx(key, probs, 10000).alias("_bounds"))
-        keyed = df.join(bounds, group_cols, "left")
+        # one row per group, written once: without the broadcast all rows of a group would
+        # be exchanged to one task before they get their bucket
+        keyed = df.join(small_side(cut_lineage(bounds)), group_cols, "left")
     else:
         keyed = df.withColumn("_bounds", df.select(
             F.percentile_approx(key, probs, 10000)).scalar())

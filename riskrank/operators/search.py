@@ -9,6 +9,7 @@ curve table is grouped by trial. No cross join, no per-trial job.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -29,7 +30,7 @@ SPACE = [
 
 def draw(trial: int, j: int, seed: int = 42) -> float:
     """A reproducible uniform draw in [0, 1) for (trial, parameter)."""
-    return ((trial * 7919 + j * 104729 + seed) % 1000) / 1000.0
+    return int(hashlib.md5(f"{seed}:{trial}:{j}".encode()).hexdigest()[:13], 16) / 16 ** 13
 
 
 def trial_params(n_trials: int, seed: int = 42):

@@ -19,13 +19,3 @@ def embedding_vectors(df: DataFrame, array_col: str, out: str = "features",
     """Embedding array -> ML vector (named ``emb_i`` by position)."""
     a = l2_normalise(F.col(array_col)) if normalise else F.transform(array_col, lambda x: x.cast("double"))
     return df.withColumn(out, array_to_vector(a))
-
-
-def embedding_columns(df: DataFrame, array_col: str, dims: int, prefix: str = "emb") -> DataFrame:
-    """Wide form with ``emb_0 .. emb_{dims-1}`` columns."""
-    return df.select("*", *[F.get(F.col(array_col), i).cast("double").alias(f"{prefix}_{i}")
-                            for i in range(dims)])
-
-
-def positive_probability(df: DataFrame, prob_col: str = "probability", out: str = "y_proba") -> DataFrame:
-    return df.withColumn(out, vector_to_array(F.col(prob_col))[1])

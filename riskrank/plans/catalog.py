@@ -46,4 +46,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import queries_features, queries_eda, queries_ranking  # noqa: F401
-    from . import queries_text, queries_prep, queries_models  # noqa: F401
+    from . import queries_text, queries_prep, queries_models, queries_io  # noqa: F401

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import curves
+from ..session import cut_lineage, small_side
 
 
 def protocol_metrics(scores: DataFrame, beta: float = 2.0, model_col: str = "model",
@@ -18,8 +19,8 @@ def protocol_metrics(scores: DataFrame, beta: float = 2.0, model_col: str = "mod
     curve = curves.curve_table(scores, groups)
     tuned = curves.tune_threshold(curve.where(F.col(split_col) == tune_split), beta, [model_col]) \
                   .select(model_col, F.col("threshold").alias("_t"))
-    # one threshold row per model: a small side, broadcast by AQE at run time
-    return curves.evaluate(curve.join(tuned, model_col), F.col("_t"), groups)
+    # one threshold row per model
+    return curves.evaluate(curve.join(small_side(cut_lineage(tuned)), model_col), F.col("_t"), groups)
 
 
 def experiment_rows(metrics: DataFrame, notes: str = "", model_col: str = "model",

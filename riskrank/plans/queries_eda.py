@@ -41,7 +41,8 @@ _LIFT_NAMES = _MISS + ["no_company_logo", "no_screening_questions"]
 
 
 @register("missingness_lift", O.with_postings(f"""
-SELECT flag, round(real, 6) AS real, round(fake, 6) AS fake, round(fake / nullif(real, 0), 6) AS lift
+SELECT flag, round(real, 6) AS real, round(fake, 6) AS fake, round(fake / nullif(real, 0), 6) AS lift,
+  row_number() OVER (ORDER BY fake / nullif(real, 0) DESC NULLS LAST, flag) AS lift_rank
 FROM (SELECT flag, max(rate) FILTER (WHERE fraudulent = 0) AS real,
              max(rate) FILTER (WHERE fraudulent = 1) AS fake
       FROM (UNPIVOT w ON {", ".join(_LIFT_NAMES)} INTO NAME flag VALUE rate) GROUP BY flag)""",

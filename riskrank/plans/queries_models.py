@@ -100,7 +100,10 @@ def svd_components(spark, sf_dir):
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=10)
     sv = art.svd.transform_long(art.tfidf.transform(df, "job_id", S.FULL_TEXT), "id", "svd")
-    return sv.select(F.col("id").alias("job_id"), F.posexplode(vectors.vector_to_array("svd")).alias("i", "value"))
+    # a posting without a vocabulary term is projected to zeros
+    sv = sv.select(F.col("id").alias("job_id"), vectors.vector_to_array("svd").alias("row"))
+    row = F.coalesce("row", F.array_repeat(F.lit(0.0), art.svd_components))
+    return df.select("job_id").join(sv, "job_id", "left").select("job_id", F.posexplode(row).alias("i", "value"))
 
 
 @register("gbt_best_prefix")
@@ -108,10 +111,10 @@ def gbt_best_prefix(spark, sf_dir):
     """I4: validation AP of every tree prefix; the best prefix is the early stop."""
     df, art, m = _gbt_meta(spark, sf_dir, n_trees=30)
     xv = T.preprocess_apply(df.where(F.col("split") == "val"), art)
-    return search.prefix_ap(m, xv, every=5)
+    return search.prefix_ap(m, xv, every=1)
 
 
-_TRIALS = 8
+_TRIALS = 40
 
 
 @register("random_search", search.trials_sql(_TRIALS))

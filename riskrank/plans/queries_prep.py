@@ -114,13 +114,13 @@ def feature_name_sanitise(spark, sf_dir):
 
 @register("embedding_l2", """
 SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, round(v[i] / nrm, 6) AS value
-FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm
-      FROM (SELECT vec_id, CAST(list_slice(embedding, 1, 32) AS DOUBLE[]) AS v FROM embeddings)), range(1, 33) t(i)""")
+FROM (SELECT vec_id, v, generate_subscripts(v, 1) AS i, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm
+      FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id % 7)) AS v FROM embeddings))""")
 def embedding_l2(spark, sf_dir):
-    """H10 on the first 32 dimensions of every embedding, long form."""
+    """H10 on every embedding (stretched by a factor per row, as they have length one), long form."""
     e = table(spark, sf_dir, "embeddings")
     from ..operators.vectors import l2_normalise
-    v = l2_normalise(F.slice(F.col("embedding"), 1, 32))
+    v = l2_normalise(F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)))
     return e.select("vec_id", F.posexplode(v).alias("i", "value"))
 
 

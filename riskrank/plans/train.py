@@ -24,8 +24,9 @@ class Artifacts:
 
 
 def _text_vectors(df: DataFrame, vec: tfidf.TfidfModel, id_col: str) -> DataFrame:
+    """(id, tfidf) for every row; a text without a vocabulary term has the zero vector."""
     w = vec.transform(df, id_col, S.FULL_TEXT)
-    return models.sparse_rows(w, vec.vocab_size, "id", "term_id", "weight", "tfidf")
+    return models.sparse_rows(w, vec.vocab_size, "id", "term_id", "weight", "tfidf", df.select(F.col(id_col).alias("id")))
 
 
 def preprocess_fit(train: DataFrame, svd_components: int = 200, scale_numeric: bool = True,

@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -59,6 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables with so many rows at most (one per model, class or field) are broadcast.
+SMALL_SIDE_ROWS = 1000
+
+
+def small_side(df):
+    """``df`` marked for broadcast when it has at most ``SMALL_SIDE_ROWS`` rows, else as it is."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS else df
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)

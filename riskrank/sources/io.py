@@ -48,19 +48,15 @@ def save_splits(df: DataFrame, out_dir: str, split_col: str = "split", target: s
 
 def load_split(spark: SparkSession, out_dir: str, name: str, columns=None) -> DataFrame:
     """One split (partition pruning), optionally projected; blanks restored."""
-    if not _exists(spark, out_dir):
-        raise FileNotFoundError(f"{out_dir} not found")
-    df = spark.read.parquet(out_dir).where(F.col("split") == name)
-    df = restore_blanks(df)
+    if not _exists(spark, os.path.join(out_dir, f"split={name}")):
+        raise FileNotFoundError(f"split {name} is not in {out_dir}")
+    df = restore_blanks(spark.read.parquet(out_dir).where(F.col("split") == name))
     return df.select(*columns) if columns else df
 
 
 def load_splits(spark: SparkSession, out_dir: str):
-    parts = []
-    for name in S.SPLITS:
-        part = load_split(spark, out_dir, name)
-        parts.append(part)
-    return tuple(parts)
+    """All splits, in the order of ``S.SPLITS``."""
+    return tuple(load_split(spark, out_dir, name) for name in S.SPLITS)
 
 
 def restore_blanks(df: DataFrame) -> DataFrame:
@@ -73,10 +69,12 @@ def restore_blanks(df: DataFrame) -> DataFrame:
 
 # -- A6 / A7 --------------------------------------------------------------------
 def save_scores(scores: DataFrame, out_dir: str, model: str, split: str = "test") -> None:
-    """(job_id, y_true, y_proba) of one model/split, id kept, partitioned."""
+    """(job_id, y_true, y_proba) of one model/split, id kept, partitioned. Saving again
+    replaces that model's rows of that split."""
     (scores.select("job_id", F.col("y_true").cast("int"), F.col("y_proba").cast("double"))
            .withColumn("model", F.lit(model)).withColumn("split", F.lit(split))
-           .write.mode("append").partitionBy("model", "split").parquet(out_dir))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("model", "split").parquet(out_dir))
 
 
 def scan_scores(spark: SparkSession, out_dir: str, split: str = "test", aliases: dict | None = None) -> DataFrame:
@@ -93,6 +91,10 @@ def scan_scores(spark: SparkSession, out_dir: str, split: str = "test", aliases:
 def scan_score_csvs(spark: SparkSession, pattern: str, aliases: dict | None = None) -> DataFrame:
     """Flat ``predictions_<model>_test.csv`` files: the model name comes from the
     file path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(pattern)
+    if not at.getFileSystem(conf).globStatus(at):
+        return spark.createDataFrame([], "y_true int, y_proba double, model string")
     df = spark.read.option("header", True).schema("y_true int, y_proba double").csv(pattern)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"predictions_(.+)_test\.csv$", 1)
     df = df.withColumn("model", name)
@@ -106,19 +108,15 @@ def scan_score_csvs(spark: SparkSession, pattern: str, aliases: dict | None = No
 def log_experiment(spark: SparkSession, path: str, name: str, metrics: dict, split: str = "val",
                    notes: str = "") -> dict:
     """Append one row (fixed 11 columns; missing metrics -> NULL)."""
-    import datetime
-    row = {"timestamp": datetime.datetime.now().replace(microsecond=0), "model": name, "split": split}
-    row.update({k: (None if metrics.get(k) is None else float(metrics[k])) for k in S.METRIC_COLUMNS})
-    row["notes"] = notes
-    spark.createDataFrame([tuple(row[c] for c in S.EXPERIMENT_COLUMNS)], S.EXPERIMENT_SCHEMA) \
-         .coalesce(1).write.mode("append").parquet(path)
+    texts = {"model": name, "split": split, "notes": notes}
+    values = {c: F.lit(texts[c]) if c in texts else F.lit(metrics.get(c)) for c in S.EXPERIMENT_COLUMNS}
+    values["timestamp"] = F.date_trunc("second", F.current_timestamp())
+    one = spark.range(1).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in S.EXPERIMENT_SCHEMA])
+    row = one.first().asDict()
+    spark.createDataFrame([tuple(row.values())], S.EXPERIMENT_SCHEMA).write.mode("append").parquet(path)
     return row
 
 
-def append_experiments(rows: DataFrame, path: str) -> None:
-    rows.select(*S.EXPERIMENT_COLUMNS).write.mode("append").parquet(path)
-
-
 def load_experiments(spark: SparkSession, path: str, split: str | None = "val") -> DataFrame:
     """Best average precision first; one split (None = all); empty table when absent."""
     if not _exists(spark, path):
@@ -161,12 +159,3 @@ def save_model(model, path: str) -> str:
 
 def load_model(cls, path: str):
     return cls.load(path)
-
-
-def save_table(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def artifact_path(base: str, name: str) -> str:
-    return os.path.join(base, name)

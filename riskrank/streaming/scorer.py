@@ -9,6 +9,7 @@ step is row-local, so no state is kept; global ranking metrics stay batch.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,11 @@ def start_scoring(spark: SparkSession, source_dir: str, sink_dir: str, onehot, m
                   checkpoint_dir: str | None = None, available_now: bool = True,
                   schema=S.RAW_SCHEMA):
     base = checkpoint_dir or spark.sparkContext.getCheckpointDir()
+    own = "stream-scorer-" + hashlib.md5(sink_dir.encode()).hexdigest()  # one per sink
     stream = spark.readStream.schema(schema).parquet(source_dir)
     scored = models.positive_proba(model.transform(row_features(stream, onehot, None)))
     out = scored.select(S.ID, "y_proba", (F.col("y_proba") >= threshold).cast("int").alias("y_pred"))
     writer = (out.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", os.path.join(base, "stream-scorer")))
+              .option("checkpointLocation", os.path.join(base, own)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start(sink_dir)

@@ -73,3 +73,29 @@ def test_artifacts_round_trip(spark):
     a = {r.job_id: r.features.toArray() for r in T.preprocess_apply(f, art).collect()}
     b = {r.job_id: r.features.toArray() for r in T.preprocess_apply(f, back).collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_missing_split_raises_and_no_score_files_give_no_rows(spark, tmp_path):
+    import pytest
+
+    from riskrank.sources import io
+    df = spark.createDataFrame([(1, "train", 0)], "job_id long, split string, fraudulent int")
+    io.save_splits(df, str(tmp_path / "s"))
+    with pytest.raises(FileNotFoundError):
+        io.load_split(spark, str(tmp_path / "s"), "val")
+    assert io.scan_score_csvs(spark, str(tmp_path / "predictions_*_test.csv")).count() == 0
+
+
+def test_search_draws_are_uncorrelated():
+    import numpy as np
+
+    from riskrank.operators.search import SPACE, draw
+    u = np.array([[draw(t, j) for j in range(len(SPACE))] for t in range(500)])
+    assert np.abs(np.corrcoef(u.T) - np.eye(len(SPACE))).max() < 0.2
+
+
+def test_texts_without_terms_keep_their_row(spark):
+    from riskrank.operators.models import sparse_rows
+    long = spark.createDataFrame([(1, 2, 0.5), (1, 0, 1.0)], "id long, term_id int, weight double")
+    out = {r.id: r.v for r in sparse_rows(long, 4, out="v", ids=spark.createDataFrame([(1,), (2,)], "id long")).collect()}
+    assert out[1].toArray().tolist() == [1.0, 0.0, 0.5, 0.0] and out[2].numNonzeros() == 0

@@ -32,3 +32,13 @@ def test_histogram_filter_stays_above_the_aggregate(spark):
     plan = _plan(E.queries()["length_histogram"](spark, SF))
     scan_side = plan.split("Exchange hashpartitioning(doc_id")[-1]
     assert "width_bucket" not in scan_side
+
+
+def test_grouped_running_totals_exchange_on_group_and_bucket(spark):
+    """No model's scores meet in one task: rows get their bucket before the first exchange."""
+    from pyspark.sql import functions as F
+
+    from riskrank.operators.running import bucket_by_range
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    plan = _plan(bucket_by_range(df, "v", ["g"], 8))
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(g" not in plan
