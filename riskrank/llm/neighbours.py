@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - binds pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,9 +214,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             first = np.searchsorted(i, i)
             near = np.arange(len(i)) - first <= k
             i, j, s = i[near], j[near], s[near]
+            lists = [ids[r] for r in j.tolist()]
+            sizes = np.array([len(v) for v in lists])
+            row, first = np.unique(i, return_index=True)  # one row a query, with all its finds
+            ends = pa.array(np.append(np.add.accumulate(np.append(0, sizes))[first], sizes.sum()).astype(np.int32))
             return pa.RecordBatch.from_arrays(
-                [pa.array(who[i]), pa.array([ids[r] for r in j.tolist()], pa.list_(pa.int64())), pa.array(s)],
-                names=["query_id", "ids", "score"])
+                [pa.array(who[row]), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists))),
+                 pa.ListArray.from_arrays(ends, pa.array(np.repeat(s, sizes)))], names=["query_id", "ids", "scores"])
 
         low = np.zeros(0, np.int64)
         for batch in batches:
@@ -248,12 +253,33 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     row = ROW.replace("array<int>", "array<long>")
     both = base.select("vec", "ids").mapInArrow(index_rows, row).union(queries.select("id", "vec").mapInArrow(query_rows, row))
     dealt = both.repartition(max(1, groups), "grp").sortWithinPartitions("grp", "kind")
-    found = dealt.mapInArrow(visit, "query_id long, ids array<long>, score double") \
-                 .select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    # a pair can be found in every table: at most so many copies are among the first rows
-    order = (F.desc("score"), F.asc("vec_id"))
-    wide = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))) \
-                .where(F.col("r") <= k * tables)
-    return wide.select("query_id", "vec_id", "score").distinct() \
-               .withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))) \
-               .where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    found = dealt.mapInArrow(visit, "query_id long, ids array<long>, scores array<double>")
+
+    def best(q, ids, scores):
+        """The ``k`` best of each query; a pair found in several tables counts once."""
+        own = ids != q
+        q, ids, scores = q[own], ids[own], scores[own]
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+        q, ids, scores = q[new], ids[new], scores[new]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        return [v[rank < k] for v in (q, ids, scores, rank + 1)]
+
+    def merge(batches):
+        def rows(q, ids, scores, rank):
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank.astype(np.int32)), pa.array(ids), pa.array(scores)],
+                                              names=["query_id", "rank", "vec_id", "score"])
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            size = np.asarray(pa.compute.list_value_length(batch.column(1)))
+            q = np.repeat(np.asarray(batch.column(0)), size)
+            parts = (q, np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten()))
+            q, ids, scores, rank = best(*(np.concatenate(v) for v in zip(held, parts)))
+            done = q < (q[-1] if len(q) else 0)  # the last query may go on: hold its best
+            yield rows(*(v[done] for v in (q, ids, scores, rank)))
+            held = [v[~done] for v in (q, ids, scores)]
+        yield rows(*best(*held))
+    return found.repartition("query_id").sortWithinPartitions("query_id") \
+                .mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
