@@ -121,6 +121,14 @@ def ranking_summary(curve: DataFrame, group_cols=()) -> DataFrame:
         F.first("P").alias("positives"), (F.first("P") + F.first("N")).alias("rows"))
 
 
+def missing_ids(scores: DataFrame, group: str = "model", id_col: str = "job_id", score: str = "y_proba") -> DataFrame:
+    """Per model: how many ids some model scores and this one does not (0: identical rows)."""
+    ids = scores.where(F.col(score).isNotNull()).select(group, id_col).distinct()
+    every = ids.select(id_col).distinct().select(F.count(F.lit(1))).scalar()
+    return ids.groupBy(group).agg(F.count(F.lit(1)).alias("_own")) \
+              .select(group, (every - F.col("_own")).alias("missing_ids"))
+
+
 def evaluate(curve: DataFrame, threshold=0.5, group_cols=()) -> DataFrame:
     """The 7-field metric record per group: AP, ROC-AUC and, at ``threshold``
     (a number or a column, e.g. a joined per-group threshold), F1, precision,

@@ -149,8 +149,10 @@ SCORES = """scores AS (
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def with_postings(select_sql: str, extra_ctes: str = "") -> str:
-    ctes = POSTING_CTES + (",\n" + extra_ctes if extra_ctes else "")
+def with_postings(select_sql: str, extra_ctes: str = "", labelled: bool = True) -> str:
+    """``labelled=False`` keeps the documents without a label, as ``testviews`` does."""
+    postings = POSTING_CTES if labelled else POSTING_CTES.replace("FROM documents d JOIN", "FROM documents d LEFT JOIN")
+    ctes = postings + (",\n" + extra_ctes if extra_ctes else "")
     return f"WITH {ctes}\n{select_sql}"
 
 
@@ -222,7 +224,7 @@ REPLIES = """replies AS (SELECT d.doc_id AS job_id,
          WHEN d.doc_id % 23 = 0 THEN '{"reason": "' || d.source || '"}'
          ELSE '{"fraud_probability": ' || CAST(CAST(d.n_chars % 150 AS DOUBLE) / 100.0 AS VARCHAR)
               || ', "reason": "' || d.source || '"}' END AS body
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d),
 parsed AS (SELECT job_id,
     CASE WHEN stop_reason IN ('refusal', 'max_tokens') OR body IS NULL OR NOT json_valid(body) THEN NULL
          WHEN TRY_CAST(json_extract_string(body, '$.fraud_probability') AS DOUBLE) IS NULL THEN NULL

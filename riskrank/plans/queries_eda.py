@@ -22,10 +22,10 @@ def class_balance(spark, sf_dir):
 
 
 @register("flag_rates", O.with_postings(
-    "SELECT " + ", ".join(f"round(avg({f}), 6) AS {f}" for f in _FLAGS) + " FROM featured"))
+    "SELECT " + ", ".join(f"round(avg({f}), 6) AS {f}" for f in _FLAGS) + " FROM featured", labelled=False))
 def flag_rates(spark, sf_dir):
     """contact/money flag rates overall."""
-    return eda.flag_rates(featured_postings(spark, sf_dir), _FLAGS)
+    return eda.flag_rates(featured_postings(spark, sf_dir, labelled=False), _FLAGS)
 
 
 @register("flag_rate_by_class", O.with_postings(

@@ -24,64 +24,64 @@ def clean_pages(spark, sf_dir):
 
 # -- B2/B3: cleaned postings ----------------------------------------------------
 @register("category_normalise", O.with_postings(
-    "SELECT job_id, " + ", ".join(O.qi(c) for c in S.CATEGORICAL_COLUMNS) + " FROM clean_postings"))
+    "SELECT job_id, " + ", ".join(O.qi(c) for c in S.CATEGORICAL_COLUMNS) + " FROM clean_postings", labelled=False))
 def category_normalise(spark, sf_dir):
     from ..operators.clean import clean_postings
-    return raw_postings(spark, sf_dir).transform(clean_postings) \
+    return raw_postings(spark, sf_dir, labelled=False).transform(clean_postings) \
         .select("job_id", *S.CATEGORICAL_COLUMNS)
 
 
-@register("full_text", O.with_postings("SELECT job_id, full_text FROM featured"))
+@register("full_text", O.with_postings("SELECT job_id, full_text FROM featured", labelled=False))
 def full_text(spark, sf_dir):
-    return featured_postings(spark, sf_dir).select("job_id", "full_text")
+    return featured_postings(spark, sf_dir, labelled=False).select("job_id", "full_text")
 
 
 @register("missing_flags", O.with_postings(
     "SELECT job_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in S.MISSING_FEATURES)
-    + " FROM featured"))
+    + " FROM featured", labelled=False))
 def missing_flags(spark, sf_dir):
-    return featured_postings(spark, sf_dir).select("job_id", *S.MISSING_FEATURES)
+    return featured_postings(spark, sf_dir, labelled=False).select("job_id", *S.MISSING_FEATURES)
 
 
 @register("text_lengths", O.with_postings(
-    "SELECT job_id, " + ", ".join(S.LENGTH_FEATURES) + " FROM featured"))
+    "SELECT job_id, " + ", ".join(S.LENGTH_FEATURES) + " FROM featured", labelled=False))
 def text_lengths(spark, sf_dir):
-    return featured_postings(spark, sf_dir).select("job_id", *S.LENGTH_FEATURES)
+    return featured_postings(spark, sf_dir, labelled=False).select("job_id", *S.LENGTH_FEATURES)
 
 
 @register("caps_digit_ratio", O.with_postings(
     "SELECT job_id, round(caps_ratio, 6) AS caps_ratio, round(digit_ratio, 6) AS digit_ratio "
-    "FROM featured"))
+    "FROM featured", labelled=False))
 def caps_digit_ratio(spark, sf_dir):
-    return featured_postings(spark, sf_dir).select("job_id", "caps_ratio", "digit_ratio")
+    return featured_postings(spark, sf_dir, labelled=False).select("job_id", "caps_ratio", "digit_ratio")
 
 
 @register("punct_counts", O.with_postings(
-    "SELECT job_id, exclamation_count, question_count FROM featured"))
+    "SELECT job_id, exclamation_count, question_count FROM featured", labelled=False))
 def punct_counts(spark, sf_dir):
-    return featured_postings(spark, sf_dir).select("job_id", "exclamation_count", "question_count")
+    return featured_postings(spark, sf_dir, labelled=False).select("job_id", "exclamation_count", "question_count")
 
 
 _CONTACT = ["has_email", "has_url", "has_phone", "has_money"]
 
 
 @register("contact_flags", O.with_postings(
-    "SELECT job_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _CONTACT) + " FROM featured"))
+    "SELECT job_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _CONTACT) + " FROM featured", labelled=False))
 def contact_flags(spark, sf_dir):
-    return featured_postings(spark, sf_dir).select("job_id", *_CONTACT)
+    return featured_postings(spark, sf_dir, labelled=False).select("job_id", *_CONTACT)
 
 
 @register("location_parts", O.with_postings(
-    "SELECT job_id, location, country, location_depth FROM featured"))
+    "SELECT job_id, location, country, location_depth FROM featured", labelled=False))
 def location_parts(spark, sf_dir):
-    return featured_postings(spark, sf_dir).select("job_id", "location", "country", "location_depth")
+    return featured_postings(spark, sf_dir, labelled=False).select("job_id", "location", "country", "location_depth")
 
 
 @register("salary_parts", O.with_postings(
     "SELECT job_id, salary_range, round(salary_low, 6) AS salary_low, "
-    "round(salary_high, 6) AS salary_high, round(salary_span, 6) AS salary_span FROM featured"))
+    "round(salary_high, 6) AS salary_high, round(salary_span, 6) AS salary_span FROM featured", labelled=False))
 def salary_parts(spark, sf_dir):
-    return featured_postings(spark, sf_dir).select("job_id", "salary_range", "salary_low",
+    return featured_postings(spark, sf_dir, labelled=False).select("job_id", "salary_range", "salary_low",
                                                    "salary_high", "salary_span")
 
 
@@ -113,7 +113,7 @@ SELECT job_id, CAST(fraudulent AS BIGINT) AS fraudulent, split FROM assigned""",
 
 @register("stratified_split", _split_sql())
 def stratified_split(spark, sf_dir):
-    """C2 with the SQL-replayable key; the default key is xxhash64 (``split_xxhash``)."""
+    """C2 with the SQL-replayable key; the default key is xxhash64."""
     df = featured_postings(spark, sf_dir).select("job_id", "fraudulent")
     return split.stratified_split(df, key="arith").select("job_id", "fraudulent", "split")
 

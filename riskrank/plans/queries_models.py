@@ -99,11 +99,12 @@ def svd_components(spark, sf_dir):
     """H3: truncated SVD (k=10) of the training TF-IDF matrix, applied to every posting."""
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=10)
-    sv = art.svd.transform_long(art.tfidf.transform(df, "job_id", S.FULL_TEXT), "id", "svd")
+    every = featured_postings(spark, sf_dir, labelled=False)
+    sv = art.svd.transform_long(art.tfidf.transform(every, "job_id", S.FULL_TEXT), "id", "svd")
     # a posting without a vocabulary term is projected to zeros
     sv = sv.select(F.col("id").alias("job_id"), vectors.vector_to_array("svd").alias("row"))
     row = F.coalesce("row", F.array_repeat(F.lit(0.0), art.svd_components))
-    return df.select("job_id").join(sv, "job_id", "left").select("job_id", F.posexplode(row).alias("i", "value"))
+    return every.select("job_id").join(sv, "job_id", "left").select("job_id", F.posexplode(row).alias("i", "value"))
 
 
 @register("gbt_best_prefix")

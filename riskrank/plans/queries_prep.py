@@ -51,6 +51,11 @@ slots AS (SELECT feature, category, slot, local_slot, feature || '_' || category
           UNION ALL SELECT feature, NULL, off + nfreq, nfreq, feature || '_infrequent_sklearn', 1 FROM wo WHERE nrare > 0)"""
 
 
+# fitted on labelled postings, applied to all
+_ONEHOT_ALL = ("labelled AS (SELECT * FROM featured WHERE job_id IN (SELECT doc_id FROM labels)),\n"
+               + _ONEHOT.replace(_SPLIT, O.split_ctes("labelled")))
+
+
 def _fit_onehot(spark, sf_dir):
     return encode.fit_onehot(_train(spark, sf_dir), _CATS, min_frequency=10)
 
@@ -68,11 +73,11 @@ def onehot_rare(spark, sf_dir):
     f"""SELECT a.job_id, a.feature, CAST(CASE WHEN a.category IS NULL THEN NULL
        ELSE coalesce(m.slot, CASE WHEN wo.nrare > 0 THEN wo.off + wo.nfreq END) END AS BIGINT) AS slot
 FROM ({_UNPIV.format(src='featured')}) a JOIN wo USING (feature)
-LEFT JOIN mapping m ON m.feature = a.feature AND m.category = a.category""", _ONEHOT))
+LEFT JOIN mapping m ON m.feature = a.feature AND m.category = a.category""", _ONEHOT_ALL, labelled=False))
 def onehot_apply(spark, sf_dir):
     """H4/H8 apply on every posting: unseen categories go to the bucket (or none)."""
     m = _fit_onehot(spark, sf_dir)
-    enc = m.transform(featured_postings(spark, sf_dir).select("job_id", *_CATS))
+    enc = m.transform(featured_postings(spark, sf_dir, labelled=False).select("job_id", *_CATS))
     names = [f"slot_{c}" for c in _CATS]
     return enc.select("job_id", *[F.col(n).cast("long").alias(c) for n, c in zip(names, _CATS)]) \
               .unpivot(["job_id"], _CATS, "feature", "slot")
@@ -129,10 +134,10 @@ _RENDER = ("substring(concat_ws(chr(10), " + ", ".join(
     for label, c in prompts.POSTING_FIELDS) + "), 1, 3000)")
 
 
-@register("prompt_render", O.with_postings(f"SELECT job_id, {_RENDER} AS prompt FROM featured"))
+@register("prompt_render", O.with_postings(f"SELECT job_id, {_RENDER} AS prompt FROM featured", labelled=False))
 def prompt_render(spark, sf_dir):
     """Every posting rendered as labelled lines, cut at 3,000 characters."""
-    return prompts.prompt_table(featured_postings(spark, sf_dir))
+    return prompts.prompt_table(featured_postings(spark, sf_dir, labelled=False))
 
 
 @register("reply_parse", "WITH " + O.REPLIES + "\nSELECT job_id, round(fraud_probability, 6) AS fraud_probability, reason FROM parsed")
@@ -143,19 +148,26 @@ def reply_parse(spark, sf_dir):
 
 @register("reply_metrics", "WITH " + O.REPLIES + ",\n" + O.JOBS + """,
 s AS (SELECT p.job_id, j.fraudulent AS y_true, p.fraud_probability AS y_proba FROM parsed p JOIN jobs j USING (job_id)),
+cuts AS (SELECT count(*) FILTER (WHERE y_true = 1 AND y_proba >= 0.5) AS tp, count(*) FILTER (WHERE y_true <> 1 AND y_proba >= 0.5) AS fp,
+              count(*) FILTER (WHERE y_true = 1 AND y_proba < 0.5) AS fn, count(*) FILTER (WHERE y_true <> 1 AND y_proba < 0.5) AS tn FROM s),
 """ + O.curve_ctes("s") + """
 SELECT (SELECT count(*) FROM s WHERE y_proba IS NOT NULL) AS scored, (SELECT count(*) FROM s WHERE y_proba IS NULL) AS unscored,
-  round(""" + O.AP + """, 6) AS average_precision, round(""" + O.AUC + """, 6) AS roc_auc FROM curve""")
+  round(""" + O.AP + """, 6) AS average_precision, round(""" + O.AUC + """, 6) AS roc_auc,
+  (SELECT round(coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0), 6) FROM cuts) AS f1,
+  (SELECT round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 6) FROM cuts) AS "precision",
+  (SELECT round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 6) FROM cuts) AS recall,
+  (SELECT round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0), 6) FROM cuts) AS accuracy FROM curve""")
 def reply_metrics(spark, sf_dir):
-    """Score postings by joining parsed replies; metrics over non-NULL scores."""
+    """Score postings by joining parsed replies; ranking metrics and those at 0.5 over non-NULL scores."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_id"),
                                                     F.col("toxic").cast("int").alias("y_true"))
     s = prompts.score_with_replies(labels, scorer_replies(spark, sf_dir)) \
                .withColumnRenamed("fraud_probability", "y_proba")
-    summary = curves.ranking_summary(curves.curve_table(s))
+    summary = curves.evaluate(curves.curve_table(s), 0.5)
     scored = s.select(F.count_if(F.col("y_proba").isNotNull())).scalar()
     unscored = s.select(F.count_if(F.col("y_proba").isNull())).scalar()
-    return summary.select(scored.alias("scored"), unscored.alias("unscored"), "average_precision", "roc_auc")
+    return summary.select(scored.alias("scored"), unscored.alias("unscored"), "average_precision", "roc_auc",
+                          "f1", "precision", "recall", "accuracy")
 
 
 def _k1(seed=42):
@@ -211,10 +223,10 @@ def few_shot_document(spark, sf_dir):
 
 @register("sample_n", O.with_postings("""
 SELECT job_id, CAST(fraudulent AS BIGINT) AS fraudulent FROM featured
-ORDER BY ((job_id * 7919 + 42) % 100003), job_id LIMIT 100"""))
+ORDER BY ((job_id * 7919 + 42) % 100003), job_id LIMIT 100""", labelled=False))
 def sample_n(spark, sf_dir):
     """A fixed-size reproducible sample (100 rows, TakeOrdered)."""
-    f = featured_postings(spark, sf_dir).select("job_id", "fraudulent")
+    f = featured_postings(spark, sf_dir, labelled=False).select("job_id", "fraudulent")
     return prompts.head_by_hash(f, 100, _k1())
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import curves, errors, split
+from ..session import small_side
 from ..sources.testviews import featured_postings, long_scores, scored_postings
 from . import oracle as O
 from . import protocol
@@ -57,11 +58,13 @@ def roc_auc(spark, sf_dir):
 
 @register("model_summary", _ws(f"""
 SELECT model, round({O.AP}, 6) AS average_precision, round({O.AUC}, 6) AS roc_auc,
-       CAST(max("P") AS BIGINT) AS positives, CAST(max("P") + max("N") AS BIGINT) AS "rows"
+       CAST(max("P") AS BIGINT) AS positives, CAST(max("P") + max("N") AS BIGINT) AS "rows",
+       (SELECT count(DISTINCT job_id) FROM scores) - (SELECT count(DISTINCT job_id) FROM scores o WHERE o.model = curve.model) AS missing_ids
 FROM curve GROUP BY model"""))
 def model_summary(spark, sf_dir):
-    """AP and ROC-AUC of every model on the same rows."""
-    return curves.ranking_summary(_curve(spark, sf_dir), G)
+    """AP and ROC-AUC of every model, and whether they scored the same rows (``missing_ids`` 0)."""
+    same = curves.missing_ids(long_scores(spark, sf_dir))
+    return curves.ranking_summary(_curve(spark, sf_dir), G).join(small_side(same), "model")
 
 
 @register("metrics_at_threshold", O.with_scores("""

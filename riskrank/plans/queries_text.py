@@ -35,13 +35,13 @@ vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, tot
 
 
 def _fit(spark, sf_dir):
-    docs = featured_postings(spark, sf_dir).select("job_id", "full_text")
+    docs = featured_postings(spark, sf_dir, labelled=False).select("job_id", "full_text")
     return docs, tfidf.fit(docs, "job_id", "full_text")
 
 
 @register("tfidf_vocab", O.with_postings(
     """SELECT term, CAST(term_id AS BIGINT) AS term_id, CAST(df AS BIGINT) AS df,
-       CAST(total AS BIGINT) AS total, round(idf, 6) AS idf FROM vocab""", _TFIDF_CTES))
+       CAST(total AS BIGINT) AS total, round(idf, 6) AS idf FROM vocab""", _TFIDF_CTES, labelled=False))
 def tfidf_vocab(spark, sf_dir):
     """H1a-e, H1g: the fitted vocabulary with document frequency and smoothed idf."""
     _, model = _fit(spark, sf_dir)
@@ -52,7 +52,7 @@ def tfidf_vocab(spark, sf_dir):
     """SELECT id AS job_id, CAST(term_id AS BIGINT) AS term_id,
        round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight
 FROM (SELECT tf.id, v.term_id, (1 + ln(tf.tf)) * v.idf AS w FROM tf JOIN vocab v USING (term))""",
-    _TFIDF_CTES))
+    _TFIDF_CTES, labelled=False))
 def tfidf_weights(spark, sf_dir):
     """H1f, H1h: sublinear tf * idf, L2-normalised per posting."""
     docs, model = _fit(spark, sf_dir)

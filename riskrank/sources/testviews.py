@@ -1,7 +1,7 @@
 """Maps the driver's tables onto the posting schema.
 
-``postings`` = documents inner-joined to labels on ``doc_id``; every posting column
-is a deterministic expression of the document row, so the same view can be written
+``postings`` = documents joined to labels on ``doc_id`` (only labelled documents, or all of
+them with a null label for operators that need none); every posting column is a deterministic expression of the document row, so the same view can be written
 in DuckDB SQL for the oracle (``plans.oracle.POSTINGS``).
 """
 
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .tables import table
 
 
-def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_postings(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
     docs = table(spark, sf_dir, "documents", spread_key="doc_id").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    d = docs.join(labels, "doc_id")
+    d = docs.join(labels, "doc_id", "inner" if labelled else "left")
     i = F.col("doc_id")
     lines = F.split(F.col("text"), "\n")
     blank2 = F.lit("  ")
@@ -49,10 +49,10 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def featured_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def featured_postings(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
     from ..operators.clean import clean_postings
     from ..operators.features import add_all_features
-    return raw_postings(spark, sf_dir).transform(clean_postings).transform(add_all_features)
+    return raw_postings(spark, sf_dir, labelled).transform(clean_postings).transform(add_all_features)
 
 
 def scored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +78,10 @@ def long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scorer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of an external scorer, one per labelled document, with every failure
+    """Replies of an external scorer, one per document, with every failure
     shape: refusals, truncations, no text, bad JSON, a missing number, values
     outside [0, 1]."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    d = docs.join(labels, "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
     i = F.col("doc_id")
     prob = ((F.col("n_chars") % 150) / 100.0).cast("string")
     body = (F.when(i % 17 == 0, F.lit(None).cast("string"))
