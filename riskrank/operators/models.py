@@ -116,15 +116,6 @@ def score(model, df: DataFrame, id_col: str = S.ID, label: str | None = S.TARGET
     return pred.select(*cols)
 
 
-def importance_table(model, names: DataFrame, index_col: str = "idx", name_col: str = "safe_name") -> DataFrame:
-    """Normalised gain importances by feature name, largest first."""
-    imp = model.featureImportances.toArray()
-    spark = names.sparkSession
-    vals = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(imp)], "idx long, gain double")
-    return vals.join(names.select(F.col(index_col).alias("idx"), F.col(name_col).alias("feature")), "idx") \
-               .orderBy(F.desc("gain"), F.asc("feature"))
-
-
 # -- H3 -----------------------------------------------------------------------
 @dataclass
 class SvdModel:

@@ -1,5 +1,4 @@
-"""Parameter search (I9), its best-so-far trace, a per-parameter effect table
-(I11) and validation AP of every tree prefix (I4).
+"""Parameter search (I9), its best-so-far trace and a per-parameter effect table.
 
 Trials are drawn on the driver from a seeded rule (they are parameters, not data);
 every trial is then scored in one grouped pass: each row carries its per-trial
@@ -33,6 +32,28 @@ def draw(trial: int, j: int, seed: int = 42) -> float:
     return int(hashlib.md5(f"{seed}:{trial}:{j}".encode()).hexdigest()[:13], 16) / 16 ** 13
 
 
+#: The booster's space: (name, low, high, log-uniform, whole number). Spark's trees have no
+#: L1 and L2 penalty (``reg_alpha``, ``reg_lambda``); ``num_leaves`` sets their depth.
+BOOSTER_SPACE = [
+    ("num_leaves", 15, 255, False, True),
+    ("learning_rate", 0.01, 0.2, True, False),
+    ("min_child_samples", 5, 100, False, True),
+    ("subsample", 0.6, 1.0, False, False),
+    ("colsample", 0.6, 1.0, False, False),
+]
+
+
+def scaled(u: float, low: float, high: float, log: bool, whole: bool):
+    """The draw ``u`` in [0, 1) on a parameter's range; whole numbers include both ends."""
+    if whole:
+        return int(low + math.floor(u * (high - low + 1)))
+    return low * math.pow(high / low, u) if log else low + (high - low) * u
+
+
+def booster_params(trial: int, seed: int = 42) -> dict:
+    return {name: scaled(draw(trial, j, seed), *rng) for j, (name, *rng) in enumerate(BOOSTER_SPACE)}
+
+
 def trial_params(n_trials: int, seed: int = 42):
     out = []
     for t in range(n_trials):
@@ -137,32 +158,6 @@ JOIN (SELECT param, var_pop(val_ap) AS total FROM lng GROUP BY param) USING (par
                            _trials_ctes(n_trials, seed) + f",\nlng AS ({unp})")
 
 
-def prefix_ap(model, rows: DataFrame, every: int = 5, label: str = S.TARGET,
-              features: str = "features") -> DataFrame:
-    """(n_trees, average_precision) on ``rows`` for every ``every``-th prefix of a
-    boosted-tree model: per-tree predictions are model transforms (JVM), the
-    prefix margins an array, and all prefixes one grouped curve pass."""
-    trees = model.trees
-    weights = list(model.treeWeights)
-    cur = rows.select(F.col(label).alias("y_true"), features)
-    for i, t in enumerate(trees):
-        t.setFeaturesCol(features)
-        t.setPredictionCol(f"_t{i}")
-        cur = t.transform(cur)
-    cuts = sorted(set(list(range(every, len(trees) + 1, every)) + [len(trees)]))
-    margins = []
-    running = None
-    for i in range(len(trees)):
-        term = F.lit(weights[i]) * F.col(f"_t{i}")
-        running = term if running is None else running + term
-        if i + 1 in cuts:
-            margins.append(F.struct(F.lit(i + 1).alias("n_trees"),
-                                    (1.0 / (1.0 + F.exp(-2.0 * running))).alias("y_proba")))
-    long = cur.select("y_true", F.explode(F.array(*margins)).alias("m")).select("y_true", "m.*")
-    return curves.ranking_summary(curves.curve_table(long, ["n_trees"]), ["n_trees"]) \
-                 .select("n_trees", "average_precision")
-
-
 def best_trial(trials: DataFrame):
     """Parameters of the highest val-AP trial (ties -> lowest trial number)."""
     row = trials.orderBy(F.desc("val_ap"), F.asc("trial")).first()

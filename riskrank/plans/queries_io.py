@@ -15,7 +15,7 @@ from . import oracle as O
 from .catalog import register
 
 
-def _folder(spark, name: str) -> str:
+def scratch_folder(spark, name: str) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
@@ -24,7 +24,7 @@ def _folder(spark, name: str) -> str:
 SELECT job_id, y_true, y_proba, CASE model WHEN 'hash_score' THEN 'Hash' ELSE model END AS model, 'test' AS split FROM scores"""))
 def score_store(spark, sf_dir):
     """Save each model's scores twice (the second replaces the first), scan them, with an alias."""
-    path, scores = _folder(spark, "scores"), long_scores(spark, sf_dir)
+    path, scores = scratch_folder(spark, "scores"), long_scores(spark, sf_dir)
     for model in ("length_score", "length_score", "hash_score"):
         io.save_scores(scores.where(F.col("model") == model), path, model)
     return io.scan_scores(spark, path, "test", {"hash_score": "Hash"}) \
@@ -36,7 +36,7 @@ SELECT doc_id AS job_id, coalesce(text, '') AS description, CAST(doc_id % 2 AS B
 FROM documents WHERE doc_id % 20 >= 14 AND doc_id % 20 < 17""")
 def split_store(spark, sf_dir):
     """A2-A4: one table partitioned by split; one split read back, projected."""
-    path, i = _folder(spark, "splits"), F.col("doc_id")
+    path, i = scratch_folder(spark, "splits"), F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select(
         i.alias("job_id"), F.col("text").alias("description"), (i % 2).alias("fraudulent"),
         F.when(i % 20 < 14, "train").when(i % 20 < 17, "val").otherwise("test").alias("split"))
@@ -49,7 +49,7 @@ SELECT vec_id AS job_id, CAST(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 2 END AS BIGI
 FROM embeddings""")
 def embedding_cache(spark, sf_dir):
     """A first run caches a third of the ids; a second one encodes only the others."""
-    path = _folder(spark, "embedding-cache")
+    path = scratch_folder(spark, "embedding-cache")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
 
     def encoder(nth):

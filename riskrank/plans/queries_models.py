@@ -10,12 +10,14 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import curves, models, search, split, vectors
+from ..operators import curves, models, search, split, trees, vectors
 from ..sources.tables import table
 from ..sources.testviews import featured_postings
 from . import oracle as O
 from . import train as T
+from . import tuning
 from .catalog import register
+from .queries_io import scratch_folder
 
 
 def _with_split(spark, sf_dir):
@@ -89,9 +91,9 @@ def gbt_meta(spark, sf_dir):
 
 @register("gain_importance")
 def gain_importance(spark, sf_dir):
-    """Gain importances by safe feature name, largest first."""
+    """Summed gain x rows of the splits: top 25 features, top 12 outside the text block."""
     _, art, m = _gbt_meta(spark, sf_dir)
-    return models.importance_table(m, art.names)
+    return trees.top_gain(trees.gain_table(trees.read_nodes(m), art.names))
 
 
 @register("svd_components")
@@ -107,12 +109,49 @@ def svd_components(spark, sf_dir):
     return every.select("job_id").join(sv, "job_id", "left").select("job_id", F.posexplode(row).alias("i", "value"))
 
 
+def _early_stopped(spark, sf_dir, n_trees=30, patience=100):
+    df, art, m = _gbt_meta(spark, sf_dir, n_trees=n_trees)
+    boosted = trees.read_nodes(m)
+    xv = T.preprocess_apply(df.where(F.col("split") == "val"), art)
+    return df, art, boosted, xv, *trees.early_stop(boosted, xv, patience)
+
+
 @register("gbt_best_prefix")
 def gbt_best_prefix(spark, sf_dir):
-    """I4: validation AP of every tree prefix; the best prefix is the early stop."""
-    df, art, m = _gbt_meta(spark, sf_dir, n_trees=30)
+    """I4: validation AP of every judged tree prefix, and which one the early stop chose."""
+    *_, best, history = _early_stopped(spark, sf_dir)
+    return spark.createDataFrame([(n, ap, n == best) for n, ap in history],
+                                 "n_trees int, average_precision double, chosen boolean")
+
+
+@register("gbt_early_stopped")
+def gbt_early_stopped(spark, sf_dir):
+    """I4: the test postings scored by the prefix that the early stop chose."""
+    df, art, boosted, _, best, _ = _early_stopped(spark, sf_dir)
+    test = T.preprocess_apply(df.where(F.col("split") == "test"), art)
+    return trees.score_prefix(boosted, test, best)
+
+
+@register("tree_contributions")
+def tree_contributions(spark, sf_dir):
+    """Mean absolute path contribution on validation, top 20 features."""
+    df, art, m = _gbt_meta(spark, sf_dir)
     xv = T.preprocess_apply(df.where(F.col("split") == "val"), art)
-    return search.prefix_ap(m, xv, every=1)
+    return trees.contribution_means(trees.contributions(trees.read_nodes(m), xv), art.names)
+
+
+@register("booster_search_report")
+def booster_search_report(spark, sf_dir, n_trials=3, n_estimators=5):
+    """Random search over the booster, refit of the best trial, F2 threshold tuned on
+    val, one report a split. ``n_trials`` (40) and ``n_estimators`` (1000) are arguments; the
+    check runs the smaller numbers above, on every row."""
+    e = _embedding_rows(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    train, folder = e.where(F.col("split") == "train"), scratch_folder(spark, "booster")
+    trials = tuning.booster_search(train, e.where(F.col("split") == "val"), n_trials, n_estimators,
+                                   log_path=f"{folder}/log")
+    out = tuning.refit_best(trials, train, e, "booster_tuned", f"{folder}/log", f"{folder}/scores", n_estimators)
+    e.unpersist()
+    return out
 
 
 _TRIALS = 40
