@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
+from ..session import stored
+
 INFREQUENT = "infrequent_sklearn"
 
 
@@ -24,23 +25,20 @@ def _long_categories(df: DataFrame, columns) -> DataFrame:
 class OneHotModel:
     columns: list
     slots: DataFrame       # feature_idx, feature, category, slot, local_slot, name, is_infrequent
-    mapping: DataFrame     # feature, category, slot, local_slot (every category seen at fit)
+    mapping: DataFrame     # feature, category, slot, local_slot (categories with a slot of their own)
     widths: DataFrame      # feature_idx, feature, width, offset, bucket_slot
     n_slots: int
     n_categories: int
 
-    def _side(self, df):
-        return F.broadcast(df) if self.n_categories <= BROADCAST_MAX_ROWS else df
-
     def transform(self, df: DataFrame, prefix: str = "slot_") -> DataFrame:
         """One ``slot_<column>`` per encoded column: the global slot index, the rare
-        bucket for unseen categories, NULL (all zeros) when the column has none."""
+        bucket for rare and unseen categories, NULL (all zeros) when the column has none."""
         out = df
         widths = {r["feature"]: r for r in self.widths.collect()}  # one row per column
         for c in self.columns:
             m = self.mapping.where(F.col("feature") == c) \
                     .select(F.col("category").alias(f"_cat_{c}"), F.col("slot").alias(f"_slot_{c}"))
-            out = out.join(self._side(m), F.col(c).cast("string") == F.col(f"_cat_{c}"), "left")
+            out = out.join(m, F.col(c).cast("string") == F.col(f"_cat_{c}"), "left")
             bucket = widths[c]["bucket_slot"]
             fill = F.lit(bucket) if bucket is not None else F.lit(None).cast("int")
             out = out.withColumn(f"{prefix}{c}",
@@ -56,29 +54,25 @@ def fit_onehot(df: DataFrame, columns, min_frequency: int = 10) -> OneHotModel:
     columns = list(columns)
     counts = _long_categories(df, columns).where(F.col("category").isNotNull()) \
         .groupBy("feature_idx", "feature", "category").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts, "categories")
     rare = F.col("n") < min_frequency
-    per_col = Window.partitionBy("feature_idx")  # categories of one column (model-sized)
-    ordered = per_col.orderBy("category")
-    freq_rank = F.sum(F.when(~rare, 1).otherwise(0)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_nfreq", F.sum(F.when(~rare, 1).otherwise(0)).over(per_col)) \
-                   .withColumn("_nrare", F.sum(F.when(rare, 1).otherwise(0)).over(per_col)) \
-                   .withColumn("local_slot", F.when(rare, F.col("_nfreq")).otherwise(freq_rank - 1))
-    widths = ranked.groupBy("feature_idx", "feature").agg(
-        (F.max("_nfreq") + F.when(F.max("_nrare") > 0, 1).otherwise(0)).alias("width"),
-        F.max("_nfreq").alias("_nfreq"), F.max("_nrare").alias("_nrare"))
+    widths = counts.groupBy("feature_idx", "feature").agg(F.count_if(~rare).alias("_nfreq"),
+                                                          F.count_if(rare).alias("_nrare")) \
+                   .withColumn("width", F.col("_nfreq") + F.when(F.col("_nrare") > 0, 1).otherwise(0))
     cols_order = Window.orderBy("feature_idx").rowsBetween(Window.unboundedPreceding, -1)  # one row per column
     widths = widths.withColumn("offset", F.coalesce(F.sum("width").over(cols_order), F.lit(0))) \
                    .withColumn("bucket_slot", F.when(F.col("_nrare") > 0, F.col("offset") + F.col("_nfreq"))) \
                    .select("feature_idx", "feature", "width", "offset", "bucket_slot")
-    from ..session import cut_lineage
-    widths = cut_lineage(widths)
-    mapping = ranked.join(F.broadcast(widths.select("feature_idx", "offset")), "feature_idx") \
-                    .select("feature_idx", "feature", "category", "n",
+    widths = stored(widths, "widths")
+    # only categories with a slot are ordered: as many as the encoded matrix has columns
+    slot = F.row_number().over(Window.partitionBy("feature_idx").orderBy("category")) - 1
+    mapping = counts.where(~rare).withColumn("local_slot", slot) \
+                    .join(F.broadcast(widths.select("feature_idx", "offset")), "feature_idx") \
+                    .select("feature_idx", "feature", "category",
                             (F.col("offset") + F.col("local_slot")).cast("int").alias("slot"),
-                            F.col("local_slot").cast("int").alias("local_slot"),
-                            rare.alias("is_infrequent"))
-    mapping = cut_lineage(mapping)
-    freq = mapping.where(~F.col("is_infrequent")).select(
+                            F.col("local_slot").cast("int").alias("local_slot"))
+    mapping = stored(mapping, "onehot")
+    freq = mapping.select(
         "feature_idx", "feature", "category", "slot", "local_slot",
         F.concat_ws("_", "feature", "category").alias("name"), F.lit(False).alias("is_infrequent"))
     bucket = widths.where(F.col("bucket_slot").isNotNull()).select(

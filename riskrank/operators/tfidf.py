@@ -11,7 +11,7 @@ smallest form of the data). After that the per-document term counts and the
 per-document norm need no further exchange, because hash(id) already clusters
 (id, term). The only other shuffle is the per-term document-frequency aggregate,
 which partial aggregation shrinks to one row per (task, term). The vocabulary is
-bounded by ``max_features`` and broadcast; without that bound its size is checked.
+written to the shared folder, so Spark broadcasts it only when its bytes allow.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import stored
+from .running import running_totals
 
+#: Terms are ordered by their first so many characters, then within them.
+PREFIX = 3
 _RES = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources")
-BROADCAST_MAX_TERMS = 2_000_000
 
 
 def english_stop_words() -> list[str]:
@@ -93,16 +95,48 @@ def term_stats(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
+def _before(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _before, _n): rows of smaller keys and of the key itself. One row a key is ordered."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return n.select(key, F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"), "_n")
+
+
+def most_frequent(stats: DataFrame, n: int) -> DataFrame:
+    """The ``n`` terms with the largest total (ties by term), without merging every task's
+    best in one task: the total at which the cut falls is found from counts per total, and of
+    the terms with just that total only those with the cut's first characters are ranked."""
+    stats = stored(stats, "term-stats")
+    per_total = stats.groupBy("total").agg(F.count(F.lit(1)).alias("_n"))
+    cut = running_totals(per_total, "total", ["_n"], descending=True).where(F.col("cum__n") >= n) \
+        .orderBy(F.desc("total")).select("total", (n - F.col("cum__n") + F.col("_n")).alias("take")).first()
+    if cut is None:
+        return stats
+    ties = stats.where(F.col("total") == cut["total"]).withColumn("_p", F.substring("term", 1, PREFIX))
+    left = F.lit(cut["take"]) - F.col("_before")
+    spans = _before(ties, "_p").where(left > 0)
+    whole = ties.join(spans.where(F.col("_n") <= left).select("_p"), "_p", "left_semi")
+    edge = ties.join(spans.where(F.col("_n") > left).select("_p", left.alias("_left")), "_p")  # one prefix
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("term"))
+    edge = edge.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left"))
+    chosen = whole.select(*stats.columns).unionByName(edge.select(*stats.columns))
+    return stats.where(F.col("total") > cut["total"]).unionByName(chosen)
+
+
 def select_vocabulary(stats: DataFrame, n_docs: int, params: TfidfParams) -> DataFrame:
     """Frequency window, top ``max_features`` by total count, alphabetical ids, idf."""
     max_count = params.max_df if isinstance(params.max_df, int) else params.max_df * n_docs
     kept = stats.where((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(float(max_count))))
     if params.max_features is not None:
-        # TakeOrdered: each task keeps its top-k, the driver merges k-sized lists
-        kept = kept.orderBy(F.desc("total"), F.asc("term")).limit(params.max_features)
-    ids = Window.orderBy("term")  # over the vocabulary only (<= max_features rows)
-    return kept.select(
-        "term", (F.row_number().over(ids) - 1).alias("term_id"), "df", "total",
+        kept = most_frequent(kept, params.max_features)
+    # ids in the order of the terms: those with equal first characters are ranked together,
+    # after as many as come before them
+    first = F.substring("term", 1, PREFIX).alias("_p")
+    kept = kept.select("*", first)
+    before = _before(kept, "_p").withColumnRenamed("_before", "_offset")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("term"))
+    return kept.join(before, "_p").select(
+        "term", (rank + F.col("_offset") - 1).cast("int").alias("term_id"), "df", "total",
         (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
@@ -113,13 +147,9 @@ class TfidfModel:
     params: TfidfParams
     vocab_size: int
 
-    def _vocab_side(self) -> DataFrame:
-        v = self.vocabulary.select("term", "term_id", "idf")
-        return F.broadcast(v) if self.vocab_size <= BROADCAST_MAX_TERMS else v
-
     def weights_from_terms(self, terms: DataFrame) -> DataFrame:
         """(id, term_id, weight): sublinear tf * idf, L2-normalised per document."""
-        j = terms.join(self._vocab_side(), "term")
+        j = terms.join(self.vocabulary.select("term", "term_id", "idf"), "term")
         tf = (1.0 + F.log(F.col("tf"))) if self.params.sublinear_tf else F.col("tf").cast("double")
         w = j.select("id", "term_id", "term", (tf * F.col("idf")).alias("_w"))
         per_doc = Window.partitionBy("id")  # a document's own terms; already clustered by id
@@ -135,7 +165,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, params: TfidfParams | None
     terms = doc_terms(docs, id_col, text_col, params)
     n_docs = docs.count()
     vocab = select_vocabulary(term_stats(terms), n_docs, params)
-    vocab = cut_lineage(vocab)  # fitted artifact: later transforms never re-run the fit
+    vocab = stored(vocab, "vocabulary")  # fitted artifact: later transforms never re-run the fit
     size = vocab.count()
     return TfidfModel(vocab, n_docs, params, size)
 

@@ -1,6 +1,6 @@
 """End-to-end dataset build (A5): raw -> exact dedupe -> clean -> features ->
-stratified split, as one lazy plan; ``build_processed_dataset`` writes it
-partitioned by split."""
+stratified split. The deduplicated table is written once, as the features and the split both
+read it; ``build_processed_dataset`` writes the result partitioned by split."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ from .. import schema as S
 from ..operators import dedupe, split
 from ..operators.clean import clean_postings
 from ..operators.features import add_all_features
+from ..session import stored
 from ..sources import io
 
 
 def processed(raw: DataFrame, seed: int = 42, key: str = "xxhash64") -> DataFrame:
-    deduped = dedupe.drop_duplicates_except_id(raw, S.ID)  # raw values, target in the key
+    deduped = stored(dedupe.drop_duplicates_except_id(raw, S.ID), "deduped")  # raw values, target in the key
     featured = deduped.transform(clean_postings).transform(add_all_features)
     return split.stratified_split(featured, seed=seed, key=key)
 

@@ -1,4 +1,4 @@
-"""Queries that go through the sources and sinks (A2-A4, A6, A7, A12, D5): write to the
+"""Queries that go through the sources and sinks (A1-A4, A6-A9, A11, A12, D5): write to the
 shared folder, read back."""
 
 from __future__ import annotations
@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..session import ensure_checkpoint_dir
 from ..sources import io
 from ..sources.tables import table
-from ..sources.testviews import long_scores
+from ..sources.testviews import long_scores, raw_postings
 from . import oracle as O
+from . import protocol
 from .catalog import register
 
 
@@ -56,3 +58,35 @@ def embedding_cache(spark, sf_dir):
         return lambda todo: todo.select("job_id", F.lit(nth).alias("pass"), F.size("embedding").alias("dims"))
     io.encode_cached(spark, path, rows.where("job_id % 3 = 0"), encoder(1))
     return io.encode_cached(spark, path, rows, encoder(2)).select("job_id", "pass", "dims")
+
+
+_CSV_TEXT = [c for c in S.RAW_COLUMNS if c not in ("job_id", "telecommuting", "has_company_logo", "has_questions", "fraudulent")]
+
+
+@register("postings_csv", O.with_postings("SELECT job_id, telecommuting, has_company_logo, has_questions, fraudulent, "
+          + ", ".join(f"CASE WHEN {O.qi(c)} IN ({', '.join(O.q(t) for t in io.NA_TOKENS)}) THEN NULL ELSE {O.qi(c)} END AS {O.qi(c)}"
+                      for c in _CSV_TEXT) + " FROM raw_postings", labelled=False))
+def postings_csv(spark, sf_dir):
+    """A1: every posting written as quoted CSV and read back; blank and NA cells become NULL."""
+    path = scratch_folder(spark, "csv")
+    raw_postings(spark, sf_dir, labelled=False).select(*S.RAW_COLUMNS).write.option("header", True) \
+        .option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(path)
+    return io.read_postings_csv(spark, path)
+
+
+@register("experiment_log", O.with_scores("""
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS null_models, 'hash_score_tuned' AS matching,
+       max(average_precision) AS best_ap
+FROM (SELECT model, round(""" + O.AP + """, 6) AS average_precision FROM curve GROUP BY model)""",
+    O.curve_ctes("scores", ["model"])))
+def experiment_log(spark, sf_dir):
+    """A row a model is appended to the log; the log is read, best first, and checked."""
+    path, scores = scratch_folder(spark, "log"), long_scores(spark, sf_dir).withColumn("split", F.lit("val"))
+    for r in protocol.protocol_metrics(scores).collect():  # a row a model
+        name = "hash_score_tuned" if r["model"] == "hash_score" else r["model"]
+        io.log_experiment(spark, path, name, {c: r[c] for c in S.METRIC_COLUMNS}, "val")
+    log = io.load_experiments(spark, path, "val")
+    best = F.lit(log.first()["average_precision"])
+    return io.log_check(log).select("rows", "null_models", F.array_join("matching_models", ",").alias("matching"),
+                                    F.round(best, 6).alias("best_ap"))

@@ -97,6 +97,21 @@ def standardise(spark, sf_dir):
     return encode.scaler_stats(_train(spark, sf_dir), _NUM)
 
 
+@register("standardise_apply", O.with_postings(
+    " UNION ALL ".join(
+        f"""SELECT f.job_id, '{c}' AS feature, round((CAST(f.{c} AS DOUBLE) - m.mean) / m.scale, 6) AS value
+FROM featured f, (SELECT avg(CAST({c} AS DOUBLE)) AS mean,
+  CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) < 2.220446049250313e-15 THEN 1.0
+       ELSE stddev_pop(CAST({c} AS DOUBLE)) END AS scale FROM tr) m""" for c in _NUM),
+    _SPLIT.replace("FROM featured)", "FROM featured WHERE job_id IN (SELECT doc_id FROM labels))", 1)
+    + ",\ntr AS (SELECT f.* FROM featured f JOIN assigned a USING (job_id) WHERE a.split = 'train')", labelled=False))
+def standardise_apply(spark, sf_dir):
+    """H5/H8: the scaler fitted on train, applied to every posting."""
+    scaler = encode.fit_scaler(_train(spark, sf_dir), _NUM)
+    every = scaler.transform(featured_postings(spark, sf_dir, labelled=False).select("job_id", *_NUM))
+    return every.unpivot(["job_id"], _NUM, "feature", "value")
+
+
 _SVD_K = 20
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -74,3 +75,11 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str):
+    """``df`` written to the shared checkpoint folder and read back: the lineage is cut, and
+    Spark knows its bytes when it chooses between a broadcast and a shuffled join."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

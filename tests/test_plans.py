@@ -42,3 +42,10 @@ def test_grouped_running_totals_exchange_on_group_and_bucket(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     plan = _plan(bucket_by_range(df, "v", ["g"], 8))
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(g" not in plan
+
+
+def test_exact_dedupe_shuffles_no_text_of_rows_without_a_copy(spark):
+    plan = _plan(E.queries()["dedupe_exact"](spark, SF))
+    # the one exchange is that of the copies' full comparison; both joins with the hashes are broadcast
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 2
+    assert plan.index("LeftAnti") < plan.index("Exchange hashpartitioning") < plan.index("LeftSemi")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskrank.operators import encode, prompts, split
+from riskrank.operators import dedupe, encode, prompts, split, tfidf
 
 
 def _data(spark, n=2000, pos_every=20):
@@ -123,3 +123,30 @@ def test_randomized_svd_matches_numpy(spark):
     approx = fit_svd(long, 25, 5, n_oversamples=10, n_iter=5)  # default oversampling
     assert np.allclose(approx.singular_values, s[:5], rtol=1e-3)
     assert abs(approx.singular_values[0] - s[0]) < 1e-9
+
+
+@pytest.mark.parametrize("n", [1, 4, 7, 11, 40, 100])
+def test_most_frequent_terms_are_cut_inside_ties_by_term(spark, n):
+    terms = [(f"{a}{b}", 1, t) for a in ("a", "abc", "abd", "zé") for b in ("", "x", "yy", "zzz", "é")
+             for t in [3 if a != "abc" else 5]] + [("top", 1, 9)]
+    got = tfidf.most_frequent(spark.createDataFrame(terms, "term string, df long, total long"), n).collect()
+    want = sorted(terms, key=lambda r: (-r[2], r[0].encode()))[:n]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_exact_dedupe_compares_only_rows_with_a_repeated_hash(spark):
+    rows = [(1, "a", None), (2, "a", None), (2, "a", None), (3, "a", "null"), (4, None, "a"), (None, "b", "b"),
+            (7, "b", "b"), (8, "", None), (9, None, None), (5, "x", "y"), (5, "x", "y")]
+    df = spark.createDataFrame(rows, "job_id long, p string, q string")
+    got = sorted(dedupe.drop_duplicates_except_id(df).collect(), key=repr)
+    assert got == sorted(df.groupBy("p", "q").agg({"job_id": "min"}).select("min(job_id)", "p", "q").collect(), key=repr)
+    assert tuple(dedupe.duplicate_report(df).first()) == (11, 7, 4)
+    assert dedupe.drop_duplicates_except_id(df.limit(0)).count() == 0
+
+
+def test_rare_and_unseen_categories_share_the_bucket(spark):
+    df = spark.createDataFrame([("b",)] * 3 + [("a",)] * 2 + [("c",)] + [(None,)], "k string")
+    m = encode.fit_onehot(df, ["k"], min_frequency=2)
+    new = spark.createDataFrame([("a",), ("b",), ("c",), ("new",), (None,)], "k string")
+    assert {r["k"]: r["slot_k"] for r in m.transform(new).collect()} == {"a": 0, "b": 1, "c": 2, "new": 2, None: None}
+    assert m.n_slots == 3
