@@ -6,10 +6,12 @@ a run of white space ends and the hash falls below a threshold: chunks are whole
 inserted before a passage does not move the ends inside it. White-space-free stretches are
 cut at byte positions by the same hash, and at a fixed length in the last resort.
 
-Chunks are deduplicated by digest over the whole corpus: the first occurrence (smallest
-doc_id, then position) stays, later ones are duplicates. Since a short chunk can recur by
-chance, a duplicate chunk is removed only in a run of consecutive duplicates of
-``min_run_words`` words or more.
+Repeats are found by digest over the whole corpus: the first occurrence (smallest doc_id,
+then position) stays, later ones are removed. Since a short chunk can recur by chance, the
+digests are those of windows: the shortest series of consecutive chunks with ``min_run_words``
+words or more, from each chunk on and up to each chunk. A chunk is removed when a window over
+it occurred before as a whole. Every run of that many words that occurred before is covered
+by such windows; chunks that recur one by one, in different places, are not.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ MIN_RUN_WORDS = 12
 #: White-space-free stretches: cuts by hash beyond the first length, by force at the second.
 LONG, LONGEST = 1024, 8192
 GEAR_SEED = 7
+#: Odd factor of the window digests and its inverse modulo 2^64.
+FACTOR = 0x9E3779B97F4A7C13
+INVERSE = pow(FACTOR, -1, 1 << 64)
 BLOCK = 1 << 22
 
 GEAR = np.random.default_rng(GEAR_SEED).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -95,64 +100,76 @@ def chunk_digests(text: bytes, words: int = WORDS_A_CHUNK) -> tuple[np.ndarray,
     return ends, digests, np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                words: int = WORDS_A_CHUNK) -> DataFrame:
-    """``(id, rid, at, n_words, digest)``: a row for each chunk with a word. ``rid`` is the row
-    key, ``at`` the chunk's number in its text."""
+def run_windows(digests: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, digest) of the windows of a text's chunks: from each chunk the shortest
+    series of ``least`` words, and the shortest up to each chunk. The digest is a polynomial
+    of the chunk digests modulo 2^64, so it does not depend on the place."""
+    n = len(digests)
+    total = np.append(0, np.cumsum(sizes))
+    start = np.flatnonzero(total[-1] - total[:-1] >= least)
+    end = np.flatnonzero(total[1:] >= least)
+    pairs = np.unique(np.concatenate([start * n + np.searchsorted(total, total[start] + least) - 1,
+                                      (np.searchsorted(total, total[end + 1] - least, "right") - 1) * n + end]))
+    first, last = np.divmod(pairs, max(1, n))
+    power, back = (np.cumprod(np.append(np.uint64(1), np.full(n, f, np.uint64))) for f in (FACTOR, INVERSE))
+    sums = np.append(np.uint64(0), np.cumsum(digests.view("u8") * power[:n]))
+    return first, last, ((sums[last + 1] - sums[first]) * back[first]).view("i8")
+
+
+def window_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_A_CHUNK,
+                 min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+    """``(id, rid, span, digest)``: a row for each window. ``rid`` is the row key, ``span`` the
+    numbers of the first (high half) and last chunk in its text. Chunks without a word count
+    as part of the window around them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rid"),
                        F.col(text_col).cast("string").alias("t"))
 
     def run(batch):
-        who, at, count, digest = [], [], [], []
+        who, span, digest = [], [], []
         for i, text in enumerate(byte_texts(batch.column(2))):
             _, d, w = chunk_digests(text or b"", words)
             real = np.flatnonzero(w)
-            who.append(np.full(len(real), i))
-            at.append(real)
-            count.append(w[real])
-            digest.append(d[real])
+            first, last, found = run_windows(d[real], w[real], min_run_words)
+            who.append(np.full(len(found), i))
+            span.append((real[first] << 32) + real[last])
+            digest.append(found)
         take = np.concatenate(who)
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)),
-             pa.array(np.concatenate(at).astype("i4")), pa.array(np.concatenate(count).astype("i4")),
-             pa.array(np.concatenate(digest))], names=["id", "rid", "at", "n_words", "digest"])
-    return map_texts(rows, run, "id long, rid long, at int, n_words int, digest long")
+             pa.array(np.concatenate(span)), pa.array(np.concatenate(digest))], names=["id", "rid", "span", "digest"])
+    return map_texts(rows, run, "id long, rid long, span long, digest long")
 
 
 def duplicate_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_A_CHUNK,
                    min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """``(rid, runs)``: for each row with something to remove, its runs of consecutive duplicate
-    chunks as structs (first, last chunk number)."""
-    chunks = chunk_table(docs, id_col, text_col, words)
-    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "rid", "at")
-    heads = chunks.groupBy("digest").agg(F.min(order).alias("head"), F.max(order).alias("tail")) \
-                  .where(F.col("head") != F.col("tail")) \
-                  .select(F.col("digest").alias("d"), F.col("head.rid").alias("head_rid"), F.col("head.at").alias("head_at"))
+    """``(rid, runs)``: for each row with something to remove, the runs of chunks under windows
+    that occurred before, as structs (first, last chunk number). A window that overlaps its own
+    first occurrence is part of that."""
+    windows = window_table(docs, id_col, text_col, words, min_run_words)
+    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "rid", "span")
+    heads = windows.groupBy("digest").agg(F.min(order).alias("head"), F.max(order).alias("tail")) \
+                   .where(F.col("head") != F.col("tail")) \
+                   .select(F.col("digest").alias("d"), F.col("head.rid").alias("head_rid"), F.col("head.span").alias("head_span"))
     heads = written(heads, "chunk-heads")
-    later = chunks.join(heads, chunks["digest"] == heads["d"]) \
-                  .where((F.col("rid") != F.col("head_rid")) | (F.col("at") != F.col("head_at")))
-    # chunk numbers of one document: bounded by the document itself
-    marks = later.groupBy("rid").agg(F.collect_set(F.struct("at", "n_words")).alias("marks"))
+    head_last = F.col("head_span").bitwiseAND(F.lit((1 << 32) - 1))
+    later = windows.join(heads, windows["digest"] == heads["d"]) \
+                   .where((F.col("rid") != F.col("head_rid")) | (F.shiftright("span", 32) > head_last))
+    # windows of one document: bounded by the document itself
+    marks = later.groupBy("rid").agg(F.collect_set("span").alias("marks"))
 
     def run(batches):
         for batch in batches:
-            rid, runs = [], []
-            for key, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, first, last, size = [], None, None, 0
-                for at, n in sorted((m["at"], m["n_words"]) for m in marked):
-                    if first is not None and at == last + 1:
-                        last, size = at, size + n
-                        continue
-                    if first is not None and size >= min_run_words:
+            runs = []
+            for marked in batch.column(1).to_pylist():
+                found = []
+                for first, last in (divmod(m, 1 << 32) for m in sorted(marked)):
+                    if found and first <= found[-1]["last"] + 1:
+                        found[-1]["last"] = max(last, found[-1]["last"])
+                    else:
                         found.append({"first": first, "last": last})
-                    first, last, size = at, at, n
-                if size >= min_run_words:
-                    found.append({"first": first, "last": last})
-                if found:
-                    rid.append(key)
-                    runs.append(found)
+                runs.append(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
+                [batch.column(0), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
                 names=["rid", "runs"])
     return marks.mapInArrow(run, "rid long, runs array<struct<first:int,last:int>>")
 

@@ -1,6 +1,7 @@
 """Quality rules, classifier, substring dedup, pieces and Katz scores against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -137,6 +138,36 @@ def test_substring_dedup(messy, nothing):
     assert chunks.without_repeats(nothing).count() == 0
 
 
+def test_substring_dedup_needs_a_repeated_run(spark):
+    rng = random.Random(31)
+    common = [prose(400 + i, 1) for i in range(8)]  # short chunks recur, no run of 12 words does
+    texts = [" ".join(rng.choice(common) for _ in range(300)) for _ in range(100)]
+    runs = [" ".join(t.split()[i:i + 12]) for t in texts for i in range(289)]
+    assert len(set(runs)) == len(runs)
+    passage = prose(32, 60)
+    rows = [*enumerate(texts), (100, passage + " " + prose(33, 20)), (101, prose(34, 20) + " " + passage)]
+    out = chunks.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("row.*", "clean").collect()
+    assert len(out) == len(rows) and all(r.clean == r.text for r in out if r.doc_id < 101)
+    left = [r.clean for r in out if r.doc_id == 101][0].split()
+    assert left[:20] == prose(34, 20).split() and len(left) < 50
+
+
+def test_windows_cover_every_long_run():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        sizes = rng.integers(1, 14, rng.integers(0, 30))
+        digests = rng.integers(-1 << 62, 1 << 62, len(sizes))
+        first, last, digest = chunks.run_windows(digests, sizes, 12)
+        assert len(set(digest.tolist())) == len(digest) and all(sizes[a:b + 1].sum() >= 12 for a, b in zip(first, last))
+        if len(sizes):
+            a, b = sorted(rng.integers(0, len(sizes), 2))
+            inside = (first >= a) & (last <= b)
+            covered = {c for x, y in zip(first[inside], last[inside]) for c in range(x, y + 1)}
+            assert covered == (set(range(a, b + 1)) if sizes[a:b + 1].sum() >= 12 else set())
+            part = chunks.run_windows(digests[a:b + 1], sizes[a:b + 1], 12)
+            assert set(part[2].tolist()) == set(digest[inside].tolist())
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.Pieces.from_model()
