@@ -18,6 +18,8 @@ that can be in a result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - binds pa.compute
@@ -117,25 +119,38 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best found for the rows of ``is_query``.
 
-    Rows with a null id and unusable vectors take no part, nor do vectors of another length
-    than the longest. Rows repeated with the same id and vector count once; of queries that share an id the
-    smallest vector is used. An empty table gives an empty result; other columns are not read."""
+    Rows with a null id and unusable vectors take no part. Vectors of one length are searched
+    among themselves: there is no inner product with those of another. Rows repeated with the
+    same id and vector count once; of queries that share an id the smallest vector of the most
+    frequent length is used (of equal counts, the shorter). An empty table gives an empty
+    result; other columns are not read."""
     vec = F.col(vec_col)
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vec)) \
                   .select(F.col(id_col).cast("long").alias("id"), vec.cast("array<double>").alias("vec"),
                           is_query.alias("is_query"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
-    dim = rows.agg(F.max(F.size("vec"))).first()[0] or 0
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not dim:
-        return empty
-    rows = rows.where(F.size("vec") == dim)
-    largest = rows.agg(F.max(norm)).first()[0]
+    found = rows.groupBy(F.size("vec").alias("dim")) \
+                .agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest"), F.max(F.coalesce("is_query", F.lit(False))).alias("asked"))
+    lengths = sorted(found.collect(), key=lambda r: (-r["n"], r["dim"]))  # a row a length
+    if not lengths:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = rows.where("is_query")
+    if sum(r["asked"] for r in lengths) > 1:
+        place = F.element_at(F.create_map(*[F.lit(v) for i, r in enumerate(lengths) for v in (r["dim"], i)]), F.size("vec"))
+        asked = asked.groupBy("id").agg(F.min(F.struct(place.alias("place"), "vec")).alias("first")).select("id", "first.vec")
+    parts = [_nearest(rows.where(F.size("vec") == r["dim"]), asked.where(F.size("vec") == r["dim"]), r["dim"], r["largest"],
+                      k, tables, projections, width, probes) for r in lengths if r["asked"] or r is lengths[0]]
+    return reduce(DataFrame.union, parts)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, dim: int, largest: float, k: int, tables: int, projections: int,
+             width: float, probes: int) -> DataFrame:
+    """The search among vectors of one length: ``rows`` of ``id, vec``, queries ``asked``."""
     # of equal vectors only the k + 1 smallest ids can be in a result
     same = Window.partitionBy("vec").orderBy("id")
     few = rows.select("id", "vec").distinct().withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
     base = written(few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-vectors")
-    queries = written(rows.where("is_query").groupBy("id").agg(F.min("vec").alias("vec")), "ann-queries")
+    queries = written(asked.groupBy("id").agg(F.min("vec").alias("vec")), "ann-queries")
     hashing = Tables(dim, largest, tables, projections, width)
 
     def cells(batches):

@@ -181,6 +181,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 8)), rng.normal(size=(5, 3))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate([*x, *y])] + [(65, [1.0] * 9), (0, [9.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id").isin(0, 20, 60, 65), k=3, probes=10 ** 6).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q, others in ((0, x), (20, x)):
+        assert got.pop(q) == sorted((v for v in range(60) if v != q), key=lambda v: -others[v] @ others[q])[:3]
+    scores = {61 + i: v @ y[0] for i, v in enumerate(y[1:])} | {0: 9 * y[0].sum()}
+    assert got.pop(60) == sorted(scores, key=lambda v: -scores[v])[:3]
+    assert not got  # the longest vector has no other of its length
+
+
 def brute_share(budget, children):
     """Water filling by rounds: (capacity, weight) -> budgets."""
     got, open_ = {}, dict(children)
