@@ -32,8 +32,9 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def register(name: str, oracle: str | None = None):
     def deco(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finalize(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str, **sizes) -> DataFrame:
+            return finalize(fn(spark, sf_dir, **sizes))
+        run.__wrapped__ = fn  # its signature shows the sizes a query takes
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -19,6 +19,9 @@ from . import tuning
 from .catalog import register
 from .queries_io import scratch_folder
 
+#: The surveyed sizes. The queries take them as arguments, so that tests can pass smaller ones.
+TREES, PATIENCE, SVD_COMPONENTS, MAX_ITER, BOOSTER_TRIALS = 1000, 100, 200, 2000, 40
+
 
 def _with_split(spark, sf_dir):
     f = featured_postings(spark, sf_dir)
@@ -41,11 +44,11 @@ def majority_baseline(spark, sf_dir):
 
 
 @register("logreg_tfidf")
-def logreg_tfidf(spark, sf_dir):
+def logreg_tfidf(spark, sf_dir, max_iter=MAX_ITER):
     """TF-IDF (fit on train) -> balanced logistic regression; val/test scores."""
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     train = df.where(F.col("split") == "train")
-    return T.tfidf_logreg_scores(train, df.where(F.col("split") != "train"), max_iter=100)
+    return T.tfidf_logreg_scores(train, df.where(F.col("split") != "train"), max_iter=max_iter)
 
 
 def _embedding_rows(spark, sf_dir):
@@ -56,22 +59,22 @@ def _embedding_rows(spark, sf_dir):
 
 
 @register("logreg_embedding")
-def logreg_embedding(spark, sf_dir):
+def logreg_embedding(spark, sf_dir, max_iter=MAX_ITER):
     """Normalised embeddings -> balanced logistic regression."""
     e = _embedding_rows(spark, sf_dir)
-    m = models.fit_logreg(e.where(F.col("split") == "train"), max_iter=200)
+    m = models.fit_logreg(e.where(F.col("split") == "train"), max_iter=max_iter)
     return models.score(m, e.where(F.col("split") != "train")).join(e.select("job_id", "split"), "job_id")
 
 
 @register("gbt_embedding")
-def gbt_embedding(spark, sf_dir):
+def gbt_embedding(spark, sf_dir, n_trees=TREES):
     """Boosted trees on the embeddings (positive-class weight)."""
     e = _embedding_rows(spark, sf_dir)
-    m = models.fit_gbt(e.where(F.col("split") == "train"), params=models.GbtParams(n_estimators=20))
+    m = models.fit_gbt(e.where(F.col("split") == "train"), params=models.GbtParams(n_estimators=n_trees))
     return models.score(m, e.where(F.col("split") != "train")).join(e.select("job_id", "split"), "job_id")
 
 
-def _gbt_meta(spark, sf_dir, n_trees=20, k=10):
+def _gbt_meta(spark, sf_dir, n_trees=TREES, k=SVD_COMPONENTS):
     # fit, apply and scoring all read the split postings: keep them (spilling if needed)
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     train = df.where(F.col("split") == "train")
@@ -82,25 +85,25 @@ def _gbt_meta(spark, sf_dir, n_trees=20, k=10):
 
 
 @register("gbt_meta")
-def gbt_meta(spark, sf_dir):
+def gbt_meta(spark, sf_dir, n_trees=TREES, k=SVD_COMPONENTS):
     """SVD text block + one-hot + hand-made features -> boosted trees."""
-    df, art, m = _gbt_meta(spark, sf_dir)
+    df, art, m = _gbt_meta(spark, sf_dir, n_trees, k)
     xo = T.preprocess_apply(df.where(F.col("split") != "train"), art)
     return models.score(m, xo).join(df.select("job_id", "split"), "job_id")
 
 
 @register("gain_importance")
-def gain_importance(spark, sf_dir):
+def gain_importance(spark, sf_dir, n_trees=TREES, k=SVD_COMPONENTS):
     """Summed gain x rows of the splits: top 25 features, top 12 outside the text block."""
-    _, art, m = _gbt_meta(spark, sf_dir)
+    _, art, m = _gbt_meta(spark, sf_dir, n_trees, k)
     return trees.top_gain(trees.gain_table(trees.read_nodes(m), art.names))
 
 
 @register("svd_components")
-def svd_components(spark, sf_dir):
-    """H3: truncated SVD (k=10) of the training TF-IDF matrix, applied to every posting."""
+def svd_components(spark, sf_dir, k=SVD_COMPONENTS):
+    """H3: truncated SVD (k=200) of the training TF-IDF matrix, applied to every posting."""
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=10)
+    art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=k)
     every = featured_postings(spark, sf_dir, labelled=False)
     sv = art.svd.transform_long(art.tfidf.transform(every, "job_id", S.FULL_TEXT), "id", "svd")
     # a posting without a vocabulary term is projected to zeros
@@ -109,47 +112,47 @@ def svd_components(spark, sf_dir):
     return every.select("job_id").join(sv, "job_id", "left").select("job_id", F.posexplode(row).alias("i", "value"))
 
 
-def _early_stopped(spark, sf_dir, n_trees=30, patience=100):
-    df, art, m = _gbt_meta(spark, sf_dir, n_trees=n_trees)
+def _early_stopped(spark, sf_dir, n_trees, patience, k):
+    df, art, m = _gbt_meta(spark, sf_dir, n_trees, k)
     boosted = trees.read_nodes(m)
     xv = T.preprocess_apply(df.where(F.col("split") == "val"), art)
     return df, art, boosted, xv, *trees.early_stop(boosted, xv, patience)
 
 
 @register("gbt_best_prefix")
-def gbt_best_prefix(spark, sf_dir):
+def gbt_best_prefix(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
     """I4: validation AP of every judged tree prefix, and which one the early stop chose."""
-    *_, best, history = _early_stopped(spark, sf_dir)
+    *_, best, history = _early_stopped(spark, sf_dir, n_trees, patience, k)
     return spark.createDataFrame([(n, ap, n == best) for n, ap in history],
                                  "n_trees int, average_precision double, chosen boolean")
 
 
 @register("gbt_early_stopped")
-def gbt_early_stopped(spark, sf_dir):
+def gbt_early_stopped(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
     """I4: the test postings scored by the prefix that the early stop chose."""
-    df, art, boosted, _, best, _ = _early_stopped(spark, sf_dir)
+    df, art, boosted, _, best, _ = _early_stopped(spark, sf_dir, n_trees, patience, k)
     test = T.preprocess_apply(df.where(F.col("split") == "test"), art)
     return trees.score_prefix(boosted, test, best)
 
 
 @register("tree_contributions")
-def tree_contributions(spark, sf_dir):
+def tree_contributions(spark, sf_dir, n_trees=TREES, k=SVD_COMPONENTS):
     """Mean absolute path contribution on validation, top 20 features."""
-    df, art, m = _gbt_meta(spark, sf_dir)
+    df, art, m = _gbt_meta(spark, sf_dir, n_trees, k)
     xv = T.preprocess_apply(df.where(F.col("split") == "val"), art)
     return trees.contribution_means(trees.contributions(trees.read_nodes(m), xv), art.names)
 
 
 @register("booster_search_report")
-def booster_search_report(spark, sf_dir, n_trials=3, n_estimators=5):
+def booster_search_report(spark, sf_dir, n_trials=BOOSTER_TRIALS, n_estimators=TREES, patience=PATIENCE):
     """Random search over the booster, refit of the best trial, F2 threshold tuned on
-    val, one report a split. ``n_trials`` (40) and ``n_estimators`` (1000) are arguments; the
-    check runs the smaller numbers above, on every row."""
+    val, one report a split."""
     e = _embedding_rows(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     train, folder = e.where(F.col("split") == "train"), scratch_folder(spark, "booster")
     trials = tuning.booster_search(train, e.where(F.col("split") == "val"), n_trials, n_estimators,
-                                   log_path=f"{folder}/log")
-    out = tuning.refit_best(trials, train, e, "booster_tuned", f"{folder}/log", f"{folder}/scores", n_estimators)
+                                   patience, log_path=f"{folder}/log")
+    out = tuning.refit_best(trials, train, e, "booster_tuned", f"{folder}/log", f"{folder}/scores",
+                            n_estimators, patience)
     e.unpersist()
     return out
 
@@ -177,14 +180,14 @@ def param_effect(spark, sf_dir):
 
 
 @register("top_coefficients")
-def top_coefficients(spark, sf_dir):
+def top_coefficients(spark, sf_dir, max_iter=MAX_ITER):
     """20 most positive and 20 most negative TF-IDF logistic coefficients."""
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     train = df.where(F.col("split") == "train")
     vec = T.tfidf.fit(train, "job_id", S.FULL_TEXT)
     tv = T._text_vectors(train, vec, "job_id").withColumnRenamed("id", "job_id") \
           .join(train.select("job_id", S.TARGET), "job_id")
-    m = models.fit_logreg(tv, "tfidf", max_iter=100)
+    m = models.fit_logreg(tv, "tfidf", max_iter=max_iter)
     return models.coefficient_table(m, vec.vocabulary, 20)
 
 

@@ -86,3 +86,34 @@ def test_search_refit_logs_and_saves(spark, fitted, tmp_path):
     assert {r["split"] for r in report} >= {"val", "test"}
     assert io.load_experiments(spark, log, None).count() == 2 + len(report)
     assert io.scan_scores(spark, scores).count() == df.where("split = 'test'").count()
+
+
+def test_registered_queries_run_the_surveyed_sizes():
+    import inspect
+
+    from riskrank.plans import queries_models as Q
+    sizes = {"n_trees": 1000, "n_estimators": 1000, "patience": 100, "k": 200, "max_iter": 2000, "n_trials": 40}
+    takes = {"logreg_tfidf": {"max_iter"}, "logreg_embedding": {"max_iter"}, "top_coefficients": {"max_iter"},
+             "gbt_embedding": {"n_trees"}, "gbt_meta": {"n_trees", "k"}, "gain_importance": {"n_trees", "k"},
+             "tree_contributions": {"n_trees", "k"}, "svd_components": {"k"},
+             "gbt_best_prefix": {"n_trees", "patience", "k"}, "gbt_early_stopped": {"n_trees", "patience", "k"},
+             "booster_search_report": {"n_trials", "n_estimators", "patience"}}
+    for name, names in takes.items():
+        found = {p.name: p.default for p in inspect.signature(getattr(Q, name)).parameters.values() if p.default is not p.empty}
+        assert found == {n: sizes[n] for n in names}, name
+
+
+def test_early_stop_of_the_query_fires(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from riskrank.operators import models
+    from riskrank.plans import queries_models as Q
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.random() < 0.3), Vectors.dense(rng.normal(size=3).tolist()), "val" if i % 3 == 0 else "train") for i in range(150)]
+    df = spark.createDataFrame(rows, ["job_id", "fraudulent", "features", "split"])
+    monkeypatch.setattr(Q, "_gbt_meta", lambda s, d, n_trees, k: (
+        df, None, models.fit_gbt(df.where("split = 'train'"), params=models.GbtParams(n_estimators=n_trees, max_depth=2))))
+    monkeypatch.setattr(Q.T, "preprocess_apply", lambda rows, art: rows)
+    out = Q.gbt_best_prefix(spark, "", n_trees=12, patience=2, k=3).collect()
+    best = [r.n_trees for r in out if r.chosen]
+    assert len(best) == 1 and len(out) == min(12, best[0] + 2) < 12
