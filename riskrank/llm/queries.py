@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -161,3 +162,52 @@ def op10_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = select_mix(docs, domain_of(F.col("source")), MIX_FRACTION, MIX_WEIGHTS, keep=False)
     return out.select("row.doc_id", "domain", "lang", "source", "n_tokens", "epochs", "in_prefix", "copies")
+
+
+@register("op11_token_records")
+def op11_token_records(spark, sf_dir):
+    import public_tokenizers
+
+    from .records import read_records, write_records
+    index = write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_records(index, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _made_periodic(doc_id, words):
+    """The contract's rewrite: in a tenth of the documents the words from some place on repeat."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * -(-(n - a) // p))[:n - a]
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    from .runs import periodic_runs
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=_made_periodic)
+
+
+@register("op13_ranked_search", r"""
+WITH terms AS (SELECT doc_id, row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)),
+lengths AS (SELECT row, doc_id, CAST(len(ws) AS BIGINT) AS n FROM terms WHERE len(ws) > 0),
+stats AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lengths),
+items AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+postings AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ws) AS term FROM terms)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, stats GROUP BY term),
+norms AS (SELECT row, doc_id, 50 + (50 * n * big_n) // big_l AS m FROM lengths, stats),
+scored AS (SELECT item_id, text, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM items JOIN postings USING (term) JOIN weights USING (term) JOIN norms USING (row) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50""")
+def op13_ranked_search(spark, sf_dir):
+    from .strata import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
