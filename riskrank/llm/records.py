@@ -189,6 +189,16 @@ class Encoder:
         return [end.join([head[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) for lines in split]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for each worker process: tasks that follow each other share what it has learnt."""
+    import sys
+    import types
+    held = sys.modules.setdefault("riskrank_encoders", types.ModuleType("riskrank_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 # -- files --------------------------------------------------------------------
 def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +213,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, end_
     def run(batches):
         import pyarrow.compute  # noqa: F401 - binds pa.compute on the worker
         from pyspark import TaskContext
-        part, encode = TaskContext.get().partitionId(), Encoder(tokenizer)
+        part, encode = TaskContext.get().partitionId(), worker_encoder(tokenizer)
         fs, root = _filesystem(path)
         fs.create_dir(root, recursive=True)
         out, name, at, before, end = None, "", 0, 0, np.array([end_id], f"<u{encode.width}").tobytes()
