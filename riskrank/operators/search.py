@@ -32,14 +32,15 @@ def draw(trial: int, j: int, seed: int = 42) -> float:
     return int(hashlib.md5(f"{seed}:{trial}:{j}".encode()).hexdigest()[:13], 16) / 16 ** 13
 
 
-#: The booster's space: (name, low, high, log-uniform, whole number). Spark's trees have no
-#: L1 and L2 penalty (``reg_alpha``, ``reg_lambda``); ``num_leaves`` sets their depth.
+#: The booster's space: (name, low, high, log-uniform, whole number).
 BOOSTER_SPACE = [
     ("num_leaves", 15, 255, False, True),
     ("learning_rate", 0.01, 0.2, True, False),
     ("min_child_samples", 5, 100, False, True),
     ("subsample", 0.6, 1.0, False, False),
     ("colsample", 0.6, 1.0, False, False),
+    ("reg_lambda", 1e-3, 10.0, True, False),
+    ("reg_alpha", 1e-3, 10.0, True, False),
 ]
 
 
@@ -50,10 +51,72 @@ def scaled(u: float, low: float, high: float, log: bool, whole: bool):
     return low * math.pow(high / low, u) if log else low + (high - low) * u
 
 
+def unscaled(value, low: float, high: float, log: bool, whole: bool) -> float:
+    """The place in [0, 1] of a value on its range (of a whole number: the middle of its share)."""
+    if whole:
+        return (value - low + 0.5) / (high - low + 1)
+    return math.log(value / low) / math.log(high / low) if log else (value - low) / (high - low)
+
+
 def booster_params(trial: int, seed: int = 42) -> dict:
     return {name: scaled(draw(trial, j, seed), *rng) for j, (name, *rng) in enumerate(BOOSTER_SPACE)}
 
 
+class Parzen:
+    """A density on [0, 1]: the uniform one and a normal kernel, cut off at the ends, at each point. A
+    kernel is as wide as the larger gap to its neighbours, within bounds that shrink with the number of points."""
+
+    def __init__(self, points):
+        self.points = sorted(points)
+        low = 1.0 / min(100.0, len(self.points) + 2.0)
+        edges = [0.0, *self.points, 1.0]
+        self.widths = [min(1.0, max(low, p - edges[i], edges[i + 2] - p)) for i, p in enumerate(self.points)]
+
+    @staticmethod
+    def _below(x, at, width):
+        return 0.5 * (1.0 + math.erf((x - at) / (width * math.sqrt(2.0))))
+
+    def density(self, x: float) -> float:
+        total = 1.0
+        for p, w in zip(self.points, self.widths):
+            inside = self._below(1.0, p, w) - self._below(0.0, p, w)
+            total += math.exp(-0.5 * ((x - p) / w) ** 2) / (w * math.sqrt(2.0 * math.pi) * inside)
+        return total / (len(self.points) + 1)
+
+    def sample(self, u: float, v: float) -> float:
+        """A draw from the density, given two uniform ones: which kernel, and where in it."""
+        k = int(u * (len(self.points) + 1))
+        if k == len(self.points):
+            return v
+        p, w = self.points[k], self.widths[k]
+        a, b = self._below(0.0, p, w), self._below(1.0, p, w)
+        low, high, target = 0.0, 1.0, a + v * (b - a)
+        for _ in range(50):
+            mid = (low + high) / 2.0
+            low, high = (mid, high) if self._below(mid, p, w) < target else (low, mid)
+        return low
+
+
+def tpe_params(done: list[tuple[dict, float]], trial: int, seed: int = 42, startup: int = 10, candidates: int = 24) -> dict:
+    """Parameters of the next trial by tree-structured Parzen estimation over finished
+    trials ``(parameters, score)``: each parameter takes the candidate, of ``candidates`` drawn from the
+    density of the best tenth of the trials, with the largest ratio to the density of the others.
+    The first ``startup`` trials are drawn at random."""
+    if len(done) < startup:
+        return booster_params(trial, seed)
+    order = sorted(range(len(done)), key=lambda i: (-done[i][1], i))
+    n_good = min(math.ceil(0.1 * len(done)), 25)
+    out = {}
+    for j, (name, *rng) in enumerate(BOOSTER_SPACE):
+        places = [unscaled(done[i][0][name], *rng) for i in order]
+        good, rest = Parzen(places[:n_good]), Parzen(places[n_good:])
+        draws = [good.sample(draw(trial, 100 + 1000 * j + 2 * c, seed), draw(trial, 101 + 1000 * j + 2 * c, seed))
+                 for c in range(candidates)]
+        best = max(draws, key=lambda x: good.density(x) / rest.density(x))
+        out[name] = scaled(min(best, 1.0 - 1e-9), *rng)
+    return out
+
+
 def trial_params(n_trials: int, seed: int = 42):
     out = []
     for t in range(n_trials):
@@ -94,9 +157,11 @@ def best_so_far(trials: DataFrame) -> DataFrame:
     return trials.select("trial", "val_ap", F.max("val_ap").over(order).alias("best_so_far"))
 
 
-def param_effect(trials: DataFrame, bins: int = 4) -> DataFrame:
-    """Share of the AP variance explained by each parameter's quantile bin."""
-    names = [s[0] for s in SPACE]
+def param_effect(trials: DataFrame, bins: int = 4, names: list | None = None) -> DataFrame:
+    """Share of the AP variance explained by the quantile bin of each parameter (``names``; those
+    of ``SPACE``, when not given)."""
+    names = names or [s[0] for s in SPACE]
+    trials = trials.withColumns({n: F.col(n).cast("double") for n in names})
     long = trials.select("trial", "val_ap", *names).unpivot(["trial", "val_ap"], names, "param", "value")
     b = long.withColumn("bin", F.ntile(bins).over(Window.partitionBy("param").orderBy("value", "trial")))
     per_param = Window.partitionBy("param")

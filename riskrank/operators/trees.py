@@ -1,14 +1,12 @@
-"""What a fitted boosted-tree model's node table gives: early stopping on validation AP
-(I4), scores of a prefix of the trees, summed gain (I8, G2) and path contributions (I12).
+"""Boosted trees as a node table: scores of a prefix (I4), summed gain (I8, G2) and exact
+Shapley values (I12).
 
-The node table is read from the model saved in the shared folder. It is model-sized (at
-most trees x 2^(depth + 1) rows), so its arrays travel with the task; rows stay distributed
-and are walked in Arrow batches by ``mapInPandas``, one vectorised step a tree level.
+Trees are model-sized arrays that travel with the task; rows stay distributed and are walked
+in Arrow batches, one vectorised step a tree level.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,143 +16,91 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import ensure_checkpoint_dir
-from . import curves
 
 
 @dataclass
 class Tree:
-    """Node arrays of one tree, indexed by node id; ``feature`` is -1 at a leaf."""
+    """Node arrays of one tree, indexed by node; ``feature`` is -1 at a leaf. ``rows`` counts the training
+    rows of the round at each node."""
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
+    gain: np.ndarray | None = None
+    rows: np.ndarray | None = None
 
 
 @dataclass
 class Boosted:
-    nodes: DataFrame  # tree, node, feature, threshold, left, right, value, gain, rows
-    trees: list       # Tree, in boosting order; values already multiplied by the tree's weight
-
-    @property
-    def base(self) -> float:
-        """The margin before any split: the sum of the root values."""
-        return float(sum(t.value[0] for t in self.trees))
-
-
-def read_nodes(model) -> Boosted:
-    """Node table of a fitted ``GBTClassificationModel`` over continuous features (a split on
-    a categorical feature raises)."""
-    spark = SparkSession.active()
-    path = f"{ensure_checkpoint_dir(spark)}/gbt-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    n = F.col("nodeData")
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), n["id"].alias("node"), n["split"]["featureIndex"].alias("feature"),
-        F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
-        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["prediction"].alias("value"),
-        n["gain"].alias("gain"), n["rawCount"].alias("rows"), n["split"]["numCategories"].alias("categories"))
-    inner = F.col("left") >= 0
-    if nodes.where(inner & (F.col("categories") >= 0)).limit(1).count():
-        raise ValueError("the model splits on a categorical feature")
-    nodes = nodes.drop("categories")
-    trees = []
-    for i, group in nodes.toPandas().groupby("tree", sort=True):
-        g = group.sort_values("node")
-        leaf = g["left"].to_numpy() < 0
-        trees.append(Tree(np.where(leaf, -1, g["feature"].to_numpy()), g["threshold"].fillna(0.0).to_numpy(),
-                          g["left"].to_numpy(), g["right"].to_numpy(), g["value"].to_numpy() * model.treeWeights[i]))
-    return Boosted(nodes, trees)
-
-
-def _step(tree: Tree, x: np.ndarray, at: np.ndarray):
-    """The next node of each row, and which rows moved. NaN goes right, as in Spark."""
-    feature = tree.feature[at]
-    moved = feature >= 0
-    goes_left = x[np.arange(len(x)), np.maximum(feature, 0)] <= tree.threshold[at]
-    return np.where(moved, np.where(goes_left, tree.left[at], tree.right[at]), at), moved
-
-
-def _leaf_values(tree: Tree, x: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(x), np.int64)
-    moved = np.ones(1, bool)
-    while moved.any():
-        at, moved = _step(tree, x, at)
-    return tree.value[at]
-
-
-def _proba(margin):
-    return 1.0 / (1.0 + np.exp(-2.0 * margin))
-
-
-def _matrix(pdf, column: str) -> np.ndarray:
-    return np.stack(pdf[column].to_numpy()) if len(pdf) else np.zeros((0, 1))
-
-
-def prefix_scores(rows: DataFrame, boosted: Boosted, first: int, last: int, label: str = S.TARGET,
-                  features: str = "features") -> DataFrame:
-    """(y_true, n_trees, y_proba) for the prefixes of ``first`` to ``last`` trees."""
-    trees = boosted.trees[:last]
+    """Trees in boosting order (values already times the learning rate) and the first margin."""
+    trees: list
+    base: float
 
-    def walk(batches):
-        import pandas as pd
-        for pdf in batches:
-            x = _matrix(pdf, "_x")
-            values = np.stack([_leaf_values(t, x) for t in trees], axis=1)
-            proba = _proba(np.cumsum(values, axis=1)[:, first - 1:])
-            yield pd.DataFrame({"y_true": pdf["y_true"], "proba": list(proba)})
-
-    scored = rows.select(F.col(label).cast("int").alias("y_true"), vector_to_array(features).alias("_x")) \
-                 .mapInPandas(walk, "y_true int, proba array<double>")
-    return scored.select("y_true", F.posexplode("proba").alias("i", "y_proba")) \
-                 .select("y_true", (F.col("i") + first).cast("int").alias("n_trees"), "y_proba")
-
-
-def early_stop(boosted: Boosted, val: DataFrame, patience: int = 100, label: str = S.TARGET,
-               features: str = "features") -> tuple[int, list]:
-    """``(best, history)``: the number of trees with the highest validation AP (the first of
-    equals) and every judged ``(n_trees, average_precision)``.
-
-    Prefixes are judged in blocks of ``patience`` trees, each one grouped curve pass, until
-    ``patience`` trees bring no better AP; a later block walks the earlier trees again, which
-    keeps a validation row's messages at ``patience`` scores however many trees there are."""
-    history, best, best_ap = [], 0, -1.0
-    total = len(boosted.trees)
-    for first in range(1, total + 1, patience):
-        last = min(first + patience - 1, total)
-        scores = prefix_scores(val, boosted, first, last, label, features)
-        ap = curves.ranking_summary(curves.curve_table(scores, ["n_trees"]), ["n_trees"]) \
-                   .select("n_trees", "average_precision")
-        for n, value in sorted((r["n_trees"], r["average_precision"]) for r in ap.collect()):  # a row a tree
-            history.append((n, value))
-            if value > best_ap:
-                best, best_ap = n, value
-            if n - best >= patience:
-                return best, history
-    return best, history
-
-
-def score_prefix(boosted: Boosted, rows: DataFrame, n_trees: int, id_col: str = S.ID, label: str = S.TARGET,
+    def prefix(self, n_trees: int) -> Boosted:
+        return Boosted(self.trees[:n_trees], self.base)
+
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """(tree, node, feature, threshold, left, right, value, gain, rows): one row a node."""
+        rows = [(i, n, int(t.feature[n]), float(t.threshold[n]), int(t.left[n]), int(t.right[n]), float(t.value[n]),
+                 float(t.gain[n]), int(round(t.rows[n]))) for i, t in enumerate(self.trees) for n in range(len(t.feature))]
+        return spark.createDataFrame(rows, "tree int, node int, feature int, threshold double, left int, right int, "
+                                           "value double, gain double, rows long")
+
+
+def pack(boosted: Boosted) -> tuple:
+    """The model as plain arrays: broadcast values are unpickled where this package may not be."""
+    return boosted.base, [(t.feature, t.threshold, t.left, t.right, t.value, t.gain, t.rows) for t in boosted.trees]
+
+
+def unpack(packed: tuple) -> Boosted:
+    return Boosted([Tree(*t) for t in packed[1]], packed[0])
+
+
+def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """The leaf of each row. A value up to the threshold goes left; NaN goes right."""
+    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    while len(rows):
+        feature = tree.feature[at[rows]]
+        rows = rows[feature >= 0]
+        node, feature = at[rows], feature[feature >= 0]
+        at[rows] = np.where(x[rows, feature] <= tree.threshold[node], tree.left[node], tree.right[node])
+    return at
+
+
+def leaf_values(tree: Tree, x: np.ndarray) -> np.ndarray:
+    return tree.value[leaf_of(tree, x)]
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def score_prefix(boosted: Boosted, rows: DataFrame, n_trees: int, id_col: str = S.ID, label: str | None = S.TARGET,
                  features: str = "features") -> DataFrame:
-    """(id, y_true, y_proba) by the first ``n_trees`` trees."""
-    trees = boosted.trees[:n_trees]
+    """(id, y_true, y_proba) by the first ``n_trees`` trees; without ``label`` (id, y_proba)."""
+    held = rows.sparkSession.sparkContext.broadcast(pack(boosted.prefix(n_trees)))  # model-sized
 
     def walk(batches):
-        for pdf in batches:
-            x = _matrix(pdf, "_x")
-            pdf["y_proba"] = _proba(sum((_leaf_values(t, x) for t in trees), np.zeros(len(x))))
-            yield pdf[[id_col, "y_true", "y_proba"]]
-
+        import pyarrow as pa
+        model = unpack(held.value)
+        for b in batches:
+            x = _matrix(b.column(b.num_columns - 1)) if b.num_rows else np.zeros((0, 1))
+            margin = sum((leaf_values(t, x) for t in model.trees), np.full(len(x), model.base))
+            keep = list(range(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(1.0 / (1.0 + np.exp(-margin)))],
+                                             names=[*(b.schema.names[k] for k in keep), "y_proba"])
+
+    own = [F.col(id_col)] + ([F.col(label).cast("int").alias("y_true")] if label else [])
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, F.col(label).cast("int").alias("y_true"), vector_to_array(features).alias("_x")) \
-               .mapInPandas(walk, f"{id_col} {kind}, y_true int, y_proba double")
+    return rows.select(*own, vector_to_array(features).alias("_x")) \
+               .mapInArrow(walk, f"{id_col} {kind}, " + ("y_true int, " if label else "") + "y_proba double")
 
 
 def gain_table(boosted: Boosted, names: DataFrame) -> DataFrame:
-    """(feature, block, gain): ``sum(gain * rows)`` over the inner nodes; 0 for unused features."""
-    gains = boosted.nodes.where("left >= 0").groupBy(F.col("feature").cast("long").alias("idx")) \
-                         .agg(F.sum(F.col("gain") * F.col("rows")).alias("gain"))
+    """(feature, block, gain): the summed gain of a feature's splits; 0 for unused features."""
+    gains = boosted.nodes(names.sparkSession).where("left >= 0").groupBy(F.col("feature").cast("long").alias("idx")) \
+                   .agg(F.sum("gain").alias("gain"))
     return names.join(F.broadcast(gains), "idx", "left") \
                 .select(F.col("safe_name").alias("feature"), "block", F.coalesce("gain", F.lit(0.0)).alias("gain"))
 
@@ -170,27 +116,76 @@ def top_gain(gains: DataFrame, n: int = 25, n_outside: int = 12, text_block: str
                 .select("listing", "rank", "feature", "gain")
 
 
+# -- Shapley values -----------------------------------------------------------
+def leaf_paths(tree: Tree) -> list[tuple]:
+    """For each leaf with a path: ``(value, features, shares, lows, highs)``. A feature's splits on the
+    path are merged: its share is the product of the splits' shares of rows, and a row follows
+    them when low < x <= high (NaN follows when high is infinite)."""
+    out, stack = [], [(0, {})]
+    while stack:
+        node, path = stack.pop()
+        if tree.feature[node] < 0:
+            if path:
+                shares, lows, highs = zip(*path.values())
+                out.append((float(tree.value[node]), np.array(list(path)), np.array(shares), np.array(lows), np.array(highs)))
+            continue
+        f, cut = int(tree.feature[node]), float(tree.threshold[node])
+        share, low, high = path.get(f, (1.0, -np.inf, np.inf))
+        for child, a, b in ((tree.left[node], low, min(high, cut)), (tree.right[node], max(low, cut), high)):
+            stack.append((int(child), {**path, f: (share * tree.rows[child] / tree.rows[node], a, b)}))
+    return out
+
+
+def expected_value(tree: Tree) -> float:
+    """The mean of the leaf values, weighted by their training rows."""
+    leaf = tree.feature < 0
+    return float((tree.value[leaf] * tree.rows[leaf]).sum() / tree.rows[leaf].sum())
+
+
+def shapley_of(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """Exact path-dependent Shapley values (rows x features) of the summed trees.
+
+    A leaf that a set of known features reaches with the shares of the others gives feature i
+    ``value * (follows_i - share_i)`` times the integral over t from 0 to 1 of the product over its
+    path's other features of ``share * (1 - t) + follows * t``: the weights of the subsets are
+    that integral's coefficients. The product is a polynomial in t, so Gauss-Legendre nodes give
+    its exact integral."""
+    out = np.zeros(x.shape)
+    for tree in trees:
+        for value, features, shares, lows, highs in leaf_paths(tree):
+            own = x[:, features]
+            follows = ((own > lows) | np.isneginf(lows)) & (own <= highs)
+            follows |= np.isnan(own) & np.isposinf(highs)
+            nodes, weights = np.polynomial.legendre.leggauss(len(features) // 2 + 1)
+            t = (nodes + 1.0) / 2.0
+            parts = shares[None, :, None] * (1.0 - t) + follows[:, :, None] * t
+            others = np.prod(parts, axis=1, keepdims=True) / parts
+            out[:, features] += value * (follows - shares) * (others @ (weights / 2.0))
+    return out
+
+
 def contributions(boosted: Boosted, rows: DataFrame, id_col: str = S.ID, features: str = "features") -> DataFrame:
-    """(id, margin, contributions): per feature, the sum of the changes in node value at the
-    splits on it along the row's paths; with ``Boosted.base`` they add up to the margin."""
-    trees, base = boosted.trees, boosted.base
+    """(id, margin, base, contributions): Shapley values per feature; with ``base`` (the expected margin)
+    they add up to the margin."""
+    held = rows.sparkSession.sparkContext.broadcast(pack(boosted))  # model-sized
 
     def walk(batches):
-        import pandas as pd
-        for pdf in batches:
-            x = _matrix(pdf, "_x")
-            out, every = np.zeros_like(x), np.arange(len(x))
-            for tree in trees:
-                at, moved = np.zeros(len(x), np.int64), np.ones(1, bool)
-                while moved.any():
-                    after, moved = _step(tree, x, at)
-                    out[every, np.maximum(tree.feature[at], 0)] += tree.value[after] - tree.value[at]
-                    at = after
-            yield pd.DataFrame({id_col: pdf[id_col], "margin": out.sum(axis=1) + base, "contributions": list(out)})
+        import pyarrow as pa
+        model = unpack(held.value)
+        base = model.base + sum(expected_value(t) for t in model.trees)
+        for b in batches:
+            x = _matrix(b.column(1)) if b.num_rows else np.zeros((0, 1))
+            for at in range(0, len(x), 2048):
+                part = x[at:at + 2048]
+                phi = shapley_of(model.trees, part)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1]), pa.array(phi.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(part)), pa.array(phi.sum(axis=1) + base), pa.array(np.full(len(part), base)), lists],
+                    names=[id_col, "margin", "base", "contributions"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, vector_to_array(features).alias("_x")) \
-               .mapInPandas(walk, f"{id_col} {kind}, margin double, contributions array<double>")
+               .mapInArrow(walk, f"{id_col} {kind}, margin double, base double, contributions array<double>")
 
 
 def contribution_means(parts: DataFrame, names: DataFrame, n: int = 20) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import curves, models, search, split, trees, vectors
+from ..operators import booster, curves, models, search, split, trees, vectors
+from ..session import stored
 from ..sources.tables import table
 from ..sources.testviews import featured_postings
 from . import oracle as O
@@ -66,37 +67,54 @@ def logreg_embedding(spark, sf_dir, max_iter=MAX_ITER):
     return models.score(m, e.where(F.col("split") != "train")).join(e.select("job_id", "split"), "job_id")
 
 
-@register("gbt_embedding")
-def gbt_embedding(spark, sf_dir, n_trees=TREES):
-    """Boosted trees on the embeddings (positive-class weight)."""
-    e = _embedding_rows(spark, sf_dir)
-    m = models.fit_gbt(e.where(F.col("split") == "train"), params=models.GbtParams(n_estimators=n_trees))
-    return models.score(m, e.where(F.col("split") != "train")).join(e.select("job_id", "split"), "job_id")
+_FITTED: dict = {}
 
 
-def _gbt_meta(spark, sf_dir, n_trees=TREES, k=SVD_COMPONENTS):
-    # fit, apply and scoring all read the split postings: keep them (spilling if needed)
-    df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    train = df.where(F.col("split") == "train")
-    art = T.preprocess_fit(train, svd_components=k, scale_numeric=False)
-    xt = T.preprocess_apply(train, art)
-    m = models.fit_gbt(xt, params=models.GbtParams(n_estimators=n_trees))
-    return df, art, m
+def _once(spark, name, *key, make):
+    """``make()`` once a session and key: several queries read the same fitted model."""
+    key = (spark.sparkContext.applicationId, name, *key)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+@register("gbt_embedding")
+def gbt_embedding(spark, sf_dir, n_trees=TREES):
+    """Boosted trees on the embeddings (positive-class weight, all rounds); val/test scores."""
+    e = _embedding_rows(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    fit = _once(spark, "gbt_embedding", sf_dir, n_trees, make=lambda: T.embedding_head(
+        e.where(F.col("split") == "train"), "trees", n_estimators=n_trees))
+    out = trees.score_prefix(fit.boosted, e.where(F.col("split") != "train"), fit.best)
+    return out.join(e.select("job_id", "split"), "job_id")
+
+
+def _gbt_meta(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
+    """Split postings, fitted preprocessing and the early-stopped booster, fitted once a session and folder."""
+    def make():
+        # fit, apply and scoring all read the split postings: keep them (spilling if needed)
+        df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        train = df.where(F.col("split") == "train")
+        art = T.preprocess_fit(train, svd_components=k, scale_numeric=False)
+        x = stored(T.preprocess_apply(df, art).join(df.select("job_id", "split"), "job_id"), "meta-matrix")
+        fit = booster.fit_boosters(x.where(F.col("split") == "train"), [booster.BoostParams(n_estimators=n_trees)],
+                                   x.where(F.col("split") == "val"), patience)[0]
+        return x, art, fit
+    return _once(spark, "gbt_meta", sf_dir, n_trees, patience, k, make=make)
 
 
 @register("gbt_meta")
-def gbt_meta(spark, sf_dir, n_trees=TREES, k=SVD_COMPONENTS):
-    """SVD text block + one-hot + hand-made features -> boosted trees."""
-    df, art, m = _gbt_meta(spark, sf_dir, n_trees, k)
-    xo = T.preprocess_apply(df.where(F.col("split") != "train"), art)
-    return models.score(m, xo).join(df.select("job_id", "split"), "job_id")
+def gbt_meta(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
+    """SVD text block + one-hot + hand-made features -> boosted trees."""
+    x, _, fit = _gbt_meta(spark, sf_dir, n_trees, patience, k)
+    other = x.where(F.col("split") != "train")
+    return trees.score_prefix(fit.boosted, other, fit.best).join(other.select("job_id", "split"), "job_id")
 
 
 @register("gain_importance")
-def gain_importance(spark, sf_dir, n_trees=TREES, k=SVD_COMPONENTS):
-    """Summed gain x rows of the splits: top 25 features, top 12 outside the text block."""
-    _, art, m = _gbt_meta(spark, sf_dir, n_trees, k)
-    return trees.top_gain(trees.gain_table(trees.read_nodes(m), art.names))
+def gain_importance(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
+    """Summed gain of the splits up to the best round: top 25 features, top 12 outside the text block."""
+    _, art, fit = _gbt_meta(spark, sf_dir, n_trees, patience, k)
+    return trees.top_gain(trees.gain_table(fit.boosted.prefix(fit.best), art.names))
 
 
 @register("svd_components")
@@ -112,49 +130,51 @@ def svd_components(spark, sf_dir, k=SVD_COMPONENTS):
     return every.select("job_id").join(sv, "job_id", "left").select("job_id", F.posexplode(row).alias("i", "value"))
 
 
-def _early_stopped(spark, sf_dir, n_trees, patience, k):
-    df, art, m = _gbt_meta(spark, sf_dir, n_trees, k)
-    boosted = trees.read_nodes(m)
-    xv = T.preprocess_apply(df.where(F.col("split") == "val"), art)
-    return df, art, boosted, xv, *trees.early_stop(boosted, xv, patience)
-
-
 @register("gbt_best_prefix")
 def gbt_best_prefix(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
-    """I4: validation AP of every judged tree prefix, and which one the early stop chose."""
-    *_, best, history = _early_stopped(spark, sf_dir, n_trees, patience, k)
-    return spark.createDataFrame([(n, ap, n == best) for n, ap in history],
+    """I4: validation AP of every round, and which one the early stop chose."""
+    *_, fit = _gbt_meta(spark, sf_dir, n_trees, patience, k)
+    return spark.createDataFrame([(n, ap, n == fit.best) for n, ap in fit.history],
                                  "n_trees int, average_precision double, chosen boolean")
 
 
 @register("gbt_early_stopped")
 def gbt_early_stopped(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
     """I4: the test postings scored by the prefix that the early stop chose."""
-    df, art, boosted, _, best, _ = _early_stopped(spark, sf_dir, n_trees, patience, k)
-    test = T.preprocess_apply(df.where(F.col("split") == "test"), art)
-    return trees.score_prefix(boosted, test, best)
+    x, _, fit = _gbt_meta(spark, sf_dir, n_trees, patience, k)
+    return trees.score_prefix(fit.boosted, x.where(F.col("split") == "test"), fit.best)
 
 
 @register("tree_contributions")
-def tree_contributions(spark, sf_dir, n_trees=TREES, k=SVD_COMPONENTS):
-    """Mean absolute path contribution on validation, top 20 features."""
-    df, art, m = _gbt_meta(spark, sf_dir, n_trees, k)
-    xv = T.preprocess_apply(df.where(F.col("split") == "val"), art)
-    return trees.contribution_means(trees.contributions(trees.read_nodes(m), xv), art.names)
+def tree_contributions(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
+    """Mean absolute Shapley value on validation, top 20 features."""
+    x, art, fit = _gbt_meta(spark, sf_dir, n_trees, patience, k)
+    return trees.contribution_means(trees.contributions(fit.boosted.prefix(fit.best), x.where(F.col("split") == "val")), art.names)
+
+
+def _booster_search(spark, sf_dir, n_trials, n_estimators, patience):
+    def make():
+        e = _embedding_rows(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        folder = scratch_folder(spark, "booster")
+        trials = tuning.booster_search(e.where(F.col("split") == "train"), e.where(F.col("split") == "val"), n_trials,
+                                       n_estimators, patience, log_path=f"{folder}/log")
+        return e, trials, folder
+    return _once(spark, "booster_search", sf_dir, n_trials, n_estimators, patience, make=make)
 
 
 @register("booster_search_report")
 def booster_search_report(spark, sf_dir, n_trials=BOOSTER_TRIALS, n_estimators=TREES, patience=PATIENCE):
-    """Random search over the booster, refit of the best trial, F2 threshold tuned on
-    val, one report a split."""
-    e = _embedding_rows(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    train, folder = e.where(F.col("split") == "train"), scratch_folder(spark, "booster")
-    trials = tuning.booster_search(train, e.where(F.col("split") == "val"), n_trials, n_estimators,
-                                   patience, log_path=f"{folder}/log")
-    out = tuning.refit_best(trials, train, e, "booster_tuned", f"{folder}/log", f"{folder}/scores",
-                            n_estimators, patience)
-    e.unpersist()
-    return out
+    """Search over the booster's seven parameters, refit of the best trial, F2 threshold
+    tuned on val, one report a split."""
+    e, trials, folder = _booster_search(spark, sf_dir, n_trials, n_estimators, patience)
+    return tuning.refit_best(trials, e.where(F.col("split") == "train"), e, "booster_tuned", f"{folder}/log",
+                             f"{folder}/scores", n_estimators, patience)
+
+
+@register("booster_param_effect")
+def booster_param_effect(spark, sf_dir, n_trials=BOOSTER_TRIALS, n_estimators=TREES, patience=PATIENCE):
+    """Per parameter of the booster's search, share of AP variance explained by its quartile bin."""
+    return search.param_effect(_booster_search(spark, sf_dir, n_trials, n_estimators, patience)[1], names=tuning.NAMES)
 
 
 _TRIALS = 40

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import encode, models, tfidf
+from ..operators import booster, encode, models, tfidf
 
 
 @dataclass
@@ -80,6 +80,17 @@ def tfidf_logreg_scores(train: DataFrame, others: DataFrame, C: float = 1.0, max
         id_col, "split", F.col(S.TARGET).cast("int").alias("y_true"), "y_proba")
 
 
+def embedding_head(train: DataFrame, kind: str = "logistic", val: DataFrame | None = None, n_estimators: int = 1000,
+                   patience: int = 100, max_iter: int = 2000):
+    """A classifier on embedding vectors: ``logistic`` (balanced) or ``trees`` (stopped early
+    on ``val``, when given)."""
+    if kind == "logistic":
+        return models.fit_logreg(train, max_iter=max_iter)
+    if kind == "trees":
+        return booster.fit_boosters(train, [booster.BoostParams(n_estimators=n_estimators)], val, patience)[0]
+    raise ValueError(f"unknown kind of head: {kind!r} (logistic or trees)")
+
+
 def save_artifacts(art: Artifacts, path: str) -> str:
     """Write the fitted bundle as Parquet tables plus one small JSON of scalars."""
     import dataclasses
