@@ -133,11 +133,14 @@ class Block:
 class Items:
     """The terms of a set of items, as ranges of one array."""
 
-    def __init__(self, texts: list, numbers: dict):
-        own = [sorted({numbers[t] for t in terms_of(x)}) for x in texts]
-        self.starts = np.cumsum([0, *map(len, own)])
-        self.terms = np.array([t for o in own for t in o], np.int64)
-        self.n_terms = len(numbers)
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, n_terms: int):
+        self.starts, self.terms, self.n_terms = starts, terms, n_terms
+
+
+def item_terms(texts: list, numbers: dict) -> tuple:
+    """The arguments of ``Items``; broadcast as plain arrays."""
+    own = [sorted({numbers[t] for t in terms_of(x)}) for x in texts]
+    return np.cumsum([0, *map(len, own)]), np.array([t for o in own for t in o], np.int64), len(numbers)
 
 
 class Best:
@@ -189,10 +192,10 @@ def _search_set(docs: DataFrame, items: list, k: int, columns: dict) -> DataFram
         df[r["t"]] = r["df"]
     weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
     index = build_index(counts, n_docs, n_terms)
-    held = docs.sparkSession.sparkContext.broadcast((weights, Items([text for _, text in items], numbers)))
+    held = docs.sparkSession.sparkContext.broadcast((weights, item_terms([text for _, text in items], numbers)))
 
     def search(batches):
-        weights, items = held.value
+        weights, items = held.value[0], Items(*held.value[1])
         best, group = [Best(k) for _ in items.starts[1:]], []
         for batch in batches:
             for i in range(batch.num_rows):

@@ -259,7 +259,7 @@ def test_bounds_leave_blocks_out():
         terms, tfs, at = rng.integers(0, 3, 8), rng.integers(1, 5, 8), np.arange(8)
         by = np.lexsort((at, tfs, terms))
         blocks.append(strata.Block(m, list(range(m * 10, m * 10 + 8)), *(x[by].astype("<i4").tobytes() for x in (terms, tfs, at)), weights))
-    items = strata.Items([b"a b", b"c"], {b"a": 0, b"b": 1, b"c": 2})
+    items = strata.Items(*strata.item_terms([b"a b", b"c"], {b"a": 0, b"b": 1, b"c": 2}))
     for b in blocks:
         places = b.places(3)
         for i, terms in enumerate(([0, 1], [2])):
