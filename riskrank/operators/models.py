@@ -43,7 +43,7 @@ def sparse_rows(long: DataFrame, size: int, id_col: str = "id", index_col: str =
     """Long (id, index, value) -> one SparseVector per id (and per row of ``ids``, when given). A document's own entries
     are gathered (bounded by its length); the small Python step only builds the
     vector object once per document."""
-    g = long.groupBy(id_col).agg(F.collect_list(index_col).alias("_i"), F.collect_list(value_col).alias("_v"))
+    g = _grouped(long, id_col, index_col, value_col)
     if ids is not None:
         g = ids.join(g, id_col, "left")
     return g.select(id_col, _sparse(size)(F.coalesce("_i", F.array()), F.coalesce("_v", F.array())).alias(out))
@@ -117,6 +117,14 @@ def score(model, df: DataFrame, id_col: str = S.ID, label: str | None = S.TARGET
 
 
 # -- H3 -----------------------------------------------------------------------
+def _grouped(weights: DataFrame, id_col: str, index_col: str, value_col: str) -> DataFrame:
+    """(id, _i, _v): a row a document; the long table (id, index, value) is gathered, rows that have
+    their lists already pass as they are."""
+    if "_i" in weights.columns:
+        return weights
+    return weights.groupBy(id_col).agg(F.collect_list(index_col).alias("_i"), F.collect_list(value_col).alias("_v"))
+
+
 @dataclass
 class SvdModel:
     components: np.ndarray  # (n_terms, k), sign-fixed
@@ -138,8 +146,7 @@ class SvdModel:
         spark = weights.sparkSession
         comp = spark.sparkContext.broadcast(self.components)
         k = self.components.shape[1]
-        grouped = weights.groupBy(id_col).agg(F.collect_list(index_col).alias("_i"),
-                                              F.collect_list(value_col).alias("_v"))
+        grouped = _grouped(weights, id_col, index_col, value_col)
 
         def project(batches):
             import numpy as np
@@ -224,9 +231,7 @@ def fit_svd(weights: DataFrame, n_terms: int, k: int, n_oversamples: int = 10, n
     if n_terms * width > MAX_SKETCH_CELLS:  # the sketch and components are broadcast
         raise ValueError(f"{n_terms} terms x {width} columns is too large to broadcast; "
                          "bound the vocabulary (max_features) or lower k")
-    grouped = weights.groupBy(id_col).agg(F.collect_list(index_col).alias("_i"),
-                                          F.collect_list(value_col).alias("_v")) \
-                     .persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
+    grouped = _grouped(weights, id_col, index_col, value_col).persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
     rng = np.random.default_rng(seed)
     m_mat = rng.standard_normal((n_terms, width))
     for it in range(n_iter + 1):

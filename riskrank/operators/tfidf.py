@@ -6,19 +6,23 @@ document frequency in [min_df, max_df * n_docs], then the ``max_features`` terms
 with the largest total count (ties by term); term ids in alphabetical order;
 sublinear tf ``1 + ln(tf)``; smoothed idf ``ln((1 + n) / (1 + df)) + 1``; L2 row norm.
 
-Plan: documents are hash-partitioned by id once (only ``id, text`` travel, the
-smallest form of the data). After that the per-document term counts and the
-per-document norm need no further exchange, because hash(id) already clusters
-(id, term). The only other shuffle is the per-term document-frequency aggregate,
-which partial aggregation shrinks to one row per (task, term). The vocabulary is
-written to the shared folder, so Spark broadcasts it only when its bytes allow.
+Plan: terms are counted where the document lies, in Arrow batches, and no text moves. Fitting sends
+one row per (batch, term) to the only shuffle, the per-term totals. Applying looks the terms up in
+the vocabulary, which travels with the tasks when it has ``BROADCAST_TERMS`` terms at most (its size is
+checked), and normalises each document in place; a larger vocabulary is joined by term instead,
+with the same result. The vocabulary is written to the shared folder: later transforms never re-run the fit.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,11 @@ from .running import running_totals
 
 #: Terms are ordered by their first so many characters, then within them.
 PREFIX = 3
+#: Vocabularies of so many terms at most travel with the tasks.
+BROADCAST_TERMS = 200_000
+#: A task sends its counts on when it holds so many.
+FLUSH = 100_000
+TOKEN = re.compile(r"\w{2,}")
 _RES = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources")
 
 
@@ -51,48 +60,80 @@ class TfidfParams:
         return english_stop_words() if self.stop_words is None else list(self.stop_words)
 
 
-def normalised_text(text_col, params: TfidfParams):
-    """Lower-case and accent-stripped text (the only Python step)."""
-    t = F.coalesce(text_col, F.lit(""))
-    if params.lowercase:
-        t = F.lower(t)
-    if params.strip_accents:
-        t = tx.strip_accents(t)
-    return t
-
-
-def token_list(text_col, params: TfidfParams):
-    """Column with the stop-word-free token list of an already normalised text."""
-    return tx.remove_words(tx.word_tokens(text_col), params.words())
-
-
-def ngram_list(toks, params: TfidfParams):
-    """n-grams of a token-list column (pass a column reference, not an expression,
-    so the tokens are computed once per row)."""
-    lo, hi = params.ngram_range
-    parts = []
-    if lo <= 1 <= hi:
-        parts.append(toks)
-    if lo <= 2 <= hi:
-        parts.append(tx.bigrams(toks))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def doc_terms(docs: DataFrame, id_col: str, text_col: str, params: TfidfParams,
-              partitions: int | None = None) -> DataFrame:
-    """(id, term, tf) with one row per distinct term of a document."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The Python step runs before the exchange: an Arrow UDF does not keep its
-    # input's partitioning, and everything after the exchange relies on hash(id).
-    norm = docs.select(F.col(id_col).alias("id"), normalised_text(F.col(text_col), params).alias("_text"))
-    by_doc = norm.repartition(n, "id")
-    toks = by_doc.select("id", token_list(F.col("_text"), params).alias("_toks"))
-    exploded = toks.select("id", F.explode(ngram_list(F.col("_toks"), params)).alias("term"))
-    return exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_stats(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+def _counter(params: TfidfParams):
+    """``text -> Counter`` of the n-grams of an already lower-cased text (None: no terms).
+    Python's ``\\w`` is the word class of ``functions.text``."""
+    stop, (low, high), accents = frozenset(params.words()), params.ngram_range, params.strip_accents
+
+    def count(text):
+        if text is None:
+            return Counter()
+        if accents and not text.isascii():
+            text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        tokens = [t for t in TOKEN.findall(text) if t not in stop]
+        out = Counter(tokens) if low <= 1 <= high else Counter()
+        if low <= 2 <= high:
+            out.update(map(" ".join, zip(tokens, tokens[1:])))
+        return out
+    return count
+
+
+def _texts(docs: DataFrame, text_col: str, params: TfidfParams, *keys) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(*keys, (F.lower(text) if params.lowercase else text).alias("_text"))
+
+
+def doc_terms(docs: DataFrame, id_col: str, text_col: str, params: TfidfParams) -> DataFrame:
+    """(id, term, tf) with one row per distinct term of a document (a row of ``docs``)."""
+    count, kind = _counter(params), docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, terms, tfs = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                found = count(text.as_py())
+                ids += [i] * len(found)
+                terms += found.keys()
+                tfs += found.values()
+                if len(terms) >= FLUSH or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(terms, pa.string()),
+                                                      pa.array(tfs, pa.int64())], names=["id", "term", "tf"])
+                    ids, terms, tfs = [], [], []
+    return _texts(docs, text_col, params, F.col(id_col).alias("id")).mapInArrow(run, f"id {kind}, term string, tf long")
+
+
+def partial_stats(docs: DataFrame, text_col: str, params: TfidfParams, class_col: str | None = None) -> DataFrame:
+    """(cls, term, df, total) of parts of the rows, to be summed per (cls, term)."""
+    count = _counter(params)
+    cls = F.col(class_col) if class_col else F.lit(0)
+    rows = _texts(docs, text_col, params, cls.alias("cls"))
+    kind = rows.schema["cls"].dataType.simpleString()
+
+    def run(batches):
+        df, total, types = Counter(), Counter(), None
+
+        def flush():
+            keys = list(df)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([c for c, _ in keys], types), pa.array([t for _, t in keys], pa.string()), pa.array(list(df.values()), pa.int64()),
+                 pa.array([total[k] for k in keys], pa.int64())], names=["cls", "term", "df", "total"])
+        for batch in batches:
+            types = batch.schema.types[0]
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = {(c, t): n for t, n in count(text.as_py()).items()}
+                df.update(found.keys())
+                total.update(found)
+                if len(df) >= FLUSH:
+                    yield flush()
+                    df, total = Counter(), Counter()
+        if df:
+            yield flush()
+    return rows.mapInArrow(run, f"cls {kind}, term string, df long, total long")
+
+
+def term_stats(docs: DataFrame, text_col: str, params: TfidfParams) -> DataFrame:
+    """(term, df, total) over all documents."""
+    return partial_stats(docs, text_col, params).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
 def _before(rows: DataFrame, key: str) -> DataFrame:
@@ -148,42 +189,76 @@ class TfidfModel:
     vocab_size: int
 
     def weights_from_terms(self, terms: DataFrame) -> DataFrame:
-        """(id, term_id, weight): sublinear tf * idf, L2-normalised per document."""
+        """(id, term_id, weight): sublinear tf * idf, L2-normalised per id; terms are joined by term."""
         j = terms.join(self.vocabulary.select("term", "term_id", "idf"), "term")
         tf = (1.0 + F.log(F.col("tf"))) if self.params.sublinear_tf else F.col("tf").cast("double")
-        w = j.select("id", "term_id", "term", (tf * F.col("idf")).alias("_w"))
-        per_doc = Window.partitionBy("id")  # a document's own terms; already clustered by id
+        w = j.select("id", "term_id", (tf * F.col("idf")).alias("_w"))
+        per_doc = Window.partitionBy("id")  # a document's own terms
         norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(per_doc))
-        return w.select("id", "term_id", "term", (F.col("_w") / norm).alias("weight"))
+        return w.select("id", "term_id", (F.col("_w") / norm).alias("weight"))
 
     def transform(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        return self.weights_from_terms(doc_terms(docs, id_col, text_col, self.params))
+        """(id, term_id, weight); a document without a vocabulary term has no row."""
+        if self.vocab_size > BROADCAST_TERMS:
+            return self.weights_from_terms(doc_terms(docs, id_col, text_col, self.params))
+        rows = self.transform_rows(docs, id_col, text_col)
+        return rows.select("id", F.explode(F.arrays_zip("_i", "_v")).alias("w")) \
+                   .select("id", F.col("w._i").alias("term_id"), F.col("w._v").alias("weight"))
+
+    def transform_rows(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, _i, _v): a row a document with its term ids, ascending, and their weights."""
+        if self.vocab_size > BROADCAST_TERMS:
+            long = self.weights_from_terms(doc_terms(docs, id_col, text_col, self.params))
+            own = long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("w"))
+            found = own.select("id", F.col("w.term_id").alias("_i"), F.col("w.weight").alias("_v"))
+            return docs.select(F.col(id_col).alias("id")).join(found, "id", "left").select(
+                "id", F.coalesce("_i", F.array().cast("array<int>")).alias("_i"), F.coalesce("_v", F.array().cast("array<double>")).alias("_v"))
+        table = self.vocabulary.select("term", "term_id", "idf").toArrow()  # BROADCAST_TERMS rows at most
+        held = docs.sparkSession.sparkContext.broadcast(
+            (dict(zip(table["term"].to_pylist(), table["term_id"].to_pylist())), dict(zip(table["term_id"].to_pylist(), table["idf"].to_pylist()))))
+        count, sublinear, kind = _counter(self.params), self.params.sublinear_tf, docs.schema[id_col].dataType.simpleString()
+
+        def run(batches):
+            number, idf = held.value
+            weights = np.zeros(len(idf))
+            for i, v in idf.items():
+                weights[i] = v
+            for batch in batches:
+                start, index, value, ends = 0, [], [], [0]
+                for i, text in enumerate(batch.column(1)):
+                    found = sorted((number[t], n) for t, n in count(text.as_py()).items() if t in number)
+                    terms, tf = np.array(found, np.int64).reshape(-1, 2).T
+                    w = (1.0 + np.log(tf) if sublinear else tf.astype(float)) * weights[terms]
+                    index.append(terms.astype(np.int32))
+                    value.append(w / np.sqrt((w * w).sum()) if len(w) else w)
+                    ends.append(ends[-1] + len(w))
+                    if ends[-1] >= FLUSH or i == batch.num_rows - 1:
+                        offsets = pa.array(ends, pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).slice(start, i + 1 - start), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(index))),
+                             pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(value)))], names=["id", "_i", "_v"])
+                        start, index, value, ends = i + 1, [], [], [0]
+        return _texts(docs, text_col, self.params, F.col(id_col).alias("id")) \
+            .mapInArrow(run, f"id {kind}, _i array<int>, _v array<double>")
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, params: TfidfParams | None = None) -> TfidfModel:
     params = params or TfidfParams()
-    terms = doc_terms(docs, id_col, text_col, params)
     n_docs = docs.count()
-    vocab = select_vocabulary(term_stats(terms), n_docs, params)
+    vocab = select_vocabulary(term_stats(docs, text_col, params), n_docs, params)
     vocab = stored(vocab, "vocabulary")  # fitted artifact: later transforms never re-run the fit
     size = vocab.count()
     return TfidfModel(vocab, n_docs, params, size)
 
 
 def top_ngrams(docs: DataFrame, text_col: str, class_col: str, n: int = 15, ngram=(2, 2),
-               min_df: int = 3, id_col: str = "job_id", stop_words=None) -> DataFrame:
+               min_df: int = 3, stop_words=None) -> DataFrame:
     """Per class: the n most frequent n-grams (lower-cased, stop words out, document
     frequency >= ``min_df`` within the class), ties by term. The per-class top-n
     uses ``row_number() <= n``, which Spark limits per task before the shuffle."""
     params = TfidfParams(ngram_range=ngram, strip_accents=False, stop_words=stop_words)
-    docs2 = docs.select(F.col(id_col).alias("id"), F.col(class_col).alias("_cls"),
-                        normalised_text(F.col(text_col), params).alias("_text"))
-    by_doc = docs2.repartition("id")
-    toks = by_doc.select("id", "_cls", token_list(F.col("_text"), params).alias("_toks"))
-    exploded = toks.select("id", "_cls", F.explode(ngram_list(F.col("_toks"), params)).alias("term"))
-    per_doc = exploded.groupBy("id", "_cls", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = per_doc.groupBy("_cls", "term").agg(F.sum("tf").alias("count"),
-                                                F.count(F.lit(1)).alias("df"))
+    stats = partial_stats(docs, text_col, params, class_col).groupBy(F.col("cls").alias("_cls"), "term") \
+        .agg(F.sum("total").alias("count"), F.sum("df").alias("df"))
     rank = Window.partitionBy("_cls").orderBy(F.desc("count"), F.asc("term"))
     top = stats.where(F.col("df") >= min_df).withColumn("rank", F.row_number().over(rank)) \
                .where(F.col("rank") <= n)

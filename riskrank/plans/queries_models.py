@@ -123,7 +123,7 @@ def svd_components(spark, sf_dir, k=SVD_COMPONENTS):
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=k)
     every = featured_postings(spark, sf_dir, labelled=False)
-    sv = art.svd.transform_long(art.tfidf.transform(every, "job_id", S.FULL_TEXT), "id", "svd")
+    sv = art.svd.transform_long(art.tfidf.transform_rows(every, "job_id", S.FULL_TEXT), "id", "svd")
     # a posting without a vocabulary term is projected to zeros
     sv = sv.select(F.col("id").alias("job_id"), vectors.vector_to_array("svd").alias("row"))
     row = F.coalesce("row", F.array_repeat(F.lit(0.0), art.svd_components))

@@ -25,8 +25,7 @@ class Artifacts:
 
 def _text_vectors(df: DataFrame, vec: tfidf.TfidfModel, id_col: str) -> DataFrame:
     """(id, tfidf) for every row; a text without a vocabulary term has the zero vector."""
-    w = vec.transform(df, id_col, S.FULL_TEXT)
-    return models.sparse_rows(w, vec.vocab_size, "id", "term_id", "weight", "tfidf", df.select(F.col(id_col).alias("id")))
+    return models.sparse_rows(vec.transform_rows(df, id_col, S.FULL_TEXT), vec.vocab_size, out="tfidf")
 
 
 def preprocess_fit(train: DataFrame, svd_components: int = 200, scale_numeric: bool = True,
@@ -34,7 +33,7 @@ def preprocess_fit(train: DataFrame, svd_components: int = 200, scale_numeric: b
     vec = tfidf.fit(train, id_col, S.FULL_TEXT, tfidf_params)
     svd = None
     if svd_components:
-        weights = vec.transform(train, id_col, S.FULL_TEXT)
+        weights = vec.transform_rows(train, id_col, S.FULL_TEXT)
         svd = models.fit_svd(weights, vec.vocab_size, min(svd_components, max(vec.vocab_size - 1, 1)))
         svd_components = svd.components.shape[1]
     onehot = encode.fit_onehot(train, S.CATEGORICAL_FEATURES, min_frequency=10)
@@ -55,7 +54,7 @@ def preprocess_apply(df: DataFrame, art: Artifacts, id_col: str = S.ID, label: s
     inputs = ["onehot"] + S.NUMERIC_FEATURES
     sizes = {"onehot": art.onehot.n_slots}
     if art.svd is not None:
-        sv = art.svd.transform_long(art.tfidf.transform(df, id_col, S.FULL_TEXT), "id", "svd")
+        sv = art.svd.transform_long(art.tfidf.transform_rows(df, id_col, S.FULL_TEXT), "id", "svd")
         # a posting with no vocabulary term has an all-zero TF-IDF row, so its
         # projection is the zero vector
         zero = array_to_vector(F.array_repeat(F.lit(0.0), art.svd_components))
