@@ -3,15 +3,17 @@
 A gear hash rolls over the bytes of a text (the sum of a random value per byte, shifted
 left once for each byte since; 16 bits wide, so it looks back 16 bytes). A chunk ends where
 a run of white space ends and the hash falls below a threshold: chunks are whole words, and text
-inserted before a passage does not move the ends inside it. White-space-free stretches are
-cut at byte positions by the same hash, and at a fixed length in the last resort.
+inserted before a passage does not move the ends inside it. White-space-free stretches (as in
+Chinese or encoded blocks) are cut at byte positions by the same hash, and at a fixed length in
+the last resort.
 
 Repeats are found by digest over the whole corpus: the first occurrence (smallest doc_id,
-then position) stays, later ones are removed. Since a short chunk can recur by chance, the
-digests are those of windows: the shortest series of consecutive chunks with ``min_run_words``
-words or more, from each chunk on and up to each chunk. A chunk is removed when a window over
-it occurred before as a whole. Every run of that many words that occurred before is covered
-by such windows; chunks that recur one by one, in different places, are not.
+then position) stays, later ones are removed, also within one document (``within``). Since a
+short chunk can recur by chance, the digests are those of windows: from each chunk on, the shortest series
+of consecutive chunks with ``min_run_words`` words or ``min_run_bytes`` bytes. A chunk is removed when a
+window over it occurred before as a whole, or when it follows such a window as it follows the
+first occurrence (at most two chunks, told by 12 bits each). So a repeated run loses all but, at times, its last
+few words; chunks that recur one by one, in different places, stay.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from .common import byte_texts, map_texts, row_key, written
 
 #: One white-space position in so many ends a chunk (about so many words a chunk).
 WORDS_A_CHUNK = 5
-MIN_RUN_WORDS = 12
+MIN_RUN_WORDS, MIN_RUN_BYTES = 12, 200
 #: White-space-free stretches: cuts by hash beyond the first length, by force at the second.
-LONG, LONGEST = 1024, 8192
+LONG, LONGEST = 128, 2048
+#: A byte in so many of such a stretch is a cut.
+BYTES_A_CUT = 64
 GEAR_SEED = 7
 #: Odd factor of the window digests and its inverse modulo 2^64.
 FACTOR = 0x9E3779B97F4A7C13
@@ -64,18 +68,20 @@ def chunk_ends(text: bytes, words: int = WORDS_A_CHUNK) -> np.ndarray:
     ends = np.unique(np.append(np.concatenate(found), len(data)))
     starts = np.concatenate([[0], ends[:-1]])
     for s, e in zip(starts[ends - starts > LONG].tolist(), ends[ends - starts > LONG].tolist()):
-        gaps += _cut_long(data, s, e)
+        edges = np.concatenate([[s - 1], np.flatnonzero(SPACES[data[s:e]]) + s, [e]])
+        for k in np.flatnonzero(np.diff(edges) > LONG + 1).tolist():
+            gaps += _cut_long(data, int(edges[k]) + 1, int(edges[k + 1]))
     return np.union1d(ends, np.array(gaps, np.int64)) if gaps else ends
 
 
 def _cut_long(data: np.ndarray, start: int, end: int) -> list[int]:
-    """Cuts inside a stretch without chunk ends: at hash hits on character starts, one in
-    256 bytes, and after ``LONGEST`` bytes at the latest."""
+    """Cuts inside a white-space-free stretch: at hash hits on character starts, one in
+    ``BYTES_A_CUT`` bytes, and after ``LONGEST`` bytes at the latest."""
     cuts = []
     for at in range(start, end, BLOCK):
         back = min(at - start, 15)
         block = data[at - back:min(end, at + BLOCK)]
-        hits = np.flatnonzero((gear_hash(block) < 256) & ((block & 0xC0) != 0x80))
+        hits = np.flatnonzero((gear_hash(block) < (1 << 16) // BYTES_A_CUT) & ((block & 0xC0) != 0x80))
         cuts += [c for c in (hits[hits >= back] + (at - back)).tolist() if c > start]
     out, last = [], start
     for c in [*cuts, end]:
@@ -90,72 +96,86 @@ def _cut_long(data: np.ndarray, start: int, end: int) -> list[int]:
     return out
 
 
+def word_chunks(text: bytes, words: int = WORDS_A_CHUNK) -> list[tuple[int, int]]:
+    """(start, end) of the chunks that hold a word."""
+    ends = chunk_ends(text, words).tolist()
+    return [(a, b) for a, b in zip([0, *ends[:-1]], ends) if not text[a:b].isspace()]
+
+
 def chunk_digests(text: bytes, words: int = WORDS_A_CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ends, digests, words) of the chunks. The digest is XXH3-64 of the chunk's words, so
-    the white space around and between them does not count."""
+    """(digests, words, bytes) of the chunks that hold a word. The digest is XXH3-64 of the chunk's words,
+    so the white space around and between them does not count; nor does it in ``bytes``."""
     import xxhash
-    ends = chunk_ends(text, words)
-    parts = [text[a:b].split() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-    digests = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(p)) for p in parts), "u8", len(parts)).view("i8")
-    return ends, digests, np.fromiter(map(len, parts), np.int64, len(parts))
+    parts = [text[a:b].split() for a, b in word_chunks(text, words)]
+    joined = [b" ".join(p) for p in parts]
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, joined), "u8", len(parts)).view("i8")
+    return digests, np.fromiter(map(len, parts), np.int64, len(parts)), np.fromiter(map(len, joined), np.int64, len(parts))
 
 
-def run_windows(digests: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, digest) of the windows of a text's chunks: from each chunk the shortest
-    series of ``least`` words, and the shortest up to each chunk. The digest is a polynomial
-    of the chunk digests modulo 2^64, so it does not depend on the place."""
+def run_windows(digests: np.ndarray, words: np.ndarray, size: np.ndarray, min_words: int = MIN_RUN_WORDS,
+                min_bytes: int = MIN_RUN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, digest) of the windows of a text's chunks: from each chunk on the shortest
+    series of ``min_words`` words or ``min_bytes`` bytes. The digest is a polynomial of the chunk
+    digests modulo 2^64, so it does not depend on the place."""
     n = len(digests)
-    total = np.append(0, np.cumsum(sizes))
-    start = np.flatnonzero(total[-1] - total[:-1] >= least)
-    end = np.flatnonzero(total[1:] >= least)
-    pairs = np.unique(np.concatenate([start * n + np.searchsorted(total, total[start] + least) - 1,
-                                      (np.searchsorted(total, total[end + 1] - least, "right") - 1) * n + end]))
-    first, last = np.divmod(pairs, max(1, n))
+    first, last = np.arange(n), np.full(n, n)
+    for sizes, least in ((words, min_words), (size, min_bytes)):
+        total = np.append(0, np.cumsum(sizes))
+        last = np.minimum(last, np.searchsorted(total, total[:-1] + least) - 1)
+    first, last = first[last < n], last[last < n]
     power, back = (np.cumprod(np.append(np.uint64(1), np.full(n, f, np.uint64))) for f in (FACTOR, INVERSE))
     sums = np.append(np.uint64(0), np.cumsum(digests.view("u8") * power[:n]))
     return first, last, ((sums[last + 1] - sums[first]) * back[first]).view("i8")
 
 
 def window_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_A_CHUNK,
-                 min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """``(id, rid, span, digest)``: a row for each window. ``rid`` is the row key, ``span`` the
-    numbers of the first (high half) and last chunk in its text. Chunks without a word count
-    as part of the window around them."""
+                 min_run_words: int = MIN_RUN_WORDS, min_run_bytes: int = MIN_RUN_BYTES) -> DataFrame:
+    """``(id, rid, place, digest)``: a row for each window. ``rid`` is the row key; ``place`` holds the
+    number of the first chunk (32 bits; chunks with a word count), how many follow it in the window (8) and 12
+    bits (0: none) of each of the two chunks after it."""
+    if not 0 < min_run_words <= 256:
+        raise ValueError("a window has 1 to 256 words")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rid"),
                        F.col(text_col).cast("string").alias("t"))
 
     def run(batch):
-        who, span, digest = [], [], []
+        who, place, digest = [], [], []
         for i, text in enumerate(byte_texts(batch.column(2))):
-            _, d, w = chunk_digests(text or b"", words)
-            real = np.flatnonzero(w)
-            first, last, found = run_windows(d[real], w[real], min_run_words)
+            d, w, size = chunk_digests(text or b"", words)
+            first, last, found = run_windows(d, w, size, min_run_words, min_run_bytes)
+            marks = np.concatenate([(d.view("u8") % np.uint64(4095)).astype(np.int64) + 1, [0, 0, 0]])
             who.append(np.full(len(found), i))
-            span.append((real[first] << 32) + real[last])
+            place.append((first << 32) + ((last - first) << 24) + (marks[last + 1] << 12) + marks[last + 2])
             digest.append(found)
         take = np.concatenate(who)
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)),
-             pa.array(np.concatenate(span)), pa.array(np.concatenate(digest))], names=["id", "rid", "span", "digest"])
-    return map_texts(rows, run, "id long, rid long, span long, digest long")
+             pa.array(np.concatenate(place)), pa.array(np.concatenate(digest))], names=["id", "rid", "place", "digest"])
+    return map_texts(rows, run, "id long, rid long, place long, digest long")
 
 
 def duplicate_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_A_CHUNK,
-                   min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+                   min_run_words: int = MIN_RUN_WORDS, min_run_bytes: int = MIN_RUN_BYTES, within: bool = True) -> DataFrame:
     """``(rid, runs)``: for each row with something to remove, the runs of chunks under windows
     that occurred before, as structs (first, last chunk number). A window that overlaps its own
     first occurrence is part of that."""
-    windows = window_table(docs, id_col, text_col, words, min_run_words)
-    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "rid", "span")
-    heads = windows.groupBy("digest").agg(F.min(order).alias("head"), F.max(order).alias("tail")) \
-                   .where(F.col("head") != F.col("tail")) \
-                   .select(F.col("digest").alias("d"), F.col("head.rid").alias("head_rid"), F.col("head.span").alias("head_span"))
+    windows = window_table(docs, id_col, text_col, words, min_run_words, min_run_bytes)
+    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "rid", "place")
+    heads = windows.groupBy("digest").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1") \
+                   .select(F.col("digest").alias("d"), F.col("head.rid").alias("head_rid"), F.col("head.place").alias("head_place"))
     heads = written(heads, "chunk-heads")
-    head_last = F.col("head_span").bitwiseAND(F.lit((1 << 32) - 1))
+
+    def part(place: str, shift: int, bits: int):
+        return F.shiftright(place, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    head_last = F.shiftright("head_place", 32) + part("head_place", 24, 8)
+    elsewhere = F.col("rid") != F.col("head_rid")
     later = windows.join(heads, windows["digest"] == heads["d"]) \
-                   .where((F.col("rid") != F.col("head_rid")) | (F.shiftright("span", 32) > head_last))
+                   .where(elsewhere | (F.lit(within) & (F.shiftright("place", 32) > head_last)))
+    same = [(part("place", at, 12) > 0) & (part("place", at, 12) == part("head_place", at, 12)) for at in (12, 0)]
+    more = F.when(same[0], F.when(same[1], 2).otherwise(1)).otherwise(0)
+    span = F.shiftright("place", 32) * F.lit(1 << 32) + F.shiftright("place", 32) + part("place", 24, 8) + more
     # windows of one document: bounded by the document itself
-    marks = later.groupBy("rid").agg(F.collect_set("span").alias("marks"))
+    marks = later.groupBy("rid").agg(F.collect_set(span).alias("marks"))
 
     def run(batches):
         for batch in batches:
@@ -175,14 +195,15 @@ def duplicate_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_A_CHUNK,
-                    min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+                    min_run_words: int = MIN_RUN_WORDS, min_run_bytes: int = MIN_RUN_BYTES, within: bool = True) -> DataFrame:
     """``row`` (the input row as a struct), ``clean`` (its text without repeated runs),
     ``n_removed_chunks``, ``n_removed_words`` (0 and 0 where nothing is removed).
 
     Null texts stay null, empty texts stay empty. Rows repeated with the same id and text are
     the same document: they get the same result. A null id counts as the largest. Removing
-    takes whole chunks, so the rest keeps its bytes and order."""
-    runs = written(duplicate_runs(docs, id_col, text_col, words, min_run_words), "chunk-runs")
+    takes whole chunks, so the rest keeps its bytes and order. With ``within`` a run that occurred
+    earlier in the same document goes too."""
+    runs = written(duplicate_runs(docs, id_col, text_col, words, min_run_words, min_run_bytes, within), "chunk-runs")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        row_key(id_col, text_col).alias("key"))
     text = F.col("row").getField(text_col).cast("string")
@@ -203,10 +224,10 @@ def _without(text: bytes | None, runs: list | None, words: int) -> dict | None:
     """The text without the chunk runs, and how many chunks and words went."""
     if text is None or runs is None:
         return None
-    ends = chunk_ends(text, words).tolist()
+    spots = word_chunks(text, words)
     kept, at, chunks, lost = [], 0, 0, 0
     for r in runs:
-        a, b = (ends[r["first"] - 1] if r["first"] else 0), ends[r["last"]]
+        a, b = spots[r["first"]][0], spots[r["last"]][1]
         kept.append(text[at:a])
         lost += len(text[a:b].split())
         chunks += r["last"] - r["first"] + 1

@@ -89,38 +89,58 @@ def test_chunks_cover_the_text_and_resist_shifts():
         ends = chunks.chunk_ends(b).tolist()
         assert "".join(b[x:y].decode() for x, y in zip([0, *ends], ends)) == (t or "")
     body = prose(21, 300)
-    a, b = (chunks.chunk_digests(x.encode())[1] for x in (body, "some new words " + body))
+    a, b = (chunks.chunk_digests(x.encode())[0] for x in (body, "some new words " + body))
     assert len(set(a.tolist()) - set(b.tolist())) <= 2
     assert max(np.diff([0, *chunks.chunk_ends(("y" * 50000).encode())])) <= chunks.LONGEST
 
 
-def brute_repeats(rows):
-    """Kept texts by a dictionary over all chunks, in the order of (id, key, position)."""
-    distinct = sorted({(i is None, i or 0, t) for i, t, in rows if t})
-    first, out = {}, {}
-    for missing, i, t in distinct:
-        b = t.encode()
-        ends, digests, words = chunks.chunk_digests(b)
-        for n, d in enumerate(digests.tolist()):
-            if words[n]:
-                first.setdefault(d, (missing, i, t, n))
-    for missing, i, t in distinct:
-        b = t.encode()
-        ends, digests, words = chunks.chunk_digests(b)
-        dup = [bool(words[n]) and first[d] != (missing, i, t, n) for n, d in enumerate(digests.tolist())]
-        drop, n = set(), 0
-        while n < len(dup):
-            m = n
-            while m < len(dup) and dup[m]:
-                m += 1
-            if m > n and words[n:m].sum() >= chunks.MIN_RUN_WORDS:
-                drop |= set(range(n, m))
-            n = m + 1
-        starts = [0, *ends.tolist()]
-        out[(missing, i, t)] = b"".join(b[starts[n]:starts[n + 1]] for n in range(len(dup)) if n not in drop).decode()
+def brute_repeats(rows, within=True):
+    """Kept texts by a dictionary over all windows, as tuples of chunks, in the order of (id, key, place)."""
+    distinct = {(i is None, i or 0, t) for i, t in rows if t}
+    keys = {}
+    for missing, i, t in distinct:  # of rows that share an id, the one with the smaller key comes first
+        keys[missing, i, t] = row_key_of(None if missing else i, t)
+    order = sorted(distinct, key=lambda r: (r[0], r[1], keys[r]))
+    parts, windows, first = {}, {}, {}
+    for row in order:
+        b = row[2].encode()
+        parts[row] = [b" ".join(b[x:y].split()) for x, y in chunks.word_chunks(b)]
+        windows[row] = []
+        for s in range(len(parts[row])):
+            e = s
+            while e < len(parts[row]) and sum(len(p.split()) for p in parts[row][s:e + 1]) < 12 and \
+                    sum(map(len, parts[row][s:e + 1])) < 200:
+                e += 1
+            if e < len(parts[row]):
+                windows[row].append((s, e))
+                first.setdefault(tuple(parts[row][s:e + 1]), (row, s, e))
+    out = {}
+    for row in order:
+        b, drop = row[2].encode(), set()
+        for s, e in windows[row]:
+            head, hs, he = first[tuple(parts[row][s:e + 1])]
+            if head != row or (within and s > he):
+                drop |= set(range(s, e + 1))
+                for k in (1, 2):
+                    if e + k >= len(parts[row]) or parts[row][e + k:e + k + 1] != parts[head][he + k:he + k + 1]:
+                        break
+                    drop.add(e + k)
+        spots, kept, at = chunks.word_chunks(b), [], 0
+        for n in sorted(drop):
+            kept.append(b[at:spots[n][0]] if n - 1 not in drop else b"")
+            at = spots[n][1]
+        out[row] = (b"".join(kept) + b[at:]).decode()
     return out
 
 
+def row_key_of(i, t):
+    from pyspark.sql import SparkSession
+
+    from riskrank.llm.common import row_key
+    df = SparkSession.active().createDataFrame([(i, t)], "i long, t string")
+    return df.select(row_key("i", "t")).first()[0]
+
+
 def test_substring_dedup(messy, nothing):
     out = chunks.without_repeats(messy).select("row.doc_id", "row.text", "clean", "n_removed_words", "row.row").collect()
     assert len(out) == len(ROWS)
@@ -153,19 +173,45 @@ def test_substring_dedup_needs_a_repeated_run(spark):
 
 
 def test_windows_cover_every_long_run():
+    """All of a run but what is shorter than a window, at its end."""
     rng = np.random.default_rng(2)
     for _ in range(200):
-        sizes = rng.integers(1, 14, rng.integers(0, 30))
-        digests = rng.integers(-1 << 62, 1 << 62, len(sizes))
-        first, last, digest = chunks.run_windows(digests, sizes, 12)
-        assert len(set(digest.tolist())) == len(digest) and all(sizes[a:b + 1].sum() >= 12 for a, b in zip(first, last))
-        if len(sizes):
-            a, b = sorted(rng.integers(0, len(sizes), 2))
+        words = rng.integers(1, 14, rng.integers(0, 30))
+        size = words * rng.integers(1, 60, len(words))
+        digests = rng.integers(-1 << 62, 1 << 62, len(words))
+        first, last, digest = chunks.run_windows(digests, words, size)
+        assert len(set(digest.tolist())) == len(digest)
+        for x, y in zip(first, last):
+            assert words[x:y + 1].sum() >= 12 or size[x:y + 1].sum() >= 200
+            assert words[x:y].sum() < 12 and size[x:y].sum() < 200
+        if len(words):
+            a, b = sorted(rng.integers(0, len(words), 2))
             inside = (first >= a) & (last <= b)
             covered = {c for x, y in zip(first[inside], last[inside]) for c in range(x, y + 1)}
-            assert covered == (set(range(a, b + 1)) if sizes[a:b + 1].sum() >= 12 else set())
-            part = chunks.run_windows(digests[a:b + 1], sizes[a:b + 1], 12)
-            assert set(part[2].tolist()) == set(digest[inside].tolist())
+            rest = [c for c in range(a, b + 1) if c not in covered]
+            assert not rest or (rest[-1] == b and words[rest].sum() < 12 and size[rest].sum() < 200)
+            assert set(chunks.run_windows(digests[a:b + 1], words[a:b + 1], size[a:b + 1])[2].tolist()) == set(digest[inside].tolist())
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_substring_dedup_equals_brute_force(spark, within):
+    """Texts over a small shared vocabulary, with shared passages, repeats inside a text and no spaces."""
+    rng = random.Random(41)
+    vocabulary = [prose(500 + i, 1) for i in range(15)]
+    passages = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 40))) for _ in range(5)]
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(330))
+    rows = []
+    for i in range(60):
+        text = " ".join(rng.choice([rng.choice(passages), " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 20)))])
+                        for _ in range(rng.randint(1, 5)))
+        rows.append((rng.choice([i, i, 7, None]), text))
+    rows += [(100, han), (101, han), (102, han[:150]), (103, "x " + han + " y"), (104, "q" * 700), (105, "q" * 700)]
+    out = chunks.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), within=within).select("row.*", "clean").collect()
+    want = brute_repeats(rows, within)
+    assert [r.clean for r in out] == [want[(r.doc_id is None, r.doc_id or 0, r.text)] for r in out]
+    left = {r.doc_id: r.clean for r in out}
+    assert left[100] == han and len(left[101]) < 70 and len(left[103]) < 140 and left[105] != left[104]
+    assert sum(r.clean != r.text for r in out) > 20
 
 
 @pytest.fixture(scope="module")
