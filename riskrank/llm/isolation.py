@@ -6,21 +6,22 @@ a random statistic at a random value until rows are alone. Rows that differ from
 are alone after few splits, so a short mean path marks an anomalous document. The path
 length under which a document is rejected is calibrated on labelled rows.
 
-Sizes: ``POOL`` rows feed the trees, ``CALIBRATION`` labelled rows the threshold (both the
-rows with the smallest seeded hash); statistics and scores cover every row and whole texts.
+Every tree gets ``TREE_ROWS`` rows of all documents, by a hash of the row and the tree. The threshold
+comes from the exact scores of all labelled rows that the base rules let through. Nothing else is
+sampled; statistics and scores cover every row and whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_texts, written
+from ..operators.running import running_totals
+from .common import map_texts, written
 
 TREES, TREE_ROWS = 200, 256
-POOL, CALIBRATION = 8192, 20_000
 #: Calibration keeps this share of the good labelled rows at least.
 KEEP_GOOD = 0.99
 SEED = 1
@@ -98,14 +99,14 @@ def mean_path(n: np.ndarray) -> np.ndarray:
 class Forest:
     """Random isolation trees as arrays: ``feature`` (-1: leaf), ``split``, ``left``, ``length``."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED):
+    def __init__(self, samples: list[np.ndarray], seed: int = SEED):
+        """A tree for each sample of rows; all samples have the same size."""
         rng = np.random.default_rng(seed)
         self.feature, self.split, self.left, self.length, self.roots = [], [], [], [], []
-        take = min(rows, len(x))
+        take = len(samples[0]) if samples else 0
         self.usual = float(mean_path(np.array(take))) or 1.0
-        for _ in range(trees if take else 0):
+        for sample in samples:
             self.roots.append(len(self.feature))
-            sample = x[rng.choice(len(x), take, replace=False)]
             self._grow(rng, sample, int(np.ceil(np.log2(max(take, 2)))))
         self.feature, self.left, self.roots = (np.array(v, np.int64) for v in (self.feature, self.left, self.roots))
         self.split, self.length = (np.array(v, np.float64) for v in (self.split, self.length))
@@ -145,19 +146,43 @@ class Forest:
         return 2.0 ** (-total / max(len(self.roots), 1) / self.usual)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD) -> float:
-    """Highest score kept: of the cuts that keep ``keep_good`` of the good rows, the one that
-    rejects the largest share of bad rows less the share of good rows. Infinity (reject
-    nothing) without both kinds of rows or when no cut helps."""
-    bad = ~good
-    if not bad.any() or not good.any():
-        return float("inf")
-    cuts = np.unique(scores)
-    lost = 1 - np.searchsorted(np.sort(scores[good]), cuts, "right") / good.sum()
-    caught = 1 - np.searchsorted(np.sort(scores[bad]), cuts, "right") / bad.sum()
-    gain = np.where(lost <= 1 - keep_good, caught - lost, -1.0)
-    best = int(gain.argmax())
-    return float(cuts[best]) if gain[best] > 0 else float("inf")
+def tree_samples(stats: DataFrame, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED) -> list[np.ndarray]:
+    """Features of the ``rows`` rows (all, if fewer) with the smallest hash for each tree. Rows are told
+    apart by ``row``, so equal rows are drawn one by one. A bound on the hash comes first: about
+    twice as many rows as needed are ordered."""
+    n = stats.count()
+    bound = np.uint64(min(2.0 * rows / max(n, 1), 1.0) * (2 ** 64 - 2048)) if n > 2 * rows else np.uint64(2 ** 64 - 1)
+
+    def draw(batches):
+        for batch in batches:
+            key = batch.column(len(STATS)).to_numpy().astype(np.uint64)
+            for tree in range(trees):
+                z = key + np.uint64((seed * 0x9E3779B97F4A7C15 + (tree + 1) * 0xD1B54A32D192ED03) % 2 ** 64)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+                z ^= z >> np.uint64(31)
+                at = np.flatnonzero(z <= bound)
+                if len(at):
+                    own = batch.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(at), tree, np.int32)), pa.array((z[at] >> np.uint64(1)).astype(np.int64))],
+                                                     names=[*batch.schema.names, "tree", "spot"])
+    drawn = stats.select(*STATS, "row").mapInArrow(draw, ", ".join(f"{s} long" for s in STATS) + ", row long, tree int, spot long")
+    order = Window.partitionBy("tree").orderBy("spot", "row")  # about 2 * rows rows a tree
+    some = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).orderBy("tree", "k").toArrow()
+    x, tree = features(_arrays(some)), np.asarray(some["tree"])  # trees * rows rows at most
+    return [x[tree == t] for t in range(trees)] if n else []
+
+
+def calibrate(scored: DataFrame, keep_good: float = KEEP_GOOD) -> float:
+    """Highest score kept, from all rows (``anomaly``, ``good``): of the cuts that keep ``keep_good`` of the
+    good rows, the one that rejects the largest share of bad rows less the share of good rows.
+    Infinity (reject nothing) without both kinds of rows or when no cut helps."""
+    counts = scored.groupBy("anomaly").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    totals = running_totals(written(counts, "score-counts"), "anomaly", ["good", "bad"])
+    lost, caught = (F.lit(1.0) - F.try_divide(F.col(f"cum_{c}"), F.col(f"tot_{c}")) for c in ("good", "bad"))
+    best = totals.select("anomaly", lost.alias("lost"), (caught - lost).alias("gain")) \
+                 .where((F.col("lost") <= 1 - keep_good) & (F.col("gain") > 0)).orderBy(F.desc("gain"), "anomaly").first()
+    return float("inf") if best is None else best["anomaly"]
 
 
 def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
@@ -172,18 +197,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Null texts count as empty. Null ids are scored and never labelled; null labels are left
     out; rows repeated stay repeated. Without documents the result is empty, without labels
     of both kinds the forest rejects nothing. Other columns are not read."""
-    stats = written(statistics(docs, id_col, text_col), "rule-statistics")
-    pool = hash_sample(stats, "doc_id", POOL, SEED).toArrow()
-    forest = Forest(features(_arrays(pool)))
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("good")).dropna()
-    some = hash_sample(known, "id", CALIBRATION, SEED + 1)  # at most CALIBRATION rows
-    marked = stats.join(F.broadcast(some), stats["doc_id"] == some["id"]).orderBy("doc_id", *STATS).toArrow()
-    limit = calibrate(forest.scores(features(_arrays(marked))), np.asarray(marked["good"]) != 0)
+    stats = statistics(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    stats = written(stats, "rule-statistics")
+    forest = Forest(tree_samples(stats))
 
     def run(batches):
         for batch in batches:
             scores = forest.scores(features({s: np.asarray(batch.column(s)) for s in STATS}))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "anomaly"])
-    scored = stats.mapInArrow(run, stats.schema.simpleString()[7:-1].replace(":", " ") + ", anomaly double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") <= F.lit(limit)))
+    scored = stats.drop("row").mapInArrow(run, stats.drop("row").schema.simpleString()[7:-1].replace(":", " ") + ", anomaly double")
+    scored = written(scored.withColumn("base_failed", failed), "rule-scores")
+    known = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col).cast("int") != 0).alias("good")).dropna().distinct()
+    marked = scored.where(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("id")).select("anomaly", "good")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(calibrate(marked))))

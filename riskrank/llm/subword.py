@@ -110,20 +110,24 @@ def document_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 def train_rows(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality",
                id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``rows, counts, label`` of the sample: labelled documents that ``learn`` (a condition on the
-    id) lets in, the ``sample_rows`` with the smallest hash of their id."""
+    id) lets in, the ``sample_rows`` with the smallest hash of their id. Of documents that share an
+    id, that with the smallest hash of its text counts."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")) \
                   .where(F.col("id").isNotNull() & F.col("label").isNotNull())
     known = hash_sample(known.where(learn), "id", sample_rows, SEED)
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = some.join(F.broadcast(known), "id").select("id", "label", "t")  # at most sample_rows rows
+    # one row an id (that with the smallest hash), so at most sample_rows rows reach the driver
+    some = some.join(F.broadcast(known.select("id").distinct()), "id", "left_semi").groupBy("id") \
+               .agg(F.min(F.struct(F.xxhash64("t").alias("spot"), "t")).alias("first"))
+    rows = some.join(F.broadcast(known), "id").select("id", "label", F.col("first.t").alias("t"))
 
     def run(batch):
         found = [document_features(t) for t in byte_texts(batch.column(2))]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([r.astype("i4") for r, _ in found], pa.list_(pa.int32())),
-             pa.array([np.minimum(c, 32767).astype("i2") for _, c in found], pa.list_(pa.int16())), batch.column(1)],
+             pa.array([c.astype("i4") for _, c in found], pa.list_(pa.int32())), batch.column(1)],
             names=["id", "rows", "counts", "label"])
-    return map_texts(rows, run, "id long, rows array<int>, counts array<short>, label int")
+    return map_texts(rows, run, "id long, rows array<int>, counts array<int>, label int")
 
 
 def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE,

@@ -43,15 +43,53 @@ def test_rule_statistics(messy, labels):
         assert not (r.base_failed and r.kept)
 
 
-def test_forest_finds_outliers_and_calibrates():
+def plain_cut(scores, good, keep=0.99):
+    best, cut = 0.0, math.inf
+    for c in sorted(set(scores)):
+        lost = sum(s > c for s, g in zip(scores, good) if g) / max(1, sum(good))
+        caught = sum(s > c for s, g in zip(scores, good) if not g) / max(1, len(good) - sum(good))
+        if lost <= 1 - keep and caught - lost > best + 1e-12:
+            best, cut = caught - lost, c
+    return cut
+
+
+def test_forest_finds_outliers_and_calibrates(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
     x[:40] += 8
-    s = isolation.Forest(x[rng.permutation(len(x))[:1000]]).scores(x)
+    s = isolation.Forest([x[rng.choice(2000, 256, replace=False)] for _ in range(100)]).scores(x)
     assert s[:40].min() > np.quantile(s[40:], 0.99)
-    limit = isolation.calibrate(s, np.arange(len(x)) >= 40)
-    assert (s[:40] > limit).all() and (s[40:] > limit).mean() <= 0.01
-    assert isolation.calibrate(s, np.ones(len(x), bool)) == math.inf
+    good = rng.random(2000) < 0.9
+    good[:40] = False
+    rows = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(s, good)], "anomaly double, good boolean")
+    limit = isolation.calibrate(rows)
+    assert abs(limit - plain_cut(s.tolist(), good.tolist())) < 1e-12
+    assert (s[:40] > limit).all() and (s[good] > limit).mean() <= 0.01
+    assert isolation.calibrate(rows.withColumn("good", F.lit(True))) == math.inf
+    assert isolation.calibrate(rows.where("false")) == math.inf
+
+
+def test_every_tree_draws_from_all_rows(spark):
+    """Rows of one id, and equal rows, are drawn one by one."""
+    docs = spark.range(40_010).select(F.when(F.col("id") < 10, F.col("id")).alias("doc_id"),
+                                      F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("a b "), F.col("id"))).alias("text"))
+    stats = isolation.statistics(docs).withColumn("row", F.monotonically_increasing_id()).cache()
+    samples = isolation.tree_samples(stats, trees=20)
+    assert [len(x) for x in samples] == [256] * 20
+    assert not np.array_equal(samples[0], samples[1])
+    assert 0.2 < np.mean([(x[:, 0] == x[:, 0].min()).mean() for x in samples]) < 0.5
+    assert [len(x) for x in isolation.tree_samples(stats.limit(30), trees=2)] == [30, 30]
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))  # more than the old cap
+    out = isolation.quality_rules(docs.where("doc_id < 10 OR text = 'same text'"), labels)
+    assert out.count() == docs.where("doc_id < 10 OR text = 'same text'").count()
+
+
+def test_only_rows_that_pass_the_base_rules_calibrate(spark):
+    """Bad rows that the base rules reject have no say."""
+    docs = spark.createDataFrame([(i, prose(i, 60)) for i in range(60)] + [(100 + i, "bad") for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 100).cast("int").alias("quality"))
+    out = isolation.quality_rules(docs, labels).collect()
+    assert all(r.kept == (r.doc_id < 100) for r in out)
 
 
 def test_quality_rules_on_nothing(nothing, labels):
@@ -73,6 +111,39 @@ def test_classifier_learns_and_scores_every_row(spark, messy, nothing, labels):
     assert set(subword.fit_quality(nothing, labels, F.lit(True))) == {0.0}
 
 
+def test_classifier_counts_are_not_clipped_and_one_row_an_id_learns(spark):
+    docs = spark.createDataFrame([(1, "ab " * 50_000), (1, "other text"), (2, "cd ef"), (2, "cd ef")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = subword.train_rows(docs, labels, F.lit(True)).collect()
+    assert sorted(r.id for r in rows) == [1, 2]
+    long = subword.train_rows(docs.where("length(text) > 100"), labels, F.lit(True)).first()
+    assert max(long.counts) >= 50_000
+
+
+def test_one_step_of_learning_equals_plain_python():
+    rows, counts = np.array([3, 9]), np.array([2.0, 1.0])
+    got = subword.fit([(rows, counts, 1), (np.array([5]), np.array([1.0]), 0)], epochs=1, rate=0.5, dim=4, seed=1)
+    rng = np.random.default_rng(1)
+    table = rng.uniform(-0.25, 0.25, (subword.BUCKETS, 4)).astype(np.float32)
+    out = [[0.0] * 4, [0.0] * 4]
+    samples = [([3, 9], [2 / 3, 1 / 3], 1), ([5], [1.0], 0)]
+    vec = {r: [float(v) for v in table[r]] for r in (3, 9, 5)}
+    for step, i in enumerate(rng.permutation(2)):
+        own, share, label = samples[i]
+        rate = 0.5 * (1 - step / 2)
+        mean = [sum(s * vec[r][k] for r, s in zip(own, share)) for k in range(4)]
+        z = [sum(o * m for o, m in zip(w, mean)) for w in out]
+        e = [math.exp(v - max(z)) for v in z]
+        p = [v / sum(e) - (c == label) for c, v in enumerate(e)]
+        back = [p[0] * out[0][k] + p[1] * out[1][k] for k in range(4)]
+        for c in (0, 1):
+            out[c] = [w - rate * p[c] * m for w, m in zip(out[c], mean)]
+        for r, s in zip(own, share):
+            vec[r] = [v - rate * len(own) ** 0.5 * s * b for v, b in zip(vec[r], back)]
+    for r in vec:
+        assert abs(got[r] - sum(v * (b - a) for v, a, b in zip(vec[r], *out))) < 1e-5
+
+
 def test_long_texts_in_stretches_have_the_same_features(monkeypatch):
     text = prose(11, 900).encode()
     whole = subword.document_features(text)
