@@ -11,15 +11,15 @@ Growth is best-first: the leaf with the largest gain is split next, until there
 ``num_leaves``. A pass asks for all leaves that the splits known so far would reach. A node of
 ``SMALL_ROWS`` rows at most is finished in one go: its rows meet in one task, which grows the subtree below
 it (by the same rule, as far as ``num_leaves`` would go) and returns the splits. So a tree takes as
-many passes as it has levels of large nodes, and one more. Several boosters (``params``) grow
-side by side in the same passes.
+many passes as it has levels of large nodes, and one more. If all rows are that few, a task grows up to
+``ROUNDS_A_JOB`` trees at a time. Several boosters (``params``) grow side by side in the same passes.
 
 With validation rows, the fit stops after ``patience`` rounds without a better average
 precision. No round can end the fit before ``best so far + patience``, so validation margins
 advance, and the rounds since then are judged in one grouped curve table, exactly when
 that round is reached: no tree is fitted after the stop.
 
-Margins are persisted with the blocks for each round, and the lineage is cut every ``CUT_ROUNDS`` rounds.
+Margins are persisted with the blocks whenever they advance; every ``CUT_ROUNDS`` times the lineage is cut.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from .trees import Boosted, Tree, leaf_of, leaf_values, pack, unpack
 
 BLOCK_BYTES = 8 << 20
 SMALL_ROWS = 4096
+ROUNDS_A_JOB = 50
 CUT_ROUNDS = 25
 CHUNK_CELLS = 1 << 22
 
@@ -193,6 +194,37 @@ def _finish_pass(state: RDD, asked: dict, params: list, bins: int) -> dict:
     return dict(state.mapPartitions(send).groupByKey(n).map(grow).collect())
 
 
+def _small_rounds(state: RDD, active: list, params: list, first: int, count: int, bounds, bins: int) -> dict:
+    """``{booster: [(tree, tree over bins)]}`` of ``count`` rounds from ``first`` on, where all rows are
+    ``SMALL_ROWS`` at most; one task a booster."""
+    def send(blocks):
+        for x, y, w, key, margins in blocks:
+            for i in active:
+                yield i, (x, y, w, key, margins[i])
+
+    def grow(item):
+        i, parts = item
+        x, y, w, key, margin = (np.concatenate(a) for a in zip(*parts))
+        order = np.argsort(key, kind="stable")  # the same sums in any order of arrival
+        x, y, w, key, margin = (a[order] for a in (x, y, w, key, margin))
+        out = []
+        for turn in range(first, first + count):
+            q = 1.0 / (1.0 + np.exp(-margin))
+            rows = np.flatnonzero(_in_bag(key, params[i].seed, turn, params[i].subsample))
+            columns = _columns(params[i], x.shape[1], turn)
+            tree = _Growing(params[i], columns, turn)
+            tree.graft(0, *_grow_here(params[i], x[np.ix_(rows, columns)], (w * (q - y))[rows], (w * q * (1.0 - q))[rows], bins))
+            out.append(tree.finish(bounds.value))
+            margin = margin + leaf_values(out[-1][1], x)
+        return i, [tuple(_arrays(t) for t in pair) for pair in out]
+    grown = state.mapPartitions(send).groupByKey(min(len(active), state.context.defaultParallelism)).map(grow).collect()
+    return {i: [tuple(Tree(*t) for t in pair) for pair in pairs] for i, pairs in grown}
+
+
+def _arrays(t: Tree) -> tuple:
+    return t.feature, t.threshold, t.left, t.right, t.value, t.gain, t.rows
+
+
 def _grow_here(p: BoostParams, x: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int) -> tuple:
     """The nodes of a tree over these rows alone; features are columns of ``x``."""
     columns = np.arange(x.shape[1])
@@ -374,34 +406,26 @@ def fit_boosters(train: DataFrame, params: list[BoostParams], val: DataFrame | N
     fits = [Fit(Boosted([], base), 0) for _ in params]
     judge = None if val is None else _Judge(val, fits, patience, label, features)
     active, turn, before = list(range(len(params))), 0, None
+    held, advances = spark.sparkContext.broadcast(bounds), 0  # features x bins
     while active:
-        growing = {i: _Growing(params[i], _columns(params[i], len(bounds), turn), turn, SMALL_ROWS, n) for i in active}
-        while True:
-            wants = {i: t.ask() for i, t in growing.items()}
-            asked, small = ({i: (growing[i].partial(), nodes[kind], growing[i].columns, params[i].seed, turn, params[i].subsample)
-                             for i, nodes in wants.items() if nodes[kind]} for kind in (0, 1))
-            if asked:
-                found = _pass(state, asked, width)
-                for i in asked:
-                    growing[i].tell({node: h for (j, node), h in found.items() if j == i})
-            if small:
-                for (i, node), arrays in _finish_pass(state, small, params, width).items():
-                    growing[i].graft(node, *arrays)
-            if before is not None:
-                before.unpersist()
-                before = None
-            if not asked and not small:
-                break
-        new = {}
-        for i, t in growing.items():
-            tree, new[i] = t.finish(bounds)
-            fits[i].boosted.trees.append(tree)
-        turn += 1
+        if n <= SMALL_ROWS:
+            ends = [params[i].n_estimators for i in active] + ([] if judge is None else [fits[i].best + patience for i in active])
+            new = _small_rounds(state, active, params, turn, min(*ends, turn + ROUNDS_A_JOB) - turn, held, width)
+        else:
+            new = _one_round(state, active, params, turn, bounds, width, n)
+        for i, pairs in new.items():
+            fits[i].boosted.trees += [tree for tree, _ in pairs]
+        turn += len(new[active[0]])
+        if before is not None:
+            before.unpersist()
         active = [i for i in active if turn < params[i].n_estimators]
         if judge is not None:
             active = judge.still(active, turn)
         if active:
-            before, state = state, _advance(state, {i: new[i] for i in active}, turn)
+            advances += 1
+            before, state = state, _advance(state, {i: [t for _, t in new[i]] for i in active}, advances)
+    if before is not None:
+        before.unpersist()
     state.unpersist()
     if judge is None:
         for f in fits:
@@ -409,21 +433,40 @@ def fit_boosters(train: DataFrame, params: list[BoostParams], val: DataFrame | N
     return fits
 
 
+def _one_round(state: RDD, active: list, params: list, turn: int, bounds: list, width: int, n: int) -> dict:
+    """``{booster: [(tree, tree over bins)]}`` of one round."""
+    growing = {i: _Growing(params[i], _columns(params[i], len(bounds), turn), turn, SMALL_ROWS, n) for i in active}
+    while True:
+        wants = {i: t.ask() for i, t in growing.items()}
+        asked, small = ({i: (growing[i].partial(), nodes[kind], growing[i].columns, params[i].seed, turn, params[i].subsample)
+                         for i, nodes in wants.items() if nodes[kind]} for kind in (0, 1))
+        if not asked and not small:
+            return {i: [t.finish(bounds)] for i, t in growing.items()}
+        if asked:
+            found = _pass(state, asked, width)
+            for i in asked:
+                growing[i].tell({node: h for (j, node), h in found.items() if j == i})
+        if small:
+            for (i, node), arrays in _finish_pass(state, small, params, width).items():
+                growing[i].graft(node, *arrays)
+
+
 def _columns(p: BoostParams, n: int, turn: int) -> np.ndarray:
     """The features that a round may split on."""
     take = max(1, int(p.colsample * n + 0.5))
     return np.sort(np.random.default_rng([p.seed, turn]).permutation(n)[:take])
 
 
-def _advance(state: RDD, trees: dict, turn: int) -> RDD:
+def _advance(state: RDD, trees: dict, steps: int) -> RDD:
     def step(block):
         x, y, w, key, margins = block
         margins = margins.copy()
-        for i, tree in trees.items():
-            margins[i] += leaf_values(tree, x)
+        for i, grown in trees.items():
+            for tree in grown:
+                margins[i] += leaf_values(tree, x)
         return x, y, w, key, margins
     after = state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
-    if turn % CUT_ROUNDS == 0:
+    if steps % CUT_ROUNDS == 0:
         after.checkpoint()
     return after
 

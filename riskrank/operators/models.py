@@ -1,11 +1,11 @@
 """Model training and scoring on Spark ML.
 
 * majority baseline: a literal probability column;
-* TF-IDF -> balanced logistic regression: sklearn's ``C`` maps to
-  ``regParam = 1 / (C * sum(weights))`` (same objective up to the unpenalised
-  intercept), no standardisation;
-* boosted trees: ``GBTClassifier`` with the reference's learning rate, row and
-  column sampling, leaf size and a positive-class weight (depth-wise trees);
+* embeddings -> balanced logistic regression: ``C`` maps to
+  ``regParam = 1 / (C * sum(weights))``, the intercept is not penalised, no
+  standardisation (for TF-IDF see ``newton``);
+* a depth-wise ``GBTClassifier`` for the stream scorer (see ``booster`` for the
+  leaf-wise one);
 * truncated SVD: randomised range finder, one pass over X per power iteration
   (no centring), components sign-fixed so each one's largest entry is positive;
   projection ``X V`` is a vectorised ``mapInPandas`` against the broadcast
@@ -23,7 +23,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,24 +30,6 @@ from .. import schema as S
 from .eda import class_weights
 
 
-def _sparse(size):
-    def build(idx, val):
-        pairs = sorted(zip(idx, val))
-        return SparseVector(size, [i for i, _ in pairs], [float(v) for _, v in pairs])
-    return F.udf(build, VectorUDT())
-
-
-def sparse_rows(long: DataFrame, size: int, id_col: str = "id", index_col: str = "term_id",
-                value_col: str = "weight", out: str = "features", ids: DataFrame | None = None) -> DataFrame:
-    """Long (id, index, value) -> one SparseVector per id (and per row of ``ids``, when given). A document's own entries
-    are gathered (bounded by its length); the small Python step only builds the
-    vector object once per document."""
-    g = _grouped(long, id_col, index_col, value_col)
-    if ids is not None:
-        g = ids.join(g, id_col, "left")
-    return g.select(id_col, _sparse(size)(F.coalesce("_i", F.array()), F.coalesce("_v", F.array())).alias(out))
-
-
 def positive_proba(pred: DataFrame, out: str = "y_proba") -> DataFrame:
     return pred.withColumn(out, vector_to_array(F.col("probability"))[1])
 
@@ -278,11 +259,10 @@ def logits_to_proba(df: DataFrame, l0: str = "l0", l1: str = "l1", out: str = "y
 
 
 # -- G3 -----------------------------------------------------------------------
-def coefficient_table(model, vocabulary: DataFrame, n: int = 20) -> DataFrame:
+def coefficient_table(coefs: np.ndarray, vocabulary: DataFrame, n: int = 20) -> DataFrame:
     """The ``n`` most positive and ``n`` most negative coefficients by term (model-
     sized: one row per vocabulary term)."""
     spark = vocabulary.sparkSession
-    coefs = model.coefficients.toArray()
     c = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(coefs)], "term_id long, coef double")
     named = c.join(vocabulary.select(F.col("term_id").cast("long"), "term"), "term_id")
     pos = named.orderBy(F.desc("coef"), F.asc("term")).limit(n).withColumn("side", F.lit("positive"))

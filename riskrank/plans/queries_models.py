@@ -204,11 +204,8 @@ def top_coefficients(spark, sf_dir, max_iter=MAX_ITER):
     """20 most positive and 20 most negative TF-IDF logistic coefficients."""
     df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     train = df.where(F.col("split") == "train")
-    vec = T.tfidf.fit(train, "job_id", S.FULL_TEXT)
-    tv = T._text_vectors(train, vec, "job_id").withColumnRenamed("id", "job_id") \
-          .join(train.select("job_id", S.TARGET), "job_id")
-    m = models.fit_logreg(tv, "tfidf", max_iter=max_iter)
-    return models.coefficient_table(m, vec.vocabulary, 20)
+    vec, m = T.tfidf_logreg(train, max_iter=max_iter)
+    return models.coefficient_table(m.coefficients, vec.vocabulary, 20)
 
 
 @register("best_trial_report")

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import booster, encode, models, tfidf
+from ..operators import booster, encode, models, newton, tfidf
 
 
 @dataclass
@@ -23,11 +23,6 @@ class Artifacts:
     svd_components: int
 
 
-def _text_vectors(df: DataFrame, vec: tfidf.TfidfModel, id_col: str) -> DataFrame:
-    """(id, tfidf) for every row; a text without a vocabulary term has the zero vector."""
-    return models.sparse_rows(vec.transform_rows(df, id_col, S.FULL_TEXT), vec.vocab_size, out="tfidf")
-
-
 def preprocess_fit(train: DataFrame, svd_components: int = 200, scale_numeric: bool = True,
                    tfidf_params: tfidf.TfidfParams | None = None, id_col: str = S.ID) -> Artifacts:
     vec = tfidf.fit(train, id_col, S.FULL_TEXT, tfidf_params)
@@ -65,17 +60,20 @@ def preprocess_apply(df: DataFrame, art: Artifacts, id_col: str = S.ID, label: s
     return models.assemble(rows, inputs, sizes=sizes).select(id_col, *([label] if label in df.columns else []), "features")
 
 
-def tfidf_logreg_scores(train: DataFrame, others: DataFrame, C: float = 1.0, max_iter: int = 200,
-                        params: tfidf.TfidfParams | None = None, id_col: str = S.ID) -> DataFrame:
-    """TF-IDF fitted on train -> balanced logistic regression; scores for
-    ``others`` (id, split, y_true, y_proba)."""
+def tfidf_logreg(train: DataFrame, C: float = 1.0, max_iter: int = 2000, params: tfidf.TfidfParams | None = None,
+                 id_col: str = S.ID) -> tuple[tfidf.TfidfModel, newton.SparseLogistic]:
+    """TF-IDF fitted on train -> balanced logistic regression, intercept penalised."""
     vec = tfidf.fit(train, id_col, S.FULL_TEXT, params)
-    tv = _text_vectors(train, vec, id_col).withColumnRenamed("id", id_col) \
-        .join(train.select(id_col, S.TARGET), id_col)
-    model = models.fit_logreg(tv, "tfidf", S.TARGET, C=C, max_iter=max_iter)
-    ov = _text_vectors(others, vec, id_col).withColumnRenamed("id", id_col) \
-        .join(others.select(id_col, "split", S.TARGET), id_col)
-    return models.positive_proba(model.transform(ov)).select(
+    rows = vec.transform_rows(train, id_col, S.FULL_TEXT).join(train.select(F.col(id_col).alias("id"), S.TARGET), "id")
+    return vec, newton.fit(rows, vec.vocab_size, C, max_iter=max_iter)
+
+
+def tfidf_logreg_scores(train: DataFrame, others: DataFrame, C: float = 1.0, max_iter: int = 2000,
+                        params: tfidf.TfidfParams | None = None, id_col: str = S.ID) -> DataFrame:
+    """Scores for ``others`` (id, split, y_true, y_proba) by a model fitted on ``train``."""
+    vec, model = tfidf_logreg(train, C, max_iter, params, id_col)
+    scored = model.scores(vec.transform_rows(others, id_col, S.FULL_TEXT)).withColumnRenamed("id", id_col)
+    return scored.join(others.select(id_col, "split", S.TARGET), id_col).select(
         id_col, "split", F.col(S.TARGET).cast("int").alias("y_true"), "y_proba")
 
 
