@@ -111,13 +111,6 @@ class SvdModel:
     components: np.ndarray  # (n_terms, k), sign-fixed
     singular_values: np.ndarray
 
-    def transform(self, vectors: DataFrame, id_col: str = "id", features: str = "features",
-                  out: str = "svd") -> DataFrame:
-        """X V as a dense ``out`` vector per row, from SparseVector rows."""
-        long = vectors.select(id_col, F.posexplode(vector_to_array(features)).alias("term_id", "weight")) \
-                      .where(F.col("weight") != 0)
-        return self.transform_long(long, id_col, out)
-
     def transform_long(self, weights: DataFrame, id_col: str = "id", out: str = "svd",
                        index_col: str = "term_id", value_col: str = "weight") -> DataFrame:
         """X V from the long TF-IDF table (id, term_id, weight): each document's

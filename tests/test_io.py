@@ -95,7 +95,10 @@ def test_search_draws_are_uncorrelated():
 
 
 def test_texts_without_terms_keep_their_row(spark):
-    from riskrank.operators.models import sparse_rows
-    long = spark.createDataFrame([(1, 2, 0.5), (1, 0, 1.0)], "id long, term_id int, weight double")
-    out = {r.id: r.v for r in sparse_rows(long, 4, out="v", ids=spark.createDataFrame([(1,), (2,)], "id long")).collect()}
-    assert out[1].toArray().tolist() == [1.0, 0.0, 0.5, 0.0] and out[2].numNonzeros() == 0
+    import numpy as np
+
+    from riskrank.operators.newton import SparseLogistic
+    rows = spark.createDataFrame([(1, [0, 2], [1.0, 0.5]), (2, [], [])], "id long, _i array<int>, _v array<double>")
+    model = SparseLogistic(np.array([2.0, 9.0, -1.0, 9.0]), 0.25, 0.0, 1.0, 1)
+    out = {r.id: r.y_proba for r in model.scores(rows).collect()}
+    assert abs(out[1] - 1 / (1 + np.exp(-1.75))) < 1e-12 and abs(out[2] - 1 / (1 + np.exp(-0.25))) < 1e-12

@@ -91,7 +91,7 @@ def test_quota_sample_and_render(spark):
 
 def test_svd_projection_matches_numpy(spark):
     import numpy as np
-    from riskrank.operators.models import SvdModel, sparse_rows
+    from riskrank.operators.models import SvdModel
     rng = np.random.default_rng(0)
     comp = rng.normal(size=(6, 3))
     m = SvdModel(comp, np.ones(3))
@@ -101,8 +101,8 @@ def test_svd_projection_matches_numpy(spark):
     assert np.allclose(got[1], 0.5 * comp[0] + 2.0 * comp[4])
     assert np.allclose(got[2], -comp[5])
     assert np.allclose(got[3], comp[1])
-    vec = sparse_rows(long.where("weight != 0"), 6, "id", "term_id", "weight", "f")
-    got2 = {r.id: r.svd.toArray() for r in m.transform(vec, "id", "f").collect()}
+    lists = spark.createDataFrame([(1, [0, 4], [0.5, 2.0]), (2, [5], [-1.0]), (3, [1], [1.0])], "id long, _i array<int>, _v array<double>")
+    got2 = {r.id: r.svd.toArray() for r in m.transform_long(lists).collect()}
     assert all(np.allclose(got[i], got2[i]) for i in got)
 
 
