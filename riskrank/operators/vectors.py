@@ -19,3 +19,9 @@ def embedding_vectors(df: DataFrame, array_col: str, out: str = "features",
     """Embedding array -> ML vector (named ``emb_i`` by position)."""
     a = l2_normalise(F.col(array_col)) if normalise else F.transform(array_col, lambda x: x.cast("double"))
     return df.withColumn(out, array_to_vector(a))
+
+
+def embedding_columns(df: DataFrame, array_col: str, width: int, prefix: str = "emb") -> DataFrame:
+    """The array as named columns ``emb_0`` to ``emb_{width - 1}``; shorter arrays end in nulls."""
+    keep = [c for c in df.columns if c != array_col]
+    return df.select(*keep, *[F.get(array_col, F.lit(i)).cast("double").alias(f"{prefix}_{i}") for i in range(width)])

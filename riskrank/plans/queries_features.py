@@ -36,6 +36,13 @@ def full_text(spark, sf_dir):
     return featured_postings(spark, sf_dir, labelled=False).select("job_id", "full_text")
 
 
+@register("text_cut", O.with_postings("SELECT job_id, left(full_text, 2000) AS text FROM featured", labelled=False))
+def text_cut(spark, sf_dir):
+    """The first 2,000 characters, as the scorer's prompts take them."""
+    f = featured_postings(spark, sf_dir, labelled=False)
+    return f.select("job_id", tx.truncate("full_text", 2000).alias("text"))
+
+
 @register("missing_flags", O.with_postings(
     "SELECT job_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in S.MISSING_FEATURES)
     + " FROM featured", labelled=False))

@@ -144,6 +144,14 @@ def embedding_l2(spark, sf_dir):
     return e.select("vec_id", F.posexplode(v).alias("i", "value"))
 
 
+@register("embedding_columns", "SELECT vec_id, " + ", ".join(
+    f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS emb_{i}" for i in range(64)) + " FROM embeddings")
+def embedding_columns(spark, sf_dir):
+    """H9: every embedding as named columns."""
+    from ..operators import vectors
+    return vectors.embedding_columns(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 64)
+
+
 _RENDER = ("substring(concat_ws(chr(10), " + ", ".join(
     f"'{label}: ' || coalesce(nullif({O.strip(f'CAST({O.qi(c)} AS VARCHAR)')}, ''), '(missing)')"
     for label, c in prompts.POSTING_FIELDS) + "), 1, 3000)")
