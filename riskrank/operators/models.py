@@ -236,15 +236,25 @@ def assemble(df: DataFrame, inputs, out: str = "features", sizes: dict | None =
 
 
 def onehot_vector(df: DataFrame, slot_cols, width: int, out: str = "onehot") -> DataFrame:
-    """Dense 0/1 vector of ``width`` from per-column global slot indices (NULL = none)."""
-    slots = F.array(*[F.col(c) for c in slot_cols])
-    arr = F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))),
-                      lambda i: F.when(F.array_contains(slots, i), F.lit(1.0)).otherwise(F.lit(0.0)))
+    """Dense 0/1 vector of ``width`` from per-column global slot indices (NULL = none): runs of
+    zeros up to each slot in turn, then the rest."""
+    s = F.array_sort(F.array_compact(F.array(*[F.col(c).cast("int") for c in slot_cols])))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda i: F.when(i > 0, F.get(s, i - 1)).otherwise(F.lit(-1))
+    runs = F.flatten(F.transform(s, lambda x, i: F.concat(zeros(x - before(i) - 1), F.array(F.lit(1.0)))))
+    arr = F.concat(runs, zeros(F.lit(width - 1) - F.coalesce(F.array_max(s), F.lit(-1))))
     if width == 0:
         arr = F.array().cast("array<double>")
     return df.withColumn(out, array_to_vector(arr))
 
 
+def matrix_long(matrix: DataFrame, names: DataFrame, id_col: str = S.ID, features: str = "features") -> DataFrame:
+    """(id, idx, name, block, value): the assembled matrix by cell, named by ``feature_names``."""
+    cells = matrix.select(id_col, F.posexplode(vector_to_array(features)).alias("idx", "value"))
+    return cells.join(names.select(F.col("idx").cast("int").alias("idx"), "name", "block"), "idx") \
+                .select(id_col, "idx", "name", "block", "value")
+
+
 # -- B27 ----------------------------------------------------------------------
 def logits_to_proba(df: DataFrame, l0: str = "l0", l1: str = "l1", out: str = "y_proba") -> DataFrame:
     """Positive-class probability of a two-logit softmax: 1 / (1 + exp(l0 - l1))."""

@@ -6,14 +6,16 @@ they go through ``running_totals`` instead:
 
 1. approximate quantiles of the ordering key (per group) cut the rows into
    ``buckets`` balanced ranges; the boundaries are a scalar subquery (no groups) or
-   a per-group row joined on the group keys;
+   a per-group row joined on the group keys. With too many groups for a broadcast, one
+   range exchange on (group, ordering key) cuts all of them instead: a small group lies in
+   one or two ranges, a large one in as many as its share of the rows;
 2. a window partitioned by (group, bucket) gives the running sum inside each range;
 3. per-bucket totals (at most ``buckets`` rows per group) give each range's offset
    and the group total; that small table is joined back.
 
 The bounds are broadcast (their size is checked), so the first exchange of the rows is on
 (group, bucket): every task holds about 1/``buckets`` of a group, however large, and the
-result is exact: only sums of integers are carried.
+result is exact either way: only sums of integers are carried.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, small_side
+from ..session import SMALL_SIDE_ROWS, cut_lineage, stored
 
 _UNB = Window.unboundedPreceding
 
@@ -30,9 +32,20 @@ def _default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _left_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """``left`` with the other columns of ``right``; a NULL key equals NULL."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`{k}`"))
+    more = [F.col(f"_r.`{c}`") for c in right.columns if c not in keys]
+    return left.alias("_l").join(right.alias("_r"), same, "left").select("_l.*", *more)
+
+
 def bucket_by_range(df: DataFrame, order_col: str, group_cols=(), buckets: int | None = None,
-                    descending: bool = False, out: str = "_bucket") -> DataFrame:
-    """Add a range-bucket id that is monotone in ``order_col`` (0 = first in order)."""
+                    descending: bool = False, out: str = "_bucket", tiebreak=()) -> DataFrame:
+    """Add a range-bucket id that is monotone in ``order_col`` (0 = first in order) within a
+    group. NULL group keys form a group. Beyond ``SMALL_SIDE_ROWS`` groups the ids come from one
+    range exchange of all groups and are monotone in (``order_col``, ``tiebreak``)."""
     n = buckets or _default_buckets(df)
     key = (-F.col(order_col) if descending else F.col(order_col)).cast("double")
     if n <= 1:
@@ -44,7 +57,10 @@ def bucket_by_range(df: DataFrame, order_col: str, group_cols=(), buckets: int |
             F.percentile_approx(key, probs, 10000).alias("_bounds"))
         # one row per group, written once: without the broadcast all rows of a group would
         # be exchanged to one task before they get their bucket
-        keyed = df.join(small_side(cut_lineage(bounds)), group_cols, "left")
+        bounds = cut_lineage(bounds)
+        if bounds.limit(SMALL_SIDE_ROWS + 1).count() > SMALL_SIDE_ROWS:
+            return _range_exchange(df, order_col, group_cols, n, descending, tiebreak, out)
+        keyed = _left_join(df, F.broadcast(bounds), group_cols)
     else:
         keyed = df.withColumn("_bounds", df.select(
             F.percentile_approx(key, probs, 10000)).scalar())
@@ -52,13 +68,21 @@ def bucket_by_range(df: DataFrame, order_col: str, group_cols=(), buckets: int |
                  .drop("_bounds"))
 
 
+def _range_exchange(df: DataFrame, order_col: str, group_cols: list, n: int, descending: bool, tiebreak, out: str) -> DataFrame:
+    """Range partitions on (group, order, tiebreak), numbered. The range bounds are sampled,
+    so the numbered rows are written once: every later read sees the same ids."""
+    order = F.desc(order_col) if descending else F.asc(order_col)
+    ranged = df.repartitionByRange(n, *[F.asc(c) for c in group_cols], order, *[F.asc(t) for t in tiebreak])
+    return stored(ranged.withColumn(out, F.spark_partition_id()), "ranges")
+
+
 def running_totals(df: DataFrame, order_col: str, sum_cols, group_cols=(), descending=False,
                    tiebreak=(), buckets: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in order) and ``tot_<c>`` (group total)
     for each ``c`` in ``sum_cols``. Rows should be unique per (group, order, tiebreak)."""
     group_cols = list(group_cols)
     sum_cols = list(sum_cols)
-    keyed = bucket_by_range(df, order_col, group_cols, buckets, descending)
+    keyed = bucket_by_range(df, order_col, group_cols, buckets, descending, tiebreak=tiebreak)
     part = group_cols + ["_bucket"]
     first = F.desc(order_col) if descending else F.asc(order_col)
     w = (Window.partitionBy(*part).orderBy(first, *[F.asc(t) for t in tiebreak])
@@ -74,7 +98,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols, group_cols=(), desce
             F.sum(f"_bt_{c}").over(whole).alias(f"tot_{c}"))])
     if not group_cols:
         offsets = F.broadcast(offsets)  # at most `buckets` rows
-    joined = local.join(offsets, part, "left")
+    joined = _left_join(local, offsets, part)
     return joined.withColumns({f"cum_{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}")
                                for c in sum_cols}) \
                  .drop(*[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])

@@ -10,9 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -48,6 +49,14 @@ class Boosted:
                                            "value double, gain double, rows long")
 
 
+def from_nodes(nodes: DataFrame, base: float, n_trees: int) -> Boosted:
+    """The model of a node table (``Boosted.nodes``); model-sized."""
+    table = nodes.toPandas().sort_values(["tree", "node"])
+    parts = {i: t for i, t in table.groupby("tree")}
+    return Boosted([Tree(*(parts[i][c].to_numpy() for c in ("feature", "threshold", "left", "right", "value", "gain", "rows")))
+                    for i in range(n_trees)], base)
+
+
 def pack(boosted: Boosted) -> tuple:
     """The model as plain arrays: broadcast values are unpickled where this package may not be."""
     return boosted.base, [(t.feature, t.threshold, t.left, t.right, t.value, t.gain, t.rows) for t in boosted.trees]
@@ -97,6 +106,19 @@ def score_prefix(boosted: Boosted, rows: DataFrame, n_trees: int, id_col: str =
                .mapInArrow(walk, f"{id_col} {kind}, " + ("y_true int, " if label else "") + "y_proba double")
 
 
+def proba_column(spark: SparkSession, boosted: Boosted, features: str = "features") -> Column:
+    """The positive probability of each row by all trees, next to the row's other columns."""
+    held = spark.sparkContext.broadcast(pack(boosted))  # model-sized
+
+    @F.pandas_udf("double")
+    def walk(rows: pd.Series) -> pd.Series:
+        model = unpack(held.value)
+        x = np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, 1))
+        margin = sum((leaf_values(t, x) for t in model.trees), np.full(len(x), model.base))
+        return pd.Series(1.0 / (1.0 + np.exp(-margin)))
+    return walk(vector_to_array(features))
+
+
 def gain_table(boosted: Boosted, names: DataFrame) -> DataFrame:
     """(feature, block, gain): the summed gain of a feature's splits; 0 for unused features."""
     gains = boosted.nodes(names.sparkSession).where("left >= 0").groupBy(F.col("feature").cast("long").alias("idx")) \

@@ -38,13 +38,14 @@ def preprocess_fit(train: DataFrame, svd_components: int = 200, scale_numeric: b
     return Artifacts(vec, svd, onehot, scaler, names, svd_components)
 
 
-def preprocess_apply(df: DataFrame, art: Artifacts, id_col: str = S.ID, label: str = S.TARGET) -> DataFrame:
-    """(id, label, features): svd block, one-hot block, numeric block. Nothing refits."""
+def preprocess_apply(df: DataFrame, art: Artifacts, id_col: str = S.ID, label: str = S.TARGET, also=()) -> DataFrame:
+    """(id, label, ``also``, features): svd block, one-hot block, numeric block. Nothing refits."""
+    own = [id_col] + ([label] if label in df.columns else []) + list(also)
     rows = art.onehot.transform(df)
     rows = models.onehot_vector(rows, [f"slot_{c}" for c in S.CATEGORICAL_FEATURES], art.onehot.n_slots)
     if art.scaler is not None:
         rows = art.scaler.transform(rows)
-    keep = [id_col, "onehot"] + S.NUMERIC_FEATURES + ([label] if label in df.columns else [])
+    keep = own + ["onehot"] + S.NUMERIC_FEATURES
     rows = rows.select(*[F.col(c).cast("double") if c in S.NUMERIC_FEATURES else F.col(c) for c in keep])
     inputs = ["onehot"] + S.NUMERIC_FEATURES
     sizes = {"onehot": art.onehot.n_slots}
@@ -57,7 +58,7 @@ def preprocess_apply(df: DataFrame, art: Artifacts, id_col: str = S.ID, label: s
                    .withColumn("svd", F.coalesce(F.col("svd"), zero))
         inputs = ["svd"] + inputs
         sizes["svd"] = art.svd_components
-    return models.assemble(rows, inputs, sizes=sizes).select(id_col, *([label] if label in df.columns else []), "features")
+    return models.assemble(rows, inputs, sizes=sizes).select(*own, "features")
 
 
 def tfidf_logreg(train: DataFrame, C: float = 1.0, max_iter: int = 2000, params: tfidf.TfidfParams | None = None,

@@ -108,3 +108,27 @@ def test_roc_corners_across_buckets(spark):
     keep = [t for i, t in enumerate(thr)
             if i == 0 or i == len(thr) - 1 or pos[i + 1] != pos[i] or neg[i + 1] != neg[i]]
     assert got == sorted(keep + [float("inf")])
+
+
+def test_running_totals_of_many_groups_with_a_hot_one(spark):
+    """Beyond the broadcast size the groups share one range exchange: a group with half of the
+    rows is cut into many ranges, and sums, NULL group included, stay exact."""
+    from riskrank.operators.running import bucket_by_range, exact_quantiles, running_totals
+    n, groups = 60_000, 3_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 1001 == 0, F.lit(None)).otherwise(F.col("id") % groups).alias("g"),
+        (F.col("id") * 7919 % 100_003).alias("v"), (F.col("id") % 5).alias("n"))
+    pdf = rows.toPandas()
+    buckets = bucket_by_range(rows, "v", ["g"], 16)
+    assert buckets.where("g = 0").groupBy("_bucket").count().agg(F.max("count")).first()[0] < n // 5
+    for descending in (False, True):
+        got = running_totals(rows, "v", ["n"], ["g"], descending, buckets=16).toPandas()
+        order = pdf.sort_values("v", ascending=not descending)
+        want = order.assign(cum=order.groupby("g", dropna=False)["n"].cumsum(),
+                            tot=order.groupby("g", dropna=False)["n"].transform("sum"))
+        both = got.merge(want, on=["g", "v"], suffixes=("", "_w"))
+        assert len(got) == len(both) == n
+        assert (both["cum_n"] == both["cum"]).all() and (both["tot_n"] == both["tot"]).all()
+    q = exact_quantiles(rows.where("g is not null"), "v", [0.5], ["g"]).toPandas().set_index("g")["value"]
+    want = pdf.dropna().groupby("g")["v"].median()
+    assert len(q) == len(want) and (q.sort_index() - want.sort_index()).abs().max() < 1e-9
