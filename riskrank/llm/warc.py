@@ -31,6 +31,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 1 << 30
 #: Ranges with gaps up to the first are read together, up to the second in one read.
 GAP_BYTES, READ_BYTES = 1 << 16, 8 << 20
+#: Bytes of records one task reads: at most so many on average, and so many before another core is asked.
+TASK_BYTES, MIN_TASK_BYTES = 64 << 20, 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 3
 INDEX = ("page_id long, url string, file string, offset long, length long, digest string, payload_bytes long, "
@@ -150,10 +152,20 @@ def write_archives(pages: DataFrame, path: str | None = None, **columns) -> Data
     return written(index.withColumn("archive", F.lit(path)), "warc-index")
 
 
+def read_tasks(index: DataFrame) -> int:
+    """As many tasks as ``TASK_BYTES`` of the selected records need, and at least one a core
+    where each still gets ``MIN_TASK_BYTES``."""
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // TASK_BYTES), min(cores, total // MIN_TASK_BYTES))
+
+
 def read_records(index: DataFrame) -> DataFrame:
     """The records of index rows (all, or any selection of them), read from the archives by
-    sorted, coalesced byte ranges."""
-    spots = index.select("archive", "file", "offset", "length").repartitionByRange("archive", "file", "offset") \
+    sorted, coalesced byte ranges. The number of tasks follows the bytes to read, not those of
+    the index."""
+    spots = index.select("archive", "file", "offset", "length") \
+                 .repartitionByRange(read_tasks(index), "archive", "file", "offset") \
                  .sortWithinPartitions("archive", "file", "offset")
 
     def run(batches):

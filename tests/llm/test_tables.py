@@ -148,6 +148,11 @@ def test_warc_round_trip(spark):
         assert r.payload_bytes == len(html[r.page_id]) and r.payload_digest == hashlib.sha1(html[r.page_id]).hexdigest()
         if r.record_type == "response":
             assert bytes(r.payload) == html[r.page_id]
+    total = index.agg(F.sum("length")).first()[0]
+    huge = index.withColumn("length", F.lit(warc.TASK_BYTES))  # tasks follow the bytes of the records
+    assert warc.read_tasks(index) == max(1, min(spark.sparkContext.defaultParallelism, total // warc.MIN_TASK_BYTES))
+    assert warc.read_tasks(huge) == max(index.count(), spark.sparkContext.defaultParallelism)
+    assert warc.read_tasks(index.where("false")) == 1
     some = warc.read_records(index.where("page_id in (3, 9)")).collect()
     assert {r.page_id for r in some} == {3, 9}
     assert warc.read_records(warc.write_archives(df.where("false"))).count() == 0
