@@ -7,18 +7,22 @@ baseline and the search tables have SQL twins.
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import booster, curves, models, search, split, trees, vectors
 from ..session import stored
+from ..sources import io
 from ..sources.tables import table
 from ..sources.testviews import featured_postings
 from . import oracle as O
+from . import stages
 from . import train as T
 from . import tuning
 from .catalog import register
 from .queries_io import scratch_folder
+from .queries_prep import _ONEHOT, _UNPIV
 
 #: The surveyed sizes. The queries take them as arguments, so that tests can pass smaller ones.
 TREES, PATIENCE, SVD_COMPONENTS, MAX_ITER, BOOSTER_TRIALS = 1000, 100, 200, 2000, 40
@@ -88,20 +92,56 @@ def gbt_embedding(spark, sf_dir, n_trees=TREES):
     return out.join(e.select("job_id", "split"), "job_id")
 
 
-def _gbt_meta(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
-    """Split postings, fitted preprocessing and the early-stopped booster, fitted once a session and folder."""
+def _meta_matrix(spark, sf_dir, k=SVD_COMPONENTS):
+    """The assembled matrix of all labelled postings and the preprocessing fitted on train, once a session and folder."""
     def make():
-        # fit, apply and scoring all read the split postings: keep them (spilling if needed)
+        # fit and apply both read the split postings: keep them (spilling if needed)
         df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-        train = df.where(F.col("split") == "train")
-        art = T.preprocess_fit(train, svd_components=k, scale_numeric=False)
-        x = stored(T.preprocess_apply(df, art).join(df.select("job_id", "split"), "job_id"), "meta-matrix")
+        art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=k, scale_numeric=False)
+        return stored(T.preprocess_apply(df, art, also=["split"]), "meta-matrix"), art
+    return _once(spark, "meta_matrix", sf_dir, k, make=make)
+
+
+def _gbt_meta(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
+    """The matrix, its preprocessing and the early-stopped booster, fitted once a session and folder."""
+    def make():
+        x, art = _meta_matrix(spark, sf_dir, k)
         fit = booster.fit_boosters(x.where(F.col("split") == "train"), [booster.BoostParams(n_estimators=n_trees)],
                                    x.where(F.col("split") == "val"), patience)[0]
         return x, art, fit
     return _once(spark, "gbt_meta", sf_dir, n_trees, patience, k, make=make)
 
 
+@register("assembled_matrix", O.with_postings(
+    f"""SELECT a.job_id, s.name, CASE WHEN coalesce(m.slot, CASE WHEN wo.nrare > 0 THEN wo.off + wo.nfreq END) = s.slot
+       THEN 1.0 ELSE 0.0 END AS value
+FROM ({_UNPIV.format(src='featured')}) a JOIN wo USING (feature) JOIN slots s USING (feature)
+LEFT JOIN mapping m ON m.feature = a.feature AND m.category = a.category
+UNION ALL """ + " UNION ALL ".join(
+        f"SELECT job_id, '{c}', round(CAST({c} AS DOUBLE), 6) FROM featured" for c in S.NUMERIC_FEATURES), _ONEHOT))
+def assembled_matrix(spark, sf_dir, k=SVD_COMPONENTS):
+    """The stacked matrix by cell and name; the one-hot and numeric blocks (the text
+    block is that of ``svd_components``)."""
+    x, art = _meta_matrix(spark, sf_dir, k)
+    return models.matrix_long(x, art.names).where("block <> 'svd'").select("job_id", "name", "value")
+
+
+@register("saved_pipeline")
+def saved_pipeline(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
+    """Preprocessing and booster saved as one ML pipeline, loaded, and applied to the featured
+    postings outside train; ``direct`` is the score without the round trip."""
+    x, art, fit = _gbt_meta(spark, sf_dir, n_trees, patience, k)
+    matrix = stages.PostingMatrixModel(art)
+    matrix.set(matrix.alsoCols, ["split"])
+    path = scratch_folder(spark, "pipeline")
+    io.save_model(PipelineModel([matrix, stages.TreeHeadModel(fit.boosted.prefix(fit.best))]), path)
+    loaded = io.load_model(PipelineModel, path)
+    other = _with_split(spark, sf_dir).where(F.col("split") != "train")
+    direct = trees.score_prefix(fit.boosted, x.where(F.col("split") != "train"), fit.best, label=None)
+    return loaded.transform(other).select("job_id", "split", "y_proba") \
+                 .join(direct.withColumnRenamed("y_proba", "direct"), "job_id")
+
+
 @register("gbt_meta")
 def gbt_meta(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPONENTS):
     """SVD text block + one-hot + hand-made features -> boosted trees."""
