@@ -83,25 +83,29 @@ def running_totals(df: DataFrame, order_col: str, sum_cols, group_cols=(), desce
     group_cols = list(group_cols)
     sum_cols = list(sum_cols)
     keyed = bucket_by_range(df, order_col, group_cols, buckets, descending, tiebreak=tiebreak)
-    part = group_cols + ["_bucket"]
+    columns = keyed.columns
+    # the group as one struct: NULLs compare equal, and window and join share one exchange
+    group = ["_group"] if group_cols else []
+    if group_cols:
+        keyed = keyed.withColumn("_group", F.struct(*group_cols)).drop(*group_cols)
+    part = group + ["_bucket"]
     first = F.desc(order_col) if descending else F.asc(order_col)
     w = (Window.partitionBy(*part).orderBy(first, *[F.asc(t) for t in tiebreak])
                .rowsBetween(_UNB, Window.currentRow))
     local = keyed.withColumns({f"_loc_{c}": F.sum(c).over(w) for c in sum_cols})
     totals = keyed.groupBy(*part).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
-    before = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()) \
-        .orderBy("_bucket").rowsBetween(_UNB, -1)
-    whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_bucket").rowsBetween(_UNB, -1)
     offsets = totals.select(*part, *[
         e for c in sum_cols for e in (
             F.coalesce(F.sum(f"_bt_{c}").over(before), F.lit(0)).alias(f"_off_{c}"),
             F.sum(f"_bt_{c}").over(whole).alias(f"tot_{c}"))])
     if not group_cols:
         offsets = F.broadcast(offsets)  # at most `buckets` rows
-    joined = _left_join(local, offsets, part)
-    return joined.withColumns({f"cum_{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}")
-                               for c in sum_cols}) \
-                 .drop(*[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
+    return local.join(offsets, part, "left").select(
+        *[F.col(f"_group.`{c}`").alias(c) if c in group_cols else F.col(c) for c in columns],
+        *[f"tot_{c}" for c in sum_cols],
+        *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs, group_cols=(),
