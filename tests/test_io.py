@@ -102,3 +102,11 @@ def test_texts_without_terms_keep_their_row(spark):
     model = SparseLogistic(np.array([2.0, 9.0, -1.0, 9.0]), 0.25, 0.0, 1.0, 1)
     out = {r.id: r.y_proba for r in model.scores(rows).collect()}
     assert abs(out[1] - 1 / (1 + np.exp(-1.75))) < 1e-12 and abs(out[2] - 1 / (1 + np.exp(-0.25))) < 1e-12
+
+
+def test_registered_pipeline_survives_the_round_trip(spark):
+    from riskrank.plans import catalog
+    catalog.load_all()
+    rows = catalog.QUERIES["saved_pipeline"](spark, "/root/testdata/sf0.001", n_trees=5, patience=5, k=4).collect()
+    assert rows and {r.split for r in rows} == {"val", "test"}
+    assert all(abs(r.y_proba - r.direct) <= 1e-6 for r in rows)
