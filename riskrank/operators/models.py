@@ -8,7 +8,7 @@
   leaf-wise one);
 * truncated SVD: randomised range finder, one pass over X per power iteration
   (no centring), components sign-fixed so each one's largest entry is positive;
-  projection ``X V`` is a vectorised ``mapInPandas`` against the broadcast
+  projection ``X V`` is a sparse product of Arrow batches with the broadcast
   component matrix.
 
 Every score table keeps the row id; nothing is aligned by position.
@@ -19,15 +19,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .booster import _arrow_blocks
 from .eda import class_weights
+from .newton import _rows_of
 
 
 def positive_proba(pred: DataFrame, out: str = "y_proba") -> DataFrame:
@@ -113,79 +116,74 @@ class SvdModel:
 
     def transform_long(self, weights: DataFrame, id_col: str = "id", out: str = "svd",
                        index_col: str = "term_id", value_col: str = "weight") -> DataFrame:
-        """X V from the long TF-IDF table (id, term_id, weight): each document's
-        entries are gathered (already clustered by id), then Arrow batches are
-        projected with one vectorised numpy product against the broadcast
-        components (vocabulary x k, bounded by ``max_features``)."""
-        spark = weights.sparkSession
-        comp = spark.sparkContext.broadcast(self.components)
+        """X V from the long TF-IDF table (id, term_id, weight): each document's entries are gathered
+        (unless they are lists already), then Arrow batches are projected by one sparse product against
+        the broadcast components (vocabulary x k, bounded by ``max_features``)."""
+        comp = weights.sparkSession.sparkContext.broadcast(self.components)
         k = self.components.shape[1]
         grouped = _grouped(weights, id_col, index_col, value_col)
 
         def project(batches):
-            import numpy as np
-            import pandas as pd
-            v_mat = comp.value
-            for pdf in batches:
-                lengths = pdf["_i"].map(len).to_numpy()
-                out_arr = np.zeros((len(pdf), k))
-                if lengths.sum():
-                    idx = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["_i"]])
-                    val = np.concatenate([np.asarray(a, dtype=np.float64) for a in pdf["_v"]])
-                    rows = np.repeat(np.arange(len(pdf)), lengths)
-                    np.add.at(out_arr, rows, v_mat[idx] * val[:, None])
-                yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "_arr": list(out_arr)})
-
-        projected = grouped.mapInPandas(project, f"{id_col} long, _arr array<double>")
+            for b in batches:
+                n, row, index, value = _rows_of(b, 1)
+                y = _row_sums(row, index, value, comp.value, np.zeros((n, k)))
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * k)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(y.ravel()))],
+                                                 names=[id_col, "_arr"])
+
+        projected = grouped.select(F.col(id_col).cast("long").alias(id_col), "_i", "_v") \
+                           .mapInArrow(project, f"{id_col} long, _arr array<double>")
         return projected.select(id_col, array_to_vector("_arr").alias(out))
 
 
 MAX_SKETCH_CELLS = 200_000_000  # 1.6 GB of doubles per broadcast matrix
-
-
-def _gram_and_xty(grouped: DataFrame, m_bc, n_terms: int, width: int, id_col: str):
-    """One pass over X (rows: index list, value list): with Y = X M, return
-    G = Y^T Y (width x width) and Z = X^T Y (n_terms x width). Each batch adds its
-    Gram and the rows of Z for the terms it touches; Spark sums them per term (at
-    most one partial per task and term), and the driver receives model-sized
-    matrices only."""
-    def partials(batches):
-        import numpy as np
-        import pandas as pd
-        m_mat = m_bc.value
-        gram = np.zeros((width, width))
-        z = {}
-        for pdf in batches:
-            lengths = pdf["_i"].map(len).to_numpy()
-            if not lengths.sum():
-                continue
-            idx = np.concatenate([np.asarray(a, dtype=np.int64) for a in pdf["_i"]])
-            val = np.concatenate([np.asarray(a, dtype=np.float64) for a in pdf["_v"]])
-            rows = np.repeat(np.arange(len(pdf)), lengths)
-            y = np.zeros((len(pdf), width))
-            np.add.at(y, rows, m_mat[idx] * val[:, None])
+CHUNK_CELLS = 1 << 21  # cells of a product at a time
+TERMS_A_RANGE = 1024
+
+
+def _row_sums(row: np.ndarray, index: np.ndarray, value: np.ndarray, m: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Add ``value * m[index]`` to the rows of ``out`` that ``row`` (ascending) names."""
+    step = max(1, CHUNK_CELLS // max(m.shape[1], 1))
+    for at in range(0, len(row), step):
+        r = row[at:at + step]
+        first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        out[r[first]] += np.add.reduceat(m[index[at:at + step]] * value[at:at + step, None], first, axis=0)
+    return out
+
+
+def _sparse_blocks(grouped: DataFrame) -> RDD:
+    """Blocks ``(rows, entries by row, entries by term)``; entries are (row, index, value), the second
+    time as (index, row, value)."""
+    def pack(batches):
+        for b in batches:
+            n, row, index, value = _rows_of(b, 0)
+            if len(row):
+                by_term = np.argsort(index, kind="stable")
+                yield n, (row, index, value), (index[by_term], row[by_term], value[by_term])
+    return _arrow_blocks(grouped.select("_i", "_v"), pack)
+
+
+def _gram_and_xty(blocks: RDD, m_bc, n_terms: int, width: int):
+    """One pass over X: with Y = X M, return G = Y^T Y (width x width) and Z = X^T Y (n_terms x width).
+    A task adds up both over its blocks (n_terms x width cells, as the broadcast M); the sums of tasks
+    meet by ranges of terms on the executors, and the driver receives model-sized matrices only."""
+    def partials(held):
+        gram, z = np.zeros((width, width)), None
+        for n, by_row, by_term in held:
+            y = _row_sums(*by_row, m_bc.value, np.zeros((n, width)))
             gram += y.T @ y
-            contrib = val[:, None] * y[rows]
-            terms, inv = np.unique(idx, return_inverse=True)
-            summed = np.zeros((len(terms), width))
-            np.add.at(summed, inv, contrib)
-            for t, vec in zip(terms.tolist(), summed):
-                z[t] = z[t] + vec if t in z else vec
-        out_ids = [-1] + list(z.keys())
-        out_vals = [gram.ravel()] + list(z.values())
-        yield pd.DataFrame({"term_id": out_ids, "arr": out_vals})
-
-    parts = grouped.mapInPandas(partials, "term_id long, arr array<double>")
-    # vector sums with partial aggregation: a row holds one vector, however many tasks there are
-    summed = parts.groupBy("term_id").agg(vector_to_array(Summarizer.sum(array_to_vector("arr"))).alias("arr"))
-    gram = np.zeros((width, width))
-    z_mat = np.zeros((n_terms, width))
-    for r in summed.toLocalIterator():
-        if r["term_id"] < 0:
-            gram = np.asarray(r["arr"]).reshape(width, width)
-        else:
-            z_mat[r["term_id"]] = r["arr"]
-    return gram, z_mat
+            z = _row_sums(*by_term, y, np.zeros((n_terms, width)) if z is None else z)
+        if z is not None:
+            yield -1, gram
+            for i in range(-(-n_terms // TERMS_A_RANGE)):
+                yield i, z[i * TERMS_A_RANGE:(i + 1) * TERMS_A_RANGE]
+
+    ranges = min(blocks.context.defaultParallelism, -(-n_terms // TERMS_A_RANGE) + 1)
+    summed = dict(blocks.mapPartitions(partials).reduceByKey(lambda a, b: a + b, ranges).collect())
+    if not summed:
+        return np.zeros((width, width)), np.zeros((n_terms, width))
+    gram = summed.pop(-1)
+    return gram, np.concatenate([summed[i] for i in sorted(summed)])
 
 
 def fit_svd(weights: DataFrame, n_terms: int, k: int, n_oversamples: int = 10, n_iter: int = 5,
@@ -199,22 +197,21 @@ def fit_svd(weights: DataFrame, n_terms: int, k: int, n_oversamples: int = 10, n
     Z = X^T Y, so Q = Y G^(-1/2) and B = Q^T X = G^(-1/2) Z^T without another pass;
     the small B is decomposed on the driver. Signs: each component's largest entry
     is positive."""
-    from pyspark import StorageLevel
     sc = weights.sparkSession.sparkContext
     width = min(k + n_oversamples, n_terms)
     if n_terms * width > MAX_SKETCH_CELLS:  # the sketch and components are broadcast
         raise ValueError(f"{n_terms} terms x {width} columns is too large to broadcast; "
                          "bound the vocabulary (max_features) or lower k")
-    grouped = _grouped(weights, id_col, index_col, value_col).persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
+    blocks = _sparse_blocks(_grouped(weights, id_col, index_col, value_col)).persist(StorageLevel.MEMORY_AND_DISK)
     rng = np.random.default_rng(seed)
     m_mat = rng.standard_normal((n_terms, width))
     for it in range(n_iter + 1):
         m_bc = sc.broadcast(m_mat)
-        gram, z_mat = _gram_and_xty(grouped, m_bc, n_terms, width, id_col)
+        gram, z_mat = _gram_and_xty(blocks, m_bc, n_terms, width)
         m_bc.unpersist()
         if it < n_iter:
             m_mat, _ = np.linalg.qr(z_mat)
-    grouped.unpersist()
+    blocks.unpersist()
     evals, w = np.linalg.eigh(gram)
     keep = evals > max(evals.max(), 0.0) * 1e-12
     t = w[:, keep] / np.sqrt(evals[keep])

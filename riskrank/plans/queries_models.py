@@ -160,8 +160,7 @@ def gain_importance(spark, sf_dir, n_trees=TREES, patience=PATIENCE, k=SVD_COMPO
 @register("svd_components")
 def svd_components(spark, sf_dir, k=SVD_COMPONENTS):
     """H3: truncated SVD (k=200) of the training TF-IDF matrix, applied to every posting."""
-    df = _with_split(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    art = T.preprocess_fit(df.where(F.col("split") == "train"), svd_components=k)
+    _, art = _meta_matrix(spark, sf_dir, k)
     every = featured_postings(spark, sf_dir, labelled=False)
     sv = art.svd.transform_long(art.tfidf.transform_rows(every, "job_id", S.FULL_TEXT), "id", "svd")
     # a posting without a vocabulary term is projected to zeros

@@ -125,6 +125,28 @@ def test_randomized_svd_matches_numpy(spark):
     assert abs(approx.singular_values[0] - s[0]) < 1e-9
 
 
+def test_svd_of_lists_over_many_terms_and_tasks(spark, monkeypatch):
+    import numpy as np
+    from riskrank.operators import models
+    rng = np.random.default_rng(2)
+    x = rng.random((40, 2500)) * (rng.random((40, 2500)) < 0.05)
+    x[5] = x[17] = 0.0  # rows without entries
+    x[:, :3] *= 4.0
+    rows = [(i, np.flatnonzero(r).tolist(), r[r != 0].tolist()) for i, r in enumerate(x)]
+    lists = spark.createDataFrame(rows, "id long, _i array<int>, _v array<double>").repartition(5)
+    s, vt = np.linalg.svd(x, full_matrices=False)[1:]
+    got = models.fit_svd(lists, 2500, 6, n_oversamples=34, n_iter=2)  # the sketch spans every row
+    assert np.allclose(got.singular_values, s[:6], rtol=1e-9)
+    assert np.allclose(np.abs(got.components), np.abs(vt[:6].T), atol=1e-8)
+    proj = {r.id: r.svd.toArray() for r in got.transform_long(lists).collect()}
+    assert len(proj) == 40 and all(np.allclose(proj[i], x[i] @ got.components) for i in proj)
+    # products cut into pieces inside a row give the same sums
+    row, index = np.nonzero(x)
+    m = rng.standard_normal((2500, 7))
+    monkeypatch.setattr(models, "CHUNK_CELLS", 7 * 13)
+    assert np.allclose(models._row_sums(row, index, x[row, index], m, np.zeros((40, 7))), x @ m)
+
+
 @pytest.mark.parametrize("n", [1, 4, 7, 11, 40, 100])
 def test_most_frequent_terms_are_cut_inside_ties_by_term(spark, n):
     terms = [(f"{a}{b}", 1, t) for a in ("a", "abc", "abd", "zé") for b in ("", "x", "yy", "zzz", "é")
