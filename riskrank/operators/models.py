@@ -152,15 +152,15 @@ def _row_sums(row: np.ndarray, index: np.ndarray, value: np.ndarray, m: np.ndarr
 
 
 def _sparse_blocks(grouped: DataFrame) -> RDD:
-    """Blocks ``(rows, entries by row, entries by term)``; entries are (row, index, value), the second
-    time as (index, row, value)."""
+    """Blocks ``(lengths, index, value)`` of the rows' entries, 12 bytes an entry; in as many partitions as
+    there are task slots at most, since each sends a matrix of the model's size in every pass."""
     def pack(batches):
         for b in batches:
             n, row, index, value = _rows_of(b, 0)
             if len(row):
-                by_term = np.argsort(index, kind="stable")
-                yield n, (row, index, value), (index[by_term], row[by_term], value[by_term])
-    return _arrow_blocks(grouped.select("_i", "_v"), pack)
+                yield np.bincount(row, minlength=n).astype(np.int32), index.astype(np.int32), value
+    blocks = _arrow_blocks(grouped.select("_i", "_v"), pack)
+    return blocks.coalesce(max(1, min(blocks.getNumPartitions(), blocks.context.defaultParallelism)))
 
 
 def _gram_and_xty(blocks: RDD, m_bc, n_terms: int, width: int):
@@ -169,17 +169,21 @@ def _gram_and_xty(blocks: RDD, m_bc, n_terms: int, width: int):
     meet by ranges of terms on the executors, and the driver receives model-sized matrices only."""
     def partials(held):
         gram, z = np.zeros((width, width)), None
-        for n, by_row, by_term in held:
-            y = _row_sums(*by_row, m_bc.value, np.zeros((n, width)))
+        for lengths, index, value in held:
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            y = _row_sums(row, index, value, m_bc.value, np.zeros((len(lengths), width)))
             gram += y.T @ y
-            z = _row_sums(*by_term, y, np.zeros((n_terms, width)) if z is None else z)
+            by_term = np.argsort(index, kind="stable")
+            z = _row_sums(index[by_term], row[by_term], value[by_term], y, np.zeros((n_terms, width)) if z is None else z)
         if z is not None:
             yield -1, gram
             for i in range(-(-n_terms // TERMS_A_RANGE)):
                 yield i, z[i * TERMS_A_RANGE:(i + 1) * TERMS_A_RANGE]
 
     ranges = min(blocks.context.defaultParallelism, -(-n_terms // TERMS_A_RANGE) + 1)
-    summed = dict(blocks.mapPartitions(partials).reduceByKey(lambda a, b: a + b, ranges).collect())
+    sums = blocks.mapPartitions(partials).reduceByKey(lambda a, b: a + b, ranges)
+    summed = dict(sums.collect())
+    sums._jrdd.rdd().cleanShuffleDependencies(False)  # the pass's shuffle files, which else stay until the driver collects garbage
     if not summed:
         return np.zeros((width, width)), np.zeros((n_terms, width))
     gram = summed.pop(-1)
@@ -208,7 +212,7 @@ def fit_svd(weights: DataFrame, n_terms: int, k: int, n_oversamples: int = 10, n
     for it in range(n_iter + 1):
         m_bc = sc.broadcast(m_mat)
         gram, z_mat = _gram_and_xty(blocks, m_bc, n_terms, width)
-        m_bc.unpersist()
+        m_bc.destroy()
         if it < n_iter:
             m_mat, _ = np.linalg.qr(z_mat)
     blocks.unpersist()
