@@ -159,19 +159,19 @@ def duplicate_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(rid, runs)``: for each row with something to remove, the runs of chunks under windows
     that occurred before, as structs (first, last chunk number). A window that overlaps its own
     first occurrence is part of that."""
-    windows = window_table(docs, id_col, text_col, words, min_run_words, min_run_bytes)
+    windows = window_table(docs, id_col, text_col, words, min_run_words, min_run_bytes).repartition("digest")
     order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "rid", "place")
-    heads = windows.groupBy("digest").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1") \
-                   .select(F.col("digest").alias("d"), F.col("head.rid").alias("head_rid"), F.col("head.place").alias("head_place"))
-    heads = written(heads, "chunk-heads")
+    # windows are dealt by digest once; heads and join read that one exchange, so both sides need the same columns
+    heads = windows.groupBy(F.col("digest").alias("d")).agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    head_rid, head_place = F.col("head.rid"), F.col("head.place")
 
-    def part(place: str, shift: int, bits: int):
+    def part(place, shift: int, bits: int):
         return F.shiftright(place, shift).bitwiseAND(F.lit((1 << bits) - 1))
-    head_last = F.shiftright("head_place", 32) + part("head_place", 24, 8)
-    elsewhere = F.col("rid") != F.col("head_rid")
-    later = windows.join(heads, windows["digest"] == heads["d"]) \
+    head_last = F.shiftright(head_place, 32) + part(head_place, 24, 8)
+    elsewhere = F.col("rid") != head_rid
+    later = windows.join(heads, windows["digest"] == heads["d"]).where(order > F.col("head")) \
                    .where(elsewhere | (F.lit(within) & (F.shiftright("place", 32) > head_last)))
-    same = [(part("place", at, 12) > 0) & (part("place", at, 12) == part("head_place", at, 12)) for at in (12, 0)]
+    same = [(part("place", at, 12) > 0) & (part("place", at, 12) == part(head_place, at, 12)) for at in (12, 0)]
     more = F.when(same[0], F.when(same[1], 2).otherwise(1)).otherwise(0)
     span = F.shiftright("place", 32) * F.lit(1 << 32) + F.shiftright("place", 32) + part("place", 24, 8) + more
     # windows of one document: bounded by the document itself
