@@ -8,7 +8,7 @@ penalty and are written as byte pieces, so that every text can be decoded to its
 A text is escaped as the model does (a space in front, spaces as U+2581). No piece has
 U+2581 behind another character (checked when the model is read), so the best path of a
 text is the best paths of its segments (spaces and what follows up to the next space), and
-repeated segments are read once per task. A U+2581 of the text itself is written as bytes.
+repeated segments are read once per worker. A U+2581 of the text itself is written as bytes.
 
 Ties: the longest last piece wins, as in the library. Scores are added in double precision.
 """
@@ -16,6 +16,7 @@ Ties: the longest last piece wins, as in the library. Scores are added in double
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import map_texts
 SPACE = "▁"
 #: Below the lowest score of a piece; the library's fixed value.
 UNKNOWN_PENALTY = 10.0
-#: Segments up to so many characters are remembered by a task, so many of them at once.
+#: Segments up to so many characters are remembered by a worker, so many of them at once.
 CACHED_CHARS, CACHED_SEGMENTS = 64, 300_000
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: A parameter wherever it is used.
@@ -46,8 +47,10 @@ class Pieces:
             raise ValueError("the model needs 256 byte pieces")
         self.pieces, self.byte_ids, self.names = pieces, byte_ids, names
         self.unknown = min(score for _, score in pieces.values()) - UNKNOWN_PENALTY
+        self.singles = {p for p in pieces if len(p) == 1}
+        self.key = uuid.uuid4().hex
         self._automaton, self._texts = None, None
-        self._cache: dict[str, list[int]] = {}
+        self._cache: dict[str, bytes] = {}
 
     @classmethod
     def from_model(cls, path: str = DEFAULT_MODEL) -> Pieces:
@@ -74,6 +77,17 @@ class Pieces:
 
     def viterbi(self, segment: str) -> list[int]:
         """Ids of the best path through one segment."""
+        if self.singles.issuperset(segment):  # no character is unknown
+            best, through = [0.0] + [-float("inf")] * len(segment), [None] * (len(segment) + 1)
+            for last, hit in self.automaton.iter(segment):
+                total = best[last + 1 - hit[0]] + hit[2]
+                if total > best[last + 1]:  # longest first, as below
+                    best[last + 1], through[last + 1] = total, hit
+            found, at = [], len(segment)
+            while at:
+                found.append(through[at][1])
+                at -= through[at][0]
+            return found[::-1]
         n = len(segment)
         best, piece, back = [0.0] + [-float("inf")] * n, [-1] * (n + 1), [0] * (n + 1)
         single = bytearray(n + 1)  # ends of pieces of one character
@@ -105,28 +119,34 @@ class Pieces:
             at = back[at]
         return ids[::-1]
 
-    def segment_ids(self, segment: str) -> list[int]:
+    def segment_ids(self, segment: str) -> bytes:
+        """The ids of a segment, 4 bytes each."""
         found = self._cache.get(segment)
         if found is None:
-            found = self.viterbi(segment)
+            found = array("i", self.viterbi(segment)).tobytes()
             if len(segment) <= CACHED_CHARS:
                 if len(self._cache) >= CACHED_SEGMENTS:
                     self._cache.clear()
                 self._cache[segment] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; none for an empty one."""
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, 4 bytes each; none for an empty one."""
         if not text:
-            return []
-        ids: list[int] = []
+            return b""
+        ids: list[bytes] = []
         for i, run in enumerate(text.split(SPACE)):  # literal U+2581 goes out as bytes
             if i:
-                ids += [self.byte_ids[b] for b in SPACE.encode()]
+                ids.append(array("i", [self.byte_ids[b] for b in SPACE.encode()]).tobytes())
             escaped = (" " + run if not i else run).replace(" ", SPACE)
-            for segment in SEGMENT.findall(escaped):
-                ids += self._cache.get(segment) or self.segment_ids(segment)
-        return ids
+            segments = SEGMENT.findall(escaped)
+            found = list(map(self._cache.get, segments))
+            ids += found if None not in found else [f or self.segment_ids(s) for s, f in zip(segments, found)]
+        return b"".join(ids)
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text; none for an empty one."""
+        return array("i", self.packed(text)).tolist()
 
     @property
     def texts(self) -> list[bytes]:
@@ -144,6 +164,16 @@ class Pieces:
         return b"".join(map(self.texts.__getitem__, ids)).removeprefix(b" ")
 
 
+def worker_model(model: Pieces) -> Pieces:
+    """The model that a worker process keeps: tasks that follow each other share its automaton and segments."""
+    import sys
+    import types
+    held = sys.modules.setdefault("riskrank_pieces", types.ModuleType("riskrank_pieces"))
+    if getattr(held, "model", model).key != model.key or not hasattr(held, "model"):
+        held.model = model
+    return held.model
+
+
 def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, n_tokens, round_trip`` (whether decoding the ids gives the text back).
 
@@ -153,12 +183,13 @@ def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
 
     def run(batch):
+        held = worker_model(model)
         flat, ends, same = array("i"), [0], []
         for text in batch.column(1).to_pylist():
-            ids = model.encode(text or "")
+            ids = array("i", held.packed(text or ""))
             flat.extend(ids)
             ends.append(len(flat))
-            same.append(model.decode(ids) == (text or "").encode())
+            same.append(held.decode(ids) == (text or "").encode())
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
         return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(ends).astype("i8")),
                                            pa.array(same, pa.bool_())],
