@@ -35,7 +35,7 @@ END_ID = 2
 FILE_BYTES = 1 << 30
 #: Frames that start in the same range of so many bytes of a file are read in one go.
 READ_BYTES = 16 << 20
-#: Pieces a task remembers with their ids; beyond that it starts anew.
+#: Pieces a worker remembers with their ids; a batch that begins beyond that starts anew.
 CACHE_PIECES = 1_000_000
 HEADER, HEADER_BYTES = "<IIq", 16
 INDEX = "part int, file string, offset long, length long, before long, n_tokens long"
@@ -45,6 +45,7 @@ _PIECES, _LINES = re.compile(r" (?=\S)"), re.compile(r"\n(?=\S)")
 #: themselves, the others follow from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_SPACE = chr(BYTE_LETTERS[32])
 
 
 # -- checksums ----------------------------------------------------------------
@@ -154,7 +155,7 @@ class Encoder:
         self.kind = "H" if self.width == 2 else "I"
         self.line_end = self._ids("\n")
         self.tails = {c: self._ids(c) for c in ",.;:"}
-        self.pieces, self.heads = {}, {}
+        self.pieces, self.heads = _Known(self, " "), _Known(self, "")
         if any(self._word(w) != self._ids(w) for w in (" abc", "é", " Straße")):
             raise ValueError("the tokenizer is not a byte-level one")
 
@@ -163,30 +164,51 @@ class Encoder:
 
     def _word(self, text: str) -> bytes:
         """Ids of letters after a space at most."""
-        text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        text = text.replace(" ", _SPACE) if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
-    def _learn(self, known: dict, pieces: set, before: str) -> None:
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = pieces
-        for p in new:
-            if p[-1:] in self.tails and "a" <= p[-2:-1] <= "z":
-                stem = p[:-1]
-                if stem not in known:
-                    known[stem] = self._word(before + stem) if stem.isalpha() and max(stem) < "\u0250" else self._ids(before + stem)
-                known[p] = known[stem] + self.tails[p[-1]]
-            elif p not in known:
-                known[p] = self._word(before + p) if p.isalpha() and max(p) < "\u0250" else self._ids(before + p)
+    def _piece(self, text: str) -> bytes:
+        """Ids of a piece, with the space before it if there is one."""
+        bare = text[1:] if text[:1] == " " else text
+        return self._word(text) if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250") else self._ids(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, ``width`` bytes each."""
-        split = [[_PIECES.split(line) for line in _LINES.split(text)] for text in texts]
-        self._learn(self.heads, {line[0] for lines in split for line in lines}, "")
-        self._learn(self.pieces, {p for lines in split for line in lines for p in line[1:]}, " ")
+        for known in (self.heads, self.pieces):
+            if len(known) > CACHE_PIECES:
+                known.clear()
         head, rest, end = self.heads, self.pieces.__getitem__, self.line_end
-        return [end.join([head[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) for lines in split]
+        out = []
+        for text in texts:
+            lines = []
+            for line in _LINES.split(text):
+                first, *others = _pieces_of(line)
+                lines.append(head[first] + b"".join(map(rest, others)))
+            out.append(end.join(lines))
+        return out
+
+
+class _Known(dict):
+    """Ids by piece; a new piece is encoded when it is asked for. ``before`` stands before each."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[-1:] in self.encoder.tails and "a" <= piece[-2:-1] <= "z":
+            found = self[piece[:-1]] + self.encoder.tails[piece[-1]]
+        else:
+            found = self.encoder._piece(self.before + piece)
+        self[piece] = found
+        return found
+
+
+def _pieces_of(line: str) -> list[str]:
+    """The pieces of a line: cut at spaces that a word follows."""
+    if line.isprintable() and "  " not in line and line[-1:] != " ":  # no white space follows a space
+        return line.split(" ")
+    return _PIECES.split(line)
 
 
 def worker_encoder(path: str) -> Encoder:
