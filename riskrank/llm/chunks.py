@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, map_texts, row_key, written
+from .common import byte_texts, hash_sample, map_texts, row_key, written
 
 #: One white-space position in so many ends a chunk (about so many words a chunk).
 WORDS_A_CHUNK = 5
@@ -37,6 +37,8 @@ GEAR_SEED = 7
 FACTOR = 0x9E3779B97F4A7C13
 INVERSE = pow(FACTOR, -1, 1 << 64)
 BLOCK = 1 << 22
+#: Digests with this share of a sample's windows are dealt to so many tasks; so many digests at most.
+HOT_SAMPLE, HOT_SHARE, HOT_SLOTS, HOT_DIGESTS = 1000, 1 / 2000, 64, 256
 
 GEAR = np.random.default_rng(GEAR_SEED).integers(0, 1 << 16, 256, dtype=np.uint16)
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -154,22 +156,42 @@ def window_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(rows, run, "id long, rid long, place long, digest long")
 
 
+def _hot_digests(docs: DataFrame, id_col: str, text_col: str, words: int, min_run_words: int, min_run_bytes: int) -> list[int]:
+    """Digests that make up a large share of the windows of a sample of rows: ``HOT_DIGESTS`` at most. They only
+    say which windows are dealt to several tasks; results do not depend on them."""
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), row_key(id_col, text_col).alias("key"))
+    found = window_table(hash_sample(some, "key", HOT_SAMPLE, GEAR_SEED), "id", "t", words, min_run_words, min_run_bytes) \
+        .groupBy("digest").count()
+    found = written(found, "chunk-sample")
+    least = max(HOT_SHARE * (found.agg(F.sum("count")).first()[0] or 0), 8)
+    return [r[0] for r in found.where(F.col("count") >= least).orderBy(F.desc("count"), "digest").limit(HOT_DIGESTS).collect()]
+
+
 def duplicate_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_A_CHUNK,
                    min_run_words: int = MIN_RUN_WORDS, min_run_bytes: int = MIN_RUN_BYTES, within: bool = True) -> DataFrame:
     """``(rid, runs)``: for each row with something to remove, the runs of chunks under windows
     that occurred before, as structs (first, last chunk number). A window that overlaps its own
     first occurrence is part of that."""
-    windows = window_table(docs, id_col, text_col, words, min_run_words, min_run_bytes).repartition("digest")
+    hot = _hot_digests(docs, id_col, text_col, words, min_run_words, min_run_bytes)
+    slot = F.when(F.col("digest").isin(hot), F.pmod(F.xxhash64("rid", "place"), F.lit(HOT_SLOTS)).cast("int") + 1).otherwise(0)
+    windows = window_table(docs, id_col, text_col, words, min_run_words, min_run_bytes) \
+        .withColumn("slot", slot if hot else F.lit(0)).repartition("digest", "slot")
     order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "rid", "place")
-    # windows are dealt by digest once; heads and join read that one exchange, so both sides need the same columns
-    heads = windows.groupBy(F.col("digest").alias("d")).agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # windows are dealt once; heads and join read that one exchange, so all sides need the same columns
+    heads = windows.groupBy(F.col("digest").alias("d"), F.col("slot").alias("s")) \
+                   .agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("spread"))
+    if hot:  # the slots of a hot digest share their head: a row a hot digest
+        top = heads.where("spread > 0").groupBy(F.col("d").alias("t")).agg(F.min("head").alias("first"), F.sum("n").alias("total"))
+        heads = heads.join(F.broadcast(top), heads["d"] == top["t"], "left") \
+                     .select("d", "s", F.coalesce("first", "head").alias("head"), F.coalesce("total", "n").alias("n"))
+    heads = heads.where("n > 1")
     head_rid, head_place = F.col("head.rid"), F.col("head.place")
 
     def part(place, shift: int, bits: int):
         return F.shiftright(place, shift).bitwiseAND(F.lit((1 << bits) - 1))
     head_last = F.shiftright(head_place, 32) + part(head_place, 24, 8)
     elsewhere = F.col("rid") != head_rid
-    later = windows.join(heads, windows["digest"] == heads["d"]).where(order > F.col("head")) \
+    later = windows.join(heads, (windows["digest"] == heads["d"]) & (windows["slot"] == heads["s"])).where(order > F.col("head")) \
                    .where(elsewhere | (F.lit(within) & (F.shiftright("place", 32) > head_last)))
     same = [(part("place", at, 12) > 0) & (part("place", at, 12) == part(head_place, at, 12)) for at in (12, 0)]
     more = F.when(same[0], F.when(same[1], 2).otherwise(1)).otherwise(0)

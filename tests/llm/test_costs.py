@@ -61,3 +61,21 @@ def test_a_piece_is_encoded_once(monkeypatch):
     assert [np.frombuffer(ids, "<u2").tolist() for ids in got] == 2 * [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     monkeypatch.setattr(records, "CACHE_PIECES", 0)
     assert encode(texts) == got[:4]
+
+
+def test_a_very_common_passage_is_dealt_to_several_tasks(spark, monkeypatch):
+    common = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, " ".join(f"own{i}x{k}" for k in range(20)) + "\n" + common + "\n" + " ".join(f"end{i}x{k}" for k in range(20)))
+            for i in range(60)] + [(None, common), (7, common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def runs():
+        return sorted((r["rid"], tuple(map(tuple, r["runs"]))) for r in found.collect())
+    found = chunks.duplicate_runs(docs)
+    assert chunks._hot_digests(docs, "doc_id", "text", 5, 12, 200)
+    spread = runs()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 2
+    monkeypatch.setattr(chunks, "_hot_digests", lambda *a: [])
+    found = chunks.duplicate_runs(docs)
+    assert spread == runs() and len(spread) == 61
