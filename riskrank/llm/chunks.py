@@ -174,16 +174,20 @@ def duplicate_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first occurrence is part of that."""
     hot = _hot_digests(docs, id_col, text_col, words, min_run_words, min_run_bytes)
     slot = F.when(F.col("digest").isin(hot), F.pmod(F.xxhash64("rid", "place"), F.lit(HOT_SLOTS)).cast("int") + 1).otherwise(0)
-    windows = window_table(docs, id_col, text_col, words, min_run_words, min_run_bytes) \
-        .withColumn("slot", slot if hot else F.lit(0)).repartition("digest", "slot")
+    # windows are dealt once; heads and join read that one exchange: all sides need the same columns and filters,
+    # so the keys are never null, nor constant (the join would deal windows and heads again)
+    windows = window_table(docs, id_col, text_col, words, min_run_words, min_run_bytes).where(F.col("digest").isNotNull())
+    if hot:
+        windows = windows.withColumn("slot", F.coalesce(slot, F.lit(0)))
+    keys = ["digest", "slot"] if hot else ["digest"]
+    windows = windows.repartition(*keys)
     order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "rid", "place")
-    # windows are dealt once; heads and join read that one exchange, so all sides need the same columns
-    heads = windows.groupBy(F.col("digest").alias("d"), F.col("slot").alias("s")) \
-                   .agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("spread"))
+    of_head = [F.min(order).alias("head"), F.count(F.lit(1)).alias("n")] + ([F.max("slot").alias("spread")] if hot else [])
+    heads = windows.groupBy(*[F.col(k).alias(f"head_{k}") for k in keys]).agg(*of_head)
     if hot:  # the slots of a hot digest share their head: a row a hot digest
-        top = heads.where("spread > 0").groupBy(F.col("d").alias("t")).agg(F.min("head").alias("first"), F.sum("n").alias("total"))
-        heads = heads.join(F.broadcast(top), heads["d"] == top["t"], "left") \
-                     .select("d", "s", F.coalesce("first", "head").alias("head"), F.coalesce("total", "n").alias("n"))
+        top = heads.where("spread > 0").groupBy(F.col("head_digest").alias("t")).agg(F.min("head").alias("first"), F.sum("n").alias("total"))
+        heads = heads.join(F.broadcast(top), heads["head_digest"] == top["t"], "left") \
+                     .select("head_digest", "head_slot", F.coalesce("first", "head").alias("head"), F.coalesce("total", "n").alias("n"))
     heads = heads.where("n > 1")
     head_rid, head_place = F.col("head.rid"), F.col("head.place")
 
@@ -191,7 +195,7 @@ def duplicate_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.shiftright(place, shift).bitwiseAND(F.lit((1 << bits) - 1))
     head_last = F.shiftright(head_place, 32) + part(head_place, 24, 8)
     elsewhere = F.col("rid") != head_rid
-    later = windows.join(heads, (windows["digest"] == heads["d"]) & (windows["slot"] == heads["s"])).where(order > F.col("head")) \
+    later = windows.join(heads, [windows[k] == heads[f"head_{k}"] for k in keys]).where(order > F.col("head")) \
                    .where(elsewhere | (F.lit(within) & (F.shiftright("place", 32) > head_last)))
     same = [(part("place", at, 12) > 0) & (part("place", at, 12) == part(head_place, at, 12)) for at in (12, 0)]
     more = F.when(same[0], F.when(same[1], 2).otherwise(1)).otherwise(0)

@@ -20,6 +20,27 @@ def test_windows_are_computed_and_dealt_once(spark):
     assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("n_hot", [0, 2, 12])
+def test_windows_are_dealt_once_when_heads_are_not_broadcast(spark, monkeypatch, n_hot):
+    text = " ".join(f"word{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, "head " + text), (None, text), (3, None)], "doc_id long, text string")
+    digests = sorted(r["digest"] for r in chunks.window_table(docs).select("digest").distinct().collect())
+    monkeypatch.setattr(chunks, "_hot_digests", lambda *a: digests[:n_hot])
+    monkeypatch.setattr(chunks, "HOT_SLOTS", 4)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = chunks.duplicate_runs(docs)
+        assert len(found.collect()) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == (2 if n_hot else 1)
+    assert plan.count("MapInArrow") == 2  # the windows, and the runs of the marked ones
+    dealt = re.findall(r"Exchange hashpartitioning\((?:digest|d|head_digest)#[^\n]*ENSURE_REQUIREMENTS", plan)
+    assert len(dealt) == (1 if n_hot else 0)  # the hot digests' heads alone are dealt again
+
+
 @pytest.fixture(scope="module")
 def model():
     pytest.importorskip("sentencepiece")
