@@ -16,8 +16,8 @@ many passes as it has levels of large nodes, and one more. If all rows are that
 
 With validation rows, the fit stops after ``patience`` rounds without a better average
 precision. No round can end the fit before ``best so far + patience``, so validation margins
-advance, and the rounds since then are judged in one grouped curve table, exactly when
-that round is reached: no tree is fitted after the stop.
+advance, and the rounds since then are judged in one grouped pass (for ``SMALL_ROWS`` rows at most a task ranks them
+for ``ROUNDS_A_TASK`` rounds; for more, by ``curves``), exactly when that round is reached: no tree is fitted after the stop.
 
 Margins are persisted with the blocks whenever they advance; every ``CUT_ROUNDS`` times the lineage is cut.
 """
@@ -42,8 +42,9 @@ BLOCK_BYTES = 8 << 20
 LEAST_BLOCK_BYTES = 1 << 20
 SMALL_ROWS = 1 << 17
 SMALL_CELLS = 16 << 20
-FEW_ROWS = 512
+FEW_ROWS = 2048
 ROUNDS_A_JOB = 50
+ROUNDS_A_TASK = 25
 CUT_ROUNDS = 25
 
 
@@ -140,18 +141,18 @@ def _in_bag(key: np.ndarray, seed: int, turn: int, share: float) -> np.ndarray:
 
 def _histogram(x: np.ndarray, rows: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int) -> np.ndarray:
     """Sums of gradient, hessian and rows per (feature, bin): 3 x features x bins."""
-    g, h = g[rows], h[rows]
+    g, h, across = g[rows], h[rows], x.T
     if len(rows) > FEW_ROWS:  # a feature at a time: its bins stay in the cache
         out = np.empty((3, len(columns), bins))
         for at, j in enumerate(columns):
-            cells = x[rows, j].astype(np.intp)
+            cells = across[j].take(rows).astype(np.intp)
             for k, v in enumerate((g, h, None)):
                 out[k, at] = np.bincount(cells, v, bins)
         return out
     size = len(columns) * bins
-    cells = (x[np.ix_(rows, columns)] + np.arange(len(columns), dtype=np.int64) * bins).ravel()
-    return np.stack([np.bincount(cells, None if v is None else np.repeat(v, len(columns)), size) for v in (g, h, None)]) \
-        .reshape(3, len(columns), bins)
+    cells = across[columns].take(rows, axis=1) + np.arange(len(columns))[:, None] * bins
+    return np.stack([np.bincount(cells.ravel(), None if v is None else np.broadcast_to(v, cells.shape).ravel(), size)
+                     for v in (g, h, None)]).reshape(3, len(columns), bins)
 
 
 def _pass(state: RDD, asked: dict, bins: int) -> dict:
@@ -211,16 +212,17 @@ def _small_rounds(state: RDD, active: list, params: list, first: int, count: int
         i, parts = item
         x, y, w, key, margin = (np.concatenate(a) for a in zip(*parts))
         order = np.argsort(key, kind="stable")  # the same sums in any order of arrival
-        x, y, w, key, margin = (a[order] for a in (x, y, w, key, margin))
-        out = []
+        y, w, key, margin = (a[order] for a in (y, w, key, margin))
+        across, out = np.ascontiguousarray(x[order].T), []  # read a feature at a time
         for turn in range(first, first + count):
             q = 1.0 / (1.0 + np.exp(-margin))
             rows = np.flatnonzero(_in_bag(key, params[i].seed, turn, params[i].subsample))
-            columns = _columns(params[i], x.shape[1], turn)
+            columns = _columns(params[i], len(across), turn)
             tree = _Growing(params[i], columns, turn)
-            tree.graft(0, *_grow_here(params[i], x[np.ix_(rows, columns)], (w * (q - y))[rows], (w * q * (1.0 - q))[rows], bins))
+            tree.graft(0, *_grow_here(params[i], across[columns].take(rows, axis=1).T, (w * (q - y))[rows],
+                                      (w * q * (1.0 - q))[rows], bins))
             out.append(tree.finish(bounds.value))
-            margin = margin + leaf_values(out[-1][1], x)
+            margin = margin + _values_here(out[-1][1], across)
         return i, [tuple(_arrays(t) for t in pair) for pair in out]
     grown = state.mapPartitions(send).groupByKey(min(len(active), state.context.defaultParallelism)).map(grow).collect()
     return {i: [tuple(Tree(*t) for t in pair) for pair in pairs] for i, pairs in grown}
@@ -236,16 +238,80 @@ def _small(width: int) -> int:
 
 
 def _grow_here(p: BoostParams, x: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int) -> tuple:
-    """The nodes of a tree over these rows alone; features are columns of ``x``."""
-    columns = np.arange(x.shape[1])
-    x = np.asfortranarray(x)  # read a feature at a time
+    """The nodes of a tree over these rows alone; features are columns of ``x``. Each node keeps the list of its
+    rows, and only nodes that are split get their children counted."""
+    x, columns = np.asfortranarray(x), np.arange(x.shape[1])  # read a feature at a time
     tree = _Growing(p, columns, 0, 0)
-    while nodes := tree.ask()[0]:
-        at = leaf_of(tree.partial(), x)
-        tree.tell({n: _histogram(x, np.flatnonzero(at == n), columns, g, h, bins) for n in nodes})
+    rows, heap, leaves, least = {0: np.arange(len(x))}, [], 1, 2 * p.min_child_samples - 0.5
+    tree.tell({0: _histogram(x, rows[0], columns, g, h, bins)})
+    if tree.split[0]:
+        heap = [(-tree.split[0][0], 0)]
+    while heap and leaves < p.num_leaves:
+        _, node = heapq.heappop(heap)
+        tree._open(node)
+        leaves += 1
+        own, whole, pair = rows.pop(node), tree.hist[node], (tree.left[node], tree.right[node])
+        tree.hist[node] = None
+        n = [tree.sums[c][2] for c in pair]
+        if leaves == p.num_leaves or max(n) <= least:  # no child is split
+            tree.split[pair[0]] = tree.split[pair[1]] = False
+            continue
+        goes = x.T[tree.feature[node]].take(own) <= tree.bin[node]
+        rows[pair[0]], rows[pair[1]] = own[goes], own[~goes]
+        fewer = int(n[1] < n[0])
+        hist = _histogram(x, rows[pair[fewer]], columns, g, h, bins)
+        both = [hist, whole - hist] if fewer == 0 else [whole - hist, hist]
+        able = [k for k in (0, 1) if n[k] > least]
+        found = dict(zip(able, _best_splits(p, np.stack([both[k] for k in able]), np.stack([tree.sums[pair[k]] for k in able]))))
+        for k, c in enumerate(pair):
+            tree.split[c] = found.get(k) or False
+            if tree.split[c]:
+                tree.hist[c] = both[k]
+                heapq.heappush(heap, (-tree.split[c][0], c))
+            else:
+                del rows[c]
     return tree.bin, tree.left, tree.right, tree.sums, tree.split
 
 
+def _values_here(tree: Tree, across: np.ndarray) -> np.ndarray:
+    """The leaf value of each row of a tree over bins; ``across`` is features x rows."""
+    out = np.empty(across.shape[1])
+    stack = [(0, np.arange(len(out)))]
+    while stack:
+        node, rows = stack.pop()
+        if tree.feature[node] < 0:
+            out[rows] = tree.value[node]
+            continue
+        goes = across[tree.feature[node]].take(rows) <= tree.threshold[node]
+        stack += [(tree.left[node], rows[goes]), (tree.right[node], rows[~goes])]
+    return out
+
+
+def _best_splits(p: BoostParams, hist: np.ndarray, sums: np.ndarray) -> list:
+    """For each node (histograms nodes x 3 x features x bins) the split with the largest gain (ties: the
+    first feature, then bin) as (gain, column, bin, left sums); None if there is none."""
+    left = np.cumsum(hist, axis=3)[..., :-1]
+    right = sums[:, :, None, None] - left
+    fits = (np.minimum(left[:, 2], right[:, 2]) >= p.min_child_samples - 0.5) & \
+        (np.minimum(left[:, 1], right[:, 1]) >= p.min_child_weight)
+
+    def score(g, h):
+        over = g if p.reg_alpha == 0 else np.maximum(np.abs(g) - p.reg_alpha, 0.0)
+        return over * over / (h + p.reg_lambda)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = score(left[:, 0], left[:, 1]) + score(right[:, 0], right[:, 1]) - score(sums[:, 0], sums[:, 1])[:, None, None]
+    gain = np.where(fits, gain, -np.inf).reshape(len(hist), -1)
+    out = []
+    for k in range(len(hist)):
+        at = int(np.argmax(gain[k])) if gain.shape[1] else -1
+        if at < 0 or not gain[k, at] > 1e-12:
+            out.append(None)
+            continue
+        j, b = divmod(at, left.shape[3])
+        out.append((float(gain[k, at]), j, b, left[k, :, j, b]))
+    return out
+
+
 # -- one tree -----------------------------------------------------------------
 class _Growing:
     """A tree while it grows. Nodes beyond the final leaves may be known; ``finish`` leaves them out."""
@@ -258,28 +324,8 @@ class _Growing:
     def partial(self) -> Tree:
         return Tree(*(np.array(a) for a in (self.feature, self.bin, self.left, self.right)), np.zeros(len(self.bin)))
 
-    def _score(self, g, h):
-        return np.maximum(np.abs(g) - self.p.reg_alpha, 0.0) ** 2 / (h + self.p.reg_lambda)
-
-    def _best(self, hist: np.ndarray, sums: np.ndarray):
-        """The split with the largest gain (ties: the first feature, then bin); None if there is none."""
-        p, left = self.p, np.cumsum(hist, axis=2)[:, :, :-1]
-        right = sums[:, None, None] - left
-        fits = (np.minimum(left[2], right[2]) >= p.min_child_samples - 0.5) & \
-            (np.minimum(left[1], right[1]) >= p.min_child_weight)
-        if not fits.any():
-            return None
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = self._score(left[0], left[1]) + self._score(right[0], right[1]) - self._score(sums[0], sums[1])
-        gain = np.where(fits, gain, -np.inf)
-        at = int(np.argmax(gain))
-        if not gain.flat[at] > 1e-12:
-            return None
-        j, b = divmod(at, gain.shape[1])
-        return float(gain.flat[at]), j, b, left[:, j, b]
-
     def _know(self, node: int, hist) -> None:
-        self.split[node] = False if hist is None else self._best(hist, self.sums[node]) or False
+        self.split[node] = False if hist is None else _best_splits(self.p, hist[None], self.sums[node][None])[0] or False
         self.hist[node] = hist if self.split[node] else None
 
     def _walk(self):
@@ -474,7 +520,7 @@ def _advance(state: RDD, trees: dict, steps: int) -> RDD:
         margins = margins.copy()
         for i, grown in trees.items():
             for tree in grown:
-                margins[i] += leaf_values(tree, x)
+                margins[i] += _values_here(tree, x.T)
         return x, y, w, key, margins
     after = state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
     if steps % CUT_ROUNDS == 0:
@@ -482,6 +528,28 @@ def _advance(state: RDD, trees: dict, steps: int) -> RDD:
     return after
 
 
+def _precision_table(rows: DataFrame, n_rounds: int) -> DataFrame:
+    """(at, average_precision): that of each of the ``n_rounds`` scores in ``steps``; for ``SMALL_ROWS`` rows at
+    most, since a task ranks all rows for a few rounds. Rows of equal score count as one threshold, as in ``curves``."""
+    def judge(table):
+        import pyarrow as pa
+        y = table["y_true"].to_numpy()
+        known = ~np.isnan(y.astype(float))
+        y = y[known] == 1
+        steps = table["steps"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)[known]
+        out = []
+        for s in steps.T:
+            order = np.argsort(-s, kind="stable")
+            ends = np.flatnonzero(np.append(s[order][1:] != s[order][:-1], True)[:len(s)])
+            hits = np.cumsum(y[order])[ends]
+            out.append(float((np.diff(hits, prepend=0) / hits[-1] * (hits / (ends + 1))).sum()) if y.any() else 0.0)
+        first = table["part"][0].as_py() * ROUNDS_A_TASK
+        return pa.table({"at": pa.array(range(first, first + len(out)), pa.int32()), "average_precision": pa.array(out, pa.float64())})
+    parts = F.array(*[F.slice("steps", k + 1, ROUNDS_A_TASK) for k in range(0, n_rounds, ROUNDS_A_TASK)])
+    return rows.select("y_true", F.posexplode(parts).alias("part", "steps")).groupBy("part") \
+               .applyInArrow(judge, "at int, average_precision double")
+
+
 class _Judge:
     """Validation margins and the average precision of every round."""
 
@@ -490,6 +558,7 @@ class _Judge:
         start = F.array(*[F.lit(f.boosted.base) for f in fits])
         self.rows = stored(val.select((F.col(label) == 1).cast("int").alias("y_true"), vector_to_array(features).alias("x"),
                                       start.alias("margins")), "val-margins")
+        self.few = self.rows.count() <= SMALL_ROWS
 
     def still(self, active: list[int], turn: int) -> list[int]:
         """The boosters that go on after ``turn`` rounds."""
@@ -518,13 +587,16 @@ class _Judge:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["y_true", "x", "margins", "steps"])
 
         rows = stored(self.rows.mapInArrow(walk, "y_true int, x array<double>, margins array<double>, steps array<double>"), "val-margins")
-        keys = F.array(*[F.struct(F.lit(i).alias("booster"), F.lit(self.done[i] + k + 1).alias("n_trees"))
-                         for i, ts in fresh.items() for k in range(len(ts))])
-        scores = rows.select("y_true", F.explode(F.arrays_zip(keys.alias("key"), F.col("steps").alias("y_proba"))).alias("s")) \
-                     .select("y_true", "s.key.booster", "s.key.n_trees", "s.y_proba")
-        by = ["booster", "n_trees"]
-        ap = curves.ranking_summary(curves.curve_table(scores, by), by).select(*by, "average_precision")
-        for i, k, value in sorted(tuple(r) for r in ap.collect()):  # a row a booster and round
+        rounds = [(i, self.done[i] + k + 1) for i, ts in fresh.items() for k in range(len(ts))]
+        if self.few:
+            ap = [(*rounds[r["at"]], r["average_precision"]) for r in _precision_table(rows, len(rounds)).collect()]
+        else:
+            keys = F.array(*[F.struct(F.lit(i).alias("booster"), F.lit(k).alias("n_trees")) for i, k in rounds])
+            scores = rows.select("y_true", F.explode(F.arrays_zip(keys.alias("key"), F.col("steps").alias("y_proba"))).alias("s")) \
+                         .select("y_true", "s.key.booster", "s.key.n_trees", "s.y_proba")
+            by = ["booster", "n_trees"]
+            ap = curves.ranking_summary(curves.curve_table(scores, by), by).select(*by, "average_precision").collect()
+        for i, k, value in sorted(tuple(r) for r in ap):  # a row a booster and round
             f = self.fits[i]
             if not f.best or value > dict(f.history)[f.best]:
                 f.best = k

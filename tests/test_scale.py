@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from riskrank import schema as S
 from riskrank.functions import text as tx
-from riskrank.operators import booster, features, models, tfidf
+from riskrank.operators import booster, curves, features, models, tfidf
 from riskrank.plans import queries_models
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,31 @@ def test_svd_blocks_are_12_bytes_an_entry_in_few_partitions(spark):
 def test_rule_search_computes_its_own_features_only(spark):
     plan = _plan(queries_models._with_split(spark, SF, queries_models._RULE_FEATURES))
     assert "word_count" not in plan and "has_email" not in plan
+
+
+def test_a_task_grows_only_what_a_tree_needs(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (900, 4)).astype(np.uint8), rng.random(900)
+    counted, plain, p = [], booster._histogram, booster.BoostParams(num_leaves=8, min_child_samples=5)
+    monkeypatch.setattr(booster, "_histogram", lambda *a: counted.append(len(a[1])) or plain(*a))
+    tree = booster._Growing(p, np.arange(4), 0)
+    tree.graft(0, *booster._grow_here(p, x, 0.5 - y, np.full(900, 0.25), 9))
+    done = tree.finish([np.arange(9.0)] * 4)[1]
+    assert (done.feature < 0).sum() == 8
+    assert len(counted) <= 7  # the root and the smaller child of each split but the last
+    assert np.array_equal(booster._values_here(done, np.ascontiguousarray(x.T)), booster.leaf_values(done, x))
+
+
+@pytest.mark.parametrize("rounds", [1, 25, 60])
+def test_average_precision_of_rounds_equals_the_curves(spark, rounds):
+    rng = np.random.default_rng(4)
+    data = [(None if k % 17 == 0 else int(k % 5 == 0), [float(v) for v in rng.integers(0, 30, rounds)]) for k in range(120)]
+    rows = spark.createDataFrame(data, "y_true int, steps array<double>").repartition(3)
+    got = {r["at"]: r["average_precision"] for r in booster._precision_table(rows, rounds).collect()}
+    scores = rows.select("y_true", F.posexplode("steps").alias("at", "y_proba"))
+    want = curves.ranking_summary(curves.curve_table(scores, ["at"]), ["at"]).collect()
+    assert len(got) == len(want) == rounds
+    assert all(abs(got[r["at"]] - r["average_precision"]) < 1e-12 for r in want)
+    none = booster._precision_table(rows.where("y_true = 0"), rounds).collect()
+    assert [r["average_precision"] for r in none] == [0.0] * rounds
+    assert booster._precision_table(rows.limit(0), rounds).count() == 0
