@@ -239,7 +239,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = [_without(t, c, words) for t, c in zip(byte_texts(texts), cuts.to_pylist())]
         return pa.array(out, pa.struct([("clean", pa.string()), ("chunks", pa.int64()), ("words", pa.int64())]))
     found = F.col("runs").isNotNull()
-    both = rows.join(runs, rows["key"] == runs["rid"], "left") \
+    # the runs grow with the input: dealt with the texts at every size, not broadcast below some threshold
+    both = rows.join(runs.hint("merge"), rows["key"] == runs["rid"], "left") \
                .withColumn("cut", cut(F.when(found, text), F.col("runs")))  # only rows with runs go to Python
     return both.select("row", F.when(found, F.col("cut.clean")).otherwise(text).alias("clean"),
                        F.when(found, F.col("cut.chunks")).otherwise(0).alias("n_removed_chunks"),

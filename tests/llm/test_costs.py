@@ -41,6 +41,16 @@ def test_windows_are_dealt_once_when_heads_are_not_broadcast(spark, monkeypatch,
     assert len(dealt) == (1 if n_hot else 0)  # the hot digests' heads alone are dealt again
 
 
+def test_texts_meet_their_runs_by_the_same_join_at_every_size(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, "head " + text), (None, text), (3, None)], "doc_id long, text string")
+    out = chunks.without_repeats(docs)
+    kept = {r["doc_id"]: (r["clean"] == r["text"], r["n_removed_words"] > 0) for r in out.select("row.*", "clean", "n_removed_words").collect()}
+    assert kept == {1: (True, False), 2: (False, True), None: (False, True), 3: (True, False)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.fixture(scope="module")
 def model():
     pytest.importorskip("sentencepiece")
