@@ -252,3 +252,39 @@ def test_registered_tree_queries_give_rows(spark):
     assert Q.tree_contributions(spark, sf, patience=10, k=5).count() == 20
     assert Q.gbt_early_stopped(spark, sf, patience=10, k=5).count() > 0
     assert len(Q._FITTED) == n_fits
+
+
+def test_columns_counted_in_pairs_or_row_by_row_have_the_same_sums(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 20, (3000, 5)), rng.integers(0, 2, 3000)]).astype(np.uint8)
+    x[:, 3] = x[:, 1]
+    g, h, rows, columns = rng.normal(size=3000), rng.random(3000), np.arange(0, 3000, 2), np.arange(6)
+    want = booster._histogram(x, rows, columns, g, h, 21)
+    across = np.ascontiguousarray(x.T)
+    plain = booster._plain(across, [np.arange(19.0)] * 5 + [np.arange(1.0)])
+    assert list(plain) == [False, True, False, True, False, True]  # equal columns and those of few bins
+    assert np.array_equal(want, booster._histogram(x, rows, columns, g, h, 21, lambda r: x[r]))
+    monkeypatch.setattr(booster, "FEW_ROWS", 10)
+    got = booster._histogram(across.T, rows, columns, g, h, 21, None, booster._pairs(across, plain, 21))
+    assert np.allclose(got, want, rtol=1e-12, atol=1e-12) and np.array_equal(got[2], want[2])
+    assert np.array_equal(got[:, 1], got[:, 3])  # equal features keep equal sums: the first one wins
+
+
+def test_a_fit_of_few_rows_is_one_job_a_stretch_of_rounds(rows, monkeypatch):
+    """A task stops by itself, and later stretches go on where the earlier ones ended."""
+    p = [booster.BoostParams(**{**SMALL, "n_estimators": 30}), booster.BoostParams(**{**SMALL, "n_estimators": 30, "learning_rate": 0.5})]
+    train, val = rows.where("split = 'train'"), rows.where("split = 'val'").withColumn(
+        "fraudulent", F.when(F.col("job_id") % 10 > 0, F.col("fraudulent")))  # labels that are not known count for nothing
+    jobs, real = [], booster._whole_fits
+    monkeypatch.setattr(booster, "_whole_fits", lambda *a: jobs.append(1) or real(*a))
+    one = booster.fit_boosters(train, p, val, patience=6)
+    assert len(jobs) == 1
+    monkeypatch.setattr(booster, "ROUNDS_A_JOB", 4)
+    two = booster.fit_boosters(train, p, val, patience=6)
+    monkeypatch.setattr(booster, "SMALL_ROWS", 0)
+    three = booster.fit_boosters(train, p, val, patience=6)
+    for a, b, c in zip(one, two, three):
+        assert a.best == b.best == c.best and len(a.boosted.trees) == len(b.boosted.trees) == len(c.boosted.trees)
+        assert a.history == b.history and np.allclose(a.history, c.history)
+    empty = booster.fit_boosters(train, p[:1], val.limit(0), patience=6)[0]
+    assert empty.history == [] and empty.best == 0
