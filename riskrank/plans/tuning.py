@@ -33,13 +33,14 @@ def booster_search(train: DataFrame, val: DataFrame, n_trials: int = 40, n_estim
         size = min(BATCH if done else STARTUP, n_trials - len(rows))
         batch = [search.tpe_params(done, len(rows) + k, seed, STARTUP) for k in range(size)]
         fits = booster.fit_boosters(train, [_params(v, n_estimators) for v in batch], val, patience)
+        entries = []
         for values, fit in zip(batch, fits):
             trial, ap = len(rows), dict(fit.history).get(fit.best, 0.0)
             done.append((values, ap))
             rows.append((trial, *(values[n] for n in NAMES), fit.best, ap))
-            if log_path:
-                io.log_experiment(spark, log_path, f"booster_trial_{trial}", {"average_precision": ap}, "val",
-                                  f"{values} trees={fit.best}")
+            entries.append((f"booster_trial_{trial}", {"average_precision": ap}, f"{values} trees={fit.best}"))
+        if log_path:
+            io.log_experiments(spark, log_path, entries)
     return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 

@@ -117,6 +117,16 @@ def log_experiment(spark: SparkSession, path: str, name: str, metrics: dict, spl
     return row
 
 
+def log_experiments(spark: SparkSession, path: str, entries: list[tuple], split: str = "val") -> None:
+    """Append a row for each ``(name, metrics, notes)`` in one write."""
+    now = spark.range(1).select(F.date_trunc("second", F.current_timestamp()).alias("now")).first()["now"]
+    rows = []
+    for name, metrics, notes in entries:
+        own = {"model": name, "split": split, "notes": notes, "timestamp": now}
+        rows.append(tuple(own[c] if c in own else None if metrics.get(c) is None else float(metrics[c]) for c in S.EXPERIMENT_SCHEMA.names))
+    spark.createDataFrame(rows, S.EXPERIMENT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
 def load_experiments(spark: SparkSession, path: str, split: str | None = "val") -> DataFrame:
     """Best average precision first; one split (None = all); empty table when absent."""
     if not _exists(spark, path):

@@ -110,3 +110,13 @@ def test_registered_pipeline_survives_the_round_trip(spark):
     rows = catalog.QUERIES["saved_pipeline"](spark, "/root/testdata/sf0.001", n_trees=5, patience=5, k=4).collect()
     assert rows and {r.split for r in rows} == {"val", "test"}
     assert all(abs(r.y_proba - r.direct) <= 1e-6 for r in rows)
+
+
+def test_entries_logged_together_equal_those_logged_alone(spark, tmp_path):
+    entries = [("a", {"average_precision": 0.25}, "x"), ("b", {"average_precision": 1, "f1": None}, "")]
+    io.log_experiments(spark, str(tmp_path / "one"), entries)
+    for name, metrics, notes in entries:
+        io.log_experiment(spark, str(tmp_path / "two"), name, metrics, "val", notes)
+    one, two = (io.load_experiments(spark, str(tmp_path / k)).drop("timestamp").collect() for k in ("one", "two"))
+    assert one == two and len(one) == 2
+    assert len(list((tmp_path / "one").glob("part-*.parquet"))) == 1
