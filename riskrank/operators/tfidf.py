@@ -6,7 +6,8 @@ document frequency in [min_df, max_df * n_docs], then the ``max_features`` terms
 with the largest total count (ties by term); term ids in alphabetical order;
 sublinear tf ``1 + ln(tf)``; smoothed idf ``ln((1 + n) / (1 + df)) + 1``; L2 row norm.
 
-Plan: terms are counted where the document lies, in Arrow batches, and no text moves. Fitting sends
+Plan: terms are counted where the document lies, in Arrow batches, and no text moves. A task numbers the words it
+meets; an n-gram is a 64-bit code of word numbers, sorted and counted as such, and is spelled out once a task's counts go on. Fitting sends
 one row per (batch, term) to the only shuffle, the per-term totals. Applying looks the terms up in
 the vocabulary, which travels with the tasks when it has ``BROADCAST_TERMS`` terms at most (its size is
 checked), and normalises each document in place; a larger vocabulary is joined by term instead,
@@ -20,9 +21,11 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,12 @@ PREFIX = 3
 BROADCAST_TERMS = 200_000
 #: A task sends its counts on when it holds so many.
 FLUSH = 100_000
+#: So many counts of (document, term) are summed at once, in 16 bytes each.
+HELD_COUNTS = 1_000_000
+#: A task forgets the words it has numbered when they are so many.
+HELD_WORDS = 200_000
 TOKEN = re.compile(r"\w{2,}")
+STOP, UNKNOWN = -2, -1
 _RES = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources")
 
 
@@ -60,22 +68,75 @@ class TfidfParams:
         return english_stop_words() if self.stop_words is None else list(self.stop_words)
 
 
-def _terms(params: TfidfParams):
-    """``text -> list`` of the n-grams, with repeats, of an already lower-cased text (None: no terms).
+def _tokens(params: TfidfParams):
+    """``text -> list`` of the words, stop words included, of an already lower-cased text (None: none).
     Python's ``\\w`` is the word class of ``functions.text``."""
-    stop, (low, high), accents = frozenset(params.words()), params.ngram_range, params.strip_accents
+    accents = params.strip_accents
 
-    def terms(text):
+    def tokens(text):
         if text is None:
             return []
         if accents and not text.isascii():
-            text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-        tokens = [t for t in TOKEN.findall(text) if t not in stop]
+            text = unicodedata.normalize("NFKD", text)
+            for c in set(text):
+                if unicodedata.combining(c):
+                    text = text.replace(c, "")
+        return TOKEN.findall(text)
+    return tokens
+
+
+def _terms(params: TfidfParams):
+    """``text -> list`` of the n-grams, with repeats, of an already lower-cased text (None: no terms)."""
+    stop, (low, high), split = frozenset(params.words()), params.ngram_range, _tokens(params)
+
+    def terms(text):
+        tokens = [t for t in split(text) if t not in stop]
         out = tokens if low <= 1 <= high else []
         return out + [a + " " + b for a, b in zip(tokens, tokens[1:])] if low <= 2 <= high else out
     return terms
 
 
+def _codes(numbers: np.ndarray, ngram_range: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, ascending, and how often each occurs) of the n-grams of a text's word numbers: stop words go first, and no
+    n-gram has an unknown word. A code is the first word's number, then that of the second and one (0: no second)."""
+    low, high = ngram_range
+    own = numbers[numbers != STOP]
+    parts = [own[own >= 0] << 32] if low <= 1 <= high else []
+    if low <= 2 <= high and len(own) > 1:
+        first, second = own[:-1], own[1:]
+        both = (first >= 0) & (second >= 0)
+        parts.append((first[both] << 32) + second[both] + 1)
+    codes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    codes.sort()
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[:len(codes)])
+    return codes[starts], np.diff(np.append(starts, len(codes)))
+
+
+class _Words(dict):
+    """Numbers words as they come; stop words are ``STOP``."""
+
+    def __init__(self, stop):
+        super().__init__(zip(stop, repeat(STOP)))
+        self.stop, self.met = stop, []
+
+    def __missing__(self, word):
+        self[word] = n = len(self.met)
+        self.met.append(word)
+        return n
+
+    def forget(self):
+        self.clear()
+        self.__init__(self.stop)
+
+    def spell(self, codes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The terms of some codes, and the order in which they come."""
+        met, second = pa.array(self.met, pa.string()), (codes & 0xFFFFFFFF) - 1
+        one, two = np.flatnonzero(second < 0), np.flatnonzero(second >= 0)
+        word = lambda n: met.take(pa.array(n))
+        return pa.concat_arrays([word(codes[one] >> 32), pc.binary_join_element_wise(word(codes[two] >> 32), word(second[two]), " ")]), \
+            np.append(one, two)
+
+
 def _counter(params: TfidfParams):
     """``text -> Counter`` of its n-grams."""
     terms = _terms(params)
@@ -108,36 +169,48 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str, params: TfidfParams)
 
 def partial_stats(docs: DataFrame, text_col: str, params: TfidfParams, class_col: str | None = None) -> DataFrame:
     """(cls, term, df, total) of parts of the rows, to be summed per (cls, term)."""
-    terms_of = _terms(params)
+    split, stop, ngrams = _tokens(params), params.words(), tuple(params.ngram_range)
     cls = F.col(class_col) if class_col else F.lit(0)
     rows = _texts(docs, text_col, params, cls.alias("cls"))
     kind = rows.schema["cls"].dataType.simpleString()
 
     def run(batches):
-        df, total, types = {}, {}, None  # a Counter a class
+        words, held, types, size = _Words(stop), {}, None, 0  # held: codes and counts of each document, a class
 
         def flush():
-            for c, found in df.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c] * len(found), types), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()),
-                     pa.array(list(map(total[c].__getitem__, found)), pa.int64())], names=["cls", "term", "df", "total"])
-            df.clear()
-            total.clear()
+            for c, parts in held.items():
+                codes, counts = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(codes)
+                codes, counts = codes[order], counts[order]
+                starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[:len(codes)])
+                terms, at = words.spell(codes[starts])
+                df, total = np.diff(np.append(starts, len(codes)))[at], np.add.reduceat(counts, starts)[at] if len(starts) else counts
+                for k in range(0, len(terms), FLUSH):
+                    n = min(FLUSH, len(terms) - k)
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * n, types), terms.slice(k, n), pa.array(df[k:k + n]), pa.array(total[k:k + n])],
+                                                     names=["cls", "term", "df", "total"])
+            held.clear()
+            if len(words) > HELD_WORDS:
+                words.forget()
         for batch in batches:
             types = batch.schema.types[0]
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                terms = terms_of(text.as_py())
-                df.setdefault(c, Counter()).update(set(terms))
-                total.setdefault(c, Counter()).update(terms)
-                if sum(map(len, df.values())) >= FLUSH:
+                tokens = split(text.as_py())
+                codes, counts = _codes(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)), ngrams)
+                if len(codes):
+                    held.setdefault(c, []).append((codes, counts))
+                    size += len(codes)
+                if size >= HELD_COUNTS:
                     yield from flush()
+                    size = 0
         yield from flush()
     return rows.mapInArrow(run, f"cls {kind}, term string, df long, total long")
 
 
 def term_stats(docs: DataFrame, text_col: str, params: TfidfParams) -> DataFrame:
-    """(term, df, total) over all documents."""
-    return partial_stats(docs, text_col, params).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    """(term, df, total) over all documents. The tasks' counts are dealt by term as they are: most terms of a task are
+    its own, so that a hash table of them in front of the exchange takes memory and saves few rows."""
+    return partial_stats(docs, text_col, params).repartition("term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
 def _before(rows: DataFrame, key: str) -> DataFrame:
@@ -218,20 +291,28 @@ class TfidfModel:
             return docs.select(F.col(id_col).alias("id")).join(found, "id", "left").select(
                 "id", F.coalesce("_i", F.array().cast("array<int>")).alias("_i"), F.coalesce("_v", F.array().cast("array<double>")).alias("_v"))
         table = self.vocabulary.select("term", "term_id", "idf").toArrow()  # BROADCAST_TERMS rows at most
+        numbers, pairs = _Words(()), [t.split(" ") for t in table["term"].to_pylist()]
+        codes = np.array([(numbers[t[0]] << 32) + (numbers[t[1]] + 1 if len(t) > 1 else 0) for t in pairs], np.int64)
+        weights = np.zeros(table.num_rows)
+        weights[table["term_id"].to_numpy()] = table["idf"].to_numpy()
+        order = np.argsort(codes)
         held = docs.sparkSession.sparkContext.broadcast(
-            (dict(zip(table["term"].to_pylist(), table["term_id"].to_pylist())), dict(zip(table["term_id"].to_pylist(), table["idf"].to_pylist()))))
-        count, sublinear, kind = _counter(self.params), self.params.sublinear_tf, docs.schema[id_col].dataType.simpleString()
+            (dict(numbers) | dict.fromkeys(self.params.words(), STOP), codes[order], table["term_id"].to_numpy()[order].astype(np.int64), weights))
+        split, ngrams, sublinear, kind = _tokens(self.params), tuple(self.params.ngram_range), self.params.sublinear_tf, \
+            docs.schema[id_col].dataType.simpleString()
 
         def run(batches):
-            number, idf = held.value
-            weights = np.zeros(len(idf))
-            for i, v in idf.items():
-                weights[i] = v
+            numbers, codes, ids, weights = held.value
             for batch in batches:
                 start, index, value, ends = 0, [], [], [0]
                 for i, text in enumerate(batch.column(1)):
-                    found = sorted((number[t], n) for t, n in count(text.as_py()).items() if t in number)
-                    terms, tf = np.array(found, np.int64).reshape(-1, 2).T
+                    tokens = split(text.as_py())
+                    own, tf = _codes(np.fromiter(map(numbers.get, tokens, repeat(UNKNOWN)), np.int64, len(tokens)), ngrams)
+                    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                    known = codes[at] == own if len(codes) else np.zeros(len(own), bool)
+                    terms, tf = ids[at[known]], tf[known]
+                    by_id = np.argsort(terms)
+                    terms, tf = terms[by_id], tf[by_id]
                     w = (1.0 + np.log(tf) if sublinear else tf.astype(float)) * weights[terms]
                     index.append(terms.astype(np.int32))
                     value.append(w / np.sqrt((w * w).sum()) if len(w) else w)
@@ -261,7 +342,7 @@ def top_ngrams(docs: DataFrame, text_col: str, class_col: str, n: int = 15, ngra
     frequency >= ``min_df`` within the class), ties by term. The per-class top-n
     uses ``row_number() <= n``, which Spark limits per task before the shuffle."""
     params = TfidfParams(ngram_range=ngram, strip_accents=False, stop_words=stop_words)
-    stats = partial_stats(docs, text_col, params, class_col).groupBy(F.col("cls").alias("_cls"), "term") \
+    stats = partial_stats(docs, text_col, params, class_col).repartition("cls", "term").groupBy(F.col("cls").alias("_cls"), "term") \
         .agg(F.sum("total").alias("count"), F.sum("df").alias("df"))
     rank = Window.partitionBy("_cls").orderBy(F.desc("count"), F.asc("term"))
     top = stats.where(F.col("df") >= min_df).withColumn("rank", F.row_number().over(rank)) \

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import narrow_side, text_batches
 from .tables import table
 
 
 def raw_postings(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents", spread_key="doc_id").select("doc_id", "text", "lang", "source")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    labels = narrow_side(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
     d = docs.join(labels, "doc_id", "inner" if labelled else "left")
     i = F.col("doc_id")
     lines = F.split(F.col("text"), "\n")

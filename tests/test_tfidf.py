@@ -78,3 +78,35 @@ def test_top_ngrams_by_class(docs):
                 counts[f"{a} {b}"] = counts.get(f"{a} {b}", 0) + 1
         want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:2]
         assert [(r["term"], r["count"]) for r in sorted((r for r in out if r["cls"] == cls), key=lambda r: r["rank"])] == want
+
+
+def test_counts_of_words_numbered_anew_are_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Red fox red fox"), (2, "the red élan élan fox"), (3, None), (4, "of"), (5, "fox x red")], "id long, text string").coalesce(1)
+    params = tfidf.TfidfParams()
+    want = sorted(tfidf.term_stats(docs, "text", params).collect())
+    monkeypatch.setattr(tfidf, "HELD_COUNTS", 1)
+    monkeypatch.setattr(tfidf, "HELD_WORDS", 0)
+    monkeypatch.setattr(tfidf, "FLUSH", 1)
+    assert sorted(tfidf.term_stats(docs, "text", params).collect()) == want
+    found = {r["term"]: (r["df"], r["total"]) for r in want}
+    assert found["red fox"] == (1, 2) and found["elan elan"] == (1, 1) and found["fox"] == (3, 4) and "the" not in found
+
+
+def test_terms_are_not_gathered_in_front_of_their_exchange(spark):
+    docs = spark.createDataFrame([(1, "red fox")], "id long, text string")
+    plan = tfidf.term_stats(docs, "text", tfidf.TfidfParams())._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange"):]
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in below and "MapInArrow" in below
+
+
+def test_texts_stay_where_they_are_when_labels_are_narrow(spark):
+    from riskrank.sources.testviews import raw_postings
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for labelled in (True, False):
+            plan = raw_postings(spark, "/root/testdata/sf0.001", labelled)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
